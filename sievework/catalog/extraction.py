@@ -117,13 +117,13 @@ def _mentions(t):
 @query(
     "e08_mention_context",
     rf"""with m as (select doc_id, text, trim({_MENTION}) as name from documents),
-    a as (select *, instr(lower(text), lower(name)) - 1 as at, length(text) as len from m where length(name) > 2 and not contains(name, chr(10))),
-    w as (select *, greatest(0, at - 200) as l, least(len, at + length(name) + 200) as r from a where at >= 0),
+    a as (select *, instr(lower(text), lower(name)) - 1 as hit, length(text) as len from m where length(name) > 2 and not contains(name, chr(10))),
+    w as (select *, greatest(0, hit - 200) as l, least(len, hit + length(name) + 200) as r from a where hit >= 0),
     e as (select *, reverse(substring(text, l - least(l, 100) + 1, least(l, 100) + 1)) as b, substring(text, r + 1, 100) as f from w),
     s as (select *, case when l = 0 then 0 when instr(b, chr(10)) > 0 then l - (instr(b, chr(10)) - 1) else l - least(l, 100) end as st,
       case when instr(f, chr(10)) > 0 then r + instr(f, chr(10)) - 1 else r + length(f) end as en from e)
     select name, doc_id as url, case when len > 100000 then concat('Context extraction skipped for ', name, ' due to large content size') else
-      trim(concat(substring(text, st + 1, at - st), '**', substring(text, at + 1, length(name)), '**', substring(text, at + length(name) + 1, en - at - length(name))), ' ' || chr(10)) end as context
+      trim(concat(substring(text, st + 1, hit - st), '**', substring(text, hit + 1, length(name)), '**', substring(text, hit + length(name) + 1, en - hit - length(name))), ' ' || chr(10)) end as context
     from s""",
 )
 def e08(t):

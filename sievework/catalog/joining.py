@@ -60,7 +60,7 @@ def j04(t):
     "j05_overlay_by_index",
     """with r as (select s_suppkey as i, case when (s_suppkey // 5) % 4 = 3 then s_name when s_suppkey % 7 = 0 then '' else concat('ok ', s_name) end as value from supplier),
     x as (select distinct s_suppkey // 5 as chunk from supplier)
-    select i as s_suppkey, value from r where value <> '' union all select null, concat('extra ', chunk) from x where chunk % 4 <> 3""",
+    select i as s_suppkey, value from r where value <> '' union all select -1, concat('extra ', chunk) from x where chunk % 4 <> 3""",
 )
 def j05(t):
     rows = t("supplier").select("s_suppkey", "s_name", F.floor(F.col("s_suppkey") / 5).alias("chunk"))
@@ -73,7 +73,7 @@ def j05(t):
         F.concat(F.transform("m", lambda x: x["v"]), F.array(F.concat(F.lit("extra "), F.col("chunk").cast("string")))).alias("values"),
     )
     original = rows.select("s_suppkey", F.col("s_name").alias("value"))
-    return joins.overlay_by_index(original, "s_suppkey", chunks, "value")
+    return joins.overlay_by_index(original, "s_suppkey", chunks, "value").fillna(-1, ["s_suppkey"])
 
 
 @query(

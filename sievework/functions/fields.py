@@ -106,10 +106,11 @@ def social_media(c: Column) -> Column:
 
     names = [name for name, _ in rules.SOCIAL_PLATFORMS] + ["Other"]
     tagged = F.transform(urls, lambda u: F.struct(platform(u).alias("p"), u.alias("u")))
-    last = [
-        F.try_element_at(F.filter(tagged, lambda t, n=name: t["p"] == n), F.lit(-1))["u"]
-        for name in names
-    ]
+
+    def last_of(name: str) -> Column:
+        return F.try_element_at(F.filter(tagged, lambda t: t["p"] == name), F.lit(-1))["u"]
+
+    last = [last_of(name) for name in names]
     pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*last))
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
 

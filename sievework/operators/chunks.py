@@ -245,16 +245,16 @@ def chunk_batch(
     """
     source = F.struct(F.col("url").cast("string"), F.col("title").cast("string"), F.col("search_query").cast("string"))
     texts = df.filter(~is_blank(F.col(text))).select(
-        group, F.col(order).cast("long").alias("part"), F.col(text).alias("text"), source.cast(SOURCE).alias("source")
+        F.col(group).alias("_g"), F.col(order).cast("long").alias("part"), F.col(text).alias("text"), source.cast(SOURCE).alias("source")
     )
-    totals = texts.groupBy(group).agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts"))
-    sized = texts.join(totals, group)
+    totals = texts.groupBy("_g").agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts"))
+    sized = texts.join(totals.withColumnRenamed("_g", "_t"), F.col("_g").eqNullSafe(F.col("_t"))).drop("_t")
     big, small = sized.filter(F.col("_chars") > 5 * size), sized.filter(F.col("_chars") <= 5 * size)
 
-    apart = chunk_each(big.select(group, "part", "text", "source"), "part", "text", size, delimiter)
-    apart = apart.select(group, "part", "chunk_index", "total_chunks", "chunk", F.array("source").alias("sources"))
+    apart = chunk_each(big.select("_g", "part", "text", "source"), "part", "text", size, delimiter)
+    apart = apart.select("_g", "part", "chunk_index", "total_chunks", "chunk", F.array("source").alias("sources"))
 
-    gathered = small.groupBy(group).agg(
+    gathered = small.groupBy("_g").agg(
         F.sort_array(F.collect_list(F.struct("part", "text", "source"))).alias("m"),
         F.first("_chars").alias("_chars"),
         F.first("_texts").alias("_texts"),
@@ -270,18 +270,18 @@ def chunk_batch(
     chunks = F.when(F.col("_chars") + (F.col("_texts") - 1) * 6 <= size, single).otherwise(
         _pack_group(F.col("m"), size, delimiter)
     )
-    together = gathered.select(group, chunks.alias("c")).select(
-        group, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "e")
+    together = gathered.select("_g", chunks.alias("c")).select(
+        "_g", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "e")
     )
     together = together.select(
-        group,
+        "_g",
         F.lit(None).cast("long").alias("part"),
         "chunk_index",
         "total_chunks",
         F.col("e.chunk").alias("chunk"),
         F.col("e.sources").alias("sources"),
     )
-    return apart.unionByName(together)
+    return apart.unionByName(together).withColumnRenamed("_g", group)
 
 
 def chunk_stats(chunks: DataFrame, text: str = "chunk", sources: str | None = None) -> DataFrame:

@@ -17,12 +17,19 @@ MAX_BUCKETS = 4096
 BLOCK = 200_000
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds of a timestamp column, with or without a time zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def _number(df: DataFrame, order: str) -> Column:
     """A double that never decreases as ``order`` grows."""
     kind = df.schema[order].dataType
     if isinstance(kind, T.StringType):
         head = F.rpad(F.hex(F.substring(F.encode(F.col(order), "utf-8"), 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(order).cast("double")
     return F.col(order).cast("double")
 
 

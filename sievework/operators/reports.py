@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework import rules
 from sievework.functions.text import contains_any, is_blank
 from sievework.operators.keys import limit_per_key
-from sievework.operators.positions import with_position
+from sievework.operators.positions import micros, with_position
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -69,7 +69,7 @@ def field_completion(companies: DataFrame, name: str, fields: list[str]) -> Data
 def timing_stats(log: DataFrame, kind: str, seconds: str, ts: str) -> DataFrame:
     """Mean seconds per kind of work, with the span of the whole log."""
     per = log.groupBy(kind).agg(F.avg(seconds).alias("mean_seconds"), F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    span = F.unix_micros("_b") - F.unix_micros("_a")
+    span = micros("_b") - micros("_a")
     return per.select(kind, "mean_seconds", (span / 1e6).alias("elapsed_seconds"))
 
 
@@ -133,7 +133,7 @@ def key_cooldowns(log: DataFrame, key: str = "key", ts: str = "ts", code: str =
     cooldown = F.least(F.lit(60) * F.pow(F.lit(2), F.col("error_no") % 5), F.lit(3600)).cast("int")
     limited = numbered.filter(F.col(code) == 429)
     return limited.select(
-        key, order, "error_no", cooldown.alias("cooldown_s"), F.timestamp_seconds(F.unix_micros(ts) / 1e6 + cooldown).alias("until")
+        key, order, "error_no", cooldown.alias("cooldown_s"), F.timestamp_seconds(micros(ts) / 1e6 + cooldown).alias("until")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.positions import BLOCK, block_window, in_blocks, keep_home, with_neighbours, with_position
+from sievework.operators.positions import BLOCK, block_window, in_blocks, keep_home, micros, with_neighbours, with_position
 
 
 def alert(metric: Column, mean: Column, phase: Column) -> Column:
@@ -34,14 +34,14 @@ def rolling_mean(
 def phase_durations(events: DataFrame, keys: list[str], ts: str, phase: str, ties: list[str] | None = None) -> DataFrame:
     """Seconds per phase, from each event to the next; repeats of a phase add up."""
     steps = with_neighbours(events, ts, keys, following={"_next": ts}, ties=ties)
-    gap = (F.unix_micros("_next") - F.unix_micros(ts)) / 1e6
+    gap = (micros("_next") - micros(ts)) / 1e6
     return steps.filter(F.col("_next").isNotNull()).groupBy(*keys, phase).agg(F.sum(gap).alias("seconds"))
 
 
 def rates(samples: DataFrame, keys: list[str], ts: str, counter: str, ties: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """Change per second since the previous sample of the same series."""
     steps = with_neighbours(samples, ts, keys, previous={"_ts": ts, "_c": counter}, ties=ties, block=block)
-    seconds = (F.unix_micros(ts) - F.unix_micros("_ts")) / 1e6
+    seconds = (micros(ts) - micros("_ts")) / 1e6
     rate = F.when(seconds > 0, (F.col(counter) - F.col("_c")) / seconds)
     return steps.withColumn("rate", rate).drop("_ts", "_c")
 
@@ -49,8 +49,8 @@ def rates(samples: DataFrame, keys: list[str], ts: str, counter: str, ties: list
 def progress(items: DataFrame, ts: str, ties: list[str]) -> DataFrame:
     """Done, percent, items per second and seconds left after each item."""
     placed = with_position(items, ts, None, ties, out="done")
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_micros(ts)).alias("t0")).first()
-    elapsed = (F.unix_micros(ts) - F.lit(total["t0"])) / 1e6
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.min(micros(ts)).alias("t0")).first()
+    elapsed = (micros(ts) - F.lit(total["t0"])) / 1e6
     rate = F.when(elapsed > 0, F.col("done") / elapsed).otherwise(0.0)
     left = F.when(rate > 0, (F.lit(total["n"]) - F.col("done")) / rate).otherwise(0.0)
     return placed.withColumns(
@@ -64,7 +64,7 @@ def calls_in_last_minute(log: DataFrame, key: str, ts: str, limit: int, span: in
     Calls are counted per second before the shuffle; the trailing frame runs on hour blocks
     that carry the last minute of the block before.
     """
-    per_second = log.groupBy(key, F.unix_seconds(ts).alias("second")).agg(F.count(F.lit(1)).alias("calls"))
+    per_second = log.groupBy(key, F.unix_seconds(F.col(ts).cast("timestamp")).alias("second")).agg(F.count(F.lit(1)).alias("calls"))
     home = F.floor(F.col("second") / block_seconds)
     late = F.col("second") % block_seconds >= block_seconds - (span - 1)
     spread = per_second.withColumns({"_at": home, "_block": F.explode(F.array_compact(F.array(home, F.when(late, home + 1))))})

@@ -111,7 +111,9 @@ def export_rows(df: DataFrame) -> DataFrame:
 
 
 def export_companies_csv(df: DataFrame, path: str) -> None:
-    export_rows(df).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    export_rows(df).write.mode("overwrite").csv(
+        path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def csv_text(df: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def search_hits(df: DataFrame, start: int = 0, limit: int | None = None) -> Data
     """One URL column whichever name the client used; paging by rank (1-based)."""
     have = df.columns
     url = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("url", "link") if c in have])
-    hits = df.drop("link").withColumn("url", url).filter(~is_blank(F.col("url")))
+    hits = df.withColumn("url", url).drop("link").filter(~is_blank(F.col("url")))
     if limit is not None:
         hits = hits.filter((F.col("rank") > start) & (F.col("rank") <= start + min(limit, 100)))
     return hits

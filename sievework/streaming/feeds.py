@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.utils import AnalysisException
@@ -13,6 +13,11 @@ from sievework.operators.keys import last_per_key
 from sievework.sources.tables import write_kv
 
 
+def _timed(stream: DataFrame, ts: str) -> DataFrame:
+    """Event time must carry a zone before a watermark can be set."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def company_feed(stream: DataFrame, target: str, checkpoint: str, name: str = "Company Name", order: str = "pos"):
     """ST1: append only new names. A batch that is run again replaces its own folder."""
 
@@ -33,12 +38,12 @@ def unseen_urls(stream: DataFrame, url: str, ts: str | None = None, horizon: str
     marked = stream.withColumn("url_fp", urls.fingerprint(F.col(url)))
     if ts is None:
         return marked.dropDuplicates(["url_fp"])
-    return marked.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["url_fp"])
+    return _timed(marked, ts).withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["url_fp"])
 
 
 def daily_mentions(stream: DataFrame, name: str, ts: str, late: str = "1 hour") -> DataFrame:
     """ST3: mentions per name and day; rows later than ``late`` are dropped."""
-    counts = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), name).agg(F.count(F.lit(1)).alias("n"))
+    counts = _timed(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), name).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(name, F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
 
 
@@ -79,7 +84,7 @@ def call_rate(stream: DataFrame, key: str, ts: str, late: str = "1 minute", span
     Calls are counted per step first, so a row is not copied into every sliding window.
     """
     tick = F.window(ts, step)
-    per_step = stream.withWatermark(ts, late).groupBy(tick.alias("tick"), key).agg(F.count(F.lit(1)).alias("calls"))
+    per_step = _timed(stream, ts).withWatermark(ts, late).groupBy(tick.alias("tick"), key).agg(F.count(F.lit(1)).alias("calls"))
     sliding = per_step.groupBy(F.window(F.window_time("tick"), span, step).alias("w"), key).agg(F.sum("calls").alias("calls"))
     return sliding.select(key, F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), "calls")
 
@@ -87,7 +92,7 @@ def call_rate(stream: DataFrame, key: str, ts: str, late: str = "1 minute", span
 def activity_sessions(stream: DataFrame, key: str, ts: str, status: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """ST9: sessions of activity with their last status."""
     return (
-        stream.withWatermark(ts, late)
+        _timed(stream, ts).withWatermark(ts, late)
         .groupBy(F.session_window(ts, gap).alias("s"), key)
         .agg(F.count(F.lit(1)).alias("events"), F.max_by(status, ts).alias("last_status"))
         .select(key, F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "events", "last_status")
@@ -100,7 +105,3 @@ def run_to_end(writer, timeout: int = 300) -> None:
     if not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not finish")
-
-
-def order_column(ts: str, *ties: str) -> Column:
-    return F.struct(ts, *ties)
