@@ -110,6 +110,7 @@ def c09(t):
     f"""with c as (select doc_id, pos, piece, lead(piece) over (partition by doc_id order by pos) as nxt from ({_CUT.replace('900', '300')})),
     p as (select doc_id, pos as chunk_index, right(piece, 1000) as tail, left(nxt, 1000) as head from c where nxt is not null)
     select doc_id, chunk_index, coalesce(list_min(list_filter(range(1, least(1000, length(tail), length(head))), lambda n: contains(head, right(tail, n)))), 0) as overlap,
+      coalesce(list_max(list_filter(range(1, least(1000, length(tail), length(head))), lambda n: contains(head, right(tail, n)))), 0) as longest,
       contains(head, '---') as has_separator from p""",
 )
 def c10(t):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import BLANKS, is_blank, split_paragraphs, strip  # noqa: F401
+from sievework.functions.text import is_blank, split_paragraphs
 from sievework.operators.positions import with_neighbours
 
 STRINGS = "array<string>"
@@ -299,19 +299,30 @@ def chunk_stats(chunks: DataFrame, text: str = "chunk", sources: str | None = No
 
 
 def chunk_overlap_check(chunks: DataFrame, doc: str, window: int = 1000) -> DataFrame:
-    """Shortest suffix of a chunk that is found in the head of the next one."""
+    """Shortest and longest suffix of a chunk that is found in the head of the next one.
+
+    A suffix that is found has all its own suffixes found too, so the shortest one is a
+    single character and the longest one is found by halving.
+    """
     pairs = with_neighbours(
         chunks.select(doc, "chunk_index", "chunk"), "chunk_index", [doc], following={"next_chunk": "chunk"}
     ).filter(F.col("next_chunk").isNotNull())
     tail, head = F.right("chunk", F.lit(window)), F.left("next_chunk", F.lit(window))
-    top = F.least(F.lit(window), F.length(tail), F.length(head)) - 1
-    lengths = F.when(top >= 1, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(lengths, lambda n: F.contains(head, F.right(tail, n)))
-    return pairs.select(
+    rows = pairs.select(doc, "chunk_index", tail.alias("tail"), head.alias("head"))
+    top = F.least(F.lit(window), F.length("tail"), F.length("head")) - 1
+    steps = F.array(*[F.lit(1 << k) for k in range(window.bit_length(), -1, -1)])
+    longest = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda n, k: F.when((n + k <= top) & F.contains("head", F.right("tail", n + k)), n + k).otherwise(n),
+    )
+    rows = rows.withColumn("longest", longest)
+    return rows.select(
         doc,
         "chunk_index",
-        F.coalesce(F.array_min(found), F.lit(0)).alias("overlap"),
-        head.contains("---").alias("has_separator"),
+        F.least("longest", F.lit(1)).alias("overlap"),
+        "longest",
+        F.contains("head", F.lit("---")).alias("has_separator"),
     )
 
 

@@ -91,6 +91,8 @@ def groups_in_waves(
     nodes: DataFrame, between: Callable[[DataFrame, DataFrame], DataFrame], waves: int | None = None
 ) -> DataFrame:
     """(id, leader) as in :func:`greedy_leader_groups`, with leaders found in waves."""
+    if not wave_cuts(nodes, "id", waves):
+        return greedy_leader_groups(nodes, between(nodes, nodes))
     leaders = leaders_in_waves(nodes, between, waves)
     others = nodes.join(leaders.select("id"), "id", "left_anti")
     owner = between(leaders, others).groupBy(F.col("high").alias("id")).agg(F.min("low").alias("leader"))

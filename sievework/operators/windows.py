@@ -34,8 +34,8 @@ def rolling_mean(
 def phase_durations(events: DataFrame, keys: list[str], ts: str, phase: str, ties: list[str] | None = None) -> DataFrame:
     """Seconds per phase, from each event to the next; repeats of a phase add up."""
     steps = with_neighbours(events, ts, keys, following={"_next": ts}, ties=ties)
-    gap = (micros("_next") - micros(ts)) / 1e6
-    return steps.filter(F.col("_next").isNotNull()).groupBy(*keys, phase).agg(F.sum(gap).alias("seconds"))
+    gap = micros("_next") - micros(ts)
+    return steps.filter(F.col("_next").isNotNull()).groupBy(*keys, phase).agg((F.sum(gap) / 1e6).alias("seconds"))
 
 
 def rates(samples: DataFrame, keys: list[str], ts: str, counter: str, ties: list[str] | None = None, block: int = BLOCK) -> DataFrame:
