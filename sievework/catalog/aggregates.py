@@ -237,7 +237,7 @@ def a14(t):
 @query("a15_context_report")
 def a15(t):
     """Names are first words of documents, pages are documents of the same source."""
-    docs = t("documents").select("doc_id", "text", F.split_part("text", F.lit(" "), F.lit(1)).alias("name")).filter("length(name) > 3")
+    docs = t("documents", True).select("doc_id", "text", F.split_part("text", F.lit(" "), F.lit(1)).alias("name")).filter("length(name) > 3")
     pairs = docs.select("name", F.col("doc_id").alias("url"))
     pages = docs.select(F.col("doc_id").alias("url"), F.col("text").alias("content"))
     contexts = extract.mention_context(pairs, pages)

@@ -7,20 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.session import spread
 from sievework.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-Tables = Callable[[str], DataFrame]
-
-
 def query(key: str, sql: str | None = None):
-    """Register ``fn(t)``, where ``t(name)`` is the table of that name."""
+    """Register ``fn(t)``, where ``t(name)`` is the table of that name.
+
+    ``t(name, True)`` deals a small table out to all cores, for work that is heavy per row.
+    """
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda name: load(spark, sf_dir, name))
+            def table(name: str, heavy: bool = False) -> DataFrame:
+                df = load(spark, sf_dir, name)
+                return spread(df) if heavy else df
+
+            return fn(table)
 
         run.__doc__ = fn.__doc__
         QUERIES[key] = run

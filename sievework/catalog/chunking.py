@@ -22,7 +22,7 @@ def c01(t):
 
 @query("c02_chunk_text")
 def c02(t):
-    return chunks.chunk_text(t("documents"), "doc_id", "text", 2000, 300, "\n")
+    return chunks.chunk_text(t("documents", True), "doc_id", "text", 2000, 300, "\n")
 
 
 _CUT = "select doc_id, cast(i as int) as pos, substring(text, i * 900 + 1, 900) as piece from documents, range(0, 200) r(i) where i * 900 < greatest(length(text), 1)"
@@ -36,7 +36,7 @@ def c03(t):
 @query("c04_split_sentences_pack")
 def c04(t):
     packed = chunks.split_sentences_pack(F.col("text"), 400)
-    return t("documents").select("doc_id", F.posexplode(packed).alias("pos", "piece"))
+    return t("documents", True).select("doc_id", F.posexplode(packed).alias("pos", "piece"))
 
 
 @query(
@@ -50,11 +50,11 @@ def c04(t):
 )
 def c05(t):
     tail = chunks.overlap_tail(split_paragraphs(F.col("text"), "\n"), 300)
-    return t("documents").select("doc_id", F.array_join(tail["cur"], "|").alias("tail"), tail["n"].alias("tail_length"))
+    return t("documents", True).select("doc_id", F.array_join(tail["cur"], "|").alias("tail"), tail["n"].alias("tail_length"))
 
 
 def _sourced(t):
-    return t("documents").select(
+    return t("documents", True).select(
         "source",
         "doc_id",
         "text",
@@ -87,7 +87,7 @@ def c06_large(t):
 
 @query("c07_chunk_each")
 def c07(t):
-    return chunks.chunk_each(t("documents").select("doc_id", "text"), "doc_id", "text", 2000, "\n")
+    return chunks.chunk_each(t("documents", True).select("doc_id", "text"), "doc_id", "text", 2000, "\n")
 
 
 @query("c08_clean_and_chunk")

@@ -11,6 +11,7 @@ from sievework.catalog.texts import NORMAL
 from sievework.functions.text import extract_keywords
 from sievework.operators import leaders, names, similarity as sim
 from sievework.operators.positions import with_neighbours
+from sievework.session import cut
 
 
 def _part_names(t):
@@ -28,7 +29,7 @@ KEYWORD_SETS = f"""(select doc_id as id, list_sort(list_distinct([x for x in str
 
 
 def _sets(t):
-    return sim.keyword_sets(t("documents"), "doc_id", extract_keywords(F.col("text")))
+    return sim.keyword_sets(t("documents", True), "doc_id", extract_keywords(F.col("text")))
 
 
 @query(
@@ -40,7 +41,7 @@ def _sets(t):
 )
 def j10(t):
     """Over distinct keyword sets; copies of a text stand behind their lowest id."""
-    reps, _ = sim.distinct_sets(_sets(t).filter("n > 0"))
+    reps = cut(sim.distinct_sets(_sets(t).filter("n > 0")))
     return sim.jaccard_edges(reps, 0.85).withColumn("sim", F.round("sim", 6))
 
 
@@ -49,7 +50,7 @@ def j10(t):
     f"with s as (select id, k from {KEYWORD_SETS} where len(k) > 0) select id, min(id) over (partition by k) as rep from s",
 )
 def j10_copies(t):
-    return sim.distinct_sets(_sets(t).filter("n > 0"))[1]
+    return sim.copies_of(_sets(t).filter("n > 0"))
 
 
 @query(
@@ -89,7 +90,7 @@ def d03(t):
 
 @query("d04_dedupe_jaccard")
 def d04(t):
-    return sim.dedupe_jaccard(t("documents"), "doc_id", "text", 0.85)
+    return sim.dedupe_jaccard(t("documents", True), "doc_id", "text", 0.85)
 
 
 @query("d05_dedupe_embedding")

@@ -24,7 +24,7 @@ def _org_text():
 
 @query("e01_extract_orgs", f"select doc_id, array_to_string({_ORGS}, '|') as orgs from documents")
 def e01(t):
-    return t("documents").select("doc_id", F.array_join(extract.extract_orgs(_org_text()), "|").alias("orgs"))
+    return t("documents", True).select("doc_id", F.array_join(extract.extract_orgs(_org_text()), "|").alias("orgs"))
 
 
 _FIRST = ["Google", "Ai", "Apple", "Acme", "Beta Works", "Twitter", "Ox"]
@@ -101,7 +101,7 @@ def e06(t):
     select o.doc_id, o.name, coalesce((select arg_max(org, (score, -i)) from s where s.doc_id = o.doc_id and score > 0.5), '') as best_org from o""",
 )
 def e07(t):
-    df = t("documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), extract.extract_orgs(_org_text()).alias("orgs"))
+    df = t("documents", True).select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), extract.extract_orgs(_org_text()).alias("orgs"))
     return extract.best_org_match(df, "doc_id", "name", "orgs").fillna("")
 
 
@@ -110,7 +110,7 @@ _MENTION = "split_part(text, ' ', 30)"
 
 
 def _mentions(t):
-    docs = t("documents").withColumn("name", strip(F.split_part("text", F.lit(" "), F.lit(30)))).filter("length(name) > 2 and not contains(name, '\\n')")
+    docs = t("documents", True).withColumn("name", strip(F.split_part("text", F.lit(" "), F.lit(30)))).filter("length(name) > 2 and not contains(name, '\\n')")
     return docs.select("name", F.col("doc_id").alias("url"))
 
 
@@ -142,7 +142,7 @@ _KW = [*[w for w in "that with theon leaux queau".split() if len(w) > 3 and w no
     union all select doc_id, concat('Doc', doc_id), 'relevant', 0.5 from k where n > 10000""",
 )
 def e09(t):
-    docs = t("documents").select("doc_id", F.concat(F.lit("Doc"), "doc_id").alias("name"), F.col("text").alias("context"))
+    docs = t("documents", True).select("doc_id", F.concat(F.lit("Doc"), "doc_id").alias("name"), F.col("text").alias("context"))
     docs = docs.withColumn("query", F.lit("that with theon leaux queau"))
     out = extract.keyword_relevance(docs, "name", "context", F.col("query"), ["doc_id"])
     return out.withColumn("score", F.round("score", 6))

@@ -327,7 +327,7 @@ R01_SQL = rf"len(list_intersect({sql_list(_TERMS)}, list_distinct(regexp_extract
 @query("r01_content_relevance", f"select doc_id, round({R01_SQL}, 6) as relevance from documents")
 def r01(t):
     rel = relevance.content_relevance([F.col("text")], F.lit(QUERY))
-    return t("documents").select("doc_id", F.round(rel, 6).alias("relevance"))
+    return t("documents", True).select("doc_id", F.round(rel, 6).alias("relevance"))
 
 
 _PART = {"Company Name": "name", "Location": "place", "Website": "site", "Technology Stack": "tech"}
@@ -385,7 +385,7 @@ _HITS_SQL = " + ".join(f"cast(contains(lower(x), '{w}') as int)" for w in _WORDS
     f"select doc_id from (select doc_id, text as x from documents) where trim(x) <> '' and ({_HITS_SQL}) / {float(len(_WORDS))} >= 0.4",
 )
 def r05(t):
-    return t("documents").filter(relevance.is_relevant(F.col("text"), QUERY, 0.4)).select("doc_id")
+    return t("documents", True).filter(relevance.is_relevant(F.col("text"), QUERY, 0.4)).select("doc_id")
 
 
 @query(
@@ -397,7 +397,7 @@ def r05(t):
     where rn <= 3""",
 )
 def r06(t):
-    top = relevance.top_paragraphs(t("documents"), "doc_id", "text", QUERY, 3, "\n")
+    top = relevance.top_paragraphs(t("documents", True), "doc_id", "text", QUERY, 3, "\n")
     return top.withColumn("score", F.round("score", 6))
 
 

@@ -37,24 +37,27 @@ def m01(t):
     select doc_id, name from d""",
 )
 def m02(t):
-    out = m.extract_names(t("documents").select("doc_id", "text"), ["doc_id"], F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("metal coating"), m.rule_model)
+    out = m.extract_names(t("documents", True).select("doc_id", "text"), ["doc_id"], F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("metal coating"), m.rule_model)
     return out.select("doc_id", "name")
 
 
 def _listed(t):
-    listed = F.array_sort(F.collect_set(F.concat("p_name", F.lit(" "), "p_brand")))
-    return t("part").groupBy(F.col("p_type").alias("kind")).agg(listed.alias("names"))
+    """Three names per part."""
+    return t("part").select("p_partkey", F.array("p_name", F.concat("p_name", F.lit(" "), "p_brand"), F.concat("p_type", F.lit(" works"))).alias("names"))
 
 
-@query("m03_validate_names", "select distinct p_type as kind, concat('https://', p_type) as url, concat(p_name, ' ', p_brand) as name from part where length(concat(p_name, ' ', p_brand)) % 2 = 0")
+_NAMES = "(select p_partkey, unnest([p_name, concat(p_name, ' ', p_brand), concat(p_type, ' works')]) as name from part)"
+
+
+@query("m03_validate_names", f"select p_partkey, concat('https://p.org/', p_partkey) as url, name from {_NAMES} where length(name) % 2 = 0")
 def m03(t):
-    rows = _listed(t).withColumn("url", F.concat(F.lit("https://"), "kind"))
-    return m.validate_names(rows, ["kind"], "names", "url", m.rule_model).select("kind", "url", "name")
+    rows = _listed(t).withColumn("url", F.concat(F.lit("https://p.org/"), F.col("p_partkey").cast("string")))
+    return m.validate_names(rows, ["p_partkey"], "names", "url", m.rule_model).select("p_partkey", "url", "name")
 
 
-@query("m04_filter_relevant", "select distinct p_type as kind, concat(p_name, ' ', p_brand) as name from part where length(concat(p_name, ' ', p_brand)) % 3 = 0")
+@query("m04_filter_relevant", f"select p_partkey, name from {_NAMES} where length(name) % 3 = 0")
 def m04(t):
-    return m.filter_relevant(_listed(t), ["kind"], "names", F.lit("DLC coating"), m.rule_model).select("kind", "name")
+    return m.filter_relevant(_listed(t), ["p_partkey"], "names", F.lit("DLC coating"), m.rule_model).select("p_partkey", "name")
 
 
 @query("m05_choose_names")
@@ -70,7 +73,7 @@ def m05(t):
     select doc_id, 'page' as source, 'Product Description' as field, d as value from s where trim(d) <> '' union all select doc_id, 'page', 'Founded Year', y from s where y <> ''""",
 )
 def m06(t):
-    docs = t("documents").select("doc_id", F.lit("page").alias("source"), F.col("text").alias("content"))
+    docs = t("documents", True).select("doc_id", F.lit("page").alias("source"), F.col("text").alias("content"))
     out = m.extract_structured(docs, "doc_id", "source", "content", ["Product Description", "Founded Year", "Location"], m.rule_model)
     return out.select("doc_id", "source", "field", "value")
 

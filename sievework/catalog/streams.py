@@ -121,7 +121,7 @@ def st7(spark, stream_of):
 
 @stream_query("st8_call_rate")
 def st8(spark, stream_of):
-    return to_table(feeds.call_rate(stream_of("events").select(F.col("event_type").alias("key"), "ts"), "key", "ts"), "rate")
+    return to_table(feeds.call_rate(stream_of("events").select(F.col("event_type").alias("key"), "ts"), "key", "ts", step="10 seconds"), "rate")
 
 
 @stream_query(

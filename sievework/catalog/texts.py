@@ -8,6 +8,7 @@ from sievework import rules
 from sievework.catalog.base import WORD, query, sql_in
 from sievework.functions import text as tx
 from sievework.operators import extract
+from sievework.operators.keys import limit_per_key
 
 MIXED = "concat(text, ' see https://a.example.com/x?y=1 or www.b.org/z, mail j.doe@mail.example.org (50% off) #1')"
 NORMAL = rf"trim(regexp_replace(lower(text), '[^{WORD}]+', ' ', 'g'))"
@@ -27,7 +28,7 @@ def t01(t):
 )
 def t02(t):
     m = F.expr(MIXED)
-    return t("documents").select(
+    return t("documents", True).select(
         "doc_id",
         tx.remove_urls(m).alias("no_urls"),
         tx.remove_emails(m).alias("no_emails"),
@@ -37,22 +38,22 @@ def t02(t):
 
 @query("t03_html_to_text")
 def t03(t):
-    return extract.html_to_text(t("pages")).select("page_id", "url", "text")
+    return extract.html_to_text(t("pages", True)).select("page_id", "url", "text")
 
 
 @query("t04_main_content")
 def t04(t):
-    return extract.main_content(t("pages").select("page_id", "html"))
+    return extract.main_content(t("pages", True).select("page_id", "html"))
 
 
 @query("t05_prune_elements")
 def t05(t):
-    return extract.pruned_text(t("pages").select("page_id", "html"))
+    return extract.pruned_text(t("pages", True).select("page_id", "html"))
 
 
 @query("t06_html_to_markdown")
 def t06(t):
-    return extract.html_to_markdown(t("pages").select("page_id", "html"))
+    return extract.html_to_markdown(t("pages", True).select("page_id", "html"))
 
 
 @query(
@@ -80,13 +81,13 @@ def t07(t):
 )
 def t08(t):
     kind = F.when(F.col("source") == "src1", "pdf").when(F.col("source") == "src2", "image").otherwise("text")
-    docs = t("documents").select("doc_id", "source", F.col("text").alias("content"), kind.alias("kind"))
+    docs = t("documents", True).select("doc_id", "source", F.col("text").alias("content"), kind.alias("kind"))
     return extract.process_content(docs, "content", "kind").select("doc_id", "source", "text")
 
 
 @query("t08_process_content_html")
 def t08_html(t):
-    pages = t("pages").select("page_id", F.col("html").alias("content"), F.lit("html").alias("kind"))
+    pages = t("pages", True).select("page_id", F.col("html").alias("content"), F.lit("html").alias("kind"))
     return extract.process_content(pages, "content", "kind").select("page_id", "text")
 
 
@@ -95,10 +96,11 @@ def _threads(t):
     row = F.concat(
         F.lit('<tr class="athing comtr"><td><div class="comment">'), F.col("text"), F.lit("</div></td></tr>")
     )
+    first = limit_per_key(t("conversations"), ["conv_id"], ["turn"], 50)  # no thread job looks further
     turns = F.array_sort(F.collect_list(F.struct("turn", row.alias("r"))))
     body = F.array_join(F.transform(turns, lambda x: x["r"]), "")
     title = F.when(F.col("conv_id") % 2 == 0, "Ask: Who is hiring?").otherwise("A talk")
-    return t("conversations").groupBy("conv_id").agg(body.alias("b")).select(
+    return first.groupBy("conv_id").agg(body.alias("b")).select(
         "conv_id", F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body><table>"), "b", F.lit("</table></body></html>")).alias("html")
     )
 
@@ -112,12 +114,12 @@ def t09(t):
 def t10(t):
     hosts = F.array(*[F.lit(h) for h in ("www.linkedin.com", "www.crunchbase.com", "techcrunch.com", "news.ycombinator.com", "x.example.org")])
     url = F.concat(F.lit("https://"), F.element_at(hosts, (F.col("page_id") % 5 + 1).cast("int")), F.lit("/p/"), "page_id")
-    return extract.extract_by_site(t("pages").withColumn("url", url), "page_id")
+    return extract.extract_by_site(t("pages", True).withColumn("url", url), "page_id")
 
 
 @query("t11_page_fields_text")
 def t11(t):
-    return extract.page_fields_text(t("pages"), "page_id", "website")
+    return extract.page_fields_text(t("pages", True), "page_id", "website")
 
 
 @query(
@@ -145,7 +147,7 @@ def t13(t):
 
 @query("t14_normalize_query", f"select doc_id, {NORMAL} as normal from documents")
 def t14(t):
-    return t("documents").select("doc_id", tx.normalize_query(F.col("text")).alias("normal"))
+    return t("documents", True).select("doc_id", tx.normalize_query(F.col("text")).alias("normal"))
 
 
 @query(
@@ -156,7 +158,7 @@ def t14(t):
 )
 def t15(t):
     text = F.col("text")
-    return t("documents").select(
+    return t("documents", True).select(
         "doc_id",
         tx.remove_stopwords(tx.normalize_query(text)).alias("no_stopwords"),
         F.array_join(tx.extract_keywords(text), " ").alias("keywords"),
@@ -169,7 +171,7 @@ def t15(t):
       if length(x) > 1 and x not in {sql_in(rules.TERM_STOPWORDS)}], ' ') as terms from documents""",
 )
 def t16(t):
-    return t("documents").select("doc_id", F.array_join(tx.extract_terms(F.col("text")), " ").alias("terms"))
+    return t("documents", True).select("doc_id", F.array_join(tx.extract_terms(F.col("text")), " ").alias("terms"))
 
 
 @query(

@@ -88,7 +88,7 @@ def _links_sql() -> str:
     f"with {_links_sql()} select page_id, cast(row_number() over (partition by page_id order by i) - 1 as int) as pos, link from firsts",
 )
 def u06(t):
-    return linkgraph.extract_links(t("pages"), "page_id")
+    return linkgraph.extract_links(t("pages", True), "page_id")
 
 
 @query(
@@ -109,7 +109,7 @@ def u06(t):
 )
 def u07(t):
     """Links of all copies of a URL count; their order is page, then place on the page."""
-    pages = t("pages")
+    pages = t("pages", True)
     src = pages.select("page_id", urls.normalize_url(F.col("url")).alias("src"))
     found = linkgraph.extract_links(pages, "page_id").withColumn("pos", F.col("page_id") * 10000 + F.col("pos"))
     links = found.join(src, "page_id").groupBy("src", "link").agg(F.min("pos").alias("pos"))

@@ -34,7 +34,7 @@ def _number(df: DataFrame, order: str) -> Column:
 
 
 def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Cut ``order`` at its own quantiles; only the cut points reach the driver."""
+    """Cut ``order`` at its own quantiles; only the cut points reach the driver. NULLs come last."""
     if buckets is None:
         buckets = min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probes = [i / buckets for i in range(1, buckets)]
@@ -42,6 +42,8 @@ def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: st
     cuts = []
     if probes:
         cuts = df.agg(F.percentile_approx(number, F.lit(probes), 10 * buckets).alias("c")).first()["c"] or []
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_number", outputCol="_cut", handleInvalid="keep")
     return cutter.transform(df.withColumn("_number", number)).withColumn(out, F.col("_cut").cast("int")).drop(
@@ -58,23 +60,24 @@ def with_position(
     out: str = "pos",
     buckets: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row by ``order`` (then ``ties``), overall or per key."""
+    """1-based position of each row by ``order`` (then ``ties``), overall or per key.
+
+    Rows are shuffled once, by (key, bucket); the offsets join on the same columns. The key is
+    one struct, so that NULL keys match each other.
+    """
     keys = keys or []
-    marked = order_buckets(df, order, buckets)
-    sizes = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most one row per bucket and key is sorted here
-    steps = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    steps = steps.orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
-    steps = steps.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(steps), F.lit(0)).alias("_before"))
-    offsets = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_before")
-    on = F.col("_bucket") == F.col("_b")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    group = F.struct(*keys) if keys else F.lit(0)
+    marked = order_buckets(df, order, buckets).withColumn("_group", group)
+    sizes = marked.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # at most one row per bucket and key is summed up here
+    steps = Window.partitionBy("_group").orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
+    before = F.sum("_n").over(steps.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_group", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
     first = F.desc(order) if descending else F.asc(order)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(first, *(ties or []))
-    joined = marked.join(offsets, on).withColumn(out, F.col("_before") + F.row_number().over(inside))
-    return joined.drop("_bucket", "_b", "_before", *[f"_k{i}" for i in range(len(keys))])
+    inside = Window.partitionBy("_group", "_bucket").orderBy(first, *(ties or []))
+    numbered = marked.withColumn("_rn", F.row_number().over(inside))
+    joined = numbered.join(offsets, ["_group", "_bucket"])
+    return joined.withColumn(out, F.col("_before") + F.col("_rn")).drop("_group", "_bucket", "_before", "_rn")
 
 
 def in_blocks(

@@ -27,16 +27,22 @@ def keyword_sets(df: DataFrame, id: str, tokens: Column) -> DataFrame:
     )
 
 
-def distinct_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per distinct set (lowest id), and (id, rep) for every row.
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row per distinct set, under its lowest id.
 
     Copies are grouped by digest with map-side combining, so any number of copies of one
     text costs one row afterwards.
     """
     keyed = sets.withColumn("_d", F.md5(F.array_join("tokens", "\u0001")))
     reps = keyed.groupBy("_d").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
-    copies = keyed.select("id", "_d").join(reps.select("_d", F.col("id").alias("rep")), "_d").select("id", "rep")
-    return reps.drop("_d"), copies
+    return reps.select("id", "tokens", "n")
+
+
+def copies_of(sets: DataFrame) -> DataFrame:
+    """(id, rep): the lowest id with the same set, for every row."""
+    digests = cut(sets.select("id", F.md5(F.array_join("tokens", "\u0001")).alias("_d")))
+    reps = digests.groupBy("_d").agg(F.min("id").alias("rep"))
+    return digests.join(reps, "_d").select("id", "rep")
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def jaccard_edges(sets: DataFrame, threshold: float) -> DataFrame:
 def dedupe_jaccard(df: DataFrame, id: str, text: str, threshold: float = 0.85, waves: int | None = None) -> DataFrame:
     """Ids that are kept; copies of one text fall to its lowest id first."""
     sets = keyword_sets(df, id, extract_keywords(F.col(text)))
-    reps, _ = distinct_sets(sets.filter("n > 0"))
+    reps = distinct_sets(sets.filter("n > 0"))
     ranked = cut(rare_first(reps))
     kept = leaders_in_waves(ranked, lambda a, b: jaccard_between(a, b, threshold), waves).select("id")
     empty = sets.filter("n = 0").select("id")
@@ -106,28 +112,29 @@ def dedupe_queries(df: DataFrame, id: str, query: str, threshold: float = 0.85)
 
 def cluster_simple(df: DataFrame, id: str, query: str, k: int = 5, threshold: float = 0.3) -> DataFrame:
     """(cluster, id, query) of the representatives of at most ``k`` clusters."""
-    sets = cut(keyword_sets(df, id, extract_keywords(F.col(query))))
-    edges = jaccard_edges(sets, threshold).select("low", "high")
-    loops = sets.filter("n > 0").select(F.col("id").alias("low"), F.col("id").alias("high"))
-    both = edges.unionByName(edges.select(F.col("high").alias("low"), F.col("low").alias("high"))).unionByName(loops)
-    left_edges, left_nodes = cut(both), sets.select("id", "n")
+    sets = keyword_sets(df, id, extract_keywords(F.col(query))).filter("n > 0")
+    keyed = sets.withColumn("_d", F.md5(F.array_join("tokens", "\u0001")))
+    # copies of one keyword set always move together: one node with their number as weight
+    nodes = cut(
+        keyed.groupBy("_d").agg(
+            F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")
+        )
+    )
+    pairs = cut(jaccard_edges(nodes.select("id", "tokens", "n"), threshold).select("low", "high"))
+    there = nodes.select(F.col("id").alias("low"), F.col("id").alias("high"))
+    both = there.unionByName(pairs).unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high")))
+    left = cut(both.join(nodes.select(F.col("id").alias("high"), "n", "weight"), "high"))
     chosen = []
     for cluster in range(k):
-        links = left_edges.groupBy(F.col("low").alias("id")).agg(F.count(F.lit(1)).alias("links"))
-        seats = left_nodes.join(links, "id", "left").select("id", F.coalesce("links", F.lit(0)).alias("links"))
-        best = seats.orderBy(F.desc("links"), F.asc("id")).first()
+        links = left.groupBy("low").agg(F.sum("weight").alias("links"))
+        best = links.orderBy(F.desc("links"), F.asc("low")).first()
         if best is None:
             break
-        around = left_edges.filter(F.col("low") == best["id"]).select(F.col("high").alias("id"))
-        inside = left_nodes.filter(F.col("id") == best["id"]).select("id").unionByName(around).distinct()
-        inside = cut(inside)
-        top = left_nodes.join(inside, "id", "left_semi").filter("n > 0").orderBy(F.desc("n"), F.asc("id")).first()
-        if top is not None:
-            chosen.append((cluster, top["id"]))
-        left_nodes = cut(left_nodes.join(inside, "id", "left_anti"))
-        gone = inside.withColumnRenamed("id", "low")
-        left_edges = left_edges.join(gone, "low", "left_anti")
-        left_edges = cut(left_edges.join(gone.withColumnRenamed("low", "high"), "high", "left_anti"))
+        inside = cut(left.filter(F.col("low") == best["low"]).select("high", "n"))
+        chosen.append((cluster, inside.orderBy(F.desc("n"), F.asc("high")).first()["high"]))
+        gone = inside.select("high")
+        left = left.join(gone, "high", "left_anti")
+        left = cut(left.join(gone.withColumnRenamed("high", "low"), "low", "left_anti"))
     kind = df.schema[id].dataType.simpleString()
     picked = df.sparkSession.createDataFrame(chosen, f"cluster int, {id} {kind}")
     return df.select(id, query).join(F.broadcast(picked), id).select("cluster", id, query)
@@ -171,6 +178,10 @@ def sequence_ratio(earlier: pd.Series, later: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(earlier, later)], dtype="float64")
 
 
+# evaluated once per pair, though it is both filtered on and kept
+sequence_ratio = sequence_ratio.asNondeterministic()
+
+
 def bigrams(c: Column) -> Column:
     """Bigrams numbered by occurrence; strings of two or three letters also carry their ends."""
     n = F.length(c)
@@ -186,12 +197,20 @@ def bigrams(c: Column) -> Column:
     return F.concat(numbered, ends)
 
 
+def letters(c: Column) -> Column:
+    """Letters numbered by occurrence: the size of an intersection bounds what two names share."""
+    each = F.split(c, "")
+    return F.transform(
+        each, lambda g, i: F.concat(g, F.size(F.filter(F.slice(each, 1, i + 1), lambda h: h == g)).cast("string"))
+    )
+
+
 def fuzzy_index(names: DataFrame, id: str, name: str) -> DataFrame:
-    """(id, name, l, n, ranked, tokens) for :func:`fuzzy_between`."""
+    """(id, name, l, n, ranked, tokens, bag) for :func:`fuzzy_between`."""
     rows = names.select(F.col(id).alias("id"), F.lower(name).alias("name"))
     sets = rows.select("id", "name", bigrams(F.col("name")).alias("tokens")).withColumn("n", F.size("tokens"))
     ranked = rare_first(sets.filter("n > 0").select("id", "tokens", "n"))
-    return ranked.join(rows, "id").withColumn("l", F.length("name"))
+    return ranked.join(rows, "id").withColumns({"l": F.length("name"), "bag": letters(F.col("name"))})
 
 
 def _fuzzy_postings(index: DataFrame, threshold: float) -> DataFrame:
@@ -216,11 +235,15 @@ def fuzzy_between(left: DataFrame, right: DataFrame, threshold: float = 0.8) ->
         & (F.col("b.l") >= F.col("a.l") * shortest - 1e-9)
     )
     pairs = a.join(b, fits).select(F.col("a.id").alias("low"), F.col("b.id").alias("high")).distinct()
-    x = left.select(F.col("id").alias("low"), F.col("name").alias("na"), F.col("tokens").alias("ta"), F.col("l").alias("la"))
-    y = right.select(F.col("id").alias("high"), F.col("name").alias("nb"), F.col("tokens").alias("tb"), F.col("l").alias("lb"))
+    x = left.select(F.col("id").alias("low"), F.col("name").alias("na"), F.col("tokens").alias("ta"), F.col("bag").alias("ba"), F.col("l").alias("la"))
+    y = right.select(F.col("id").alias("high"), F.col("name").alias("nb"), F.col("tokens").alias("tb"), F.col("bag").alias("bb"), F.col("l").alias("lb"))
     both = pairs.join(x, "low").join(y, "high")
     total = F.col("la") + F.col("lb")
+    both = both.filter(F.size(F.array_intersect("ba", "bb")) >= total * (threshold / 2) - 1e-9)
     both = both.filter(F.size(F.array_intersect("ta", "tb")) >= total * (1.5 * threshold - 1) - 1 - 1e-9)
+    # few pairs are left and each is costly, so they are dealt out evenly
+    even = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.select("low", "high", "na", "nb").repartition(even)
     scored = both.select("low", "high", sequence_ratio("na", "nb").alias("sim"))
     return scored.filter(F.col("sim") >= threshold)
 

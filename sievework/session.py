@@ -46,9 +46,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough_to_broadcast(df: DataFrame) -> bool:
-    """True when the optimizer's own size estimate is below its broadcast threshold."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    limit = int(limit.rstrip("b")) if limit.rstrip("b").lstrip("-").isdigit() else 10485760
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's own size estimate of a plan; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
+    """Deal a small input out to all cores before work that is heavy per row.
+
+    A small table is often one file with one row group, so one task would do everything.
+    Inputs from ``below`` bytes on keep the partitions of their scan: no shuffle is added.
+    """
+    if estimated_bytes(df) >= below:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
