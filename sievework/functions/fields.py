@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import rules
-from sievework.functions.text import BLANKS, contains_any, is_blank, strip
+from sievework.functions.text import contains_any, is_blank, let, strip
 
 
 def _drop_prefixes(c: Column, prefixes: list[str]) -> Column:
@@ -107,12 +107,13 @@ def social_media(c: Column) -> Column:
     names = [name for name, _ in rules.SOCIAL_PLATFORMS] + ["Other"]
     tagged = F.transform(urls, lambda u: F.struct(platform(u).alias("p"), u.alias("u")))
 
-    def last_of(name: str) -> Column:
-        return F.try_element_at(F.filter(tagged, lambda t: t["p"] == name), F.lit(-1))["u"]
+    def by_platform(pairs: Column) -> Column:
+        def last_of(name: str) -> Column:
+            return F.try_element_at(F.filter(pairs, lambda t: t["p"] == name), F.lit(-1))["u"]
 
-    last = [last_of(name) for name in names]
-    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*last))
-    return F.map_filter(pairs, lambda _, v: v.isNotNull())
+        return F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[last_of(n) for n in names]))
+
+    return F.map_filter(let(tagged, by_platform), lambda _, v: v.isNotNull())
 
 
 def competitors(c: Column) -> Column:

@@ -127,6 +127,11 @@ def split_paragraphs(c: Column, delimiter: str = r"(?U)\n\s*\n") -> Column:
     return F.filter(F.transform(F.split(c, delimiter), strip), lambda p: p != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, even where ``body`` loops over it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def count_matches(c: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a non-empty needle."""
     return ((F.length(c) - F.length(F.replace(c, needle, F.lit("")))) / F.length(needle)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.text import extract_keywords, normalize_query
+from sievework.functions.text import extract_keywords, let, normalize_query
 from sievework.operators.keys import first_per_key
 from sievework.operators.leaders import leaders_in_waves
 from sievework.operators.positions import with_position
@@ -182,15 +182,20 @@ def sequence_ratio(earlier: pd.Series, later: pd.Series) -> pd.Series:
 sequence_ratio = sequence_ratio.asNondeterministic()
 
 
+def _numbered(items: Column) -> Column:
+    """Each item with the number of times it has occurred so far."""
+    return F.transform(
+        items,
+        lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(items, 1, i + 1), lambda h: h == g)).cast("string")),
+    )
+
+
 def bigrams(c: Column) -> Column:
     """Bigrams numbered by occurrence; strings of two or three letters also carry their ends."""
     n = F.length(c)
     grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     grams = F.coalesce(grams, F.array().cast("array<string>"))
-    numbered = F.transform(
-        grams,
-        lambda g, i: F.concat(g, F.lit("#"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")),
-    )
+    numbered = let(grams, _numbered)
     ends = F.when(
         n.isin(2, 3), F.array(F.concat(F.lit("^"), F.left(c, F.lit(1)), F.right(c, F.lit(1))))
     ).otherwise(F.array().cast("array<string>"))
@@ -199,10 +204,7 @@ def bigrams(c: Column) -> Column:
 
 def letters(c: Column) -> Column:
     """Letters numbered by occurrence: the size of an intersection bounds what two names share."""
-    each = F.split(c, "")
-    return F.transform(
-        each, lambda g, i: F.concat(g, F.size(F.filter(F.slice(each, 1, i + 1), lambda h: h == g)).cast("string"))
-    )
+    return let(F.split(c, ""), _numbered)
 
 
 def fuzzy_index(names: DataFrame, id: str, name: str) -> DataFrame:

@@ -48,7 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's own size estimate of a plan; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
