@@ -17,7 +17,7 @@ _BLOCK = set(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr "
     "main nav ol p pre section table ul".split()
 )
-_SAME = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+_SAME = {"li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
          "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 _BARRIER = set("table ul ol dl div section article main body html select".split())
 _SILENT = {"script", "style", "template"}

@@ -1,4 +1,5 @@
-import pandas as pd
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from sievework import rules
@@ -38,8 +39,8 @@ def test_call_rate_counts_every_window(spark, tmp_path):
 
 
 def test_kv_tables_keep_the_last_write(spark, tmp_path):
-    root, ts = str(tmp_path), pd.Timestamp("2024-01-01")
-    rows = [("s", "a", "1", ts), ("s", "b", "2", ts), ("s", "a", "3", ts + pd.Timedelta(days=1))]
+    root, ts = str(tmp_path), datetime(2024, 1, 1)
+    rows = [("s", "a", "1", ts), ("s", "b", "2", ts), ("s", "a", "3", ts + timedelta(days=1))]
     schema = "session_id string, metric_name string, metric_value string, updated_at timestamp"
     tables.write_kv(spark, root, "metrics", spark.createDataFrame(rows, schema))
     tables.write_kv(spark, root, "metrics", spark.createDataFrame([("s", "b", "9", ts)], schema))
