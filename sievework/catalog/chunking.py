@@ -20,7 +20,47 @@ def c01(t):
     return t("documents").select("doc_id", F.posexplode(split_paragraphs(F.col("text"), "\n")).alias("pos", "paragraph"))
 
 
-@query("c02_chunk_text")
+# Packing as a fold over the paragraphs: the last entry of the list is the open chunk, its
+# paragraphs are joined by one control character, so its counted length can be read off it.
+_OPEN = "length(acc[-1]) + 3 * (length(acc[-1]) - length(replace(acc[-1], chr(1), '')) + 1) + 1"
+_ADD = "case when acc[-1] = '' then list_concat(acc[:-2], [x[1]]) else list_concat(acc[:-2], [concat(acc[-1], chr(1), x[1])]) end"
+
+
+def _fixed_sql(text: str, step: int) -> str:
+    return f"list_transform(range(0, length({text}), {step}), lambda o: substring({text}, o + 1, {step}))"
+
+
+def _sentences_sql(text: str, size: int) -> str:
+    """C04 as a fold; open chunks are joined by a space."""
+    return rf"""list_filter(list_reduce(list_transform(string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(2), 'g'), chr(2)), lambda s: [s]),
+      lambda acc, x: case when length(x[1]) > {size} then list_concat(acc, {_fixed_sql('x[1]', size)}, [''])
+        when acc[-1] = '' then list_concat(acc[:-2], [x[1]])
+        when length(acc[-1]) + 1 + length(x[1]) > {size} then list_append(acc, x[1])
+        else list_concat(acc[:-2], [concat(acc[-1], ' ', x[1])]) end, ['']), lambda z: z <> '')"""
+
+
+def _pack_sql(size: int, long: str, fresh: str = "x[1]") -> str:
+    """Chunks of column ``ps`` (paragraphs)."""
+    return f"""list_transform(list_filter(list_reduce(list_transform(ps, lambda s: [s]),
+      lambda acc, x: case when length(x[1]) > {size} then list_concat(acc, {long}, [''])
+        when acc[-1] <> '' and {_OPEN} + length(x[1]) > {size} then list_append(acc, {fresh})
+        else {_ADD} end, ['']), lambda z: z <> ''), lambda z: replace(z, chr(1), chr(10) || chr(10)))"""
+
+
+# the tail of the open chunk, newest paragraph first: [length so far, stop flag, joined tail]
+_TAIL = """list_reduce(list_transform(list_reverse(string_split(acc[-1], chr(1))), lambda p: ['', '', p]),
+    lambda t, p: case when t[2] = 'x' then t
+      when cast(t[1] as int) + length(p[3]) > 300 and t[3] <> '' and cast(t[1] as int) + length(p[3]) > 600 then [t[1], 'x', t[3]]
+      else [cast(cast(t[1] as int) + length(p[3]) + 4 as varchar), case when cast(t[1] as int) + length(p[3]) + 4 >= 300 then 'x' else '' end,
+        case when t[3] = '' then p[3] else concat(p[3], chr(1), t[3]) end] end, ['0', '', ''])[3]"""
+
+
+@query(
+    "c02_chunk_text",
+    f"""with p as (select doc_id, text, {_PARAS} as ps from documents),
+    c as (select doc_id, case when len(ps) = 0 then [] when length(text) <= 2000 then [text] else {_pack_sql(2000, _sentences_sql('x[1]', 2000), f"concat({_TAIL}, chr(1), x[1])")} end as l from p)
+    select doc_id, len(l) as total_chunks, unnest(l) as chunk, generate_subscripts(l, 1) - 1 as chunk_index from c""",
+)
 def c02(t):
     return chunks.chunk_text(t("documents", True), "doc_id", "text", 2000, 300, "\n")
 
@@ -33,7 +73,10 @@ def c03(t):
     return t("documents").select("doc_id", F.posexplode(chunks.cut_fixed(F.col("text"), 900)).alias("pos", "piece"))
 
 
-@query("c04_split_sentences_pack")
+@query(
+    "c04_split_sentences_pack",
+    f"with c as (select doc_id, {_sentences_sql('text', 400)} as l from documents) select doc_id, unnest(l) as piece, generate_subscripts(l, 1) - 1 as pos from c",
+)
 def c04(t):
     packed = chunks.split_sentences_pack(F.col("text"), 400)
     return t("documents", True).select("doc_id", F.posexplode(packed).alias("pos", "piece"))
@@ -79,13 +122,22 @@ def c06(t):
     return _flat(chunks.chunk_batch(turns, "conv_id", "turn", "text", 1500, "\n"), "conv_id")
 
 
-@query("c06_chunk_batch_large_groups")
+@query(
+    "c06_chunk_batch_large_groups",
+    f"""with c as (select source, doc_id as part, concat('https://example.org/', lang, '/', doc_id % 3, ' ', lang) as sources,
+      {_pack_sql(2000, _fixed_sql('x[1]', 1900))} as l from (select *, {_PARAS} as ps from documents))
+    select source, part, sources, len(l) as total_chunks, unnest(l) as chunk, generate_subscripts(l, 1) - 1 as chunk_index from c""",
+)
 def c06_large(t):
     """Documents by source: every group is far above the gathering limit."""
     return _flat(chunks.chunk_batch(_sourced(t), "source", "doc_id", "text", 2000, "\n"), "source")
 
 
-@query("c07_chunk_each")
+@query(
+    "c07_chunk_each",
+    f"""with c as (select doc_id, {_pack_sql(2000, _fixed_sql('x[1]', 1900))} as l from (select doc_id, {_PARAS} as ps from documents))
+    select doc_id, len(l) as total_chunks, unnest(l) as chunk, generate_subscripts(l, 1) - 1 as chunk_index from c""",
+)
 def c07(t):
     return chunks.chunk_each(t("documents", True).select("doc_id", "text"), "doc_id", "text", 2000, "\n")
 

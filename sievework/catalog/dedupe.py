@@ -28,6 +28,23 @@ def j09(t):
 KEYWORD_SETS = f"""(select doc_id as id, list_sort(list_distinct([x for x in string_split({NORMAL}, ' ') if length(x) > 2 and x not in {sql_in(rules.QUERY_STOPWORDS)}])) as k from documents)"""
 
 
+def greedy_sql(edges: str, nodes: str) -> str:
+    """CTE ``kept``: ids a pass in order keeps, from ``edges(low, high)`` and ``nodes(id)``."""
+    return f"""lows as (select n.id, list(e.low) filter (e.low is not null) as l from {nodes} n left join {edges} e on e.high = n.id group by 1),
+    steps as (select list(list_prepend(id, coalesce(l, [])) order by id) as s from lows),
+    kept as (select unnest(list_reduce(s, lambda acc, x: case when len(list_intersect(acc, x[2:])) > 0 then acc else list_append(acc, x[1]) end)) as id from
+      (select list_prepend([s[1][1]], s[2:]) as s from steps))"""
+
+
+def jaccard_sql(sets: str, threshold: float) -> str:
+    """CTEs ``reps(id, n)`` and ``edges(low, high)`` over the distinct sets of ``sets(id, k)``."""
+    return f"""reps as (select min(id) as id, k, len(k) as n from {sets} where len(k) > 0 group by k),
+    words as (select id, n, unnest(k) as w from reps),
+    shared as (select a.id as low, b.id as high, a.n as na, b.n as nb, count(*) as c from words a join words b on a.w = b.w and a.id < b.id
+      and a.n > {threshold} * b.n and b.n > {threshold} * a.n group by 1, 2, 3, 4),
+    edges as (select low, high from shared where c / (na + nb - c) > {threshold})"""
+
+
 def _sets(t):
     return sim.keyword_sets(t("documents", True), "doc_id", extract_keywords(F.col("text")))
 
@@ -56,11 +73,11 @@ def j10_copies(t):
 @query(
     "j11_embedding_edges",
     """with v as (select min(vec_id) as id, embedding::double[] as v from embeddings group by embedding)
-    select a.id as low, b.id as high, round(list_inner_product(a.v, b.v), 6) as sim from v a join v b on a.id < b.id where list_inner_product(a.v, b.v) > 0.5""",
+    select a.id as low, b.id as high, round(list_inner_product(a.v, b.v), 6) as sim from v a join v b on a.id < b.id where list_inner_product(a.v, b.v) > 0.35""",
 )
 def j11(t):
     vectors = sim.distinct_vectors(t("embeddings"), "vec_id", "embedding")
-    return sim.embedding_between(vectors, vectors, 0.5, block=256).withColumn("sim", F.round("sim", 6))
+    return sim.embedding_between(vectors, vectors, 0.35, block=256).withColumn("sim", F.round("sim", 6))
 
 
 @query("d01_group_names")
@@ -88,14 +105,23 @@ def d03(t):
     return leaders.greedy_leader_groups(orders, edges)
 
 
-@query("d04_dedupe_jaccard")
+@query(
+    "d04_dedupe_jaccard",
+    f"""with {jaccard_sql(KEYWORD_SETS, 0.85)}, {greedy_sql('edges', 'reps')}
+    select id as doc_id from kept union all select id from {KEYWORD_SETS} where len(k) = 0""",
+)
 def d04(t):
     return sim.dedupe_jaccard(t("documents", True), "doc_id", "text", 0.85)
 
 
-@query("d05_dedupe_embedding")
+@query(
+    "d05_dedupe_embedding",
+    f"""with v as (select min(vec_id) as id, embedding::double[] as v from embeddings group by embedding),
+    edges as (select a.id as low, b.id as high from v a join v b on a.id < b.id where list_inner_product(a.v, b.v) > 0.35), {greedy_sql('edges', 'v')}
+    select id as vec_id from kept""",
+)
 def d05(t):
-    return sim.dedupe_embedding(t("embeddings"), "vec_id", "embedding", 0.5)
+    return sim.dedupe_embedding(t("embeddings"), "vec_id", "embedding", 0.35)
 
 
 @query("d06_cluster_simple")
@@ -122,6 +148,15 @@ def d09(t):
     return names.dedupe_basic(rows, "c_custkey", "name").select("c_custkey", "c_acctbal")
 
 
-@query("d10_dedupe_queries")
+_QUERIES = f"(select id, name, {NORMAL.replace('text', 'name')} as q from (select concat(p_name, ' ', p_brand) as name, min(p_partkey) as id from part group by 1))"
+_QUERY_SETS = f"""(select min(id) as id, arg_min(list_sort(list_distinct([x for x in string_split(q, ' ') if length(x) > 2 and x not in {sql_in(rules.QUERY_STOPWORDS)}])), id) as k
+  from {_QUERIES} group by q)"""
+
+
+@query(
+    "d10_dedupe_queries",
+    f"""with {jaccard_sql(_QUERY_SETS, 0.85)}, {greedy_sql('edges', 'reps')}
+    select q.id, q.name from {_QUERIES} q where id in (select id from kept) or id in (select id from {_QUERY_SETS} where len(k) = 0)""",
+)
 def d10(t):
     return sim.dedupe_queries(_part_names(t), "id", "name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.catalog.base import query
-from sievework.catalog.fields import named
+from sievework.catalog.fields import F01_SQL, named
 from sievework.catalog.sources import scratch
 from sievework.operators import model as m
 from sievework.operators import names
@@ -185,7 +185,14 @@ def p08(t):
     return flows.search_and_extract(hits, t("pages").select("url", "html"), 3).fillna("")
 
 
-@query("p09_rank_and_export")
+_RANKED = f"""(select c_custkey, {F01_SQL} as company_name, 'Not available' as founded_year, c_mktsegment as location, 'Not available' as website from customer)"""
+
+
+@query(
+    "p09_rank_and_export",
+    f"""with c as (select *, 0.6 * len(list_intersect(['customer', 'building', 'machinery'], list_distinct(regexp_extract_all(lower(concat_ws(' ', company_name, founded_year, location, website)), '[a-z0-9_]+')))) / 3.0 + 0.4 * 4 / 8.0 as s
+      from {_RANKED}) select c_custkey, company_name, founded_year, location, website, round(s, 6) as confidence from c where s >= 0.2""",
+)
 def p09(t):
     rows = named(t).select("c_custkey", F.col("name").alias("company_name"), F.concat(F.lit("Based in "), "c_mktsegment").alias("location"))
     out = flows.rank_and_export(rows, "customer building machinery", ["Company Name", "Founded Year", "Location", "Website"], "c_custkey", 0.2)

