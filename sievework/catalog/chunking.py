@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework.catalog.base import query
-from sievework.functions.text import split_paragraphs
+from sievework.functions.text import split_paragraphs, unnest
 from sievework.operators import chunks
 from sievework.plans.flows import clean_and_chunk
 
@@ -17,7 +17,7 @@ _PARAS = "list_filter([trim(y) for y in string_split(text, chr(10))], lambda z:
     f"select doc_id, unnest(l) as paragraph, cast(generate_subscripts(l, 1) - 1 as int) as pos from (select doc_id, {_PARAS} as l from documents)",
 )
 def c01(t):
-    return t("documents").select("doc_id", F.posexplode(split_paragraphs(F.col("text"), "\n")).alias("pos", "paragraph"))
+    return unnest(t("documents"), ["doc_id"], split_paragraphs(F.col("text"), "\n"), "paragraph", "pos")
 
 
 # Packing as a fold over the paragraphs: the last entry of the list is the open chunk, its
@@ -79,7 +79,7 @@ def c03(t):
 )
 def c04(t):
     packed = chunks.split_sentences_pack(F.col("text"), 400)
-    return t("documents", True).select("doc_id", F.posexplode(packed).alias("pos", "piece"))
+    return unnest(t("documents", True), ["doc_id"], packed, "piece", "pos")
 
 
 @query(

@@ -58,7 +58,7 @@ def _sets(t):
 )
 def j10(t):
     """Over distinct keyword sets; copies of a text stand behind their lowest id."""
-    reps = cut(sim.distinct_sets(_sets(t).filter("n > 0")))
+    reps = cut(sim.distinct_sets(_sets(t)))
     return sim.jaccard_edges(reps, 0.85).withColumn("sim", F.round("sim", 6))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import rules
@@ -111,6 +111,12 @@ def extract_keywords(c: Column) -> Column:
     )
 
 
+def has_keyword(c: Column) -> Column:
+    """Whether T15 finds any keyword; stops at the first one."""
+    stop = "|".join(rules.QUERY_STOPWORDS)
+    return F.lower(c).rlike(rf"(?U)(?<!\w)(?!(?:{stop})(?!\w))\w{{3,}}")
+
+
 def extract_terms(c: Column) -> Column:
     """Word tokens without stop words and single characters."""
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w+\b"), F.lit(0))
@@ -132,6 +138,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, keep: list[str | Column], items: Column, value: str, pos: str = "_pos") -> DataFrame:
+    """One row per item of an array, with its place.
+
+    The outer form with a check of the place afterwards: the plain form makes the optimizer
+    add "size > 0 and not null" filters that work out an expensive ``items`` again.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(pos, value)).filter(F.col(pos).isNotNull())
+    return rows.drop(pos) if pos == "_pos" else rows
+
+
 def count_matches(c: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a non-empty needle."""
     return ((F.length(c) - F.length(F.replace(c, needle, F.lit("")))) / F.length(needle)).cast("int")

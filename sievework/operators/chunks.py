@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import is_blank, split_paragraphs
+from sievework.functions.text import is_blank, split_paragraphs, unnest
 from sievework.operators.positions import with_neighbours
 
 STRINGS = "array<string>"
@@ -133,7 +133,7 @@ def chunk_text(
     packed = pack(split_paragraphs(body, delimiter), size, overlap, by_sentence=True)
     chunks = F.when(is_blank(body), _no_strings()).when(F.length(body) <= size, F.array(body)).otherwise(packed)
     rows = df.select(doc, chunks.alias("_chunks"))
-    return rows.select(doc, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "chunk"))
+    return unnest(rows, [doc, F.size("_chunks").alias("total_chunks")], F.col("_chunks"), "chunk", "chunk_index")
 
 
 def chunk_each(
@@ -147,11 +147,8 @@ def chunk_each(
     if max_paragraphs:
         parts = F.slice(parts, 1, max_paragraphs)
     rows = df.withColumn("_chunks", pack(parts, size))
-    return rows.select(
-        *[c for c in df.columns if c != text],
-        F.size("_chunks").alias("total_chunks"),
-        F.posexplode("_chunks").alias("chunk_index", "chunk"),
-    )
+    keep = [c for c in df.columns if c != text]
+    return unnest(rows, [*keep, F.size("_chunks").alias("total_chunks")], F.col("_chunks"), "chunk", "chunk_index")
 
 
 def _with_source(sources: Column, source: Column) -> Column:
@@ -270,9 +267,8 @@ def chunk_batch(
     chunks = F.when(F.col("_chars") + (F.col("_texts") - 1) * 6 <= size, single).otherwise(
         _pack_group(F.col("m"), size, delimiter)
     )
-    together = gathered.select("_g", chunks.alias("c")).select(
-        "_g", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "e")
-    )
+    together = gathered.select("_g", chunks.alias("c"))
+    together = unnest(together, ["_g", F.size("c").alias("total_chunks")], F.col("c"), "e", "chunk_index")
     together = together.select(
         "_g",
         F.lit(None).cast("long").alias("part"),

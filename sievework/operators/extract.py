@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from sievework import rules
 from sievework.functions import markup, urls
 from sievework.functions.text import clean_text, contains_any, count_matches, remove_emails, remove_urls, strip, truncate_text
-from sievework.functions.text import clean_pdf_text, unescape
+from sievework.functions.text import clean_pdf_text, unescape, unnest
 
 
 def _add(df: DataFrame, fn, inputs: list[str], out: str, kind: T.DataType) -> DataFrame:
@@ -221,5 +221,5 @@ def keyword_relevance(mentions: DataFrame, name: str, context: str, query: str,
     )
     too_long = F.array(F.struct(F.lit("relevant").alias("keyword"), F.lit(0.5).cast("double").alias("score")))
     rows = mentions.filter(is_likely_name(F.col(name)) & (F.col(context) != ""))
-    rows = rows.select(*keep, name, F.explode(F.when(F.length(context) > 10000, too_long).otherwise(scored)).alias("k"))
+    rows = unnest(rows, [*keep, name], F.when(F.length(context) > 10000, too_long).otherwise(scored), "k")
     return rows.select(*keep, name, "k.keyword", "k.score")

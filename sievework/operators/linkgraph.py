@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework import rules
 from sievework.functions import urls
-from sievework.functions.text import contains_any, unescape
+from sievework.functions.text import contains_any, unescape, unnest
 from sievework.operators.keys import first_per_key
 from sievework.operators.positions import with_position
 from sievework.session import cut
@@ -28,7 +28,7 @@ def extract_links(pages: DataFrame, page: str, url: str = "url", html: str = "ht
     hrefs = F.transform(raw, lambda h: unescape(F.regexp_replace(h, "^[\"']|[\"']$", "")))
     usable = F.filter(hrefs, lambda h: (h != "") & ~h.startswith("javascript:") & (h != "#"))
     links = F.array_distinct(F.transform(usable, lambda h: urls.normalize_url(urls.resolve_link(F.col(url), h))))
-    return pages.select(page, F.posexplode(links).alias("pos", "link"))
+    return unnest(pages, [page], links, "link", "pos")
 
 
 def bounded_crawl(

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from sievework import rules
 from sievework.functions import fields as fld
 from sievework.functions.parsing import parse_model_json, parse_name_list, parse_query_expansions
-from sievework.functions.text import is_blank, truncate_text
+from sievework.functions.text import is_blank, truncate_text, unnest
 from sievework.operators.joins import overlay_by_index
 from sievework.operators.keys import batch_ids, limit_per_key
 from sievework.operators.names import dedupe_basic, pick_representative
@@ -70,14 +70,14 @@ def expand_queries(df: DataFrame, id: str, query: str, n: int, model: Model) ->
     """(id, pos, query): the original, then at most n new ones."""
     answered = ask(df.select(id, query), _prompt("expand", count=F.lit(n), query=F.col(query)), model)
     queries = parse_query_expansions(F.col(query), F.coalesce("answer", F.lit("")), n)
-    return answered.select(id, F.posexplode(queries).alias("pos", query))
+    return unnest(answered, [id], queries, query, "pos")
 
 
 def extract_names(df: DataFrame, keep: list[str], text: Column, query: Column, model: Model) -> DataFrame:
     """(keep, name), one row per name in answer order."""
     prompt = _prompt("extract", query=query, text=text)
     answered = ask(df, prompt, model)
-    return answered.select(*keep, F.posexplode(parse_name_list(F.col("answer"))).alias("name_pos", "name"))
+    return unnest(answered, keep, parse_name_list(F.col("answer")), "name", "name_pos")
 
 
 def _subset(df: DataFrame, keep: list[str], names: str, prompt: Column, model: Model) -> DataFrame:
@@ -86,7 +86,7 @@ def _subset(df: DataFrame, keep: list[str], names: str, prompt: Column, model: M
     allowed = F.coalesce(parse_name_list(F.col("answer")), F.array().cast("array<string>"))
     lowered = F.transform(allowed, F.lower)
     kept = F.filter(F.col(names), lambda n: F.array_contains(lowered, F.lower(n)))
-    return answered.select(*keep, F.posexplode(kept).alias("name_pos", "name"))
+    return unnest(answered, keep, kept, "name", "name_pos")
 
 
 def validate_names(df: DataFrame, keep: list[str], names: str, url: str, model: Model) -> DataFrame:

@@ -34,7 +34,10 @@ def _number(df: DataFrame, order: str) -> Column:
 
 
 def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Cut ``order`` at its own quantiles; only the cut points reach the driver. NULLs come last."""
+    """Cut ``order`` at its own quantiles; only the cut points reach the driver.
+
+    NULLs have a bucket of their own after all others.
+    """
     if buckets is None:
         buckets = min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probes = [i / buckets for i in range(1, buckets)]
@@ -46,9 +49,9 @@ def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: st
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cutter = Bucketizer(splits=splits, inputCol="_number", outputCol="_cut", handleInvalid="keep")
-    return cutter.transform(df.withColumn("_number", number)).withColumn(out, F.col("_cut").cast("int")).drop(
-        "_number", "_cut"
-    )
+    return cutter.transform(df.withColumn("_number", number)).withColumn(
+        out, F.coalesce(F.col("_cut").cast("int"), F.lit(len(splits)))
+    ).drop("_number", "_cut")
 
 
 def with_position(

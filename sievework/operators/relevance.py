@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import rules
-from sievework.functions.text import extract_terms, is_blank, split_paragraphs
+from sievework.functions.text import extract_terms, is_blank, split_paragraphs, unnest
 from sievework.operators.keys import limit_per_key
 
 
@@ -66,6 +66,6 @@ def top_paragraphs(
     df: DataFrame, doc: str, text: str, query: str, k: int = 10, delimiter: str = r"(?U)\n\s*\n"
 ) -> DataFrame:
     """The k best paragraphs of each document by hits per 100 characters."""
-    rows = df.select(doc, F.posexplode(split_paragraphs(F.col(text), delimiter)).alias("pos", "paragraph"))
+    rows = unnest(df, [doc], split_paragraphs(F.col(text), delimiter), "paragraph", "pos")
     rows = rows.withColumn("score", word_hits(F.col("paragraph"), query) / (F.length("paragraph") / 100.0))
     return limit_per_key(rows, [doc], [F.desc("score"), F.asc("pos")], k)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.text import extract_keywords, let, normalize_query
+from sievework.functions.text import extract_keywords, has_keyword, let, normalize_query, unnest
 from sievework.operators.keys import first_per_key
 from sievework.operators.leaders import leaders_in_waves
 from sievework.operators.positions import with_position
@@ -28,14 +28,15 @@ def keyword_sets(df: DataFrame, id: str, tokens: Column) -> DataFrame:
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row per distinct set, under its lowest id.
+    """One row per distinct non-empty set, under its lowest id.
 
     Copies are grouped by digest with map-side combining, so any number of copies of one
     text costs one row afterwards.
     """
     keyed = sets.withColumn("_d", F.md5(F.array_join("tokens", "\u0001")))
     reps = keyed.groupBy("_d").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
-    return reps.select("id", "tokens", "n")
+    # after the aggregate, so that the check does not make the tokens be worked out twice
+    return reps.select("id", "tokens", "n").filter("n > 0")
 
 
 def copies_of(sets: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def copies_of(sets: DataFrame) -> DataFrame:
 
 def rare_first(sets: DataFrame) -> DataFrame:
     """Tokens of each set as (frequency, token), rarest first."""
-    rows = sets.select("id", F.explode("tokens").alias("token"))
+    rows = unnest(sets, ["id"], F.col("tokens"), "token")
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     ordered = rows.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("r"))
     return sets.join(ordered, "id").select("id", "n", "tokens", F.transform("r", lambda x: x["token"]).alias("ranked"))
@@ -57,7 +58,7 @@ def jaccard_postings(ranked: DataFrame, threshold: float) -> DataFrame:
     """Prefix of each set: two sets above the threshold share a token of their prefixes."""
     keep = F.col("n") - F.floor(F.col("n") * threshold - 1e-9).cast("int")
     prefix = F.slice("ranked", 1, F.least(keep, F.col("n")))
-    return ranked.select("id", "n", F.posexplode(prefix).alias("p", "token"))
+    return unnest(ranked, ["id", "n"], prefix, "token", "p")
 
 
 def _postings_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -97,10 +98,10 @@ def jaccard_edges(sets: DataFrame, threshold: float) -> DataFrame:
 def dedupe_jaccard(df: DataFrame, id: str, text: str, threshold: float = 0.85, waves: int | None = None) -> DataFrame:
     """Ids that are kept; copies of one text fall to its lowest id first."""
     sets = keyword_sets(df, id, extract_keywords(F.col(text)))
-    reps = distinct_sets(sets.filter("n > 0"))
+    reps = distinct_sets(sets)
     ranked = cut(rare_first(reps))
     kept = leaders_in_waves(ranked, lambda a, b: jaccard_between(a, b, threshold), waves).select("id")
-    empty = sets.filter("n = 0").select("id")
+    empty = df.select(F.col(id).alias("id")).filter(~has_keyword(F.col(text)))
     return kept.unionByName(empty).withColumnRenamed("id", id)
 
 
@@ -112,13 +113,13 @@ def dedupe_queries(df: DataFrame, id: str, query: str, threshold: float = 0.85)
 
 def cluster_simple(df: DataFrame, id: str, query: str, k: int = 5, threshold: float = 0.3) -> DataFrame:
     """(cluster, id, query) of the representatives of at most ``k`` clusters."""
-    sets = keyword_sets(df, id, extract_keywords(F.col(query))).filter("n > 0")
+    sets = keyword_sets(df, id, extract_keywords(F.col(query)))
     keyed = sets.withColumn("_d", F.md5(F.array_join("tokens", "\u0001")))
     # copies of one keyword set always move together: one node with their number as weight
     nodes = cut(
         keyed.groupBy("_d").agg(
             F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")
-        )
+        ).filter("n > 0")
     )
     pairs = cut(jaccard_edges(nodes.select("id", "tokens", "n"), threshold).select("low", "high"))
     there = nodes.select(F.col("id").alias("low"), F.col("id").alias("high"))
@@ -221,7 +222,7 @@ def _fuzzy_postings(index: DataFrame, threshold: float) -> DataFrame:
     needed = F.col("l") * (1.5 * threshold - 1) * (1 + threshold / (2 - threshold)) - 1
     needed = F.greatest(F.lit(1), F.ceil(needed - 1e-9)).cast("int")
     keep = F.when(F.col("l") <= 3, F.col("n")).otherwise(F.greatest(F.lit(1), F.col("n") - needed + 1))
-    return index.select("id", "l", F.explode(F.slice("ranked", 1, keep)).alias("token"))
+    return unnest(index, ["id", "l"], F.slice("ranked", 1, keep), "token")
 
 
 def fuzzy_between(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:

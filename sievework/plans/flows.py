@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework import rules
 from sievework.functions import urls
 from sievework.functions.fields import standardize_companies
-from sievework.functions.text import is_blank, meta_description, page_title, page_title_name
+from sievework.functions.text import is_blank, meta_description, page_title, page_title_name, unnest
 from sievework.operators import chunks, extract, joins, linkgraph, model as m, names, relevance, reports
 from sievework.operators.keys import first_per_key, limit_per_key, limit_per_query
 from sievework.operators.model import Model
@@ -44,7 +44,7 @@ def discover(queries: DataFrame, hits: DataFrame, pages: DataFrame, model: Model
     keep = ["query_id", "rank", "url", "url_norm", "title", "query"]
     if model is None:
         orgs = extract.filter_common_orgs(extract.extract_orgs(F.col("text")))
-        named = known.select(*keep, F.posexplode(orgs).alias("name_pos", "name"))
+        named = unnest(known, keep, orgs, "name", "name_pos")
     else:
         named = m.extract_names(known, keep, F.col("text"), F.col("query"), model)
     named = cut(named.filter(extract.is_likely_name(F.col("name"))))

@@ -88,3 +88,10 @@ def test_mention_context(spark):
     context = rows[0]["context"]
     assert context.startswith("a" * 250 + " **Acme** makes") and context.endswith("b") and "x" not in context
     assert len(context) == 251 + 8 + (200 + 100)
+
+
+def test_has_keyword_agrees_with_the_list(spark):
+    texts = ["", "a of the", "ab cd", "the_x", "these and THOSE!", "about abouts", "x-ray", "naïve", "in into, 123", "12 of", "é è à", "thé the"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", tx.has_keyword(F.col("t")).alias("a"), (F.size(tx.extract_keywords(F.col("t"))) > 0).alias("b")).collect()
+    assert [(r["t"], r["a"]) for r in rows] == [(r["t"], r["b"]) for r in rows]

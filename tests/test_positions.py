@@ -36,6 +36,12 @@ def test_global_positions_and_batches(spark):
     assert sizes == [64] * 7 + [52]
 
 
+def test_rows_without_order_are_kept_and_come_last(spark):
+    df = spark.createDataFrame([(None, 1), (5, 2), (3, 3), (None, 4)], "t int, i int")
+    rows = {r["i"]: r["pos"] for r in with_position(df, "t", ties=["i"]).collect()}
+    assert rows == {3: 1, 2: 2, 1: 3, 4: 4}
+
+
 def test_string_order_and_empty(spark):
     words = ["pear", "apple", "äpfel", "Zebra", "apple pie", "", "applf"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
