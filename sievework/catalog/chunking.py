@@ -70,7 +70,7 @@ _CUT = "select doc_id, cast(i as int) as pos, substring(text, i * 900 + 1, 900)
 
 @query("c03_split_fixed", _CUT)
 def c03(t):
-    return t("documents").select("doc_id", F.posexplode(chunks.cut_fixed(F.col("text"), 900)).alias("pos", "piece"))
+    return t("documents", True).select("doc_id", F.posexplode(chunks.cut_fixed(F.col("text"), 900)).alias("pos", "piece"))
 
 
 @query(
@@ -153,7 +153,7 @@ def c08(t):
     f"select count(*) as chunks, round(avg(length(piece)), 6) as avg_size, min(length(piece)) as min_size, max(length(piece)) as max_size from ({_CUT})",
 )
 def c09(t):
-    pieces = t("documents").select(F.explode(chunks.cut_fixed(F.col("text"), 900)).alias("chunk"))
+    pieces = t("documents", True).select(F.explode(chunks.cut_fixed(F.col("text"), 900)).alias("chunk"))
     return chunks.chunk_stats(pieces).withColumn("avg_size", F.round("avg_size", 6))
 
 
@@ -166,7 +166,7 @@ def c09(t):
       contains(head, '---') as has_separator from p""",
 )
 def c10(t):
-    pieces = t("documents").select("doc_id", F.posexplode(chunks.cut_fixed(F.col("text"), 300)).alias("chunk_index", "chunk"))
+    pieces = t("documents", True).select("doc_id", F.posexplode(chunks.cut_fixed(F.col("text"), 300)).alias("chunk_index", "chunk"))
     return chunks.chunk_overlap_check(pieces, "doc_id")
 
 
