@@ -15,7 +15,8 @@ from sievework.operators import joins
 @query(
     "j01_hits_with_pages",
     f"""with {norm_cte()}, n as (select page_id, url_norm from norm)
-    select h.page_id % 9 as query_id, h.page_id as rank, h.url_norm, p.page_id from n h join n p using (url_norm)""",
+    select h.page_id % 9 as query_id, h.page_id as rank, h.url_norm, p.page_id from n h
+    join (select url_norm, min(page_id) as page_id from n group by 1) p using (url_norm)""",
 )
 def j01(t):
     """Hits carry upper-case hosts and a tracking parameter; they still find their page."""
@@ -24,7 +25,7 @@ def j01(t):
         F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("?gclid=7#x"))
     )
     hits = pages.select((F.col("page_id") % 9).alias("query_id"), F.col("page_id").alias("rank"), marked.alias("url"))
-    return joins.hits_with_pages(hits, pages).select("query_id", "rank", "url_norm", "page_id")
+    return joins.hits_with_pages(hits, pages, order="page_id").select("query_id", "rank", "url_norm", "page_id")
 
 
 @query(

@@ -18,10 +18,17 @@ def trimmed_key(name: Column) -> Column:
     return F.lower(strip(name))
 
 
-def hits_with_pages(hits: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Inner join on the normalised URL; the page side keeps one row per URL."""
+def hits_with_pages(hits: DataFrame, pages: DataFrame, url: str = "url", order: str | Column | None = None) -> DataFrame:
+    """Inner join on the normalised URL.
+
+    The page side keeps the first row per URL by ``order`` (by default the smallest raw URL
+    and page), so that many copies of one page never multiply with its hits.
+    """
     left = hits.withColumn("url_norm", urls.normalize_url(F.col(url)))
-    right = pages.withColumn("url_norm", urls.normalize_url(F.col("url"))).drop("url")
+    right = pages.withColumn("url_norm", urls.normalize_url(F.col("url")))
+    if order is None:
+        order = F.struct("url", F.xxhash64(*[c for c in pages.columns if c != "url"]))
+    right = first_per_key(right, ["url_norm"], order).drop("url")
     return left.join(right, "url_norm")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework import rules
 from sievework.functions import urls
 from sievework.functions.text import contains_any, unescape, unnest
-from sievework.operators.keys import first_per_key
+from sievework.operators.keys import first_per_key, limit_per_key
 from sievework.operators.positions import with_position
 from sievework.session import cut
 
@@ -41,17 +41,20 @@ def bounded_crawl(
     ``max_pages`` rows, so no frontier grows beyond that; ``fetched(url)`` limits the result
     to pages that exist.
     """
+    useful = links.groupBy("src", "link").agg(F.min("pos").alias("pos"))
+    if same_host:
+        # every page of a seed's frontier is on the seed's host
+        useful = useful.filter(urls.host(F.col("link")) == urls.host(F.col("src")))
+    if fetched is not None:
+        useful = useful.join(fetched.select(F.col("url").alias("link")), "link", "left_semi")
+    # a seed has at most max_pages URLs behind it, so of one page no more than the first
+    # 2 * max_pages links can ever matter: hubs do not fan out
+    useful = cut(limit_per_key(useful, ["src"], ["pos", "link"], 2 * max_pages).drop("rn"))
     visited = cut(seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place")))
     frontier = visited
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["url"] == links["src"])
-        found = step.select(
-            "seed", F.col("link").alias("url"), F.struct(F.col("place"), F.col("pos")).alias("_at")
-        )
-        if same_host:
-            found = found.filter(urls.host(F.col("url")) == urls.host(F.col("seed")))
-        if fetched is not None:
-            found = found.join(fetched.select("url"), "url", "left_semi")
+        step = frontier.join(useful, frontier["url"] == useful["src"])
+        found = step.select("seed", F.col("link").alias("url"), F.struct("place", "pos").alias("_at"))
         found = found.groupBy("seed", "url").agg(F.min("_at").alias("_at"))
         found = found.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
         done = visited.groupBy("seed").agg(F.max("place").alias("_done"))

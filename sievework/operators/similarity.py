@@ -284,7 +284,7 @@ def embedding_cells(vectors: DataFrame, pivots: int = 16) -> tuple[DataFrame, in
     return marked, len(points)
 
 
-def embedding_between(left: DataFrame, right: DataFrame, threshold: float = 0.85, block: int = 2048, pivots: int = 16) -> DataFrame:
+def embedding_between(left: DataFrame, right: DataFrame, threshold: float = 0.85, block: int = 2048, pivots: int | None = None) -> DataFrame:
     """Edges (low, high, sim) with inner product above ``threshold``; exact.
 
     Vectors lie in blocks of near distance to one pivot. By the triangle inequality two
@@ -295,6 +295,8 @@ def embedding_between(left: DataFrame, right: DataFrame, threshold: float = 0.85
     union = left.select("id", "v", F.lit(True).alias("l"), F.lit(same).alias("r"))
     if not same:
         union = union.unionByName(right.select("id", "v", F.lit(False).alias("l"), F.lit(True).alias("r")))
+    if pivots is None:
+        pivots = 16 if union.count() < 100_000 else 64
     marked, k = embedding_cells(union.select("id", "v"), pivots)
     marked = cut(marked.join(union.select("id", "l", "r"), "id"))
     if k == 0:

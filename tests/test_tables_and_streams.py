@@ -105,3 +105,34 @@ def test_merge_facts_takes_the_first_filled_source(spark):
     df = spark.createDataFrame(rows, "company string, field string, value string, priority int")
     got = {r["company"]: r["location"] for r in joins.merge_facts(df, ["Location"]).collect()}
     assert got == {"a": "Rome", "b": None}
+
+
+def test_json_export_is_one_object_per_company(spark, tmp_path):
+    import json
+
+    rows = [("A", "1990", "Oslo", "x", 1), ("A", "1991", None, "y", 2), ("B", None, "Rome", None, 3)]
+    df = spark.createDataFrame(rows, "`Company Name` string, `Founded Year` string, Location string, `Team Size` string, pos int")
+    path = str(tmp_path / "json")
+    files.export_companies_json(df.withColumn("confidence", F.lit(0.5)), "pos", path)
+    got = {}
+    for r in spark.read.text(path).collect():
+        got |= json.loads(r[0])
+    assert got == {
+        "A": {"basic_info": {"founded_year": "1991"}, "detailed_info": {"team_size": "y"}, "meta": {"confidence": "0.5"}},
+        "B": {"basic_info": {"location": "Rome"}, "detailed_info": {}, "meta": {"confidence": "0.5"}},
+    }
+
+
+def test_checkpoints_are_found_by_folder(spark, tmp_path):
+    df = spark.createDataFrame([("A",), ("B",)], "`Company Name` string")
+    old = files.write_checkpoint(df, str(tmp_path / "run"), "discovery", stamp="20240101_000000")
+    new = files.write_checkpoint(df, str(tmp_path / "run"), "discovery", 2, "20240102_000000")
+    found = files.checkpoint_paths(spark, str(tmp_path / "run_*"))
+    assert sorted(r["path"].split("/")[-1] for r in found.collect()) == sorted(p.split("/")[-1] for p in (old, new))
+    assert files.latest_checkpoint(found, "discovery").first()[0].endswith(new.split("/")[-1])
+
+
+def test_hits_meet_one_copy_of_a_page(spark):
+    hits = spark.createDataFrame([("https://a.org/x?ref=1",), ("https://A.org/x",)], "url string")
+    pages = spark.createDataFrame([("https://a.org/x/", "p1"), ("https://a.org/x", "p2"), ("https://b.org", "p3")], "url string, html string")
+    assert [r["html"] for r in joins.hits_with_pages(hits, pages).collect()] == ["p2", "p2"]
