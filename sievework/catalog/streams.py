@@ -119,9 +119,18 @@ def st7(spark, stream_of):
     return spark.read.parquet(path)
 
 
-@stream_query("st8_call_rate")
+@stream_query(
+    "st8_call_rate",
+    """with t as (select event_type as key, epoch_us(ts) // 10000000 * 10 as tick, count(*) as n from events group by 1, 2),
+    w as (select key, tick - o as s, n from t, (select unnest(range(0, 60, 10)) as o))
+    select key, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') as from_ts, strftime(make_timestamp((s + 60) * 1000000), '%Y-%m-%d %H:%M:%S') as to_ts, sum(n) as calls
+    from w where s + 60 <= (select max(epoch_us(ts)) / 1e6 - 60 from events) group by key, s""",
+)
 def st8(spark, stream_of):
-    return to_table(feeds.call_rate(stream_of("events").select(F.col("event_type").alias("key"), "ts"), "key", "ts", step="10 seconds"), "rate")
+    """Windows that are complete once the watermark has passed."""
+    out = to_table(feeds.call_rate(stream_of("events").select(F.col("event_type").alias("key"), "ts"), "key", "ts", step="10 seconds"), "rate")
+    stamp = "yyyy-MM-dd HH:mm:ss"
+    return out.select("key", F.date_format("from_ts", stamp).alias("from_ts"), F.date_format("to_ts", stamp).alias("to_ts"), "calls")
 
 
 @stream_query(
