@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievework import rules
-from sievework.catalog.base import WORD, query, sql_in, sql_list
+from sievework.catalog.base import WORD, query, sql_list
 from sievework.functions import fields as fld
 from sievework.operators import relevance
 
