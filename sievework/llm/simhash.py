@@ -100,8 +100,7 @@ def table_and_probes(prints: DataFrame, words: int, segments: int, radius: int,
             value = F.shiftrightunsigned(f"f{k}", first).bitwiseAND(signed((1 << width) - 1))
             name = F.lit(k * segments + i)
             cells.append(F.struct(name.alias("s"), value.alias("v")))
-            masks = F.array(*[signed(x) for x in ball(width, radius)])
-            balls.append(F.transform(masks, lambda x, n=name, v=value: F.struct(n.alias("s"), v.bitwiseXOR(x).alias("v"))))
+            balls.append(F.array(*[F.struct(name.alias("s"), value.bitwiseXOR(signed(x)).alias("v")) for x in ball(width, radius)]))
     table = prints.select(F.explode(F.array(*cells)).alias("k"), *keep).select("k.*", *keep)
     probes = reduce(DataFrame.union, [prints.select(F.explode(b).alias("k"), *keep) for b in balls]).select("k.*", *keep)
     return table, probes
