@@ -1,3 +1,61 @@
-"""From raw documents to training shards: each stage keeps or rearranges what the one before it kept."""
+"""From raw documents to training shards: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm import decontamination, mixing, quality, sharding, simhash
+from sievework.llm.common import documents, load, shared_folder
+
+SHARDS = 8
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the limits of their language and source."""
+    return quality.good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return simhash.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the shard of each and its place there."""
+    placed = sharding.shard(docs, SHARDS)
+    return placed.select(*[F.col(c) for c in docs.columns], F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", shard_rows),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what each returns is a Parquet table in the shared folder that the next one reads."""
+    docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
+
+
+#: None: the fingerprints of the second stage are XXH64 votes, which SQL engines don't share; tests/llm has a plain version.
+ORACLE_SQL = None

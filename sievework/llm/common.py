@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs: the one that the cluster names, a folder of this machine on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="sievework-")
+    return folder
+
+
 def named(column: str) -> Column:
     """A column by its very name, whatever signs the name has."""
     return F.col(f"`{column.replace('`', '``')}`")
@@ -80,4 +91,4 @@ def buckets_for(df: DataFrame, rows: int, per_bucket: int = 100_000) -> int:
     return max(1, -(-rows // per_bucket), 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "table_of", "word_count", "words_of"]
+__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "shared_folder", "table_of", "word_count", "words_of"]

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import mixing, quality, sharding, simhash, tokens
-from sievework.llm.common import documents
+from sievework.llm import decontamination, mixing, quality, sharding, simhash, tokens
+from sievework.llm.common import documents, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,13 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its best window."""
+    found = decontamination.leaks(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", F.col("distance").cast("int").alias("distance"), F.col("at").alias("first_word"), F.col("size").alias("n_words"))
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of each document."""
@@ -58,6 +65,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages from raw documents to shards."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE["op4_mix_sources"] = f"""
