@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, mixing, quality, sharding, simhash, tokens
-from sievework.llm.common import documents, load
+from sievework.llm import decontamination, language, mixing, quality, sharding, simhash, tokens
+from sievework.llm.common import documents, is_remainder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_s").alias("size"), F.col("_source_size").alias("source_size"), "target", F.col("_taken").alias("taken"))
 
 
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from the documents that aren't held out."""
+    docs = documents(spark, sf_dir).withColumn("held_out", is_remainder(F.col("doc_id"), 3, 1))
+    model = language.fit(docs.filter(~F.col("held_out")))
+    return language.identify(docs, model, carry=["doc_id", "held_out"])
+
+
 @query
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of equal row counts, each with every source's share."""
