@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, language, mixing, quality, sharding, simhash, tokens
+from sievework.llm import brown, decontamination, language, mixing, quality, sharding, simhash, tokens
 from sievework.llm.common import documents, is_remainder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", F.col("distance").cast("int").alias("distance"), F.col("at").alias("first_word"), F.col("size").alias("n_words"))
 
 
+@query
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each document under the class model and under word counts."""
+    return brown.score(documents(spark, sf_dir), held_out=is_remainder(F.col("doc_id"), 5, 1), carry=["doc_id"])
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of each document."""
