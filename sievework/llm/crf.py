@@ -139,17 +139,28 @@ def posteriors(model: Chain, scores: np.ndarray, lengths: np.ndarray, lane: int
     return nodes / nodes.sum(axis=1, keepdims=True)
 
 
-def viterbi(model: Chain, scores: np.ndarray) -> np.ndarray:
-    """The labels of the best path through one sequence."""
-    n = len(scores)
-    back = np.zeros((n, scores.shape[1]), np.int64)
-    best = model.starts + scores[0]
-    for i in range(1, n):
-        step = best[:, None] + model.moves
-        back[i] = step.argmax(axis=0)
-        best = step.max(axis=0) + scores[i]
-    path = np.empty(n, np.int64)
-    path[-1] = best.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+def best_paths(model: Chain, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The labels of the best path through each sequence (Viterbi), one after the other.
+
+    All sequences take a step side by side, the longer ones go on; so memory follows the number of places.
+    """
+    n, k = scores.shape
+    order = np.argsort(-lengths, kind="stable")
+    start = (np.cumsum(lengths) - lengths)[order]
+    full = int((lengths > 0).sum())
+    running = [int((lengths > i).sum()) for i in range(int(lengths.max()) if n else 0)]
+    back, best = np.zeros((n, k), np.int64), np.zeros((full, k))
+    if full:
+        best[:] = model.starts + scores[start[:full]]
+    for i, live in enumerate(running[1:], 1):
+        at = start[:live] + i
+        step = best[:live, :, None] + model.moves
+        back[at] = step.argmax(axis=1)
+        best[:live] = step.max(axis=1) + scores[at]
+    path = np.zeros(n, np.int64)
+    now = best.argmax(axis=1)
+    for i in range(len(running) - 1, -1, -1):
+        at = start[: running[i]] + i
+        path[at] = now[: running[i]]
+        now[: running[i]] = np.where(i > 0, back[at, now[: running[i]]], 0)
     return path

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import brown, decontamination, language, mixing, quality, sharding, simhash, tokens
+from sievework.llm import brown, decontamination, language, mixing, pages, quality, sharding, simhash, tokens
 from sievework.llm.common import documents, is_remainder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
 
 
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    table = load(spark, sf_dir, "pages")
+    return pages.main_text(table, pages.fit(table), carry=["page_id", "url"])
+
+
 @query
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
