@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import brown, decontamination, language, mixing, pages, quality, sharding, simhash, tokens
+from sievework.llm import brown, decontamination, language, mixing, pages, passages, quality, sharding, simhash, tokens
 from sievework.llm.common import documents, is_remainder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", F.col("distance").cast("int").alias("distance"), F.col("at").alias("first_word"), F.col("size").alias("n_words"))
 
 
+@query
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of passages that repeat across documents, and which of them go."""
+    return passages.repeats(documents(spark, sf_dir))
+
+
 @query
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of each document under the class model and under word counts."""
