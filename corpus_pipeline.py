@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievework.llm import decontamination, mixing, quality, sharding, simhash
 from sievework.llm.common import documents, load, shared_folder
@@ -35,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with the shard of each and its place there."""
-    placed = sharding.shard(docs, SHARDS)
-    return placed.select(*[F.col(c) for c in docs.columns], F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    return sharding.shard(docs, SHARDS).drop("size", "text_crc32")
 
 
 STAGES = [

@@ -66,6 +66,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def renamed(kept: list[str], made: list[str]) -> list[Column]:
+    """The columns c0, c1, ... under their own names; one that a result column has gets underscores behind its name."""
+    taken, out = {m.lower() for m in made}, []
+    for i, name in enumerate(kept):
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(F.col(f"c{i}").alias(name))
+    return out
+
+
 def is_remainder(doc_id: Column, modulus: int, value: int) -> Column:
     """crc32 of the id as text, by its remainder; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == value
@@ -99,4 +110,4 @@ def buckets_for(df: DataFrame, rows: int, per_bucket: int = 100_000) -> int:
     return max(1, -(-rows // per_bucket), 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "shared_folder", "stored", "table_of", "word_count", "words_of"]
+__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "renamed", "shared_folder", "stored", "table_of", "word_count", "words_of"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import unnest
-from sievework.llm.common import cut, named
+from sievework.llm.common import cut, free_name, named
 
 WIDTH = 5
 #: Bits by which a window's fingerprint may differ from the item's; blocks that it is cut into.
@@ -113,6 +113,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **settings) -> DataFrame:
     """The documents that hold no benchmark item, all columns; null texts hold none."""
-    hashes = cut(contaminated(docs, items, text=text, **settings).select(F.col("h").alias("_leaked")).distinct())
+    own = free_name(docs, "leaked")
+    hashes = cut(contaminated(docs, items, text=text, **settings).select(F.col("h").alias(own)).distinct())
     few = hashes.count() <= FEW
-    return docs.join(F.broadcast(hashes) if few else hashes, (F.xxhash64(named(text)) == F.col("_leaked")) & named(text).isNotNull(), "left_anti")
+    return docs.join(F.broadcast(hashes) if few else hashes, (F.xxhash64(named(text)) == F.col(own)) & named(text).isNotNull(), "left_anti")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from sievework.llm.common import named, pieces
+from sievework.llm.common import named, pieces, renamed
 from sievework.llm.crf import Chain, posteriors, train
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -206,5 +206,5 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", carry: list[s
     run = StructType([StructField("lang", StringType()), StructField("first", LongType()), StructField("words", LongType())])
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_words", LongType()), StructField("n_switches", LongType())]
     made = rows.mapInArrow(label, StructType([*own, *fields, *[StructField("spans", ArrayType(run))] * spans]))
-    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *names[len(kept) :])
+    return made.select(*renamed(kept, names[len(kept) :]), *names[len(kept) :])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import buckets_for, cut, group_key, named, word_count
+from sievework.llm.common import buckets_for, cut, group_key, named, renamed, word_count
 from sievework.llm.ranks import digest, ranks
 
 SEED = "mix-1"
@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (default: all columns) with _g, _s (size), source_size, target and _taken (words that the mix takes).
+    """``carry`` (default: all columns) with size, source_size, target and taken (words that the mix takes).
 
     Every source takes its target's whole words exactly: whole epochs of the source, then its
     documents in the order of a seeded digest of the id, the last one in part. Null and empty
@@ -55,7 +55,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     rest = F.when(total > 0, budget - epochs * total).otherwise(0)
     part = F.greatest(F.lit(0), F.least(F.col("_s"), rest - F.col("_before")))
     mixed = placed.join(F.broadcast(goals) if sizes.count() <= FEW_SOURCES else goals, "_g").withColumn("_taken", (epochs * F.col("_s") + part).cast("long"))
-    return mixed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "_g", "_s", F.col("_weight").alias("_source_size"), "target", "_taken")
+    made = {"_s": "size", "_weight": "source_size", "target": "target", "_taken": "taken"}
+    return mixed.select(*renamed(kept, list(made.values())), *[F.col(c).alias(name) for c, name in made.items()])
 
 
 def mixed_rows(docs: DataFrame, *, text: str = "text", **names: str) -> DataFrame:
@@ -65,6 +66,7 @@ def mixed_rows(docs: DataFrame, *, text: str = "text", **names: str) -> DataFram
     within the budget, so that no text is torn; documents that are not taken are left out.
     """
     mixed = mix(docs, text=text, **names)
-    copies: Column = F.when(F.col("_s") > 0, F.floor(F.col("_taken") / F.col("_s") + 0.5)).otherwise(0)
+    mixed = mixed.toDF(*[f"c{i}" for i in range(len(docs.columns))], *mixed.columns[len(docs.columns) :])
+    copies: Column = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     repeated = mixed.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))))
-    return repeated.select(*[named(c) for c in docs.columns])
+    return repeated.select(*renamed(docs.columns, []))

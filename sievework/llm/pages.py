@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sievework.llm.common import named, pieces
+from sievework.llm.common import named, pieces, renamed
 from sievework.llm.crf import Chain, best_paths, train
 
 FEATURES = 1 << 15
@@ -303,4 +303,4 @@ def main_text(pages: DataFrame, model: Chain, *, html_column: str = "html", carr
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], names=names)
 
     schema = StructType([*own, StructField("text", StringType()), *[StructField(c, LongType()) for c in names[-3:]]])
-    return rows.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *names[len(kept) :])
+    return rows.mapInArrow(run, schema).select(*renamed(kept, names[len(kept) :]), *names[len(kept) :])

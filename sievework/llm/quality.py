@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sievework.llm.common import cut, group_key, named, pieces
+from sievework.llm.common import cut, group_key, named, pieces, renamed
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -168,7 +168,7 @@ def judged(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: s
     kept = [c for c in docs.columns if c != text] if carry is None else carry
     counted = cut(with_counts(_rows(docs, kept, text, lang, source)).withColumn("base_failed", base_failed()))
     result = _verdicts(counted, thresholds(counted, trusted=~F.col("base_failed"), **settings))
-    return result.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *COUNTS, "base_failed", "failed", "kept")
+    return result.select(*renamed(kept, [*COUNTS, "base_failed", "failed", "kept"]), *COUNTS, "base_failed", "failed", "kept")
 
 
 def good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", **settings) -> DataFrame:

@@ -45,7 +45,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mixed = mixing.mix(documents(spark, sf_dir), carry=["doc_id"])
-    return mixed.select("doc_id", F.col("_s").alias("size"), F.col("_source_size").alias("source_size"), "target", F.col("_taken").alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query
@@ -61,8 +61,7 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of equal row counts, each with every source's share."""
     placed = sharding.shard(documents(spark, sf_dir), 8, carry=["doc_id"])
     return placed.select(
-        "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
-        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import buckets_for, cut, group_key, named
+from sievework.llm.common import buckets_for, cut, group_key, named, renamed
 from sievework.llm.ranks import digest, ranks, unit
 
 SEED = "shard-1"
 
 
 def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` (default: all columns) with _size, _crc, _shard (from 0) and _slot (from 0, gapless in each shard).
+    """``carry`` (default: all columns) with size, text_crc32, shard (from 0) and slot (from 0, gapless in each shard).
 
     Rows of a source are ranked in the order of a seeded digest of the id; rank r of n rows lies at
     (r + u) / n, where u is a digest of the source between 0 and 1, so that small sources don't
@@ -45,6 +45,6 @@ def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", source: s
     placed = placed.join(starts, F.col("_range") == F.col("_r")).withColumn("_pos", F.col("_pos") + F.col("_start"))
     placed = placed.withColumn("_shard", F.expr(f"(_pos * {shards}L) div {max(total, 1)}L").cast("int"))
     first = F.expr(f"(_shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
-    return placed.withColumn("_slot", (F.col("_pos") - first).cast("long")).select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "_size", "_crc", "_shard", "_slot"
-    )
+    placed = placed.withColumn("_slot", (F.col("_pos") - first).cast("long"))
+    made = {"_size": "size", "_crc": "text_crc32", "_shard": "shard", "_slot": "slot"}
+    return placed.select(*renamed(kept, list(made.values())), *[F.col(c).alias(name) for c, name in made.items()])

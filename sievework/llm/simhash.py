@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from sievework.llm.common import bytes_of, cut, named, pieces
 from sievework.llm.components import components
 
 BITS = 64
+#: Keys of which so many (8 or 16 bytes each) go to every executor; more are joined by a shuffle.
+FEW = 500_000
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -93,17 +96,31 @@ def signed(mask: int) -> Column:
 
 
 def table_and_probes(prints: DataFrame, words: int, segments: int, radius: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(s, v, kept columns): each segment's value, and all values within ``radius`` bits of it."""
+    """(k, kept columns): each segment with its value as one key, and all keys within ``radius`` bits of it."""
     cells, balls = [], []
-    for k in range(words):
+    for word in range(words):
         for i, (first, width) in enumerate(bounds(segments)):
-            value = F.shiftrightunsigned(f"f{k}", first).bitwiseAND(signed((1 << width) - 1))
-            name = F.lit(k * segments + i)
-            cells.append(F.struct(name.alias("s"), value.alias("v")))
-            balls.append(F.array(*[F.struct(name.alias("s"), value.bitwiseXOR(signed(x)).alias("v")) for x in ball(width, radius)]))
-    table = prints.select(F.explode(F.array(*cells)).alias("k"), *keep).select("k.*", *keep)
-    probes = reduce(DataFrame.union, [prints.select(F.explode(b).alias("k"), *keep) for b in balls]).select("k.*", *keep)
-    return table, probes
+            if width > 48:
+                raise ValueError("segments of up to 48 bits fit beside their number")
+            value = F.shiftrightunsigned(f"f{word}", first).bitwiseAND(signed((1 << width) - 1))
+            cells.append(value.bitwiseOR(signed((word * segments + i) << 48)))
+            balls.append(F.array(*[cells[-1].bitwiseXOR(signed(x)) for x in ball(width, radius)]))
+    table = prints.select(F.explode(F.array(*cells)).alias("k"), *keep)
+    return table, reduce(DataFrame.union, [prints.select(F.explode(b).alias("k"), *keep) for b in balls])
+
+
+def lookups_for(n: int, differ: float = 0.13, recall: float = 0.95) -> tuple[int, int, int]:
+    """(words, segments of each, radius of a lookup) for a table of ``n`` fingerprints.
+
+    Segments are so wide that a lookup meets at most about four by chance; words are as many as two fingerprints that
+    differ in that part of their bits need to meet with that probability, so larger tables find as much.
+    """
+    segments = max(2, next((m for m in (4, 3) if 1 << (BITS // m) >= n / 4), 2))
+    width = BITS // segments
+    radius = 1 if width <= 24 else 2
+    met = sum(comb(width, r) * differ**r * (1 - differ) ** (width - r) for r in range(radius + 1))
+    words = next(w for w in range(1, 99) if 1 - (1 - met) ** (w * segments) >= recall)
+    return words, segments, radius
 
 
 def near_pairs(prints: DataFrame, radius: int = 4, dense: int = 512) -> DataFrame:
@@ -121,15 +138,15 @@ def near_pairs(prints: DataFrame, radius: int = 4, dense: int = 512) -> DataFram
     if radius % 2:
         raise ValueError("the radius has to be even")
     prints = prints.select("f0")
-    m = segments_for(prints.count(), radius)
+    m = max(2, segments_for(prints.count(), radius))
     table, probes = table_and_probes(prints, 1, m, radius // m, ["f0"])
     table, probes = table.withColumnRenamed("f0", "b"), probes.withColumnRenamed("f0", "a")
-    full = cut(table.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("s", "v"))
+    full = cut(table.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("k"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     if full.isEmpty():
-        return probes.join(table, ["s", "v"]).filter(near).select("a", "b")
-    pairs = probes.join(table.join(full, ["s", "v"], "left_anti"), ["s", "v"]).filter(near).select("a", "b")
-    reach = probes.join(full, ["s", "v"], "left_semi").select(F.col("a").alias("f"), F.col("a").alias("centre")).distinct()
+        return probes.join(table, "k").filter(near).select("a", "b")
+    pairs = probes.join(table.join(full, "k", "left_anti"), "k").filter(near).select("a", "b")
+    reach = probes.join(full, "k", "left_semi").select(F.col("a").alias("f"), F.col("a").alias("centre")).distinct()
     singles = F.array(*[signed(x) for x in ball(BITS, 1)])
     for _ in range(radius // 2):
         reach = reach.select("f", F.explode(F.transform(singles, lambda x: F.col("centre").bitwiseXOR(x))).alias("centre")).distinct()
@@ -155,18 +172,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(roots, F.col("f0") == F.col("g")).select("doc_id", "f0", "root")
 
 
-def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, words: int = 3, loose: int = 22, crowd: int = 64) -> DataFrame:
+def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: int = 22, crowd: int = 64) -> DataFrame:
     """(doc_id, h, class): class of the documents (doc_id, text, h) that links of ``similarity`` or more reach.
 
-    Long fingerprints of ``words`` x 64 bits in segments of 21 or 22 bits: a lookup ball of one bit around each
-    segment finds two texts that differ in a tenth of their bits (Jaccard about 0.9) in 98 of 100 cases, at
-    0.8 in two of three. What is found and differs in at most ``loose`` of the first 64 bits is verified by the
+    Fingerprints of a few 64-bit words (lookups_for) are cut into segments; a lookup ball of a bit or two around each
+    segment finds two texts that differ in a tenth of their bits (Jaccard about 0.9) in 99 of 100 cases and at
+    0.8 in six of seven. What is found and differs in at most ``loose`` of the first 64 bits is verified by the
     exact Jaccard similarity of the whole texts' ``width``-word shingles. Equal fingerprints are one node.
 
     A family of near copies is not paired out. First every member meets the least one of its own
     segment values only. Then classes that are still apart meet by the balls; a value of over ``crowd`` members of
     one class is not looked up by members of that class, who have nothing to learn there.
     """
+    words, segments, radius = lookups_for(docs.count())
     names = [f"f{k}" for k in range(words)]
     prints = cut(with_fingerprint(docs.select("doc_id", "h", "text"), width=width, seed=seed, words=words))
     nodes = cut(prints.groupBy(*names).agg(F.min("h").alias("id")))
@@ -174,18 +192,18 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
     close = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= loose
     pair = [F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")]
 
-    table, _ = table_and_probes(nodes, words, 3, 1, ["f0", "id"])
-    least = table.groupBy("s", "v").agg(F.min(F.struct("id", "f0")).alias("k")).select("s", "v", F.col("k.id").alias("b"), F.col("k.f0").alias("g0"))
-    met = table.join(least, ["s", "v"]).filter((F.col("id") != F.col("b")) & close).select(*pair).distinct()
+    table, _ = table_and_probes(nodes, words, segments, radius, ["f0", "id"])
+    least = table.groupBy("k").agg(F.min(F.struct("id", "f0")).alias("m")).select("k", F.col("m.id").alias("b"), F.col("m.f0").alias("g0"))
+    met = table.join(least, "k").filter((F.col("id") != F.col("b")) & close).select(*pair).distinct()
     links = cut(verified(met, texts, width, seed, similarity))
 
     classes = cut(_classes(nodes, links))
-    table, probes = table_and_probes(classes, words, 3, 1, ["f0", "id", "class"])
-    crowded = cut(table.groupBy("s", "v").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > crowd) & (F.col("lo") == F.col("hi"))).select("s", "v", "lo"))
+    table, probes = table_and_probes(classes, words, segments, radius, ["f0", "id", "class"])
+    crowded = cut(table.groupBy("k").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > crowd) & (F.col("lo") == F.col("hi"))).select("k", "lo"))
     if many := crowded.count():
-        probes = probes.join(F.broadcast(crowded) if many <= 100_000 else crowded, ["s", "v"], "left").filter("lo is null or lo <> class").drop("lo")
-    other = table.select("s", "v", F.col("id").alias("b"), F.col("f0").alias("g0"), F.col("class").alias("c2"))
-    met = probes.join(other, ["s", "v"]).filter((F.col("class") != F.col("c2")) & close).select(*pair).distinct()
+        probes = probes.join(F.broadcast(crowded) if many <= FEW else crowded, "k", "left").filter("lo is null or lo <> class").drop("lo")
+    other = table.select("k", F.col("id").alias("b"), F.col("f0").alias("g0"), F.col("class").alias("c2"))
+    met = probes.join(other, "k").filter((F.col("class") != F.col("c2")) & close).select(*pair).distinct()
     links = links.union(verified(met, texts, width, seed, similarity))
     classes = cut(_classes(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], "class")
     return prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class")
@@ -206,7 +224,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similari
 
     pairs = cut(pairs)
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    own = cut(texts.join(ends, "h", "left_semi").mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
+    ends = cut(ends)
+    held = texts.join(F.broadcast(ends) if ends.count() <= FEW else ends, "h", "left_semi")
+    own = cut(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
     both = pairs.join(own.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -219,8 +239,14 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     content = F.coalesce(named(text), F.lit(""))
     rows = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], named(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("h"))
-    classes = similar(rows.select("doc_id", "text", "h"), **settings)
-    best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
-    best = best.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
-    kept = rows.join(best, (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["h", "doc_id"])
+    classes = cut(similar(rows.select("doc_id", "text", "h"), **settings))
+    best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select("class", F.col("k.doc_id").alias("_d"), F.col("k.h").alias("_h"))
+    told = classes.join(best.withColumnRenamed("class", "c"), F.col("class") == F.col("c"))
+    same = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    gone = cut(told.filter(~same).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct())
+    kept = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, same, "left_anti")
+    twice = cut(told.filter(same).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")))
+    if many := twice.count():
+        twice = F.broadcast(twice) if many <= FEW else twice
+        kept = kept.join(twice, same, "left_anti").union(kept.join(twice, same, "left_semi").dropDuplicates(["h", "doc_id"]))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

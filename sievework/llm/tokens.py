@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sievework.llm.common import named, pieces
+from sievework.llm.common import named, pieces, renamed
 
 #: A blank between two signs that are not white space. Byte-level BPE splits a text before it is merged, no
 #: part holds white space after another sign, and a part takes one blank in front. So a part ends before
@@ -74,4 +74,4 @@ def token_counts(docs: DataFrame, path: str, *, text: str = "text", carry: list[
 
     schema = StructType([*rows.schema.fields[: len(kept)], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
     counted = rows.mapInArrow(count, schema)
-    return counted.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return counted.select(*renamed(kept, ["n_bytes", "n_tokens", "over_limit"]), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
