@@ -172,12 +172,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(roots, F.col("f0") == F.col("g")).select("doc_id", "f0", "root")
 
 
-def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: int = 22, crowd: int = 64) -> DataFrame:
+def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: float = 0.27, crowd: int = 64) -> DataFrame:
     """(doc_id, h, class): class of the documents (doc_id, text, h) that links of ``similarity`` or more reach.
 
     Fingerprints of a few 64-bit words (lookups_for) are cut into segments; a lookup ball of a bit or two around each
     segment finds two texts that differ in a tenth of their bits (Jaccard about 0.9) in 99 of 100 cases and at
-    0.8 in six of seven. What is found and differs in at most ``loose`` of the first 64 bits is verified by the
+    0.8 in six of seven. What is found and differs in at most the part ``loose`` of all bits is verified by the
     exact Jaccard similarity of the whole texts' ``width``-word shingles. Equal fingerprints are one node.
 
     A family of near copies is not paired out. First every member meets the least one of its own
@@ -185,25 +185,27 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
     one class is not looked up by members of that class, who have nothing to learn there.
     """
     words, segments, radius = lookups_for(docs.count())
-    names = [f"f{k}" for k in range(words)]
+    names, others = [f"f{k}" for k in range(words)], [f"g{k}" for k in range(words)]
     prints = cut(with_fingerprint(docs.select("doc_id", "h", "text"), width=width, seed=seed, words=words))
     nodes = cut(prints.groupBy(*names).agg(F.min("h").alias("id")))
     texts = docs.select("h", "text")
-    close = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= loose
-    pair = [F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")]
+    distance = reduce(Column.__add__, [F.bit_count(F.col(f).bitwiseXOR(F.col(g))) for f, g in zip(names, others)])
+    close = distance <= int(loose * BITS * words)
 
-    table, _ = table_and_probes(nodes, words, segments, radius, ["f0", "id"])
-    least = table.groupBy("k").agg(F.min(F.struct("id", "f0")).alias("m")).select("k", F.col("m.id").alias("b"), F.col("m.f0").alias("g0"))
-    met = table.join(least, "k").filter((F.col("id") != F.col("b")) & close).select(*pair).distinct()
+    table, _ = table_and_probes(nodes, words, segments, radius, [*names, "id"])
+    least = table.groupBy("k").agg(F.min(F.struct("id", *names)).alias("m")).select("k", F.col("m.id").alias("b"), *[F.col(f"m.{f}").alias(g) for f, g in zip(names, others)])
+    met = table.join(least, "k").filter((F.col("id") != F.col("b")) & close).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     links = cut(verified(met, texts, width, seed, similarity))
 
     classes = cut(_classes(nodes, links))
-    table, probes = table_and_probes(classes, words, segments, radius, ["f0", "id", "class"])
+    table, _ = table_and_probes(classes, words, segments, radius, [*names, "id", "class"])
+    _, probes = table_and_probes(classes, words, segments, radius, [*names, "class"])
     crowded = cut(table.groupBy("k").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > crowd) & (F.col("lo") == F.col("hi"))).select("k", "lo"))
     if many := crowded.count():
         probes = probes.join(F.broadcast(crowded) if many <= FEW else crowded, "k", "left").filter("lo is null or lo <> class").drop("lo")
-    other = table.select("k", F.col("id").alias("b"), F.col("f0").alias("g0"), F.col("class").alias("c2"))
-    met = probes.join(other, "k").filter((F.col("class") != F.col("c2")) & close).select(*pair).distinct()
+    other = table.select("k", F.col("id").alias("b"), *[F.col(f).alias(g) for f, g in zip(names, others)], F.col("class").alias("c2"))
+    found = cut(probes.join(other, "k").filter((F.col("class") != F.col("c2")) & close).select(*names, "b").distinct())
+    met = found.join(nodes, names).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     links = links.union(verified(met, texts, width, seed, similarity))
     classes = cut(_classes(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], "class")
     return prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class")
