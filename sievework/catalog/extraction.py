@@ -122,8 +122,8 @@ def _mentions(t):
     e as (select *, reverse(substring(text, l - least(l, 100) + 1, least(l, 100) + 1)) as b, substring(text, r + 1, 100) as f from w),
     s as (select *, case when l = 0 then 0 when instr(b, chr(10)) > 0 then l - (instr(b, chr(10)) - 1) else l - least(l, 100) end as st,
       case when instr(f, chr(10)) > 0 then r + instr(f, chr(10)) - 1 else r + length(f) end as en from e)
-    select name, doc_id as url, case when len > 100000 then concat('Context extraction skipped for ', name, ' due to large content size') else
-      trim(concat(substring(text, st + 1, hit - st), '**', substring(text, hit + 1, length(name)), '**', substring(text, hit + length(name) + 1, en - hit - length(name))), ' ' || chr(10)) end as context
+    select name, doc_id as url, 
+      trim(concat(substring(text, st + 1, hit - st), '**', substring(text, hit + 1, length(name)), '**', substring(text, hit + length(name) + 1, en - hit - length(name))), ' ' || chr(10)) as context
     from s""",
 )
 def e08(t):
@@ -136,10 +136,9 @@ _KW = [*[w for w in "that with theon leaux queau".split() if len(w) > 3 and w no
 
 @query(
     "e09_keyword_relevance",
-    f"""with k as (select doc_id, lower(text) as x, length(text) as n, list_filter({sql_list(_KW)}, lambda w: contains(lower(text), w))[1:5] as h from documents where text <> ''),
-    r as (select doc_id, x, unnest(h) as keyword from k where n <= 10000)
-    select doc_id, concat('Doc', doc_id) as name, keyword, round(least(1.0, ((length(x) - length(replace(x, keyword, ''))) // length(keyword)) / 10.0), 6) as score from r
-    union all select doc_id, concat('Doc', doc_id), 'relevant', 0.5 from k where n > 10000""",
+    f"""with k as (select doc_id, lower(text) as x, length(text) as n, list_filter({sql_list(_KW)}, lambda w: contains(lower(text), w)) as h from documents where text <> ''),
+    r as (select doc_id, x, unnest(h) as keyword from k)
+    select doc_id, concat('Doc', doc_id) as name, keyword, round(least(1.0, ((length(x) - length(replace(x, keyword, ''))) // length(keyword)) / 10.0), 6) as score from r""",
 )
 def e09(t):
     docs = t("documents", True).select("doc_id", F.concat(F.lit("Doc"), "doc_id").alias("name"), F.col("text").alias("context"))
@@ -148,15 +147,16 @@ def e09(t):
     return out.withColumn("score", F.round("score", 6))
 
 
-_ANSWER = """case event_id % 7 when 0 then concat('```json', chr(10), props, chr(10), '```') when 1 then concat('```', chr(10), '[', props, ',', props, ']', chr(10), '```')
-  when 2 then concat('Here it is: ', props, ' - done') when 3 then '[1, 2]' when 4 then '  ' when 5 then 'nothing to parse' else props end"""
+_ANSWER = """case event_id % 10 when 0 then concat('```json', chr(10), props, chr(10), '```') when 1 then concat('```', chr(10), '[', props, ',', props, ']', chr(10), '```')
+  when 2 then concat('Here it is: ', props, ' - done') when 3 then '[1, 2]' when 4 then '  ' when 5 then 'nothing to parse' when 6 then concat('Here: [', props, ', ', props, '] done')
+  when 7 then concat(props, ' and more words') when 8 then 'see {1} and [2, 3] there' else props end"""
 
 
 @query(
     "e10_parse_model_json",
     f"""with a as (select event_id, replace(props, ': ', ':') as p from events)
-    select event_id, event_id % 7 not in (3, 4, 5) as valid, case event_id % 7 when 1 then concat('[', p, ',', p, ']') when 3 then '' when 4 then '' when 5 then '' else p end as json,
-      case event_id % 7 when 3 then 'List response contains non-object items' when 4 then 'Empty response' when 5 then 'JSON parsing error' else '' end as error from a""",
+    select event_id, event_id % 10 not in (3, 4, 5, 8) as valid, case when event_id % 10 in (1, 6) then concat('[', p, ',', p, ']') when event_id % 10 in (3, 4, 5, 8) then '' else p end as json,
+      case event_id % 10 when 3 then 'List response contains non-object items' when 4 then 'Empty response' when 5 then 'JSON parsing error' when 8 then 'List response contains non-object items' else '' end as error from a""",
 )
 def e10(t):
     answers = t("events").select("event_id", F.expr(_ANSWER).alias("answer"))

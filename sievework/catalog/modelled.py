@@ -69,7 +69,9 @@ def m05(t):
 
 @query(
     "m06_extract_structured",
-    r"""with d as (select doc_id, trim(left(text, 15000)) as x from documents), s as (select doc_id, left(split_part(x, '.', 1), 200) as d, regexp_extract(x, '\b(19|20)\d{2}\b') as y from d)
+    r"""with p as (select doc_id, unnest(generate_series(0, (length(text) - 1) // 15000)) as i, text from documents where text <> ''), d as (select doc_id, i, trim(substring(text, i * 15000 + 1, 15000), ' ' || chr(10)) as x from p),
+    e as (select doc_id, i, left(split_part(x, '.', 1), 200) as d, regexp_extract(x, '\b(19|20)\d{2}\b') as y from d),
+    s as (select doc_id, coalesce(arg_min(d, i) filter (trim(d) <> ''), '') as d, coalesce(arg_min(y, i) filter (y <> ''), '') as y from e group by 1)
     select doc_id, 'page' as source, 'Product Description' as field, d as value from s where trim(d) <> '' union all select doc_id, 'page', 'Founded Year', y from s where y <> ''""",
 )
 def m06(t):

@@ -8,7 +8,6 @@ from sievework import rules
 from sievework.catalog.base import WORD, like_any, query, sql_in
 from sievework.functions import text as tx
 from sievework.operators import extract
-from sievework.operators.keys import limit_per_key
 
 MIXED = "concat(text, ' see https://a.example.com/x?y=1 or www.b.org/z, mail j.doe@mail.example.org (50% off) #1')"
 NORMAL = rf"trim(regexp_replace(lower(text), '[^{WORD}]+', ' ', 'g'))"
@@ -96,11 +95,10 @@ def _threads(t):
     row = F.concat(
         F.lit('<tr class="athing comtr"><td><div class="comment">'), F.col("text"), F.lit("</div></td></tr>")
     )
-    first = limit_per_key(t("conversations"), ["conv_id"], ["turn"], 50)  # no thread job looks further
     turns = F.array_sort(F.collect_list(F.struct("turn", row.alias("r"))))
     body = F.array_join(F.transform(turns, lambda x: x["r"]), "")
     title = F.when(F.col("conv_id") % 2 == 0, "Ask: Who is hiring?").otherwise("A talk")
-    return first.groupBy("conv_id").agg(body.alias("b")).select(
+    return t("conversations").groupBy("conv_id").agg(body.alias("b")).select(
         "conv_id", F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body><table>"), "b", F.lit("</table></body></html>")).alias("html")
     )
 
@@ -109,10 +107,10 @@ def _threads(t):
     "t09_extract_forum_thread",
     rf"""with r as (select *, row_number() over (partition by conv_id order by turn) as rn, trim(text, ' ' || chr(10)) as c from conversations),
     k as (select conv_id, rn, case when conv_id % 2 = 0 then regexp_replace(c, '\s+', ' ', 'g') else c end as c from r where
-      (conv_id % 2 = 0 and rn <= 50 and length(c) >= 100 and {like_any('lower(c)', rules.HIRING_WORDS)}) or (conv_id % 2 = 1 and rn <= 20 and c <> '')
+      (conv_id % 2 = 0 and length(c) >= 100 and {like_any('lower(c)', rules.HIRING_WORDS)}) or (conv_id % 2 = 1 and c <> '')
       union all select distinct conv_id, 0, '# A talk' from conversations where conv_id % 2 = 1),
     s as (select distinct conv_id from conversations)
-    select s.conv_id, left(coalesce(string_agg(c, concat(chr(10), chr(10), '---', chr(10), chr(10)) order by rn), ''), 50000) as thread_text from s left join k using (conv_id) group by 1""",
+    select s.conv_id, coalesce(string_agg(c, concat(chr(10), chr(10), '---', chr(10), chr(10)) order by rn), '') as thread_text from s left join k using (conv_id) group by 1""",
 )
 def t09(t):
     return extract.extract_forum_thread(_threads(t), "conv_id")

@@ -17,8 +17,18 @@ def _between(c: Column, opening: str, closing: str) -> Column:
     return F.when(both & (end >= start), F.substring(c, start, end - start + 1))
 
 
+def _whole_json(c: Column) -> Column:
+    """The one JSON value that a text is; NULL for anything behind it, which a lenient parser would not see."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+
+
 def parse_model_json(df: DataFrame, answer: str, keep: list[str]) -> DataFrame:
-    """(keep, valid, json, error) with ``json`` as canonical text."""
+    """(keep, valid, json, error) with ``json`` as canonical text.
+
+    A text that is not one JSON value is searched: from its first to its last brace, and where that is not
+    one value either, from its first to its last bracket.
+    """
     text = strip(F.col(answer))
     block = (
         F.when(
@@ -29,20 +39,17 @@ def parse_model_json(df: DataFrame, answer: str, keep: list[str]) -> DataFrame:
         .otherwise(text)
     )
     staged = df.select(*keep, F.col(answer).alias("_raw"), block.alias("_text")).withColumns(
-        {"_v": F.try_parse_json("_text"), "_braces": _between(F.col("_text"), "{", "}")}
-    )
-    staged = staged.withColumn(
-        "_retry",
-        F.try_parse_json(F.coalesce("_braces", _between(F.col("_text"), "[", "]"))),
+        {"_v": _whole_json(F.col("_text")), "_braces": _whole_json(_between(F.col("_text"), "{", "}"))}
     )
-    shape = F.schema_of_variant("_v")
-    items = F.try_variant_get("_v", "$", "array<variant>")
+    found = F.coalesce("_v", "_braces", _whole_json(_between(F.col("_text"), "[", "]")))
+    staged = staged.withColumn("_found", found)
+    shape = F.schema_of_variant("_found")
+    items = F.try_variant_get("_found", "$", "array<variant>")
     all_objects = F.forall(items, lambda i: F.schema_of_variant(i).startswith("OBJECT"))
     good_first = shape.startswith("OBJECT") | (shape.startswith("ARRAY") & all_objects)
     error = (
         F.when(is_blank(F.col("_raw")), "Empty response")
-        .when(F.col("_v").isNull() & F.col("_retry").isNull(), "JSON parsing error")
-        .when(F.col("_v").isNull(), None)
+        .when(F.col("_found").isNull(), "JSON parsing error")
         .when(shape.startswith("ARRAY") & ~all_objects, "List response contains non-object items")
         .when(~good_first, "Unexpected response type")
     )
@@ -50,7 +57,7 @@ def parse_model_json(df: DataFrame, answer: str, keep: list[str]) -> DataFrame:
     return staged.select(
         *keep,
         F.col("error").isNull().alias("valid"),
-        F.when(F.col("error").isNull(), F.to_json(F.coalesce("_v", "_retry"))).alias("json"),
+        F.when(F.col("error").isNull(), F.to_json("_found")).alias("json"),
         "error",
     )
 

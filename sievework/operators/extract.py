@@ -58,23 +58,25 @@ def process_content(df: DataFrame, content: str, kind: str, out: str = "text") -
     return html.unionByName(other).withColumn(out, remove_emails(remove_urls(clean_text(F.col(out)))))
 
 
-def extract_forum_thread(pages: DataFrame, page: str, html: str = "html", limit: int = 50000) -> DataFrame:
-    """(page, thread_text). Comments become rows; the choice among them is native."""
+def extract_forum_thread(pages: DataFrame, page: str, html: str = "html", limit: int | None = None, jobs: int | None = None, talk: int | None = None) -> DataFrame:
+    """(page, thread_text). Comments become rows; the choice among them is native.
+
+    ``jobs`` and ``talk`` look at the first so many comments only, ``limit`` cuts the text.
+    """
     hiring = F.lower(html).contains("who is hiring")
     title = unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
     staged = pages.select(page, html, hiring.alias("hiring"), title.alias("title"))
     comments = _add(staged, lambda h: markup.forum_comments(h or ""), [html], "comments", T.ArrayType(T.StringType()))
     texts = F.transform("comments", lambda c, i: F.struct(i.alias("i"), c.alias("c")))
-    jobs = F.filter(
-        texts,
-        lambda t: (t["i"] < 50) & (F.length(t["c"]) >= 100) & contains_any(F.lower(t["c"]), rules.HIRING_WORDS),
-    )
-    talk = F.filter(texts, lambda t: (t["i"] < 20) & (t["c"] != ""))
+    looked, read = ((lambda t, n=n: F.lit(True) if n is None else t["i"] < n) for n in (jobs, talk))
+    offers = F.filter(texts, lambda t: looked(t) & (F.length(t["c"]) >= 100) & contains_any(F.lower(t["c"]), rules.HIRING_WORDS))
+    said = F.filter(texts, lambda t: read(t) & (t["c"] != ""))
     head = F.when(F.col("title") != "", F.array(F.concat(F.lit("# "), "title"))).otherwise(F.array().cast("array<string>"))
-    parts = F.when(F.col("hiring"), F.transform(jobs, lambda t: F.regexp_replace(t["c"], r"(?U)\s+", " "))).otherwise(
-        F.concat(head, F.transform(talk, lambda t: t["c"]))
+    parts = F.when(F.col("hiring"), F.transform(offers, lambda t: F.regexp_replace(t["c"], r"(?U)\s+", " "))).otherwise(
+        F.concat(head, F.transform(said, lambda t: t["c"]))
     )
-    return comments.select(page, truncate_text(F.array_join(parts, "\n\n---\n\n"), limit).alias("thread_text"))
+    whole = F.array_join(parts, "\n\n---\n\n")
+    return comments.select(page, (whole if limit is None else truncate_text(whole, limit)).alias("thread_text"))
 
 
 def extract_by_site(pages: DataFrame, page: str, url: str = "url", html: str = "html") -> DataFrame:
@@ -178,9 +180,12 @@ def best_org_match(df: DataFrame, key: str, name: str, orgs: str) -> DataFrame:
 
 def mention_context(
     mentions: DataFrame, pages: DataFrame, name: str = "name", url: str = "url", content: str = "content", window: int = 200,
-    max_content: int | None = 100_000,
+    max_content: int | None = None,
 ) -> DataFrame:
-    """(name, url, context) around the first mention, widened to line ends, highlighted."""
+    """(name, url, context) around the first mention, widened to line ends, highlighted.
+
+    With ``max_content`` longer pages get a notice in place of the context.
+    """
     rows = mentions.filter(~F.lower(name).isin(*rules.NO_CONTEXT_NAMES)).join(pages.select(url, content), url)
     at = F.instr(F.lower(content), F.lower(F.col(name))) - 1
     rows = rows.withColumn("_at", at).filter("_at >= 0")
@@ -207,19 +212,24 @@ def mention_context(
     return rows.select(name, url, F.when(F.length(piece) == 0, None).otherwise(context).alias("context"))
 
 
-def keyword_relevance(mentions: DataFrame, name: str, context: str, query: str, keep: list[str]) -> DataFrame:
-    """(keep, name, keyword, score): query words first, then the industry list; five at most."""
+def keyword_relevance(mentions: DataFrame, name: str, context: str, query: str, keep: list[str], most: int | None = None, max_context: int | None = None) -> DataFrame:
+    """(keep, name, keyword, score): query words first, then the industry list.
+
+    ``most`` keeps the first so many keywords of a row; with ``max_context`` longer contexts get one row, ("relevant", 0.5).
+    """
     words = F.filter(
         F.split(F.lower(query), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(*rules.KEYWORD_SKIP)
     )
     keywords = F.array_distinct(F.concat(words, F.array(*[F.lit(k) for k in rules.INDUSTRY_KEYWORDS])))
     low = F.lower(context)
-    hits = F.slice(F.filter(keywords, lambda k: F.contains(low, k)), 1, 5)
+    hits = F.filter(keywords, lambda k: F.contains(low, k))
+    hits = hits if most is None else F.slice(hits, 1, most)
     scored = F.transform(
         hits,
         lambda k: F.struct(k.alias("keyword"), F.least(F.lit(1.0), count_matches(low, k) / 10.0).alias("score")),
     )
     too_long = F.array(F.struct(F.lit("relevant").alias("keyword"), F.lit(0.5).cast("double").alias("score")))
     rows = mentions.filter(is_likely_name(F.col(name)) & (F.col(context) != ""))
-    rows = unnest(rows, [*keep, name], F.when(F.length(context) > 10000, too_long).otherwise(scored), "k")
+    found = scored if max_context is None else F.when(F.length(context) > max_context, too_long).otherwise(scored)
+    rows = unnest(rows, [*keep, name], found, "k")
     return rows.select(*keep, name, "k.keyword", "k.score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def limit_per_key(df: DataFrame, keys: list[str], order: list, k: int, out: str
 
 
 def limit_per_query(hits: DataFrame, query: str, rank: str, batch: int = 5, max_results: int = 10) -> DataFrame:
-    """min(batch, max, 5) hits per slice, two slices per query."""
-    size = min(batch, max_results, 5)
+    """min(batch, max) hits per slice, two slices per query."""
+    size = min(batch, max_results)
     kept = limit_per_key(hits, [query], [rank], 2 * size)
     return kept.withColumn("slice", F.floor((F.col("rn") - 1) / size).cast("int"))
 
@@ -62,5 +64,17 @@ def top_by_priority(df: DataFrame, priority: Column, order: str, n: int | None =
 
 def chunk_positions(chunks: DataFrame, doc: str, index: str) -> DataFrame:
     """Total per document joined back; a document with a third of all chunks is no hot task."""
-    totals = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("total_chunks"))
-    return chunks.join(totals, doc)
+    return join_totals(chunks, chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("total_chunks")), [doc])
+
+
+def join_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the totals of their keys, null keys too.
+
+    The totals come out of an aggregate on the same keys. A plain join would reuse that shuffle, and then
+    the optimizer cannot split a key that has most rows. The null-safe one gives both sides a
+    shuffle of their own, so it can.
+    """
+    named = totals.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in totals.columns if c not in keys])
+    same = [df[f"`{k}`"].eqNullSafe(named[f"_key{i}"]) for i, k in enumerate(keys)]
+    joined = df.join(named, reduce(Column.__and__, same))
+    return joined.drop(*[f"_key{i}" for i in range(len(keys))])

@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 from sievework import rules
 from sievework.functions import fields as fld
 from sievework.functions.parsing import parse_model_json, parse_name_list, parse_query_expansions
-from sievework.functions.text import is_blank, truncate_text, unnest
+from sievework.functions.text import is_blank, unnest
 from sievework.operators.joins import overlay_by_index
-from sievework.operators.keys import batch_ids, limit_per_key
+from sievework.operators.keys import batch_ids
 from sievework.operators.names import dedupe_basic, pick_representative
+from sievework.operators.positions import with_position
+from sievework.session import cut
 
 Model = Callable[[list[str]], list[str]]
 PROMPT_LIMIT = 15000
@@ -102,48 +104,57 @@ def filter_relevant(df: DataFrame, keep: list[str], names: str, query: Column, m
     return _subset(df, keep, names, prompt, model)
 
 
-def choose_names(groups: DataFrame, members: DataFrame, model: Model | None = None, query: str = "") -> DataFrame:
+def choose_names(groups: DataFrame, members: DataFrame, model: Model | None = None, query: str = "", per_prompt: int = 10) -> DataFrame:
     """(leader, name). Without a usable answer it is the first name of the group.
 
-    Only the ten first names of a group go into its prompt.
+    A prompt lists up to ``per_prompt`` names. Larger groups are asked about in slices, and then about the
+    names chosen there, until one is left; so every name of a group takes part.
     """
     first = pick_representative(groups)
     if model is None:
         return first.select("leader", "name")
-    few = limit_per_key(members, ["leader"], ["id"], 10).groupBy("leader")
-    listed = few.agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("m"))
-    names = F.transform("m", lambda m: m["name"])
-    answered = ask(
-        listed.select("leader", names.alias("names")), _prompt("choose", query=F.lit(query), names=F.array_join("names", ", ")), model
-    )
-    answered = answered.select("leader", F.get(parse_name_list(F.col("answer")), F.lit(0)).alias("choice"))
-    return first.join(answered, "leader", "left").select("leader", F.coalesce("choice", "name").alias("name"))
-
-
-def extract_structured(df: DataFrame, company: str, source: str, content: str, wanted: list[str], model: Model) -> DataFrame:
-    """(company, source, field, value, kind). One retry with shorter content.
-
-    The prompt limit is the service's; every content is asked about.
+    left = cut(members.select("leader", "id", "name"))
+    while True:
+        placed = with_position(left, "id", ["leader"], out="_at").withColumn("_slice", F.floor((F.col("_at") - 1) / per_prompt).cast("long"))
+        listed = placed.groupBy("leader", "_slice").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("m"))
+        listed = listed.select("leader", "_slice", F.transform("m", lambda m: m["name"]).alias("names"))
+        answered = ask(listed, _prompt("choose", query=F.lit(query), names=F.array_join("names", ", ")), model)
+        choice = F.get(parse_name_list(F.col("answer")), F.lit(0))
+        rounds_over = placed.filter("_slice > 0").isEmpty()
+        if rounds_over:
+            chosen = answered.select("leader", choice.alias("choice"))
+            return first.join(chosen, "leader", "left").select("leader", F.coalesce("choice", "name").alias("name"))
+        left = cut(answered.select("leader", F.col("_slice").alias("id"), F.coalesce(choice, F.get("names", F.lit(0))).alias("name")))
+
+
+def extract_structured(df: DataFrame, company: str, source: str, content: str, wanted: list[str], model: Model, limit: int = PROMPT_LIMIT, fallback: int = FALLBACK_LIMIT) -> DataFrame:
+    """(company, source, field, value, kind).
+
+    Content goes out in pieces of ``limit`` characters; a piece without a usable answer is asked about again in
+    pieces of ``fallback`` characters. Per field the first piece with a value counts, so all of a text is asked about.
     """
     base = df.select(company, source, content)
 
-    def question(frame: DataFrame, limit: int) -> DataFrame:
-        prompt = _prompt(
-            "fields", company=F.col(company), source=F.col(source), fields=F.lit(json.dumps(wanted)),
-            text=truncate_text(F.col(content), limit, "..."),
-        )
-        return parse_model_json(ask(frame, prompt, model), "answer", [company, source, content])
+    def in_pieces(frame: DataFrame, size: int, text: str, place: list[str], out: str) -> DataFrame:
+        last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
+        cuts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))
+        keep = [company, source, *place]
+        return unnest(frame.filter(F.col(text).isNotNull()), keep, cuts, "_piece", out)
+
+    def question(frame: DataFrame, place: list[str]) -> DataFrame:
+        prompt = _prompt("fields", company=F.col(company), source=F.col(source), fields=F.lit(json.dumps(wanted)), text=F.col("_piece"))
+        return parse_model_json(ask(frame, prompt, model), "answer", [company, source, *place, "_piece"])
 
-    first = question(base, PROMPT_LIMIT)
-    good = first.filter("valid").select(company, source, "json")
-    retry = question(first.filter("not valid").select(company, source, content), FALLBACK_LIMIT)
+    first = cut(question(in_pieces(base, limit, content, [], "_i"), ["_i"]))
+    good = first.filter("valid").select(company, source, "_i", F.lit(0).alias("_j"), "json")
+    again = question(in_pieces(first.filter("not valid"), fallback, "_piece", ["_i"], "_j"), ["_i", "_j"])
     failed = F.to_json(F.create_map(F.lit("Company Name"), F.col(company).cast("string"), F.lit("error"), F.col("error")))
-    retry = retry.select(company, source, F.coalesce("json", failed).alias("json"))
-    rows = good.unionByName(retry).select(F.struct(company, source).alias("_key"), "json")
+    again = again.select(company, source, "_i", F.col("_j").alias("_j"), F.coalesce("json", failed).alias("json"))
+    rows = good.unionByName(again).select(F.struct(company, source, "_i", "_j").alias("_key"), "json")
     out = fld.coerce_fields(rows, "_key", "json")
-    return out.filter(~is_blank(F.col("value"), tuple(rules.EMPTY_SPELLINGS) + ("[]", "{}"))).select(
-        f"_key.{company}", f"_key.{source}", "field", "kind", "value"
-    )
+    out = out.filter(~is_blank(F.col("value"), tuple(rules.EMPTY_SPELLINGS) + ("[]", "{}")))
+    best = out.groupBy(f"_key.{company}", f"_key.{source}", "field").agg(F.min_by(F.struct("kind", "value"), F.struct("_key._i", "_key._j")).alias("_b"))
+    return best.select(company, source, "field", "_b.kind", "_b.value")
 
 
 def analyze(df: DataFrame, company: str, text: Column, wanted: list[str], model: Model) -> DataFrame:
@@ -166,8 +177,10 @@ def validate_companies(df: DataFrame, index: str, record: str, query: str, model
     )
     answered = ask(listed, _prompt("correct", query=F.lit(query), records=F.col("records")), model)
     parsed = parse_model_json(answered.drop("error"), "answer", ["chunk", "indices"])
-    values = F.transform(F.try_variant_get(F.try_parse_json("json"), "$", "array<variant>"), lambda v: F.to_json(v))
-    chunks = parsed.select("chunk", (F.col("valid") & values.isNotNull()).alias("ok"), "indices", values.alias("values"))
+    listed_values = F.transform(F.try_variant_get(F.try_parse_json("json"), "$", "array<variant>"), lambda v: F.to_json(v))
+    values = F.coalesce(listed_values, F.when(F.col("json").startswith("{"), F.array("json")))  # one object goes to the first index
+    # written down, so that answers are parsed once and nobody is asked again
+    chunks = cut(parsed.select("chunk", (F.col("valid") & values.isNotNull()).alias("ok"), "indices", values.alias("values")))
     return overlay_by_index(df.select(F.col(index).cast("long").alias(index), record), index, chunks, record)
 
 

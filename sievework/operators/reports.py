@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework import rules
 from sievework.functions.text import contains_any, is_blank
-from sievework.operators.keys import limit_per_key
+from sievework.operators.keys import join_totals, limit_per_key
 from sievework.operators.positions import micros, with_position
 
 
@@ -123,7 +123,7 @@ def api_usage(log: DataFrame, key: str = "key", ts: str = "ts", failed: str = "f
         F.count(F.lit(1)).alias("calls"), F.count_if(F.col(failed)).alias("errors")
     )
     total = daily.groupBy(key).agg(F.sum("calls").alias("total_calls"))
-    return daily.join(total, key)
+    return join_totals(daily, total, [key])
 
 
 def key_cooldowns(log: DataFrame, key: str = "key", ts: str = "ts", code: str = "code", order: str = "order") -> DataFrame:
@@ -209,10 +209,11 @@ def context_report(pairs: DataFrame, contexts: DataFrame, keywords: DataFrame, t
     )
 
 
-def combine_snippets(hits: DataFrame, company: str, rank: str, title: Column, url: Column, snippet: Column, search_cap: int = 100) -> DataFrame:
-    """One text per company from its hits in rank order (a search gives at most 100)."""
+def combine_snippets(hits: DataFrame, company: str, rank: str, title: Column, url: Column, snippet: Column, search_cap: int | None = None) -> DataFrame:
+    """One text per company from all its hits in rank order, or from the first ``search_cap`` ranks."""
     block = F.concat(F.lit("Title: "), title, F.lit("\nURL: "), url, F.lit("\nSnippet: "), snippet, F.lit("\n\n"))
-    rows = hits.filter(F.col(rank) <= search_cap).select(company, rank, block.alias("b"))
+    kept = hits if search_cap is None else hits.filter(F.col(rank) <= search_cap)
+    rows = kept.select(company, rank, block.alias("b"))
     ordered = F.array_sort(F.collect_list(F.struct(rank, "b")))
     grouped = rows.groupBy(company).agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "").alias("body"))
     head = F.concat(F.lit("General information for "), F.col(company).cast("string"), F.lit(":\n\n"))

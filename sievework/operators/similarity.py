@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.text import extract_keywords, has_keyword, let, normalize_query, unnest
-from sievework.operators.keys import first_per_key
+from sievework.operators.keys import first_per_key, join_totals
 from sievework.operators.leaders import leaders_in_waves
 from sievework.operators.positions import with_position
 from sievework.session import cut
@@ -43,14 +43,14 @@ def copies_of(sets: DataFrame) -> DataFrame:
     """(id, rep): the lowest id with the same set, for every row."""
     digests = cut(sets.select("id", F.md5(F.array_join("tokens", "\u0001")).alias("_d")))
     reps = digests.groupBy("_d").agg(F.min("id").alias("rep"))
-    return digests.join(reps, "_d").select("id", "rep")
+    return join_totals(digests, reps, ["_d"]).select("id", "rep")
 
 
 def rare_first(sets: DataFrame) -> DataFrame:
     """Tokens of each set as (frequency, token), rarest first."""
     rows = unnest(sets, ["id"], F.col("tokens"), "token")
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
-    ordered = rows.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("r"))
+    ordered = join_totals(rows, counts, ["token"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("r"))
     return sets.join(ordered, "id").select("id", "n", "tokens", F.transform("r", lambda x: x["token"]).alias("ranked"))
 
 

@@ -28,13 +28,13 @@ class Discovery:
     mentions: DataFrame
 
 
-def discover(queries: DataFrame, hits: DataFrame, pages: DataFrame, model: Model | None = None, per_batch: int = 5) -> Discovery:
+def discover(queries: DataFrame, hits: DataFrame, pages: DataFrame, model: Model | None = None, per_batch: int = 5, max_results: int = 10) -> Discovery:
     """P01. ``queries(query_id, query)``, ``hits(query_id, rank, title, url, snippet)``, ``pages(url, html)``.
 
     Without a model the names come from the organisation patterns and are all kept.
     """
     wanted = dedupe_queries(queries, "query_id", "query")
-    few = limit_per_query(hits.join(wanted, "query_id"), "query_id", "rank", per_batch)
+    few = limit_per_query(hits.join(wanted, "query_id"), "query_id", "rank", per_batch, max_results)
     few = few.filter(~urls.is_skipped(F.col("url")))
     found = cut(joins.hits_with_pages(few, pages))
     # a page that several queries hit is read once

@@ -12,6 +12,7 @@ from sievework.functions.text import is_blank, strip
 from sievework.operators.joins import append_new, merge_append, union_by_key_set
 from sievework.operators.keys import last_per_key
 from sievework.operators.names import dedupe_basic
+from sievework.sources.tables import is_missing
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +65,9 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """All text; an empty table when there is none."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not is_missing(problem):
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField("Company Name", T.StringType())]))
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
 
@@ -159,7 +162,9 @@ def append_to_target(spark: SparkSession, results: DataFrame, target: str, order
 
     try:
         known = spark.read.parquet(target).select("Company Name")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not is_missing(problem):
+            raise
         known = spark.createDataFrame([], "`Company Name` string")
     seen = Observation("appended")
     fresh = append_new(results, known, "Company Name", order, batch_info)

@@ -18,6 +18,11 @@ QUERY_LIST_HEADER = [
 ]
 
 
+def is_missing(problem: AnalysisException) -> bool:
+    """Whether a read failed because nothing has been written at the path yet."""
+    return problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -70,24 +75,26 @@ def search_hits(df: DataFrame, start: int = 0, limit: int | None = None) -> Data
     url = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("url", "link") if c in have])
     hits = df.withColumn("url", url).drop("link").filter(~is_blank(F.col("url")))
     if limit is not None:
-        hits = hits.filter((F.col("rank") > start) & (F.col("rank") <= start + min(limit, 100)))
+        hits = hits.filter((F.col("rank") > start) & (F.col("rank") <= start + limit))
     return hits
 
 
 def read_kv(spark: SparkSession, root: str, table: str) -> DataFrame:
     """S16."""
     ddl, _ = schemas.KV_TABLES[table]
-    try:
-        return spark.read.schema(ddl).parquet(f"{root}/{table}/current_{_version(spark, root, table)}")
-    except AnalysisException:
-        return spark.createDataFrame([], ddl)
+    version = _version(spark, root, table)
+    return spark.read.schema(ddl).parquet(f"{root}/{table}/current_{version}") if version else spark.createDataFrame([], ddl)
 
 
 def _version(spark: SparkSession, root: str, table: str) -> int:
+    """0 where the table has never been written; any other failure to read rises."""
     try:
-        return spark.read.text(f"{root}/{table}/VERSION").agg(F.max(F.col("value").cast("int"))).first()[0] or 0
-    except AnalysisException:
+        versions = spark.read.text(f"{root}/{table}/VERSION")
+    except AnalysisException as problem:
+        if not is_missing(problem):
+            raise
         return 0
+    return versions.agg(F.max(F.col("value").cast("int"))).first()[0] or 0
 
 
 def write_kv(spark: SparkSession, root: str, table: str, rows: DataFrame) -> None:

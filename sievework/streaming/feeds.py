@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException
 from sievework.functions import urls
 from sievework.operators.joins import append_new
 from sievework.operators.keys import last_per_key
-from sievework.sources.tables import write_kv
+from sievework.sources.tables import is_missing, write_kv
 
 
 def _timed(stream: DataFrame, ts: str) -> DataFrame:
@@ -25,7 +25,9 @@ def company_feed(stream: DataFrame, target: str, checkpoint: str, name: str = "C
         spark = batch.sparkSession
         try:
             known = spark.read.parquet(target).filter(F.col("batch_id") != batch_id).select(name)
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not is_missing(problem):
+                raise
             known = spark.createDataFrame([], f"`{name}` string")
         fresh = append_new(batch, known, name, order, f"batch {batch_id}")
         fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
@@ -99,9 +101,11 @@ def activity_sessions(stream: DataFrame, key: str, ts: str, status: str, gap: st
     )
 
 
-def run_to_end(writer, timeout: int = 300) -> None:
-    """Process what is there, then stop."""
+def run_to_end(writer, timeout: int | None = None) -> None:
+    """Process what is there, then stop; with ``timeout`` a stream that takes more seconds is stopped and fails."""
     query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not finish")
