@@ -1,19 +1,19 @@
 """Row positions and bounded windows that stay balanced when one key holds most rows.
 
-A plain window sorts a whole key in one task. Here the order column is cut into quantile
-buckets first; a key is then spread over its buckets, and only one count per (key, bucket)
-is summed up to get the offset of each bucket. Bounded frames (lag, lead, the last n rows)
-run on fixed-size blocks of positions with a few rows of overlap.
+A plain window sorts a whole key in one task. Here all rows are range-partitioned by key, order and
+ties, and at last by a hash of the row, so a key and even one order value is spread over ranges of
+about equal size. Only one count per (key, range) is summed up to get the offset of each range.
+Bounded frames (lag, lead, the last n rows) run on fixed-size blocks of positions with a few rows of overlap.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 4096
+from sievework.session import cut
+
 BLOCK = 200_000
 
 
@@ -22,36 +22,21 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def _number(df: DataFrame, order: str) -> Column:
-    """A double that never decreases as ``order`` grows."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(order), "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return micros(order).cast("double")
-    return F.col(order).cast("double")
+def in_ranges(df: DataFrame, by: list[Column], ranges: int | None = None, out: str = "_range") -> DataFrame:
+    """Rows dealt to ranges of about equal size in the order ``by``, with the number of their range.
 
+    Spark takes the bounds from a sample of whole values. The rows are written down, so that their ranges
+    stay and the input is worked out twice only: for the sample and for the ranges.
+    """
+    if ranges is None:
+        ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(ranges, *by).withColumn(out, F.spark_partition_id()))
 
-def order_buckets(df: DataFrame, order: str, buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    """Cut ``order`` at its own quantiles; only the cut points reach the driver.
 
-    NULLs have a bucket of their own after all others.
-    """
-    if buckets is None:
-        buckets = min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probes = [i / buckets for i in range(1, buckets)]
-    number = _number(df, order)
-    cuts = []
-    if probes:
-        cuts = df.agg(F.percentile_approx(number, F.lit(probes), 10 * buckets).alias("c")).first()["c"] or []
-    if not cuts:
-        return df.withColumn(out, F.lit(0))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol="_number", outputCol="_cut", handleInvalid="keep")
-    return cutter.transform(df.withColumn("_number", number)).withColumn(
-        out, F.coalesce(F.col("_cut").cast("int"), F.lit(len(splits)))
-    ).drop("_number", "_cut")
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def with_position(
@@ -65,22 +50,22 @@ def with_position(
 ) -> DataFrame:
     """1-based position of each row by ``order`` (then ``ties``), overall or per key.
 
-    Rows are shuffled once, by (key, bucket); the offsets join on the same columns. The key is
-    one struct, so that NULL keys match each other.
+    Rows without an order value come last, or first when descending. Rows that are alike in order and ties
+    stand in the order of a hash. The key is one struct, so that NULL keys match each other.
     """
-    keys = keys or []
     group = F.struct(*keys) if keys else F.lit(0)
-    marked = order_buckets(df, order, buckets).withColumn("_group", group)
-    sizes = marked.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # at most one row per bucket and key is summed up here
-    steps = Window.partitionBy("_group").orderBy(F.desc("_bucket") if descending else F.asc("_bucket"))
-    before = F.sum("_n").over(steps.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_group", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    first = F.desc(order) if descending else F.asc(order)
-    inside = Window.partitionBy("_group", "_bucket").orderBy(first, *(ties or []))
-    numbered = marked.withColumn("_rn", F.row_number().over(inside))
-    joined = numbered.join(offsets, ["_group", "_bucket"])
-    return joined.withColumn(out, F.col("_before") + F.col("_rn")).drop("_group", "_bucket", "_before", "_rn")
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    marked = df.withColumns({"_group": group, "_same": F.xxhash64(*hashed)})
+    first = F.desc_nulls_first(order) if descending else F.asc_nulls_last(order)
+    by = [first, *[F.col(t) for t in ties or []], F.col("_same")]
+    ranged = in_ranges(marked, [F.col("_group"), *by] if keys else by, buckets)
+    sizes = ranged.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # at most one row per range and key is summed up here
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_group", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*by)))
+    joined = numbered.join(offsets, ["_group", "_range"])
+    return joined.withColumn(out, F.col("_before") + F.col("_rn")).drop("_group", "_range", "_same", "_before", "_rn")
 
 
 def in_blocks(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import keys, windows
-from sievework.operators.positions import with_neighbours, with_position
+from sievework.operators.positions import in_ranges, with_neighbours, with_position
 
 
 def skewed(n=600):
@@ -50,6 +50,22 @@ def test_string_order_and_empty(spark):
     assert with_position(df.filter("false"), "w").count() == 0
 
 
+@pytest.mark.parametrize("value", ["F.lit(7)", "F.when(F.col('id') % 10 > 0, 7).otherwise(F.col('id'))", "F.concat(F.lit('Customer#00000'), F.col('id'))"])
+def test_ranges_are_even(spark, value):
+    df = spark.range(40_000).withColumn("t", eval(value))
+    ranged = in_ranges(df, [F.col("t"), F.xxhash64("t", "id")], 8)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 40_000 / 8
+    pos = with_position(df, "t", ties=["id"], buckets=8)
+    assert [r["t"] for r in pos.orderBy("pos").select("t").collect()] == [r["t"] for r in df.orderBy("t", "id").select("t").collect()]
+
+
+def test_descending_puts_rows_without_order_first(spark):
+    df = spark.createDataFrame([(None, 1), (5, 2), (3, 3), (5, 1), (None, 0)], "t int, i int")
+    rows = {(r["t"], r["i"]): r["pos"] for r in with_position(df, "t", ties=["i"], descending=True, buckets=3).collect()}
+    assert rows == {(None, 0): 1, (None, 1): 2, (5, 1): 3, (5, 2): 4, (3, 3): 5}
+
+
 @pytest.mark.parametrize("block", [2, 5, 1000])
 def test_neighbours_across_blocks(spark, block):
     rows = skewed(200)
