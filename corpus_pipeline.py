@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import decontamination, mixing, quality, sharding, simhash
-from sievework.llm.common import documents, load, shared_folder
+from sievework.llm.common import documents, load, stored
 
 SHARDS = 8
 
@@ -48,10 +46,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; what each returns is a Parquet table in the shared folder that the next one reads."""
-    docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
 
 
