@@ -19,7 +19,20 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 FEW = 1_000_000
 
 
-def bands_for(similarity: float, recall: float = 0.99, rows: int = 2) -> int:
+#: Minima in a band: paragraphs that share a third of their shingles rarely share four of them.
+ROWS = 4
+
+
+def least_size(similarity: float) -> int:
+    """Words of the shortest paragraph that can have that similarity with a different one: with s shingles
+    of at most s + 1 in both, it is s / (s + 1)."""
+    shingles = 1
+    while shingles < similarity * (shingles + 1) - 1e-9:
+        shingles += 1
+    return shingles + WIDTH - 1
+
+
+def bands_for(similarity: float, recall: float = 0.99, rows: int = ROWS) -> int:
     """The fewest bands of ``rows`` minima that two paragraphs of that similarity share one of, with that probability."""
     bands = 1
     while 1 - (1 - similarity**rows) ** bands < recall:
@@ -87,22 +100,30 @@ class Paragraphs:
         order = np.argsort(owner, kind="stable")
         self.shingles, self.of = made[order], owner[order]
 
-    def bands(self, count: int, rows: int) -> np.ndarray:
-        """(paragraphs x count): hashes of ``rows`` minima each."""
-        starts = np.searchsorted(self.of, np.arange(len(self.key)))
-        made = np.empty((len(self.key), count), np.int64)
+    def bands(self, which: np.ndarray, count: int, rows: int) -> np.ndarray:
+        """(paragraphs ``which`` x count): hashes of the band's number and ``rows`` minima each."""
+        made = np.empty((len(which), count), np.int64)
+        if not len(which):
+            return made
+        own = np.zeros(len(self.key), bool)
+        own[which] = True
+        shingles, of = self.shingles[own[self.of]], self.of[own[self.of]]
+        starts = np.searchsorted(of, which)
         with np.errstate(over="ignore"):
             for band in range(count):
-                total = np.full(len(self.key), band, np.uint64)
+                total = np.full(len(which), band, np.uint64)
                 for row in range(rows):
-                    least = np.minimum.reduceat(_mix(self.shingles + np.uint64(band * rows + row + 1) * GOLDEN), starts)
+                    number = np.uint64(band * rows + row + 1)
+                    least = np.minimum.reduceat((shingles ^ (number * GOLDEN)) * (number * np.uint64(0xC2B2AE3D27D4EB4E) + np.uint64(1)), starts)
                     total = _mix(total * GOLDEN + least)
                 made[:, band] = total.view(np.int64)
         return made
 
 
-def places(docs: DataFrame, count: int, rows: int) -> DataFrame:
-    """Rows of paragraphs (d, number, first, size, key) and, once for each key and batch, rows of their bands (key, bands)."""
+def places(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """(d, number, first, size, key, bands) of paragraphs; a batch has the bands of a key once, and of none
+    that is too short to be similar to a different one."""
+    count, least = bands_for(similarity, recall), least_size(similarity)
     schema = StructType([StructField("d", LongType()), *[StructField(c, IntegerType()) for c in ("number", "first", "size")], StructField("key", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,37 +132,39 @@ def places(docs: DataFrame, count: int, rows: int) -> DataFrame:
             if not len(found.key):
                 continue
             d = part.column("d").to_numpy(zero_copy_only=False)[found.text]
-            bands = found.bands(count, rows)
-            once = np.unique(found.key, return_index=True)[1]
-            own = np.zeros(len(found.key), bool)
-            own[once] = found.size[once] >= WIDTH  # shorter ones can only be equal
-            made = pa.array([b if k else None for b, k in zip(bands, own)], pa.list_(pa.int64()))
+            once = np.sort(np.unique(found.key, return_index=True)[1])
+            once = once[found.size[once] >= least]
+            ends = np.zeros(len(found.key) + 1, np.int32)
+            ends[once + 1] = count
+            values = pa.array(found.bands(once, count, ROWS).ravel())
+            made = pa.ListArray.from_arrays(pa.array(np.cumsum(ends).astype(np.int32)), values)
             numbers = [pa.array(x.astype(np.int32)) for x in (found.number, found.first, found.size)]
             yield pa.RecordBatch.from_arrays([pa.array(d), *numbers, pa.array(found.key), made], names=["d", "number", "first", "size", "key", "bands"])
 
     return docs.mapInArrow(run, StructType([*schema.fields, StructField("bands", ArrayType(LongType()))]))
 
 
-def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, set): the shingles of the paragraphs ``keys``, read from the texts again."""
-    wanted = np.sort(np.array([r.key for r in keys.collect()], np.int64)) if keys.count() <= FEW else None
+def shingle_sets(docs: DataFrame, where: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, set): the shingles of the paragraphs ``keys``, read again from one text each that has them (``where``: d, key)."""
+    keys = cut(keys)
+    few = keys.count() <= FEW
+    found_in = where.select(F.col("key").alias("k"), "d").join(F.broadcast(keys) if few else keys, F.col("k") == F.col("key")).groupBy("key").agg(F.min("d").alias("d"))
+    texts = cut(found_in.select("d").distinct())
+    held = docs.join(F.broadcast(texts) if texts.count() <= FEW else texts, "d", "left_semi")
+    wanted = np.sort(np.array([r.key for r in keys.collect()], np.int64)) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
         for part in pieces(batches, "text"):
             found = Paragraphs(bytes_of(part.column("text")))
             pick = np.unique(found.key, return_index=True)[1]
             if wanted is not None:
                 pick = pick[np.isin(found.key[pick], wanted)]
-            pick = [i for i in pick.tolist() if int(found.key[i]) not in done]
-            if len(done) < FEW:
-                done.update(int(found.key[i]) for i in pick)
             edges = np.searchsorted(found.of, np.arange(len(found.key) + 1))
             sets = [np.unique(found.shingles[edges[i] : edges[i + 1]]).view(np.int64) for i in pick]
             yield pa.RecordBatch.from_arrays([pa.array(found.key[pick]), pa.array(sets, pa.list_(pa.int64()))], names=["key", "set"])
 
-    sets = docs.select("text").mapInArrow(run, "key long, set array<long>")
-    if wanted is None:
+    sets = held.select("text").mapInArrow(run, "key long, set array<long>")
+    if not few:
         sets = sets.join(keys, "key", "left_semi")
     return stored(sets.dropDuplicates(["key"]))
 
@@ -167,18 +190,18 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     """
     content = F.coalesce(named(text), F.lit(""))
     rows = docs.select(named(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(named(doc_id), content).alias("d"))
-    every = stored(places(rows.select("d", "text"), bands_for(similarity, recall), 2))
-    banded = every.filter("bands is not null").select("key", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("band", "value", "lo")
-    members = stored(banded.join(shared.withColumnsRenamed({"band": "b2", "value": "v2"}), (F.col("band") == F.col("b2")) & (F.col("value") == F.col("v2"))).select("band", "value", "key", "lo").distinct())
-    sets = shingle_sets(rows, members.select("key").distinct())
+    every = stored(places(rows.select("d", "text"), similarity, recall))
+    banded = every.filter("size(bands) > 0").select("key", F.explode("bands").alias("value"))
+    shared = banded.groupBy("value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select(F.col("value").alias("v"), "lo")
+    members = stored(banded.join(shared, F.col("value") == F.col("v")).select("value", "key", "lo").distinct())
+    sets = shingle_sets(rows.select("d", "text"), every, members.select("key").distinct())
     links = cut(verified(members.filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), sets, similarity))
     found = cut(components(links))
-    classed = members.join(found, F.col("key") == F.col("node"), "left").select("band", "value", "key", F.coalesce("root", "key").alias("class"))
-    apart = classed.groupBy("band", "value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.countDistinct("key").alias("n")).filter("lo < hi and n > 2")
-    left = cut(classed.join(apart.select("band", "value"), ["band", "value"], "left_semi"))
-    other = left.select("band", "value", F.col("key").alias("b"), F.col("class").alias("c2"))
-    again = left.join(other, ["band", "value"]).filter((F.col("key") < F.col("b")) & (F.col("class") != F.col("c2"))).select(F.col("key").alias("a"), "b").distinct()
+    classed = members.join(found, F.col("key") == F.col("node"), "left").select("value", "key", F.coalesce("root", "key").alias("class"))
+    apart = classed.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.countDistinct("key").alias("n")).filter("lo < hi and n > 2")
+    left = cut(classed.join(apart.select("value"), "value", "left_semi"))
+    other = left.select("value", F.col("key").alias("b"), F.col("class").alias("c2"))
+    again = left.join(other, "value").filter((F.col("key") < F.col("b")) & (F.col("class") != F.col("c2"))).select(F.col("key").alias("a"), "b").distinct()
     found = cut(components(links.union(verified(again, sets, similarity))))
 
     where = every.select("d", "number", "first", "size", "key")

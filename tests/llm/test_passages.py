@@ -29,7 +29,11 @@ def test_cuts_inside_of_a_passage_do_not_move(prose):
 def test_bands_reach_the_recall():
     for similarity in (0.5, 0.8, 0.95):
         b = passages.bands_for(similarity)
-        assert 1 - (1 - similarity**2) ** b >= 0.99 > 1 - (1 - similarity**2) ** (b - 1)
+        assert 1 - (1 - similarity**4) ** b >= 0.99 > 1 - (1 - similarity**4) ** (b - 1)
+
+
+def test_short_paragraphs_can_only_be_equal():
+    assert [passages.least_size(s) for s in (0.5, 0.8, 0.9)] == [5, 8, 13]
 
 
 def case(prose):
