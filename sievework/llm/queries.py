@@ -120,3 +120,65 @@ b as (select *, sum(size) over (partition by g order by k, size rows unbounded p
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::bigint taken
 from b join e using (g)
 """
+
+_BLANKS = r"[^\x20\x09-\x0D]"
+_MEASURES = {
+    "symbols": ("n_symbols", "word_chars"), "marks": ("n_marks", "word_chars"), "capitals": ("n_upper", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"), "variety": ("n_distinct", "n_words"),
+}
+_LONG = ", ".join(f"{{'m': '{m}', 'v': case when {b} > 0 then 1000 * {a} // {b} else 0 end}}" for m, (a, b) in _MEASURES.items())
+_LEAST = "case m " + " ".join(f"when '{m}' then {quality.MEASURES[m][1]}" for m in _MEASURES) + " end"
+_SIDE = "case m " + " ".join(f"when '{m}' then '{quality.MEASURES[m][0]}'" for m in _MEASURES) + " end"
+
+
+def _limits(name: str, by: str) -> str:
+    """Fences of the groups ``by``, from the bins of ``binned``."""
+    keys = f"{by}, m" if by else "m"
+    return f"""{name}_c as (select {keys}, bin, sum(n) over (partition by {keys} order by bin) upto, sum(n) over (partition by {keys}) total
+        from (select {keys}, bin, sum(n) n from binned group by {keys}, bin)),
+    {name}_q as (select {keys}, max(total) n, min(bin) filter (upto >= total * 0.25) q0, min(bin) filter (upto >= total * 0.75) q2 from {name}_c group by {keys}),
+    {name} as (select {keys}, n, case when {_SIDE} = 'high' then -1 else q0 - 3 * greatest(q2 - q0, {_LEAST}) end low,
+        case when {_SIDE} = 'low' then 4611686018427387904 else q2 + 3 * greatest(q2 - q0, {_LEAST}) end high from {name}_q)"""
+
+
+def _missing(letters: str) -> str:
+    return f"(length(t) - length(regexp_replace(t, '{letters}', '', 'g')))"
+
+
+ORACLE["op1_quality_rules"] = f"""
+with d as (
+    select row_number() over () r, doc_id, coalesce(text, '') t, case when lang is null then 'n' else 'a' || lang end l, case when source is null then 'n' else 'a' || source end s,
+        {_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_BLANKS}')) ls from documents),
+p as (select r, generate_subscripts(w, 1) i from d),
+g as (select r, i, array_to_string(w[i:i + 4], ' ') g from (select r, w, unnest(generate_series(1, len(w) - 4)) i from d where len(w) >= 5)),
+f as (select r, i from (select r, i, count(*) over (partition by r, g) c from g) where c > 1),
+e as (select r, i, max(case when f.i is null then 0 else 1 end) over (partition by r order by i rows between 4 preceding and current row) x from p left join f using (r, i)),
+n as (select r, count(*) n from e where x = 1 group by r),
+c as (
+    select r, doc_id, l, s, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, {_missing("[#*$%&|<>]")}::bigint n_symbols,
+        (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(n.n, 0)::bigint n_repeat_words, len(ls) n_lines, {_missing(r"\p{Lu}")} n_upper, {_missing("!")} n_marks, len(list_distinct(w)) n_distinct
+    from d left join n using (r)),
+k as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from c),
+u as (select r, l, s, base_failed, x.m m, x.v v from (select r, l, s, base_failed, unnest([{_LONG}]) x from k)),
+binned as (select l, s, m, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) bin, count(*) n from u where not base_failed group by all),
+{_limits("mine", "l, s")},
+{_limits("language", "l")},
+{_limits("every", "")},
+v as (
+    select r, m, case when a.n >= 200 then v < a.low or v > a.high when b.n >= 200 then v < b.low or v > b.high else v < o.low or v > o.high end outside
+    from u left join mine a using (l, s, m) left join language b using (l, m) left join every o using (m)),
+x as (select r, coalesce(string_agg(m, ' ' order by list_position({list(_MEASURES)}, m)) filter (outside), '') failed from v group by r)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and failed = '' kept, failed from k join x using (r)
+"""
+
+ORACLE["op6_shard"] = f"""
+with tab as (select list(v order by n) tab from (
+    select n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from (select unnest(range(256)) n))),
+d as (select doc_id, case when source is null then 'n' else 'a' || source end g, hex(coalesce(text, '')) h, md5('{sharding.SEED}:' || coalesce(doc_id::varchar, '')) k from documents),
+c as (select doc_id, g, k, length(h) // 2 + 1 size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) crc from d, tab),
+r as (select *, ((row_number() over (partition by g order by k, crc, size) - 1) + ('0x' || substr(md5('{sharding.SEED}:' || g), 1, 8))::bigint / 4294967296.0::double) / count(*) over (partition by g) lie from c),
+p as (select *, row_number() over (order by lie, g, k, crc, size) - 1 pos, count(*) over () n from r),
+s as (select *, pos * 8 // n shard from p)
+select doc_id, size::bigint size, crc::bigint text_crc32, 'rows' law, shard::int shard, (pos - (shard * n + 7) // 8)::bigint slot, null::int grown_shard from s
+"""
