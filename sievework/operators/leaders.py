@@ -9,30 +9,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.operators.components import components
 from sievework.session import cut
 
 ROWS_PER_FIRST_WAVE = 50_000
 
 
-def members_of(edges: DataFrame) -> DataFrame:
+def members_of(edges: DataFrame, rounds: int = 4, in_one_task: int = 1_000_000) -> DataFrame:
     """Ids that some leader takes; ``edges`` has low < high.
 
-    Each round: a node without an undecided lower neighbour leads and takes its neighbours.
+    Each round: a node without an undecided lower neighbour leads and takes its neighbours. That settles all but
+    long chains, which would need a round for every two links. After ``rounds`` rounds the rest is cut into its
+    connected components; one of up to ``in_one_task`` edges is settled by the sequential rule in one task, and
+    only larger ones go on in rounds.
     """
     left = cut(edges.select("low", "high").distinct())
-    taken = None
+    taken = left.select(F.col("low").alias("id")).limit(0)
     while not left.isEmpty():
-        lead = left.select(F.col("low").alias("id")).distinct().join(
-            left.select(F.col("high").alias("id")).distinct(), "id", "left_anti"
-        )
-        new = cut(left.join(lead, left["low"] == lead["id"], "left_semi").select(F.col("high").alias("id")).distinct())
-        taken = new if taken is None else taken.unionByName(new)
-        left = left.join(new, left["low"] == new["id"], "left_anti")
-        left = cut(left.join(new, left["high"] == new["id"], "left_anti"))
-    return left.select(F.col("low").alias("id")) if taken is None else taken
+        for _ in range(rounds):
+            lead = left.select(F.col("low").alias("id")).distinct().join(left.select(F.col("high").alias("id")).distinct(), "id", "left_anti")
+            new = cut(left.join(lead, left["low"] == lead["id"], "left_semi").select(F.col("high").alias("id")).distinct())
+            taken = taken.unionByName(new)
+            left = left.join(new, left["low"] == new["id"], "left_anti")
+            left = cut(left.join(new, left["high"] == new["id"], "left_anti"))
+            if left.isEmpty():
+                return taken
+        found = components(left.select(F.col("low").alias("a"), F.col("high").alias("b")))
+        parted = cut(left.join(found, left["low"] == found["node"]).select("low", "high", "root"))
+        small = parted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= in_one_task).select(F.col("root").alias("r"))
+        kind = edges.schema["low"].dataType.simpleString()
+        ready = parted.join(small, F.col("root") == F.col("r"), "left_semi")
+        taken = taken.unionByName(cut(ready.groupBy("root").applyInPandas(_settle, f"id {kind}")))
+        left = cut(parted.join(small, F.col("root") == F.col("r"), "left_anti").select("low", "high"))
+    return taken
+
+
+def _settle(edges: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule on all edges of a component."""
+    taken: set = set()
+    for low, high in edges.sort_values("low")[["low", "high"]].itertuples(index=False):
+        if low not in taken:
+            taken.add(high)
+    return pd.DataFrame({"id": list(taken)}, dtype=edges["high"].dtype)
 
 
 def greedy_leader_groups(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:

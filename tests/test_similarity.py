@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import leaders, names
 from sievework.operators import similarity as sim
+from sievework.session import cut as session_cut
 
 
 def greedy(n, similar):
@@ -33,6 +34,24 @@ def test_greedy_groups_on_random_graphs(spark, seed, density):
     assert got == greedy(n, lambda i, j: (i, j) in edges)
 
 
+def test_a_long_chain_takes_a_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(leaders, "cut", lambda df: rounds.append(1) or session_cut(df))
+    n = 100_000
+    table = spark.range(n - 1).select(F.col("id").alias("low"), (F.col("id") + 1).alias("high")).repartition(4)
+    taken = leaders.members_of(table)
+    assert taken.count() == n // 2 and taken.filter("id % 2 = 0").isEmpty()
+    assert len(rounds) < 20
+
+
+@pytest.mark.parametrize("in_one_task", [0, 3, 10**6])
+def test_large_components_go_on_in_rounds(spark, in_one_task):
+    edges = {(i, i + 1) for i in range(20)} | {(30 + i, 31 + i) for i in range(3)} | {(50, 60), (50, 70), (60, 70)}
+    got = {r.id for r in leaders.members_of(spark.createDataFrame(sorted(edges), "low long, high long"), 1, in_one_task).collect()}
+    owner = greedy(80, lambda i, j: (i, j) in edges)
+    assert got == {i for i, o in owner.items() if i != o}
+
+
 NAMES = (
     "acme robotics|acme robotic|acmee robotics|robotics acme|tide|diet|ac|abc|bc|abd|x|xy|yx|xyz|beta labs|beta lab|betalabs inc|"
     "gamma ray systems|gamma-ray system|gama ray systems|delta|deltas|delta s|omega works|omega worx|omega wrks|north wind|nort wind|"
