@@ -9,7 +9,6 @@ from sievework.catalog.fields import F01_SQL, named
 from sievework.catalog.sources import scratch
 from sievework.operators import model as m
 from sievework.operators import names
-from sievework.operators.keys import limit_per_key
 from sievework.plans import flows
 
 
@@ -97,11 +96,16 @@ def m09(t):
     return m.llm_dedupe(t("part").select("p_partkey", "p_name"), "p_partkey", "p_name", m.rule_model)
 
 
+#: Hits per query: all of them.
+EVERY = 1_000_000_000
+
+
 def _page_hits(t):
-    """Every page is a hit of one of the part-name queries."""
+    """Every page is a hit of one of the part-name queries, and every query has its share of them."""
     queries = _queries(t)
+    many = max(1, queries.count())
     pages = t("pages").select(
-        "page_id", "url", (F.col("page_id") % 40).alias("query_no"), F.col("page_id").cast("int").alias("rank"),
+        "page_id", "url", (F.col("page_id") % many).alias("query_no"), F.col("page_id").cast("int").alias("rank"),
         F.lit("A page").alias("title"), F.lit("Based in Oslo. Founded in 1999.").alias("snippet"),
     )
     from sievework.operators.positions import with_position
@@ -113,7 +117,7 @@ def _page_hits(t):
 @query("p01_discover")
 def p01(t):
     queries, hits = _page_hits(t)
-    found = flows.discover(queries, hits, t("pages").select("url", "html"), m.rule_model)
+    found = flows.discover(queries, hits, t("pages").select("url", "html"), m.rule_model, EVERY, EVERY)
     return found.companies
 
 
@@ -140,11 +144,11 @@ def p03(t):
 
 def _hits_of(t):
     def find(companies):
-        """Three pages for every company, by hash of its name."""
-        slots = t("pages").select("url", (F.col("page_id") % 100).alias("slot"), F.col("page_id").cast("int").alias("rank"))
-        few = limit_per_key(slots, ["slot"], ["rank"], 3).drop("rn")
-        mine = companies.select("name", F.pmod(F.xxhash64("name"), F.lit(100)).alias("slot")).distinct()
-        return mine.join(few, "slot").select(
+        """About three pages for every company, by hash of its name; all pages are named by some slot."""
+        many = max(1, t("pages").count() // 3)
+        slots = t("pages").select("url", (F.col("page_id") % many).alias("slot"), F.col("page_id").cast("int").alias("rank"))
+        mine = companies.select("name", F.pmod(F.xxhash64("name"), F.lit(many)).alias("slot")).distinct()
+        return mine.join(slots, "slot").select(
             "name", F.lit(0).alias("query_no"), "rank", F.lit("A page").alias("title"), "url", F.lit("Based in Oslo.").alias("snippet")
         )
 
@@ -155,14 +159,14 @@ def _hits_of(t):
 def p04(t):
     queries, hits = _page_hits(t)
     spark = queries.sparkSession
-    out = flows.find_and_enrich(spark, queries, hits, t("pages").select("url", "html"), _hits_of(t), m.rule_model, scratch(spark, "both"), "20240101_000000")
+    out = flows.find_and_enrich(spark, queries, hits, t("pages").select("url", "html"), _hits_of(t), m.rule_model, scratch(spark, "both"), "20240101_000000", EVERY, EVERY)
     return out["export"].select(*[F.col(f"`{c}`").alias(c.lower().replace("/", "_").replace(" ", "_")) for c in out["export"].columns])
 
 
 @query("p05_two_phase_search")
 def p05(t):
     queries, hits = _page_hits(t)
-    return flows.two_phase_search(queries, hits, t("pages").select("url", "html"), _hits_of(t), m.rule_model, 50)
+    return flows.two_phase_search(queries, hits, t("pages").select("url", "html"), _hits_of(t), m.rule_model, 50, EVERY, EVERY)
 
 
 @query("p06_clean_and_chunk")
@@ -184,7 +188,7 @@ def p07(t):
 @query("p08_search_and_extract")
 def p08(t):
     _, hits = _page_hits(t)
-    return flows.search_and_extract(hits, t("pages").select("url", "html"), 3).fillna("")
+    return flows.search_and_extract(hits, t("pages").select("url", "html"), EVERY).fillna("")
 
 
 _RANKED = f"""(select c_custkey, {F01_SQL} as company_name, 'Not available' as founded_year, c_mktsegment as location, 'Not available' as website from customer)"""

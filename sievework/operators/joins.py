@@ -19,17 +19,24 @@ def trimmed_key(name: Column) -> Column:
 
 
 def hits_with_pages(hits: DataFrame, pages: DataFrame, url: str = "url", order: str | Column | None = None) -> DataFrame:
-    """Inner join on the normalised URL.
+    """Inner join on the normalised URL. A page is repeated for each of its hits; see :func:`pages_of_hits`."""
+    left, right = pages_of_hits(hits, pages, url, order)
+    return left.join(right, "url_norm")
+
 
-    The page side keeps the first row per URL by ``order`` (by default the smallest raw URL
-    and page), so that many copies of one page never multiply with its hits.
+def pages_of_hits(hits: DataFrame, pages: DataFrame, url: str = "url", order: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """J01 in two parts: the hits with ``url_norm``, and the pages that some hit names, one for each ``url_norm``.
+
+    Pages that no hit names are left out before anything else, so only those are compared. The first row per URL
+    by ``order`` stays (by default the smallest raw URL and page), so that many copies of one page
+    never multiply with its hits.
     """
     left = hits.withColumn("url_norm", urls.normalize_url(F.col(url)))
-    right = pages.withColumn("url_norm", urls.normalize_url(F.col("url")))
+    named = left.select("url_norm").distinct()
+    right = pages.withColumn("url_norm", urls.normalize_url(F.col("url"))).join(named, "url_norm", "left_semi")
     if order is None:
         order = F.struct("url", F.xxhash64(*[c for c in pages.columns if c != "url"]))
-    right = first_per_key(right, ["url_norm"], order).drop("url")
-    return left.join(right, "url_norm")
+    return left, first_per_key(right, ["url_norm"], order).drop("url")
 
 
 def only_new(new: DataFrame, known: DataFrame, key_new: Column, key_known: Column) -> DataFrame:

@@ -36,11 +36,10 @@ def discover(queries: DataFrame, hits: DataFrame, pages: DataFrame, model: Model
     wanted = dedupe_queries(queries, "query_id", "query")
     few = limit_per_query(hits.join(wanted, "query_id"), "query_id", "rank", per_batch, max_results)
     few = few.filter(~urls.is_skipped(F.col("url")))
-    found = cut(joins.hits_with_pages(few, pages))
-    # a page that several queries hit is read once
-    one = first_per_key(found.select("url_norm", "html", "query_id", "rank"), ["url_norm"], F.struct("query_id", "rank"))
-    texts = extract.html_to_text(one.select("url_norm", "html"))
-    known = found.drop("html").join(texts, "url_norm")
+    found, one = joins.pages_of_hits(cut(few), pages)
+    # a page that several queries hit is read and parsed once
+    texts = cut(extract.html_to_text(one.select("url_norm", "html")))
+    known = found.join(texts, "url_norm")
     keep = ["query_id", "rank", "url", "url_norm", "title", "query"]
     if model is None:
         orgs = extract.filter_common_orgs(extract.extract_orgs(F.col("text")))
@@ -85,11 +84,10 @@ def enrich(companies: DataFrame, hits: DataFrame, pages: DataFrame, known: DataF
         mine = hits.join(todo.select("name").distinct(), "name", "left_semi")
         site = linkgraph.match_official_site(mine)
         profile = linkgraph.match_profile_url(mine, pages)
-        read = joins.hits_with_pages(mine, pages)
-        seen = cut(read.select("name", "query_no", "rank", "snippet", "title", "url_norm", "html"))
-        one = seen.groupBy("url_norm").agg(F.first("html").alias("html"))
-        texts = extract.page_fields_text(one, "url_norm", "website")
-        texts = seen.drop("html").join(texts, "url_norm")
+        found, one = joins.pages_of_hits(mine, pages)
+        texts = cut(extract.page_fields_text(one, "url_norm", "website"))
+        texts = found.select("name", "query_no", "rank", "snippet", "title", "url_norm").join(texts, "url_norm")
+        seen = texts.drop("page_text")
         facts = extract.extract_facts(texts, "page_text", "site", ["name", "query_no", "rank", "snippet"])
         fields = ["Location", "Founded Year", "Industry", "Funding"]
         order = F.struct(F.lit(4).alias("source"), "query_no", "rank")
@@ -134,7 +132,7 @@ def validate(df: DataFrame, index: str, record: str, query: str, model: Model, d
 
 def find_and_enrich(
     spark: SparkSession, queries: DataFrame, hits: DataFrame, pages: DataFrame, company_hits, model: Model | None, base: str,
-    stamp: str,
+    stamp: str, per_batch: int = 5, per_query: int = 10,
 ) -> dict[str, DataFrame]:
     """Discovery, enrichment, export rows and reports; a finished phase is read back, not redone.
 
@@ -144,7 +142,7 @@ def find_and_enrich(
     stages_at, mentions_at = f"{base}_stages_{stamp}", f"{base}_mentions_{stamp}"
     found = files.read_checkpoint(spark, found_at)
     if found.isEmpty():
-        result = discover(queries, hits, pages, model)
+        result = discover(queries, hits, pages, model, per_batch, per_query)
         result.stages.write.mode("overwrite").parquet(stages_at)
         result.mentions.write.mode("overwrite").parquet(mentions_at)
         files.write_checkpoint(result.companies, base, "discovery", stamp=stamp)
@@ -175,9 +173,9 @@ def find_and_enrich(
     }
 
 
-def two_phase_search(queries: DataFrame, hits: DataFrame, pages: DataFrame, company_hits, model: Model | None, max_results: int) -> DataFrame:
+def two_phase_search(queries: DataFrame, hits: DataFrame, pages: DataFrame, company_hits, model: Model | None, max_results: int, per_batch: int = 5, per_query: int = 10) -> DataFrame:
     """Found and enriched companies, each name once, ``max_results`` rows."""
-    found = cut(discover(queries, hits, pages, model).companies.select(F.col("Company Name").alias("name")))
+    found = cut(discover(queries, hits, pages, model, per_batch, per_query).companies.select(F.col("Company Name").alias("name")))
     enriched = enrich(found, company_hits(found), pages)
     unique = first_per_key(enriched, [joins.trimmed_key(F.col("name"))], "name")
     return unique.orderBy("name").limit(max_results)
@@ -203,13 +201,12 @@ def dedupe_file(spark: SparkSession, path: str, out: str, fuzzy: bool = True) ->
 def search_and_extract(hits: DataFrame, pages: DataFrame, n: int, query: str = "query_id") -> DataFrame:
     """Up to n companies per query from three times as many hits."""
     more = limit_per_key(hits, [query], ["rank"], 3 * n).drop("rn")
-    read = cut(joins.hits_with_pages(more, pages))
-    texts = extract.pruned_text(read.select(query, "rank", "html"), "html")
+    found, one = joins.pages_of_hits(more, pages)
+    about = [page_title_name(F.col("html")).alias("company_name"), meta_description(F.col("html")).alias("description")]
+    texts = cut(extract.pruned_text(one.select("url_norm", "html", *about), "html"))
+    texts = found.select(query, "rank", "url", "snippet", "url_norm").join(texts, "url_norm").drop("url_norm")
     facts = extract.extract_facts(texts, "text", "search", [query, "rank"])
-    named = read.select(
-        query, "rank", "url", "snippet", page_title_name(F.col("html")).alias("company_name"),
-        meta_description(F.col("html")).alias("description"),
-    )
+    named = texts.select(query, "rank", "url", "snippet", "company_name", "description")
     rows = named.join(facts, [query, "rank"]).filter(~is_blank(F.col("company_name")))
     rows = rows.withColumn(
         "product_description", F.coalesce(F.nullif(F.col("description"), F.lit("")), "snippet")
