@@ -193,7 +193,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     every = stored(places(rows.select("d", "text"), similarity, recall))
     banded = every.filter("size(bands) > 0").select("key", F.explode("bands").alias("value"))
     shared = banded.groupBy("value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select(F.col("value").alias("v"), "lo")
-    members = stored(banded.join(shared, F.col("value") == F.col("v")).select("value", "key", "lo").distinct())
+    shared = stored(shared)  # few values are shared, so that all bands need not be shuffled once more
+    members = stored(banded.join(F.broadcast(shared) if shared.count() <= FEW else shared, F.col("value") == F.col("v")).select("value", "key", "lo").distinct())
     sets = shingle_sets(rows.select("d", "text"), every, members.select("key").distinct())
     links = cut(verified(members.filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), sets, similarity))
     found = cut(components(links))

@@ -19,6 +19,8 @@ from sievework.operators.components import components
 BITS = 64
 #: Keys of which so many (8 or 16 bytes each) go to every executor; more are joined by a shuffle.
 FEW = 500_000
+#: Shingles (8 bytes each) of texts to compare of which so many go to every executor; more are joined by a shuffle.
+FEW_SHINGLES = 2_000_000
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -172,12 +174,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(roots, F.col("f0") == F.col("g")).select("doc_id", "f0", "root")
 
 
-def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: float = 0.27, crowd: int = 64) -> DataFrame:
+def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: float = 0.22, crowd: int = 64) -> DataFrame:
     """(doc_id, h, class): class of the documents (doc_id, text, h) that links of ``similarity`` or more reach.
 
     Fingerprints of a few 64-bit words (lookups_for) are cut into segments; a lookup ball of a bit or two around each
     segment finds two texts that differ in a tenth of their bits (Jaccard about 0.9) in 99 of 100 cases and at
-    0.8 in six of seven. What is found and differs in at most the part ``loose`` of all bits is verified by the
+    0.8 in four of five. What is found and differs in at most the part ``loose`` of all bits is verified by the
     exact Jaccard similarity of the whole texts' ``width``-word shingles. Equal fingerprints are one node.
 
     A family of near copies is not paired out. First every member meets the least one of its own
@@ -229,7 +231,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similari
     ends = cut(ends)
     held = texts.join(F.broadcast(ends) if ends.count() <= FEW else ends, "h", "left_semi")
     own = cut(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
-    both = pairs.join(own.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
+    held = F.broadcast if (own.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES else lambda sets: sets
+    both = pairs.join(held(own.select(F.col("h").alias("a"), F.col("set").alias("x"))), "a").join(held(own.select(F.col("h").alias("b"), F.col("set").alias("y"))), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
