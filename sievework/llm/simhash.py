@@ -206,9 +206,10 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
     if many := crowded.count():
         probes = probes.join(F.broadcast(crowded) if many <= FEW else crowded, "k", "left").filter("lo is null or lo <> class").drop("lo")
     other = table.select("k", F.col("id").alias("b"), *[F.col(f).alias(g) for f, g in zip(names, others)], F.col("class").alias("c2"))
-    found = cut(probes.join(other, "k").filter((F.col("class") != F.col("c2")) & close).select(*names, "b").distinct())
-    met = found.join(nodes, names).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = links.union(verified(met, texts, width, seed, similarity))
+    once = F.col("f0") <= F.col("g0")  # each of two finds the other
+    found = cut(probes.join(other, "k").filter((F.col("class") != F.col("c2")) & once & close).select(*names, "b").distinct())
+    who = cut(found.select(*names).distinct().join(nodes, names))
+    links = links.union(verified(found, texts, width, seed, similarity, who, names))
     classes = cut(_classes(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], "class")
     return prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class")
 
@@ -218,21 +219,43 @@ def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(linked, nodes.id == linked.node, "left").select(*nodes.columns, F.coalesce("root", "id").alias("class"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose sets of shingles have that Jaccard similarity or more."""
+def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float, who: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+    """The pairs (a, b) of text hashes whose sets of shingles have that Jaccard similarity or more.
+
+    With ``who`` (names, id), pairs name their first text by its fingerprint. While the sets of all texts in question are
+    few, every task gets them and pairs are compared where they are; else sets are joined to pairs.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             made = [np.unique(shingle_hashes(x, width, seed)).view(np.int64) for x in bytes_of(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(made, pa.list_(pa.int64()))], names=["h", "set"])
 
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    ends = cut(ends)
+    pairs = pairs if who is not None else cut(pairs)
+    left = pairs.select(F.col("a").alias("h")) if who is None else who.select(F.col("id").alias("h"))
+    ends = cut(left.union(pairs.select("b")).distinct())
     held = texts.join(F.broadcast(ends) if ends.count() <= FEW else ends, "h", "left_semi")
     own = cut(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
-    held = F.broadcast if (own.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES else lambda sets: sets
-    both = pairs.join(held(own.select(F.col("h").alias("a"), F.col("set").alias("x"))), "a").join(held(own.select(F.col("h").alias("b"), F.col("set").alias("y"))), "b")
+    if (own.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES:
+        known = {r["h"]: np.array(r["set"], np.int64) for r in own.toLocalIterator()}
+        named_by = {tuple(r[:-1]): r[-1] for r in who.select(*names, "id").toLocalIterator()} if who is not None else {}
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                first = part.column("a").to_pylist() if who_names is None else [named_by[k] for k in zip(*(part.column(n).to_pylist() for n in who_names))]
+                kept = []
+                for a, b in zip(first, part.column("b").to_pylist()):
+                    x, y = known[a], known[b]
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if shared >= similarity * (len(x) + len(y) - shared):
+                        kept.append((min(a, b), max(a, b)))
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        who_names = None if who is None else list(names)
+        return pairs.mapInArrow(compare, "a long, b long")
+    if who is not None:
+        pairs = pairs.join(who, names).select(F.col("id").alias("a"), "b").distinct()
+    both = pairs.join(own.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
