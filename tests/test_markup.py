@@ -39,7 +39,8 @@ def test_forum_threads(spark):
     hiring = ["We are hiring a developer. " + "x " * 60, "too short hiring", "nothing of note here " * 10, "Apply now\nby  email " + "y " * 60]
     rows = [(1, page("Ask: Who is hiring?", hiring)), (2, page("Talk", [f"c{i}" for i in range(25)]))]
     df = spark.createDataFrame(rows, "id int, html string")
-    got = {r["id"]: r["thread_text"] for r in extract.extract_forum_thread(df, "id").collect()}
+    got, whole = ({r["id"]: r["thread_text"] for r in extract.extract_forum_thread(df, "id", **limits).collect()} for limits in ({"jobs": 50, "talk": 20}, {}))
+    assert whole[1] == got[1] and whole[2].split("\n\n---\n\n") == ["# Talk", *[f"c{i}" for i in range(25)]]
     jobs = got[1].split("\n\n---\n\n")
     assert len(jobs) == 2 and jobs[1].startswith("Apply now by email y y")
     assert got[2].split("\n\n---\n\n") == ["# Talk", *[f"c{i}" for i in range(20)]]
