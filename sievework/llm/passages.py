@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: MinHash banding of paragraphs, exact verification, components."""
+"""Passages that repeat across documents: MinHash banding of paragraphs, exact verification, components; winnowing for runs of equal words."""
 
 from __future__ import annotations
 
@@ -120,6 +120,169 @@ class Paragraphs:
         return made
 
 
+class Words:
+    """Hashes of the words of some texts one behind the other, and where each text starts (one entry more at the end)."""
+
+    def __init__(self, texts: list[bytes]):
+        import xxhash
+
+        known: dict[bytes, int] = {}
+        ids: list[int] = []
+        self.edges = np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            ids.extend([known.setdefault(w, len(known)) for w in text.lower().split()])
+            self.edges[i + 1] = len(ids)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w, 7) for w in known] or [0], np.uint64)[np.array(ids, np.int64)]
+
+    def runs(self, width: int) -> np.ndarray:
+        """Hash of the ``width`` words from each place on; the last ones reach into the next text."""
+        run = self.hashes[: max(0, len(self.hashes) - width + 1)].copy()
+        with np.errstate(over="ignore"):
+            for k in range(1, width):
+                run = _mix(run * GOLDEN + self.hashes[k : len(self.hashes) - width + 1 + k])
+        return run
+
+    def inside(self, width: int) -> np.ndarray:
+        """Whether the ``width`` words from each place on are of one text."""
+        text = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        return text[: max(0, len(text) - width + 1)] == text[width - 1 :]
+
+    def anchors(self, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of short runs, so that any ``least_words`` words in a row hold one, the same wherever they stand.
+
+        It is the least hash, ties all, of the short runs in each window of that many words (winnowing).
+        """
+        width = min(8, (least_words + 1) // 2)
+        run, many = self.runs(width), least_words - width + 1
+        if len(run) < many:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        least = np.lib.stride_tricks.sliding_window_view(run, many).min(axis=1)
+        around = np.concatenate([np.zeros(many - 1, np.uint64), least, np.zeros(many - 1, np.uint64)])
+        at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(around, many).max(axis=1) == run) & self.inside(width))
+        return at, run[at].view(np.int64)
+
+
+def anchors(docs: DataFrame, least_words: int) -> DataFrame:
+    """(d, anchor): the anchors of each text, once in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            found = Words(bytes_of(part.column("text")))
+            at, made = found.anchors(least_words)
+            d = part.column("d").to_numpy(zero_copy_only=False)[np.searchsorted(found.edges, at, side="right") - 1]
+            both = np.unique(np.stack([d, made], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["d", "anchor"])
+
+    return docs.mapInArrow(run, "d long, anchor long")
+
+
+def windows(marked: DataFrame, least_words: int) -> DataFrame:
+    """(d, start, h, touched) from (d, text, marks, gone): the runs of ``least_words`` words that hold an anchor of ``marks``,
+    but for those whose words are all ``gone`` (first, size); ``touched``: some are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            found = Words(bytes_of(part.column("text")))
+            at, made = found.anchors(least_words)
+            text, width = np.searchsorted(found.edges, at, side="right") - 1, min(8, (least_words + 1) // 2)
+            d, marks, gone = part.column("d").to_numpy(zero_copy_only=False), part.column("marks"), part.column("gone").to_pylist()
+            n, held = len(found.hashes), np.zeros(len(found.hashes) + 1, np.int64)
+            for i in range(part.num_rows):
+                own = slice(*np.searchsorted(text, [i, i + 1]))
+                hit = at[own][np.isin(made[own], marks[i].values.to_numpy(zero_copy_only=False))]
+                np.add.at(held, np.maximum(hit - (least_words - width), 0), 1)
+                np.add.at(held, hit + 1, -1)
+            lost = np.zeros(n + 1, np.int64)
+            for i, rows in enumerate(gone):
+                for row in rows or ():
+                    lost[found.edges[i] + row["first"]] += 1
+                    lost[found.edges[i] + row["first"] + row["size"]] -= 1
+            lost = np.concatenate([[0], np.cumsum(np.cumsum(lost)[:-1] > 0)])
+            many = max(0, n - least_words + 1)
+            missing = lost[least_words:] - lost[:many] if many else lost[:0]
+            start = np.flatnonzero((np.cumsum(held)[:many] > 0) & found.inside(least_words) & (missing < least_words))
+            of = np.searchsorted(found.edges, start, side="right") - 1
+            columns = [pa.array(d[of]), pa.array((start - found.edges[of]).astype(np.int32)), pa.array(found.runs(least_words)[start].view(np.int64)), pa.array(missing[start] > 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "start", "h", "touched"])
+
+    return marked.mapInArrow(run, "d long, start int, h long, touched boolean")
+
+
+def segments(copies: DataFrame, least_words: int) -> DataFrame:
+    """(d, first, size, kd, kfirst) from (d, at, gone): words in a row that are not gone and stand at ``kd`` from ``kfirst`` on as well.
+
+    ``at`` has (start, kd, kstart, touched): the windows of a text that repeat and the place where each stays. A word goes by the
+    first window that has it and whose place is another one, else by its own. Where some words are gone at the place as well
+    (``touched``), what is left counts from WIDTH words on: fewer are equal by chance at the edge of a passage.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 5]
+            for d, at, gone in zip(part.column("d").to_pylist(), part.column("at"), part.column("gone").to_pylist()):
+                start, kd, kstart, touched = (at.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+                order = np.lexsort([start, (kd == d) & (kstart == start)])
+                start, kd, kstart, touched = start[order], kd[order], kstart[order], touched[order]
+                word = (start[:, None] + np.arange(least_words)).ravel()
+                place, once = np.unique(word, return_index=True)
+                window = once // least_words
+                kept = np.ones(len(place), bool)
+                for row in gone or ():
+                    kept &= (place < row["first"]) | (place >= row["first"] + row["size"])
+                place, window = place[kept], window[kept]
+                if not len(place):
+                    continue
+                where, shift = kd[window], kstart[window] - start[window]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(shift) != 0) | (where[1:] != where[:-1])]))
+                size = np.diff(np.append(new, len(place)))
+                whole = (size >= WIDTH) | (touched[window[new]] == 0)
+                new, size = new[whole], size[whole]
+                out.append([np.full(len(new), d), place[new], size, where[new], place[new] + shift[new]])
+            columns = [np.concatenate(x) for x in zip(*out)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if i in (1, 2, 4) else np.int64)) for i, x in enumerate(columns)], names=["d", "first", "size", "kd", "kfirst"])
+
+    return copies.mapInArrow(run, "d long, first int, size int, kd long, kfirst int")
+
+
+def equal_runs(docs: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, d, first, size, cluster, removed): runs of ``least_words`` words or more that two documents (doc_id, d, text) have
+    and that are not ``gone`` (d, first, size) yet, wherever they stand in a line.
+
+    Winnowing finds each such run: texts that share one share an anchor in it. Around shared anchors all windows of
+    ``least_words`` words are counted; one that two documents have stays at its first place (least id, then
+    place) and goes elsewhere. The words that stay are cut where a copy of them starts or ends, so the parts of
+    a cluster are equal.
+    """
+    every = stored(anchors(docs.select("d", "text"), least_words))
+    shared = stored(every.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("k")))
+    marks = every.join(F.broadcast(shared) if shared.count() <= FEW else shared, F.col("anchor") == F.col("k")).groupBy("d").agg(F.collect_set("anchor").alias("marks"))
+    lost = cut(gone.groupBy("d").agg(F.collect_list(F.struct("first", "size")).alias("gone")).withColumnRenamed("d", "g"))
+    marks = stored(marks.join(lost, F.col("d") == F.col("g"), "left").select(F.col("d").alias("m"), "marks", "gone"))
+    marked = docs.join(marks, F.col("d") == F.col("m")).select("d", "text", "marks", "gone")
+    found = stored(windows(marked, least_words).dropDuplicates(["d", "start"]))
+    ids = docs.select("doc_id", "d").distinct()
+    twice = found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select(F.col("h").alias("w"))
+    both = stored(found.join(twice, F.col("h") == F.col("w")).select("d", "start", "h", "touched"))
+    stay = both.join(ids, "d").groupBy("h").agg(F.min(F.struct("touched", "doc_id", "d", "start")).alias("k"))
+    copies = both.join(stay.select(F.col("h").alias("w"), F.col("k.d").alias("kd"), F.col("k.start").alias("kstart"), F.col("k.touched").alias("kt")), F.col("h") == F.col("w"))
+    by_text = copies.groupBy("d").agg(F.collect_list(F.struct("start", "kd", "kstart", "kt")).alias("at"))
+    by_text = by_text.join(lost, F.col("d") == F.col("g"), "left").select("d", "at", "gone")
+    parts = stored(segments(by_text, least_words))
+    edges = parts.select(F.col("kd").alias("e"), F.explode(F.array(F.col("kfirst"), F.col("kfirst") + F.col("size"))).alias("edge")).distinct()
+    edges = edges.groupBy("e").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    end = F.col("kfirst") + F.col("size")
+    inner = F.filter("edges", lambda x: (x >= F.col("kfirst")) & (x < end))
+    cuts = parts.join(edges, F.col("kd") == F.col("e")).select("d", "first", "kd", "kfirst", end.alias("end"), inner.alias("cuts"))
+    ends = F.concat(F.slice("cuts", 2, F.size("cuts")), F.array("end"))
+    cuts = cuts.select("d", F.col("first"), "kd", "kfirst", F.explode(F.arrays_zip(F.col("cuts").alias("x"), ends.alias("y"))).alias("p"))
+    place = F.col("first") + F.col("p.x") - F.col("kfirst")
+    removed = (F.col("d") != F.col("kd")) | (F.col("first") != F.col("kfirst"))
+    rows = cuts.select("d", place.alias("first"), (F.col("p.y") - F.col("p.x")).alias("size"), F.xxhash64("kd", "p.x").alias("cluster"), removed.alias("removed"))
+    rows = stored(rows)
+    needed = rows.filter("removed").select(F.col("cluster").alias("c")).distinct()
+    return rows.join(needed, F.col("cluster") == F.col("c"), "left_semi").join(ids, "d").select("doc_id", "d", "first", "size", "cluster", "removed")
+
+
 def places(docs: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(d, number, first, size, key, bands) of paragraphs; a batch has the bands of a key once, and of none
     that is too short to be similar to a different one."""
@@ -184,6 +347,9 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     is not paired out: members meet the least one of each band first, and only what is in different clusters after that
     meets again. Paragraphs in a row that other documents have too make a passage; it counts from ``least_words``
     words on, so stock lines don't. In each cluster the first place (least id, then place) stays, all others are ``removed``.
+    Of the words that this leaves, runs of ``least_words`` or more that two documents have to the word are listed as well, wherever
+    they start and end in a line (equal_runs); their ``number`` is that of the paragraph in which they start. A word that stays
+    may be listed for a paragraph and for such a run; one that goes is listed once.
 
     Words are what white space leaves, A-Z lower-cased. A document is an id with its text: rows that repeat both are
     one and listed once, null ids too. Null and empty texts have no paragraph. An empty table gives no rows.
@@ -217,6 +383,10 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     ids = rows.select("doc_id", "d").distinct()
     placed = stored(long.select("d", "number", "first", "size", "cluster").join(ids, "d"))
     first = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "d", "number")).alias("keeper")).withColumnRenamed("cluster", "c")
-    result = placed.join(first, F.col("cluster") == F.col("c"))
     removed = (F.col("d") != F.col("keeper.d")) | (F.col("number") != F.col("keeper.number"))
-    return result.select("doc_id", "number", F.col("first").alias("first_word"), F.col("size").alias("n_words"), "cluster", removed.alias("removed"))
+    result = stored(placed.join(first, F.col("cluster") == F.col("c")).select("doc_id", "d", "number", "first", "size", "cluster", removed.alias("removed")))
+    more = stored(equal_runs(rows.dropDuplicates(["d"]), result.filter("removed").select("d", "first", "size"), least_words))
+    starts = where.join(more.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.array_sort(F.collect_set("first")).alias("starts"))
+    number = (F.size(F.filter("starts", lambda x: x <= F.col("first"))) - 1).alias("number")
+    more = more.join(starts, "d").select("doc_id", "d", number, "first", "size", "cluster", "removed")
+    return result.union(more).select("doc_id", "number", F.col("first").alias("first_word"), F.col("size").alias("n_words"), "cluster", "removed")

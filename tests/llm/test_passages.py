@@ -71,3 +71,30 @@ def test_all_links_of_similar_paragraphs_are_found(spark, prose):
 def test_empty_tables(spark):
     assert passages.repeats(table(spark, [])).count() == 0
     assert passages.repeats(table(spark, [(1, None), (2, "")])).count() == 0
+
+
+def test_equal_words_inside_of_lines_are_found_without_cuts(spark, prose):
+    shape = {True: lambda t: ". ".join(" ".join(t.split()[k : k + 9]) for k in range(0, len(t.split()), 9)), False: lambda t: t}
+    rows, where = [], {}
+    for i in range(60):
+        passage, form = prose(9000 + i, 51, 5000), shape[i % 2 == 0]
+        for k in (0, 1):
+            before = 20 + (i * 7 + k * 13) % 40
+            rows.append((2 * i + k, form(prose(100 + 2 * i + k, before, 5000)) + " " + form(passage) + " " + form(prose(500 + 2 * i + k, 30, 5000))))
+            where[2 * i + k] = before
+    got = passages.repeats(table(spark, rows)).collect()
+    for i in range(60):
+        for k in (0, 1):
+            words = [w for r in got if r.doc_id == 2 * i + k and r.removed == (k == 1) for w in range(r.first_word, r.first_word + r.n_words)]
+            inside = set(range(where[2 * i + k], where[2 * i + k] + 51))
+            assert (k == 0 or len(words) == len(set(words))) and len(inside & set(words)) >= 50 and len(set(words) - inside) <= 12  # similar paragraphs reach a few words over the edge
+    assert all(sum(not r.removed for r in got if r.cluster == c) == 1 for c in {r.cluster for r in got})
+
+
+def test_runs_of_different_length_share_their_parts(spark, prose):
+    words = prose(1, 120, 5000).split()
+    spans = [(0, 120), (20, 71), (60, 100), (5, 24)]  # the last one is a word short of a passage
+    rows = [(i, prose(50 + i, 25, 5000) + " " + " ".join(words[a:b]) + " " + prose(80 + i, 25, 5000)) for i, (a, b) in enumerate(spans)]
+    got = passages.repeats(table(spark, rows)).collect()
+    assert [sum(r.n_words for r in got if r.doc_id == i and r.removed) for i in range(4)] == [0, 51, 40, 0]
+    assert sum(r.n_words for r in got if r.doc_id == 0) == 80 and all(not r.removed for r in got if r.doc_id == 0)
