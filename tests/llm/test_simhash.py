@@ -100,3 +100,31 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in [1000, *range(2000, 2050)]}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def pairs_at_the_threshold(n):
+    for i in range(n):
+        words = [f"a{i}x{k}" for k in range(204)]
+        other = words[: 182 + i % 8] + [f"b{i}x{k}" for k in range(22 - i % 8)]
+        x, y = ({tuple(t[k : k + 5]) for k in range(200)} for t in (words, other))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.87
+        yield " ".join(words), " ".join(other)
+
+
+@pytest.mark.parametrize("size", [1000, 1_000_000, 20_000_000])
+def test_pairs_at_the_threshold_meet_in_every_layout(size):
+    words, segments, radius = simhash.lookups_for(size)
+    met = 0
+    for pair in pairs_at_the_threshold(400):
+        hashes = [simhash.shingle_hashes(t.encode(), 5, 42) for t in pair]
+        differ = [(simhash.majority(simhash.mixed(hashes[0], k)) ^ simhash.majority(simhash.mixed(hashes[1], k))) & (2**64 - 1) for k in range(words)]
+        near = any((d >> first & (1 << width) - 1).bit_count() <= radius for d in differ for first, width in simhash.bounds(segments))
+        met += near and sum(d.bit_count() for d in differ) <= int(0.24 * 64 * words)
+    assert met >= 392
+
+
+def test_pairs_at_the_threshold_are_linked(spark):
+    rows = [row for i, (a, b) in enumerate(pairs_at_the_threshold(200)) for row in ((2 * i, a), (2 * i + 1, b))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    classes = {x.doc_id: x["class"] for x in simhash.similar(docs.withColumn("h", F.xxhash64("text"))).collect()}
+    assert len(classes) == 400 and sum(classes[2 * i] == classes[2 * i + 1] for i in range(200)) >= 196
