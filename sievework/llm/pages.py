@@ -28,6 +28,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("button canvas head iframe math noscript object option script select style svg template textarea title audio video map datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: What can be in a head; any other element ends one that is left open.
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: What a new element closes, if it is open inside of the second set.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
@@ -94,6 +96,8 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         if name in BLOCK:
             flush()
+        if not closing and stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:

@@ -192,3 +192,9 @@ def test_class_probabilities_add_up(spark, prose):
         seen = ((table["c"] + 0.5) / (model.sizes[k] + 0.5 * (model.kinds[k] + 1)))[kind == k].sum()
         assert abs(seen + 0.5 / (model.sizes[k] + 0.5 * (model.kinds[k] + 1)) - 1) < 1e-9
     assert zlib.crc32(b"") == 0 and brown.form_of(b"running.") == brown.form_of(b"thing.") != brown.form_of(b"thing")
+
+
+def test_a_head_that_is_left_open_does_not_silence_the_page():
+    body = "<article><h1>One</h1><p>Two <a href=x>three</a></p></article>"
+    for start in ("<html><head><title>t</title><meta charset=utf-8><body>", "<head><style>a{}</style><link rel=x>", "<head><title>t</title></head><body>"):
+        assert [b.text for b in pages.blocks_of(start + body)] == ["One", "Two three"]
