@@ -39,7 +39,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` returned, once nothing reads them any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -121,4 +129,4 @@ def buckets_for(df: DataFrame, rows: int, per_bucket: int = 100_000) -> int:
     return max(1, -(-rows // per_bucket), 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "renamed", "shared_folder", "stored", "table_of", "word_count", "words_of"]
+__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "released", "renamed", "shared_folder", "stored", "table_of", "word_count", "words_of"]

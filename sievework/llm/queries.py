@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import brown, decontamination, language, mixing, pages, passages, quality, sharding, simhash, tokens
+from sievework.llm import brown, decontamination, language, lloyd, mixing, pages, passages, quality, secrets, sharding, simhash, tokens, trie
 from sievework.llm.common import documents, is_remainder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,29 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("root").alias("component_id"))
 
 
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of each vector after ten exact rounds over column blocks."""
+    return lloyd.cluster(load(spark, sf_dir, "embeddings"), k=8, dims=64, rounds=10, seed=3)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the conversations' prefix trie."""
+    return trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document, from a ledger of contents that starts empty."""
+    ledger = secrets.Ledger(spark)
+    found = secrets.findings_of(secrets.scan(documents(spark, sf_dir), ledger, path="doc_id"), ledger)
+    spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
+    base = F.filter(spans, lambda s: s["rank"] < len(secrets.BASE))
+    counts = [secrets.count_of(spans, r.kind).alias(f"n_{r.kind}") for r in secrets.BASE]
+    return found.select(F.col("path").alias("doc_id"), *counts, secrets.digest_of(base).alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages from raw documents to shards."""
@@ -182,3 +205,76 @@ p as (select *, row_number() over (order by lie, g, k, crc, size) - 1 pos, count
 s as (select *, pos * 8 // n shard from p)
 select doc_id, size::bigint size, crc::bigint text_crc32, 'rows' law, shard::int shard, (pos - (shard * n + 7) // 8)::bigint slot, null::int grown_shard from s
 """
+
+
+def _round(i: int) -> str:
+    """Clusters of the vectors under centroids ``i``, and centroids ``i + 1``."""
+    return f"""a{i} as materialized (
+        select v.r, v.vec_id, any_value(v.x) x, arg_min(c.cluster, (list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, c.cluster)) cluster,
+            min(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint) distance
+        from v, c{i} c group by v.r, v.vec_id),
+    m{i} as (select cluster, j, sum(e) s, count(*) n from (select cluster, unnest(x) e, generate_subscripts(x, 1) j from a{i}) group by all),
+    c{i + 1} as materialized (
+        select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by j) x from m{i} group by cluster
+        union all select cluster, x from c{i} where cluster not in (select cluster from a{i}))"""
+
+
+ORACLE["op11_centroid_clusters"] = f"""
+with v as materialized (
+    select row_number() over () r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) x from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as materialized (select row_number() over (order by h, x) - 1 cluster, x from (select sha256('3:' || coalesce(vec_id::varchar, '')) h, x from v order by h, x limit 8)),
+{", ".join(_round(i) for i in range(11))}
+select vec_id, cluster::int cluster, distance, sum(distance) over (partition by cluster)::bigint cluster_inertia, sum(distance) over ()::bigint inertia,
+    sha256(array_to_string(c.x, ',')) centroid_sha256
+from a10 join c10 c using (cluster)
+"""
+
+_CRC_TABLE = "select list(v order by n) tab from (select n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from (select unnest(range(256)) n))"
+
+ORACLE["op12_prefix_trie"] = f"""
+with tab as ({_CRC_TABLE}),
+t as (
+    select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) pos,
+        md5(md5(coalesce(text, '')) || coalesce(role, '')) m, length(coalesce(text, '')) n
+    from conversations where conv_id is not null),
+ids as (
+    select c, c - c % 100 base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(c::varchar)), lambda i: ascii(substr(c::varchar, i + 1, 1))::bigint)),
+        lambda x, b: xor(x >> 8, tab[xor(x & 255, b) + 1]))) % 6 h
+    from (select distinct c from t), tab),
+r as (
+    select ids.c, 0 own, pos, m, n from ids join t on t.c = ids.base where pos <= h
+    union all select ids.c, 1, pos, m, n from ids join t on t.c = ids.c where pos > h),
+p as (select ids.c, coalesce(ms, []) ms, coalesce(ns, []) ns from ids left join (select c, list(m order by own, pos) ms, list(n order by own, pos) ns from r group by c) using (c)),
+pre as (select c, d, len(ms) deep, case when d = 0 then '' else md5(array_to_string(ms[1:d], ',')) end k, case when d = 0 then 0 else ns[d] end n
+    from (select *, unnest(range(len(ms) + 1)) d from p)),
+up as (select *, lag(k) over (partition by c order by d) pk from pre),
+nodes as (select k, d, any_value(pk) pk, min(c) c, count(*) convs, any_value(n) n, string_agg(c::varchar, ',' order by c) filter (deep = d) ends from up group by k, d),
+kids as (select pk k, count(*) kids from nodes where d > 0 group by pk),
+sub as (select pre.k, pre.d, sum((nodes.convs - 1) * nodes.n) saved, count(*) filter (kids is null) leaves
+    from nodes left join kids on kids.k = nodes.k join pre on pre.c = nodes.c and pre.d <= nodes.d group by pre.k, pre.d)
+select a.c conv_id, a.d::bigint depth, b.c parent_conv_id, a.convs::bigint n_convs, coalesce(kids, 0)::bigint n_children, leaves::bigint n_leaves,
+    saved::bigint saved_tokens, sha256(coalesce(a.ends, '')) ends_sha256
+from nodes a left join nodes b on b.k = a.pk and b.d = a.d - 1 left join kids on kids.k = a.k join sub on sub.k = a.k and sub.d = a.d
+"""
+
+
+def _spans(rank: int, rule: secrets.Rule) -> str:
+    """(r, start, rank, kind, stop) of a rule: what lies between its matches gives their places."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+    select r, start, {rank} as rank, '{rule.kind}' as kind, start + length(m) as stop from (
+        select r, unnest(ms) m, unnest(gs) g, unnest(list_transform(range(len(ms)), lambda i:
+            coalesce(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))), 0)::bigint + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0)::bigint)) start
+        from (select r, regexp_extract_all(t, '{pattern}') ms, regexp_extract_all(t, '{pattern}', {rule.group}) gs, string_split_regex(t, '{pattern}') gaps from d))
+    where length(g) >= {rule.least}"""
+
+
+_LISTED = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank)"
+ORACLE["op13_secret_scan"] = f"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+s as ({" union all ".join(_spans(i, r) for i, r in enumerate(secrets.RULES))})
+select doc_id, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex,
+    sha256({_LISTED} filter (rank < {len(secrets.BASE)}), '')) base_sha256, {_LISTED} filter (rank is not null), '') spans
+from d left join s using (r) group by r, doc_id
+"""
