@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Has shuffle files of finished steps deleted now: Spark drops them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def named(column: str) -> Column:
     """A column by its very name, whatever signs the name has."""
     return F.col(f"`{column.replace('`', '``')}`")
@@ -129,4 +136,4 @@ def buckets_for(df: DataFrame, rows: int, per_bucket: int = 100_000) -> int:
     return max(1, -(-rows // per_bucket), 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "group_key", "is_remainder", "load", "named", "pieces", "released", "renamed", "shared_folder", "stored", "table_of", "word_count", "words_of"]
+__all__ = ["WORD", "buckets_for", "bytes_of", "cut", "documents", "free_name", "freed", "group_key", "is_remainder", "load", "named", "pieces", "released", "renamed", "shared_folder", "stored", "table_of", "word_count", "words_of"]

@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sievework.llm.common import bytes_of, cut, named, pieces
-from sievework.operators.components import components
+from sievework.llm.common import bytes_of, cut, freed, named, pieces, released, stored
+from sievework.llm.linking import components
 
 BITS = 64
 #: Keys of which so many (8 or 16 bytes each) go to every executor; more are joined by a shuffle.
 FEW = 500_000
 #: Shingles (8 bytes each) of texts to compare of which so many go to every executor; more are joined by a shuffle.
 FEW_SHINGLES = 2_000_000
+#: Mark of keys under which only the members outside of a crowded cell's largest class are found.
+OTHERS = 1 << 62
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -97,18 +99,70 @@ def signed(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
-def table_and_probes(prints: DataFrame, words: int, segments: int, radius: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(k, kept columns): each segment with its value as one key, and all keys within ``radius`` bits of it."""
-    cells, balls = [], []
-    for word in range(words):
-        for i, (first, width) in enumerate(bounds(segments)):
-            if width > 48:
-                raise ValueError("segments of up to 48 bits fit beside their number")
-            value = F.shiftrightunsigned(f"f{word}", first).bitwiseAND(signed((1 << width) - 1))
-            cells.append(value.bitwiseOR(signed((word * segments + i) << 48)))
-            balls.append(F.array(*[cells[-1].bitwiseXOR(signed(x)) for x in ball(width, radius)]))
-    table = prints.select(F.explode(F.array(*cells)).alias("k"), *keep)
-    return table, reduce(DataFrame.union, [prints.select(F.explode(b).alias("k"), *keep) for b in balls])
+def cells_of(word: int, segments: int, number: int | None = None) -> list[Column]:
+    """The key of each segment's value of ``f<word>``: the segment's number (from ``word``, or ``number``) above the value."""
+    made = []
+    for i, (first, width) in enumerate(bounds(segments)):
+        if width > 48:
+            raise ValueError("segments of up to 48 bits fit beside their number")
+        value = F.shiftrightunsigned(f"f{word}", first).bitwiseAND(signed((1 << width) - 1))
+        made.append(value.bitwiseOR(signed(((word if number is None else number) * segments + i) << 48)))
+    return made
+
+
+def balls_of(word: int, segments: int, radius: int) -> list[Column]:
+    """For each segment of ``f<word>`` all keys within ``radius`` bits of its own."""
+    return [F.array(*[cell.bitwiseXOR(signed(x)) for x in ball(width, radius)]) for cell, (_, width) in zip(cells_of(word, segments), bounds(segments))]
+
+
+def differing(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def hub_links(table: DataFrame, near: Column) -> DataFrame:
+    """(a, b): each member (k, id, w, n) of a cell with the cell's most frequent one (the greatest of them), where ``near`` holds of w and v.
+
+    A family of near copies mostly lies around the text that it was made from, so this joins it in as many rows as it has
+    members. The member and its hub are dealt out apart, so a cell that a third of the rows are in can be split.
+    """
+    hubs = table.groupBy("k").agg(F.max(F.struct("n", "id", "w")).alias("m"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hubs = hubs.select(F.col("k").alias("c"), F.col("m.id").alias("b"), F.col("m.w").alias("v"))
+    return table.join(hubs, F.col("k").eqNullSafe(F.col("c"))).filter((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+
+
+def classed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes with ``c``: the least id that the links reach, their own if none does."""
+    linked = components(links)
+    return nodes.join(linked.withColumnRenamed("node", "_node"), F.col("id") == F.col("_node"), "left").drop("_node").withColumn("c", F.coalesce("root", "id")).drop("root")
+
+
+def crowded(table: DataFrame, crowd: int) -> DataFrame:
+    """(x, most, rest): cells (k) with over ``crowd`` members, their largest class (c), and how many members are in others."""
+    by_class = table.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    cells = by_class.groupBy("k").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("m")).filter(F.col("all") > crowd)
+    return cells.select(F.col("k").alias("x"), F.col("m.c").alias("most"), (F.col("all") - F.col("m.n")).alias("rest"))
+
+
+def sent(df: DataFrame, few: int = FEW) -> DataFrame:
+    """The table, for every executor if it is small."""
+    return F.broadcast(df) if df.count() <= few else df
+
+
+def met(table: DataFrame, probes: DataFrame, crowd: DataFrame, near: Column) -> DataFrame:
+    """(a, b): members of different classes where one's lookups (probes: k, id, w, c) hit a cell (table: k, id, w, c) of the other and ``near``
+    holds of their w and v.
+
+    A member of a crowded cell's largest class has nothing to learn from that class, so it looks up the cell's other members
+    only: they stand in the table once more, under a key of their own. So a family that is joined already is not paired out.
+    """
+    crowd = sent(crowd)
+    of = F.col("k") == F.col("x")
+    others = table.join(crowd, of).filter("c <> most").select((F.col("k").bitwiseOR(signed(OTHERS))).alias("k"), "id", "w", "c")
+    aside = F.when(F.col("c") == F.col("most"), F.col("k").bitwiseOR(signed(OTHERS))).otherwise(F.col("k")).alias("k")
+    probes = probes.join(crowd, of, "left").select(aside, "id", "w", "c")
+    held = table.select("k", "id", "w", "c").union(others).select(F.col("k").alias("kk"), F.col("id").alias("b"), F.col("w").alias("v"), F.col("c").alias("d"))
+    found = probes.join(held, F.col("k") == F.col("kk")).filter((F.col("c") != F.col("d")) & near)
+    return found.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
 def lookups_for(n: int, differ: float = 0.152, recall: float = 0.99) -> tuple[int, int, int]:
@@ -133,28 +187,34 @@ def near_pairs(prints: DataFrame, radius: int = 4, dense: int = 512) -> DataFram
     the small Hamming ball around each of its segments in the table of segments, and the whole
     distance is worked out for what is found.
 
-    A table entry with over ``dense`` fingerprints would list all pairs of a family. Those, and what
-    looks them up, are linked through centres instead: each names all values within radius / 2 bits. Two
-    within ``radius`` share such a centre, and whatever shares one is within ``radius``, so linking each
-    centre's members to the least of them makes the same classes, with work in proportion to the members.
+    First each member of a cell meets only the most frequent fingerprint there (column ``n``, if there is one), and what is within ``radius`` is
+    one class. Then lookups link what is still apart (``met``). A cell with over ``dense`` members outside of its largest class
+    would list all pairs of other families. Those, and what looks them up, are linked through centres instead:
+    each names all values within radius / 2 bits. Two within ``radius`` share such a centre, and whatever shares one is within
+    ``radius``, so linking each centre's members to the least of them makes the same classes, with work in proportion to the members.
     """
     if radius % 2:
         raise ValueError("the radius has to be even")
-    prints = prints.select("f0")
+    prints = prints.select("f0", F.col("f0").alias("id"), F.col("f0").alias("w"), *(["n"] if "n" in prints.columns else [F.lit(1).cast("long").alias("n")]))
     m = max(2, segments_for(prints.count(), radius))
-    table, probes = table_and_probes(prints, 1, m, radius // m, ["f0"])
-    table, probes = table.withColumnRenamed("f0", "b"), probes.withColumnRenamed("f0", "a")
-    full = cut(table.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > dense).select("k"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    near = differing("w", "v") <= radius
+    table = prints.select(F.explode(F.array(*cells_of(0, m))).alias("k"), "id", "w", "n")
+    links = stored(hub_links(table, near).distinct())
+    classes = stored(classed(prints, links))
+    table = stored(classes.select(F.explode(F.array(*cells_of(0, m))).alias("k"), "id", "w", "c"))
+    probes = reduce(DataFrame.union, [classes.select(F.explode(b).alias("k"), "id", "w", "c") for b in balls_of(0, m, radius // m)])
+    cells = stored(crowded(table, dense))
+    full = stored(cells.filter(F.col("rest") > dense).select("x"))
+    links = links.union(met(*[t.join(sent(full), F.col("k") == F.col("x"), "left_anti") for t in (table, probes)], cells.filter(F.col("rest") <= dense), near))
     if full.isEmpty():
-        return probes.join(table, "k").filter(near).select("a", "b")
-    pairs = probes.join(table.join(full, "k", "left_anti"), "k").filter(near).select("a", "b")
-    reach = probes.join(full, "k", "left_semi").select(F.col("a").alias("f"), F.col("a").alias("centre")).distinct()
+        return links
+    reach = probes.join(sent(full), F.col("k") == F.col("x"), "left_semi").select(F.col("id").alias("f"), F.col("id").alias("centre")).distinct()
     singles = F.array(*[signed(x) for x in ball(BITS, 1)])
     for _ in range(radius // 2):
         reach = reach.select("f", F.explode(F.transform(singles, lambda x: F.col("centre").bitwiseXOR(x))).alias("centre")).distinct()
-    least = reach.groupBy("centre").agg(F.min("f").alias("a"))
-    return pairs.union(reach.join(least, "centre").filter("f <> a").select("a", F.col("f").alias("b")))
+    reach = stored(reach)
+    least = reach.groupBy("centre").agg(F.min("f").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("centre").alias("z"), "a")
+    return links.union(reach.hint("merge").join(least, F.col("centre").eqNullSafe(F.col("z"))).filter("f <> a").select("a", F.col("f").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
@@ -162,68 +222,76 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Documents with one fingerprint are one node, so copies cost a row each and no pair. Null and empty texts
     have fingerprint 0, linked like any other. Null ids get the root of their class; a class of null ids
-    alone has a null root. Repeated rows come out as often as they went in; an empty table gives none.
+    alone has a null root. Repeated rows come out as often as they went in; an empty table gives none. Other columns aren't read.
     """
     narrow = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    prints = cut(with_fingerprint(narrow, width=width, seed=seed))
-    first = prints.groupBy("f0").agg(F.min("doc_id").alias("low"))
-    linked = components(near_pairs(first, radius))
-    classes = first.join(linked, first.f0 == linked.node, "left").select("f0", F.coalesce("root", "f0").alias("class"), "low")
-    least = classes.groupBy("class").agg(F.min("low").alias("root"))
-    roots = cut(classes.join(least, "class").select(F.col("f0").alias("g"), "root"))
+    prints = stored(with_fingerprint(narrow, width=width, seed=seed))
+    first = stored(prints.groupBy("f0").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    classes = classed(first.select("f0", F.col("f0").alias("id"), "low"), near_pairs(first, radius))
+    least = classes.groupBy("c").agg(F.min("low").alias("root")).withColumnRenamed("c", "class")
+    roots = stored(classes.join(least, F.col("c").eqNullSafe(F.col("class"))).select(F.col("f0").alias("g"), "root"))
     # Both sides have a shuffle of their own, so the optimizer can split a fingerprint that a third of the rows have.
     return prints.join(roots, F.col("f0") == F.col("g")).select("doc_id", "f0", "root")
 
 
-def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: float = 0.24, crowd: int = 64) -> DataFrame:
+def loosest(differ: float, loss: float, bits: int = BITS) -> int:
+    """The least distance over ``bits`` bits that two fingerprints which differ in that part of them exceed with at most that probability."""
+    beyond, most = 1.0, -1
+    while beyond > loss:
+        most += 1
+        beyond -= comb(bits, most) * differ**most * (1 - differ) ** (bits - most)
+    return most
+
+
+def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8, loose: float = 0.24, crowd: int = 64, differ: float = 0.152, loss: float = 0.0005) -> DataFrame:
     """(doc_id, h, class): class of the documents (doc_id, text, h) that links of ``similarity`` or more reach.
 
     Fingerprints of a few 64-bit words (lookups_for) are cut into segments; a lookup ball of a bit or two around each
-    segment finds two texts of Jaccard similarity 0.8 in 99 of 100 cases, and more similar ones more often. What is found and differs in at most the part ``loose`` of all bits is verified by the
-    exact Jaccard similarity of the whole texts' ``width``-word shingles. Equal fingerprints are one node.
-
-    A family of near copies is not paired out. First every member meets the least one of its own
-    segment values only. Then classes that are still apart meet by the balls; a value of over ``crowd`` members of
-    one class is not looked up by members of that class, who have nothing to learn there.
+    segment finds two texts of Jaccard similarity 0.8 in 99 of 100 cases, and more similar ones more often. A lookup carries the text's hash
+    and class and one word other than the one it looks for: chance meetings differ in half of that word's bits, and go in the join
+    (``loosest``: what is at 0.8 goes with probability ``loss``). What is left and differs in at most the part ``loose`` of all bits is verified by
+    the exact Jaccard similarity of the whole texts' ``width``-word shingles. Equal fingerprints are one node.
+
+    A family of near copies is not paired out: members first meet the most frequent one of each cell only, and lookups then go
+    between classes that are still apart (``met``, for cells of over ``crowd`` members). Words are looked up one after the other, and
+    what one has found joins classes before the next, so that disk holds the lookups of one word.
     """
     words, segments, radius = lookups_for(docs.count())
-    names, others = [f"f{k}" for k in range(words)], [f"g{k}" for k in range(words)]
-    prints = cut(with_fingerprint(docs.select("doc_id", "h", "text"), width=width, seed=seed, words=words))
-    nodes = cut(prints.groupBy(*names).agg(F.min("h").alias("id")))
+    names = [f"f{k}" for k in range(words)]
+    prints = stored(with_fingerprint(docs.select("doc_id", "h", "text"), width=width, seed=seed, words=words))
+    nodes = stored(prints.groupBy(*names).agg(F.min("h").alias("id"), F.count(F.lit(1)).alias("n")))
     texts = docs.select("h", "text")
-    distance = reduce(Column.__add__, [F.bit_count(F.col(f).bitwiseXOR(F.col(g))) for f, g in zip(names, others)])
-    close = distance <= int(loose * BITS * words)
-
-    table, _ = table_and_probes(nodes, words, segments, radius, [*names, "id"])
-    least = table.groupBy("k").agg(F.min(F.struct("id", *names)).alias("m")).select("k", F.col("m.id").alias("b"), *[F.col(f"m.{f}").alias(g) for f, g in zip(names, others)])
-    met = table.join(least, "k").filter((F.col("id") != F.col("b")) & close).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    links = cut(verified(met, texts, width, seed, similarity))
-
-    classes = cut(_classes(nodes, links))
-    table, _ = table_and_probes(classes, words, segments, radius, [*names, "id", "class"])
-    _, probes = table_and_probes(classes, words, segments, radius, [*names, "class"])
-    crowded = cut(table.groupBy("k").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > crowd) & (F.col("lo") == F.col("hi"))).select("k", "lo"))
-    if many := crowded.count():
-        probes = probes.join(F.broadcast(crowded) if many <= FEW else crowded, "k", "left").filter("lo is null or lo <> class").drop("lo")
-    other = table.select("k", F.col("id").alias("b"), *[F.col(f).alias(g) for f, g in zip(names, others)], F.col("class").alias("c2"))
-    once = F.col("f0") <= F.col("g0")  # each of two finds the other
-    found = cut(probes.join(other, "k").filter((F.col("class") != F.col("c2")) & once & close).select(*names, "b").distinct())
-    who = cut(found.select(*names).distinct().join(nodes, names))
-    links = links.union(verified(found, texts, width, seed, similarity, who, names))
-    classes = cut(_classes(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], "class")
+    near = differing("w", "v") <= loosest(differ, loss)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are near in all words and whose texts are similar."""
+        ends = [nodes.select(F.col("id").alias(side), *[F.col(f).alias(f"{side}{f}") for f in names]) for side in "ab"]
+        whole = reduce(Column.__add__, [differing(f"a{f}", f"b{f}") for f in names]) <= int(loose * BITS * words)
+        return verified(pairs.distinct().join(ends[0], "a").join(ends[1], "b").filter(whole).select("a", "b"), texts, width, seed, similarity)
+
+    def rows(of: DataFrame, word: int, keys: list[Column], *more: str) -> DataFrame:
+        parts = [of.select(F.explode(k).alias("k"), "id", F.col(f"f{(word + 1) % words}").alias("w"), *more) for k in keys]
+        return reduce(DataFrame.union, parts)
+
+    hubs = reduce(DataFrame.union, [hub_links(rows(nodes, k, [F.array(*cells_of(k, segments))], "n"), near) for k in range(words)])
+    links = stored(checked(stored(hubs.distinct())))
+    for k in range(words):
+        classes = stored(classed(nodes, links))
+        table = stored(rows(classes, k, [F.array(*cells_of(k, segments))], "c"))
+        found = stored(met(table, rows(classes, k, balls_of(k, segments, radius), "c"), stored(crowded(table, crowd)), near).distinct())
+        more = stored(links.union(checked(found)))
+        released(links, classes, table, found)
+        links = more
+        freed(docs.sparkSession)
+    classes = stored(classed(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], F.col("c").alias("class"))
     return prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class")
 
 
-def _classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    linked = components(links)
-    return nodes.join(linked, nodes.id == linked.node, "left").select(*nodes.columns, F.coalesce("root", "id").alias("class"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float, who: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of text hashes whose sets of shingles have that Jaccard similarity or more.
 
-    With ``who`` (names, id), pairs name their first text by its fingerprint. While the sets of all texts in question are
-    few, every task gets them and pairs are compared where they are; else sets are joined to pairs.
+    Whole texts are read again where they are, once for each text that a pair names. Their sets go to every executor while
+    they have few shingles in all, else they are joined to the pairs by a shuffle.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,31 +299,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similari
             made = [np.unique(shingle_hashes(x, width, seed)).view(np.int64) for x in bytes_of(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(made, pa.list_(pa.int64()))], names=["h", "set"])
 
-    pairs = pairs if who is not None else cut(pairs)
-    left = pairs.select(F.col("a").alias("h")) if who is None else who.select(F.col("id").alias("h"))
-    ends = cut(left.union(pairs.select("b")).distinct())
-    held = texts.join(F.broadcast(ends) if ends.count() <= FEW else ends, "h", "left_semi")
-    own = cut(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
-    if (own.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES:
-        known = {r["h"]: np.array(r["set"], np.int64) for r in own.toLocalIterator()}
-        named_by = {tuple(r[:-1]): r[-1] for r in who.select(*names, "id").toLocalIterator()} if who is not None else {}
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                first = part.column("a").to_pylist() if who_names is None else [named_by[k] for k in zip(*(part.column(n).to_pylist() for n in who_names))]
-                kept = []
-                for a, b in zip(first, part.column("b").to_pylist()):
-                    x, y = known[a], known[b]
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    if shared >= similarity * (len(x) + len(y) - shared):
-                        kept.append((min(a, b), max(a, b)))
-                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        who_names = None if who is None else list(names)
-        return pairs.mapInArrow(compare, "a long, b long")
-    if who is not None:
-        pairs = pairs.join(who, names).select(F.col("id").alias("a"), "b").distinct()
-    both = pairs.join(own.select(F.col("h").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("h").alias("b"), F.col("set").alias("y")), "b")
+    pairs = stored(pairs)
+    ends = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    held = texts.join(sent(ends), "h", "left_semi")
+    own = stored(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
+    few = (own.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES
+    left, right = (own.select(F.col("h").alias(side), F.col("set").alias(x)) for side, x in (("a", "x"), ("b", "y")))
+    both = pairs.join(F.broadcast(left) if few else left, "a").join(F.broadcast(right) if few else right, "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 

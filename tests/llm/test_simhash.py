@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sievework.llm import simhash
-from sievework.operators.components import components
+from sievework.llm.linking import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -95,11 +95,12 @@ def test_family_of_near_copies_keeps_one(spark, prose):
     assert classes.select("class").distinct().count() == 10
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("per_task", [0, 40, 10_000])
+def test_components_of_a_chain_and_a_star(spark, per_task):
     links = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(50)] + [(5000, 5000), (3, 1)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").repartition(6), per_task).collect()}
     assert got == {i: 0 for i in range(301)} | {i: 1000 for i in [1000, *range(2000, 2050)]}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), per_task).count() == 0
 
 
 def pairs_at_the_threshold(n):
