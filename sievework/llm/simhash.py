@@ -274,17 +274,21 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
         return reduce(DataFrame.union, parts)
 
     hubs = reduce(DataFrame.union, [hub_links(rows(nodes, k, [F.array(*cells_of(k, segments))], "n"), near) for k in range(words)])
-    links = stored(checked(stored(hubs.distinct())))
+    links = checked(stored(hubs.distinct()))
     for k in range(words):
         classes = stored(classed(nodes, links))
         table = stored(rows(classes, k, [F.array(*cells_of(k, segments))], "c"))
         found = stored(met(table, rows(classes, k, balls_of(k, segments, radius), "c"), stored(crowded(table, crowd)), near).distinct())
-        more = stored(links.union(checked(found)))
-        released(links, classes, table, found)
-        links = more
+        more = checked(found)
+        joined = stored(links.union(more))
+        released(links, more, classes, table, found)
+        links = joined
         freed(docs.sparkSession)
     classes = stored(classed(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], F.col("c").alias("class"))
-    return prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class")
+    told = stored(prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class"))
+    released(prints, nodes, links)
+    freed(docs.sparkSession)
+    return told
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
@@ -307,7 +311,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similari
     left, right = (own.select(F.col("h").alias(side), F.col("set").alias(x)) for side, x in (("a", "x"), ("b", "y")))
     both = pairs.join(F.broadcast(left) if few else left, "a").join(F.broadcast(right) if few else right, "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    found = stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    released(pairs, ends, own)
+    return found
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -317,7 +323,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     content = F.coalesce(named(text), F.lit(""))
     rows = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], named(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("h"))
-    classes = cut(similar(rows.select("doc_id", "text", "h"), **settings))
+    classes = similar(rows.select("doc_id", "text", "h"), **settings)
     best = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select("class", F.col("k.doc_id").alias("_d"), F.col("k.h").alias("_h"))
     told = classes.join(best.withColumnRenamed("class", "c"), F.col("class") == F.col("c"))
     same = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
