@@ -112,9 +112,37 @@ def _flat(df, group):
     return df.select(group, F.coalesce("part", F.lit(-1)).alias("part"), "chunk_index", "total_chunks", "chunk", sources.alias("sources"))
 
 
-@query("c06_chunk_batch")
+def _batch_sql(texts: str, size: int, pattern: str = "chr(10)") -> str:
+    """C06 one paragraph after the other: ``texts`` has g, o, text, url, title; of a source its URL and title are shown."""
+    return f"""with recursive t as (select *, row_number() over (partition by g order by o) k from ({texts}) where trim(text, chr(9) || chr(10) || chr(13) || ' ') <> ''),
+    tot as (select g, sum(length(text)) + (count(*) - 1) * 6 <= {size} fits from t group by g),
+    line as (select g, k, '--- SOURCE: ' || coalesce(title, 'Unknown') || ' | URL: ' || coalesce(url, 'Unknown') || ' ---' l from t),
+    item as (
+      select g, row_number() over (partition by g order by k, i) j, p, length(p) n, url, title from (
+        select t.g, k, unnest(ps) p, generate_subscripts(ps, 1) i, url, title from (select *, list_filter([trim(y) for y in string_split(text, {pattern})], lambda z: z <> '') ps from t) t
+        union all select g, k, l, 0, null, null from line where k > 1) join tot using (g) where not fits),
+    walk as (
+      select g, j, j s, case when n > {size} then 0 else n + 4 end acc, n > {size} long from item where j = 1
+      union all
+      select i.g, i.j, case when i.n > {size} or w.long or w.acc + i.n > {size} then i.j else w.s end,
+        case when i.n > {size} then 0 when w.long or w.acc + i.n > {size} then i.n + 4 else w.acc + i.n + 4 end, i.n > {size}
+      from walk w join item i on i.g = w.g and i.j = w.j + 1),
+    kept as (select g, s, url, min(j) place, arg_max(title, j) title from walk join item using (g, j) where not long and url <> '' group by all),
+    told as (select g, s, string_agg(url || ' ' || title, '; ' order by place) sources from kept group by all),
+    made as (
+      select g, s, 0::bigint piece, string_agg(p, chr(10) || chr(10) order by j) chunk, coalesce(any_value(sources), '') sources from walk join item using (g, j) left join told using (g, s) where not long group by g, s
+      union all select g, s, unnest(range(0, n, {size - 100})), unnest({_fixed_sql('p', size - 100)}), coalesce(url || ' ' || title, '') from walk join item using (g, j) where long
+      union all select g, 1, 0, string_agg(case when k > 1 then l || chr(10) || chr(10) else '' end || text, chr(10) || chr(10) order by k), string_agg(url || ' ' || title, '; ' order by k)
+        from t join line using (g, k) join tot using (g) where fits group by g)
+    select g, -1 as part, row_number() over (partition by g order by s, piece) - 1 as chunk_index, count(*) over (partition by g) as total_chunks, chunk, sources from made"""
+
+
+_TURNS = "select conv_id g, turn o, text, 'https://chat.example.org/' || role url, role title from conversations"
+
+
+@query("c06_chunk_batch", f"select g as conv_id, * exclude (g) from ({_batch_sql(_TURNS, 1500)})")
 def c06(t):
-    """Conversations: most groups are gathered, the long ones go text by text."""
+    """Conversations, the long ones packed block by block."""
     turns = t("conversations").select(
         "conv_id", "turn", "text",
         F.concat(F.lit("https://chat.example.org/"), "role").alias("url"), F.col("role").alias("title"), F.lit("chat").alias("search_query"),
@@ -129,7 +157,16 @@ def c06(t):
     select source, part, sources, len(l) as total_chunks, unnest(l) as chunk, generate_subscripts(l, 1) - 1 as chunk_index from c""",
 )
 def c06_large(t):
-    """Documents by source: every group is far above the gathering limit."""
+    """Documents by source, above the limit from which texts are chunked apart."""
+    return _flat(chunks.chunk_batch(_sourced(t), "source", "doc_id", "text", 2000, "\n", apart_above=5), "source")
+
+
+_BY_SOURCE = "select source g, doc_id o, text, concat('https://example.org/', lang, '/', doc_id % 3) url, lang title from documents"
+
+
+@query("c06_chunk_batch_streams", f"select g as source, * exclude (g) from ({_batch_sql(_BY_SOURCE, 2000)})")
+def c06_streams(t):
+    """Documents by source, each source one stream."""
     return _flat(chunks.chunk_batch(_sourced(t), "source", "doc_id", "text", 2000, "\n"), "source")
 
 
@@ -170,7 +207,12 @@ def c10(t):
     return chunks.chunk_overlap_check(pieces, "doc_id")
 
 
-@query("c11_rows_to_text_chunks")
+_RECORDS = """select s_nationkey g, s_suppkey o, s_suppkey::varchar url, 'record' title,
+    '{' || chr(10) || '  "s_name" : "' || s_name || '",' || chr(10) || '  "s_nationkey" : ' || s_nationkey || ',' || chr(10) || '  "s_acctbal" : ' || s_acctbal || chr(10) || '}' text
+  from supplier"""
+
+
+@query("c11_rows_to_text_chunks", f"select g as grp, * exclude (g) from ({_batch_sql(_RECORDS, 800, 'chr(10) || chr(10)')})")
 def c11(t):
     rows = t("supplier").withColumn("grp", F.col("s_nationkey"))
     return _flat(chunks.rows_to_text_chunks(rows, "grp", "s_suppkey", 800), "grp")

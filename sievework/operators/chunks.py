@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import is_blank, split_paragraphs, unnest
-from sievework.operators.positions import with_neighbours
+from sievework.operators.positions import with_neighbours, with_position
+from sievework.session import cut
 
 STRINGS = "array<string>"
 SOURCE = "struct<url:string,title:string,search_query:string>"
@@ -151,75 +155,6 @@ def chunk_each(
     return unnest(rows, [*keep, F.size("_chunks").alias("total_chunks")], F.col("_chunks"), "chunk", "chunk_index")
 
 
-def _with_source(sources: Column, source: Column) -> Column:
-    """One entry per URL: place of the first, content of the last."""
-    same = F.exists(sources, lambda s: s["url"] == source["url"])
-    replaced = F.transform(sources, lambda s: F.when(s["url"] == source["url"], source).otherwise(s))
-    usable = source["url"].isNotNull() & (source["url"] != "")
-    return F.when(~usable, sources).when(same, replaced).otherwise(F.concat(sources, F.array(source)))
-
-
-def _pack_group(members: Column, size: int, delimiter: str) -> Column:
-    """Paragraphs of several texts in one stream, separator rows between the texts."""
-    no_sources = F.array().cast(f"array<{SOURCE}>")
-    no_source = F.lit(None).cast(SOURCE)
-
-    def paragraphs(m, i):
-        own = F.transform(
-            split_paragraphs(m["text"], delimiter), lambda p: F.struct(p.alias("p"), m["source"].alias("s"))
-        )
-        line = separator(m["source"])
-        head = F.array(F.struct(line.alias("p"), no_source.alias("s")))
-        return F.when(i > 0, F.concat(head, own)).otherwise(own)
-
-    stream = F.flatten(F.transform(members, paragraphs))
-    start = F.struct(
-        F.array().cast(f"array<struct<chunk:string,sources:array<{SOURCE}>>>").alias("done"),
-        _no_strings().alias("cur"),
-        no_sources.alias("src"),
-        F.lit(0).alias("n"),
-    )
-
-    def flushed(acc):
-        chunk = F.struct(F.array_join(acc["cur"], "\n\n").alias("chunk"), acc["src"].alias("sources"))
-        return F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(chunk))).otherwise(acc["done"])
-
-    def step(acc, e):
-        p, s = e["p"], e["s"]
-        n = F.length(p)
-        own = F.when(s.isNotNull(), F.array(s)).otherwise(no_sources)
-        pieces = F.transform(cut_fixed(p, size - 100), lambda c: F.struct(c.alias("chunk"), own.alias("sources")))
-        first_source = F.when(s.isNotNull(), _with_source(no_sources, s)).otherwise(no_sources)
-        more_sources = F.when(s.isNotNull(), _with_source(acc["src"], s)).otherwise(acc["src"])
-        return (
-            F.when(
-                n > size,
-                F.struct(
-                    F.concat(flushed(acc), pieces).alias("done"),
-                    _no_strings().alias("cur"),
-                    no_sources.alias("src"),
-                    F.lit(0).alias("n"),
-                ),
-            )
-            .when(
-                (acc["n"] + n > size) & (F.size(acc["cur"]) > 0),
-                F.struct(
-                    flushed(acc).alias("done"), F.array(p).alias("cur"), first_source.alias("src"), (n + 4).alias("n")
-                ),
-            )
-            .otherwise(
-                F.struct(
-                    acc["done"].alias("done"),
-                    F.concat(acc["cur"], F.array(p)).alias("cur"),
-                    more_sources.alias("src"),
-                    (acc["n"] + n + 4).alias("n"),
-                )
-            )
-        )
-
-    return F.aggregate(stream, start, step, flushed)
-
-
 def separator(source: Column) -> Column:
     return F.concat(
         F.lit("--- SOURCE: "),
@@ -231,31 +166,24 @@ def separator(source: Column) -> Column:
 
 
 def chunk_batch(
-    df: DataFrame, group: str, order: str, text: str, size: int = 50000, delimiter: str = PARAGRAPH
+    df: DataFrame, group: str, order: str, text: str, size: int = 50000, delimiter: str = PARAGRAPH, apart_above: int | None = None
 ) -> DataFrame:
     """(group, part, chunk_index, total_chunks, chunk, sources).
 
-    ``df`` has ``group``, ``order``, ``text`` and the source columns url, title and
-    search_query. Groups above five chunk sizes are chunked text by text (``part`` is the
-    order of the text) and are never gathered, so a group that holds a third of all rows
-    stays spread out; only groups of at most ``5 * size`` characters are collected.
+    ``df`` has ``group``, ``order``, ``text`` and the source columns url, title and search_query. A group whose texts fit
+    one chunk stays whole; all others are packed paragraph by paragraph, with a line between texts, the same way for any
+    size of a group (pack_groups), and never gathered. With ``apart_above``, groups of over so many chunk sizes are chunked text by
+    text instead (``part`` is then the order of the text).
     """
+    check_sizes(size, 0)
     source = F.struct(F.col("url").cast("string"), F.col("title").cast("string"), F.col("search_query").cast("string"))
     texts = df.filter(~is_blank(F.col(text))).select(
         F.col(group).alias("_g"), F.col(order).cast("long").alias("part"), F.col(text).alias("text"), source.cast(SOURCE).alias("source")
     )
     totals = texts.groupBy("_g").agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts"))
     sized = texts.join(totals.withColumnRenamed("_g", "_t"), F.col("_g").eqNullSafe(F.col("_t"))).drop("_t")
-    big, small = sized.filter(F.col("_chars") > 5 * size), sized.filter(F.col("_chars") <= 5 * size)
-
-    apart = chunk_each(big.select("_g", "part", "text", "source"), "part", "text", size, delimiter)
-    apart = apart.select("_g", "part", "chunk_index", "total_chunks", "chunk", F.array("source").alias("sources"))
-
-    gathered = small.groupBy("_g").agg(
-        F.sort_array(F.collect_list(F.struct("part", "text", "source"))).alias("m"),
-        F.first("_chars").alias("_chars"),
-        F.first("_texts").alias("_texts"),
-    )
+    fits = F.col("_chars") + (F.col("_texts") - 1) * 6 <= size
+    gathered = sized.filter(fits).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("part", "text", "source"))).alias("m"))
     whole = F.aggregate(
         "m",
         F.lit(""),
@@ -263,21 +191,162 @@ def chunk_batch(
             F.concat(acc, F.lit("\n\n"), separator(m["source"]), F.lit("\n\n"), m["text"])
         ),
     )
-    single = F.array(F.struct(whole.alias("chunk"), F.transform("m", lambda m: m["source"]).alias("sources")))
-    chunks = F.when(F.col("_chars") + (F.col("_texts") - 1) * 6 <= size, single).otherwise(
-        _pack_group(F.col("m"), size, delimiter)
-    )
-    together = gathered.select("_g", chunks.alias("c"))
-    together = unnest(together, ["_g", F.size("c").alias("total_chunks")], F.col("c"), "e", "chunk_index")
-    together = together.select(
-        "_g",
-        F.lit(None).cast("long").alias("part"),
-        "chunk_index",
-        "total_chunks",
-        F.col("e.chunk").alias("chunk"),
-        F.col("e.sources").alias("sources"),
-    )
-    return apart.unionByName(together).withColumnRenamed("_g", group)
+    columns = ["_g", "part", "chunk_index", "total_chunks", "chunk", "sources"]
+    none = F.lit(None).cast("long").alias("part")
+    single = gathered.select("_g", none, F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), whole.alias("chunk"), F.transform("m", lambda m: m["source"]).alias("sources"))
+    rest, apart = sized.filter(~fits), F.lit(False)
+    if apart_above is not None:
+        apart = F.col("_chars") > apart_above * size
+    packed = pack_groups(rest.filter(~apart).drop("_chars", "_texts"), size, delimiter).select("_g", none, "chunk_index", "total_chunks", "chunk", "sources")
+    out = single.unionByName(packed)
+    if apart_above is not None:
+        each = chunk_each(rest.filter(apart).select("_g", "part", "text", "source"), "part", "text", size, delimiter)
+        out = out.unionByName(each.withColumn("sources", F.array("source")).select(*columns))
+    return out.withColumnRenamed("_g", group)
+
+
+#: Blocks of a group's stream that a task packs, in chunk sizes.
+BLOCK_CHUNKS = 16
+ITEM, ENTRY, MARK = 0, 1, 2
+
+
+def pack_groups(texts: DataFrame, size: int, delimiter: str = PARAGRAPH) -> DataFrame:
+    """(_g, chunk_index, total_chunks, chunk, sources) from (_g, part, text, source): greedy packing without gathering a group.
+
+    The paragraphs of a group are one stream, with a separator before each text but the first. With the characters before
+    each of them (prefix sums), the chunk that starts at one ends at the first paragraph that lies beyond ``size`` characters, so
+    each paragraph has a next start, whether it is one or not. The stream is cut into blocks of a bounded number of characters; a
+    block needs the first chunk size of the next one only. Each block tells for every paragraph at its head where a chunk sequence that
+    enters there leaves; which of these are real is found by pointer doubling over blocks; then blocks write their chunks.
+    """
+    line = separator(F.col("source"))
+    paragraphs = split_paragraphs(F.col("text"), delimiter)
+    rows = texts.select(F.struct("_g").alias("g"), "part", "source", F.concat(F.array(line), paragraphs).alias("items"))
+    rows = rows.withColumns({"many": F.size("items").cast("long"), "chars": F.aggregate("items", F.lit(0).cast("long"), lambda n, p: n + F.length(p) + 4)})
+    placed = cut(with_position(rows, "part", ["g"], sums={"j0": "many", "p0": "chars"}))
+    stream = cut(_stream(placed, size))
+    block = [F.col("g"), F.col("b")]
+
+    narrow = stream.select("g", "b", "kind", "home", "j", "p", "n")
+    edges = cut(narrow.groupBy(*block).applyInPandas(_leaves(size), "g " + _type(stream, "g") + ", b long, a long, x long, known boolean"))
+    reached = edges.filter("known").select("g", "a")
+    jumps = edges.filter("x is not null").select("g", "a", "x")
+    seen = reached.count()
+    while True:
+        on = lambda r, j: r.withColumnRenamed("g", "h").join(j, (F.col("h") == F.col("g")) & (F.col("at") == F.col("a")))
+        further = on(reached.withColumnRenamed("a", "at"), jumps).select("g", F.col("x").alias("a"))
+        reached = cut(reached.union(further).distinct())
+        if (now := reached.count()) == seen:
+            break
+        seen = now
+        jumps = cut(on(jumps.select("g", F.col("a").alias("first"), F.col("x").alias("at")), jumps).select("g", F.col("first").alias("a"), "x"))
+
+    real = edges.select("g", "b", "a").join(reached, ["g", "a"], "left_semi")
+    entries = real.select("g", "b", F.lit(ENTRY).alias("kind"), F.lit(True).alias("home"), F.col("a").alias("j"))
+    with_entries = stream.unionByName(entries, allowMissingColumns=True)
+    made = cut(with_entries.groupBy(*block).applyInPandas(_write(size), "g " + _type(stream, "g") + f", b long, i int, chunk string, sources array<{SOURCE}>"))
+    # one row for each block is summed up here
+    counts = made.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
+    by_group = Window.partitionBy("g")
+    starts = counts.select("g", "b", F.coalesce(F.sum("n").over(by_group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(by_group).alias("all"))
+    told = made.join(starts.withColumnsRenamed({"g": "h", "b": "c"}), (F.col("g") == F.col("h")) & (F.col("b") == F.col("c")))
+    return told.select("g._g", (F.col("before") + F.col("i")).cast("int").alias("chunk_index"), F.col("all").cast("int").alias("total_chunks"), "chunk", "sources")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _stream(placed: DataFrame, size: int) -> DataFrame:
+    """(g, b, kind, home, j, p, n, text, source): each paragraph with its number and the characters before it, in its block, and once
+    more in the block before if it stands within a chunk size of its head. MARK rows say that a chunk starts at a number anyhow."""
+    width = BLOCK_CHUNKS * size
+
+    def run(batches):
+        for batch in batches:
+            at, out = {n: batch.column(n).to_pylist() for n in ("j0", "p0", "pos", "items")}, []
+            for row, (j, p, pos, items) in enumerate(zip(at["j0"], at["p0"], at["pos"], at["items"])):
+                for k, text in enumerate(items):
+                    n = len(text)
+                    if k or pos > 1:
+                        said = row if k else None  # separators have no source
+                        out.append((row, p // width, ITEM, True, j, p, n, text, said))
+                        if p % width < size + 5 and p >= width:
+                            out.append((row, p // width - 1, ITEM, False, j, p, n, text, said))
+                    if n > size and (k or pos > 1) or pos == 1 and k == 0:
+                        out.append((row, (p + n + 4) // width, MARK, True, j + 1, p + n + 4, 0, None, None))
+                    j, p = j + 1, p + n + 4
+            rows, *columns, said = zip(*out) if out else [()] * 9
+            kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            g, source = (batch.column(c).take(pa.array(r, pa.int64())) for c, r in (("g", rows), ("source", said)))
+            yield pa.RecordBatch.from_arrays([g, *arrays, source], names=["g", "b", "kind", "home", "j", "p", "n", "text", "source"])
+
+    schema = f"g {_type(placed, 'g')}, b long, kind int, home boolean, j long, p long, n long, text string, source {SOURCE}"
+    return placed.select("g", "j0", "p0", "pos", "items", "source").mapInArrow(run, schema)
+
+
+def _next_starts(items: pd.DataFrame, size: int) -> np.ndarray:
+    """For each paragraph the row of the one that starts the chunk after a chunk that starts there; the number of rows if none is at hand."""
+    p, n = (items[c].to_numpy().astype(np.int64) for c in ("p", "n"))
+    after = np.searchsorted(p + n, p + size, side="right")
+    return np.maximum(after, np.arange(len(p)) + 1)
+
+
+def _leaves(size: int):
+    """Of a block: (a, x, known) for each paragraph where a chunk may start first, and the start behind the block that follows from it."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        items = frame[frame["kind"] == ITEM].sort_values("j").reset_index(drop=True)
+        own = items["home"].to_numpy().astype(bool)
+        j, n, ahead = items["j"].to_numpy(), items["n"].to_numpy().astype(np.int64), _next_starts(items, size)
+        known = np.isin(j, frame.loc[frame["kind"] == MARK, "j"].to_numpy())
+        leave = np.full(len(items), -1, np.int64)  # row behind the block
+        for i in range(len(items) - 1, -1, -1):
+            if not own[i]:
+                leave[i] = i
+            elif n[i] <= size and ahead[i] < len(items) and n[ahead[i]] <= size:
+                leave[i] = leave[ahead[i]]
+        p = items["p"].to_numpy()
+        asked = np.flatnonzero(own & (n <= size) & (known | (p % (BLOCK_CHUNKS * size) < size + 5)))
+        found = [int(j[leave[i]]) if leave[i] >= 0 else None for i in asked]
+        first = frame["b"].iloc[0]
+        return pd.DataFrame({"g": pd.Series([frame["g"].iloc[0]] * len(asked), dtype=object), "b": first, "a": j[asked], "x": pd.array(found, "Int64"), "known": known[asked]})
+
+    return run
+
+
+def _write(size: int):
+    """Of a block: (i, chunk, sources) of the chunks that start in it, in order."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        items = frame[frame["kind"] == ITEM].sort_values("j").reset_index(drop=True)
+        own, j, n, ahead = items["home"].to_numpy().astype(bool), items["j"].to_numpy(), items["n"].to_numpy().astype(np.int64), _next_starts(items, size)
+        texts, sources = items["text"].tolist(), items["source"].tolist()
+        start = np.isin(j, frame.loc[frame["kind"] != ITEM, "j"].to_numpy()) | (n > size)
+        out = []
+        for i in np.flatnonzero(own):
+            if not start[i]:
+                continue
+            if n[i] > size:
+                own_source = [sources[i]] if isinstance(sources[i], dict) else []
+                out += [(texts[i][k : k + size - 100], own_source) for k in range(0, n[i], size - 100)]
+                continue
+            end = ahead[i]
+            if end < len(items):
+                start[end] = True
+            by_url: dict = {}
+            for text, source in zip(texts[i:end], sources[i:end]):
+                if isinstance(source, dict) and source["url"]:
+                    by_url[source["url"]] = source
+            out.append(("\n\n".join(texts[i:end]), list(by_url.values())))
+        made = pd.DataFrame({"chunk": pd.Series([c for c, _ in out], dtype=object), "sources": pd.Series([s for _, s in out], dtype=object)})
+        made.insert(0, "i", np.arange(len(out), dtype="int32"))
+        made.insert(0, "b", frame["b"].iloc[0])
+        made.insert(0, "g", pd.Series([frame["g"].iloc[0]] * len(out), dtype=object))
+        return made
+
+    return run
 
 
 def chunk_stats(chunks: DataFrame, text: str = "chunk", sources: str | None = None) -> DataFrame:

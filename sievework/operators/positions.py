@@ -47,9 +47,12 @@ def with_position(
     descending: bool = False,
     out: str = "pos",
     buckets: int | None = None,
+    sums: dict[str, str] | None = None,
 ) -> DataFrame:
     """1-based position of each row by ``order`` (then ``ties``), overall or per key.
 
+    ``sums`` maps new columns to numeric columns: their sums over all rows before, 0 for the first one.
+
     Rows without an order value come last, or first when descending. Rows that are alike in order and ties
     stand in the order of a hash. The key is one struct, so that NULL keys match each other.
     """
@@ -59,13 +62,17 @@ def with_position(
     first = F.desc_nulls_first(order) if descending else F.asc_nulls_last(order)
     by = [first, *[F.col(t) for t in ties or []], F.col("_same")]
     ranged = in_ranges(marked, [F.col("_group"), *by] if keys else by, buckets)
-    sizes = ranged.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    added = {f"_sum{i}": column for i, column in enumerate((sums or {}).values())}
+    sizes = ranged.groupBy("_group", "_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"{n}_all") for n, c in added.items()])
     # at most one row per range and key is summed up here
-    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_group", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_group", "_range").orderBy(*by)))
+    ranges = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_group", "_range", *[F.coalesce(F.sum(c).over(ranges), F.lit(0)).alias(n) for n, c in [("_before", "_n"), *[(f"{n}_off", f"{n}_all") for n in added]]])
+    inside = Window.partitionBy("_group", "_range").orderBy(*by)
+    own = {n: F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n, c in added.items()}
+    numbered = ranged.withColumns({"_rn": F.row_number().over(inside), **own})
     joined = numbered.join(offsets, ["_group", "_range"])
-    return joined.withColumn(out, F.col("_before") + F.col("_rn")).drop("_group", "_range", "_same", "_before", "_rn")
+    joined = joined.withColumns({out: F.col("_before") + F.col("_rn"), **{name: F.col(n) + F.col(f"{n}_off") for name, n in zip(sums or {}, added)}})
+    return joined.drop("_group", "_range", "_same", "_before", "_rn", *added, *[f"{n}_off" for n in added])
 
 
 def in_blocks(

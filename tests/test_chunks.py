@@ -113,7 +113,7 @@ def batch(texts, size):
         if len(p) > size:
             out += [("\n\n".join(cur), src)] if cur else []
             cur, n, src = [], 0, []
-            out += [(p[i : i + size - 100], [u] if u else []) for i in range(0, len(p), size - 100)]
+            out += [(p[i : i + size - 100], [] if u is None else [u]) for i in range(0, len(p), size - 100)]
             continue
         if cur and n + len(p) > size:
             out.append(("\n\n".join(cur), src))
@@ -131,7 +131,7 @@ def test_chunk_batch(spark):
     df = spark.createDataFrame(rows, "g int, k int, text string, url string, title string, search_query string")
     size = 400
     got = {}
-    for r in chunks.chunk_batch(df, "g", "k", "text", size).orderBy("g", "part", "chunk_index").collect():
+    for r in chunks.chunk_batch(df, "g", "k", "text", size, apart_above=5).orderBy("g", "part", "chunk_index").collect():
         got.setdefault(r["g"], []).append((r["chunk"], [s["url"] for s in r["sources"]]))
     for g in {r[0] for r in rows}:
         texts = [(r[2], r[3]) for r in rows if r[0] == g]
@@ -143,6 +143,24 @@ def test_chunk_batch(spark):
         assert got.get(g, []) == want, g
 
 
+@pytest.mark.parametrize("size", [150, 400])
+def test_groups_of_any_size_are_packed_like_a_plain_loop(spark, size):
+    r = random.Random(size)
+    para = lambda: " ".join("w" * r.randint(1, 9) for _ in range(r.choice([1, 3, 10, 10, 30, 200])))
+    rows = [(1, k, "\n\n".join(para() for _ in range(r.randint(0, 6))), f"u{k % 4}" if k % 9 else "", "T", "q") for k in range(300)]
+    rows += [(None, k, "\n\n".join("é" * r.randint(1, 60) for _ in range(5)), f"u{k}", "T", "q") for k in range(40)]
+    rows += [(2, k, "y" * 5000, f"u{k}", "T", "q") for k in range(3)] + [(3, k, "x", "u", "T", "q") for k in range(900)]
+    rows += [(4, 0, "a\n\n" + "b" * size * 40 + "\n\nc", "u", "T", "q"), (4, 1, "d", "v", "T", "q")]
+    df = spark.createDataFrame(rows, "g int, k int, text string, url string, title string, search_query string").repartition(5)
+    got = {}
+    for x in chunks.chunk_batch(df, "g", "k", "text", size).orderBy("g", "chunk_index").collect():
+        assert x.part is None and x.chunk_index == len(got.setdefault(x.g, []))
+        got[x.g].append((x.chunk, [s["url"] for s in x.sources], x.total_chunks))
+    for g in {x[0] for x in rows}:
+        want = batch([(x[2], x[3]) for x in rows if x[0] == g], size)
+        assert got[g] == [(c, u, len(want)) for c, u in want], g
+
+
 def test_bad_sizes():
     for size, overlap in ((0, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
