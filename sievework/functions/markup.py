@@ -6,6 +6,7 @@ can be written as a column expression (links, titles, trimming, caps) is not in
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -75,9 +76,14 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {})
         self.open = [self.root]
+        self.many: Counter = Counter()  # open elements by tag, so that deep pages aren't searched for what isn't there
+
+    def _end(self, depth: int):
+        self.many.subtract(e.tag for e in self.open[depth:])
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in _BLOCK and any(e.tag == "p" for e in self.open):
+        if tag in _BLOCK and self.many["p"]:
             self._close({"p"})
         if tag in _SAME:
             self._close(_SAME[tag])
@@ -85,23 +91,28 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
+            self.many[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].children.append(Element(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
+        if not self.many[tag]:
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag == tag:
-                del self.open[depth:]
+                self._end(depth)
                 return
 
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
     def _close(self, tags: set[str]):
+        if not any(self.many[t] for t in tags):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag in tags:
-                del self.open[depth:]
+                self._end(depth)
                 return
             if self.open[depth].tag in _BARRIER:
                 return
@@ -156,74 +167,103 @@ def html_to_text(html: str, separator: str = " ") -> str:
     return main_content(whole, separator).strip() or html_to_markdown(html).strip() or whole.text(separator, True)
 
 
-def html_to_markdown(html: str) -> str:
-    """Headings, lists, links and tables; images dropped; no wrapping."""
-    out: list[str] = []
-
-    def inline(node: Element) -> str:
-        parts = []
-        for child in node.children:
-            if isinstance(child, str):
-                parts.append(child)
-            elif child.tag == "a" and child.attrs.get("href"):
-                parts.append(f"[{inline(child).strip()}]({child.attrs['href']})")
-            elif child.tag in ("b", "strong"):
-                parts.append(f"**{inline(child).strip()}**")
-            elif child.tag in ("i", "em"):
-                parts.append(f"_{inline(child).strip()}_")
-            elif child.tag == "br":
-                parts.append("\n")
-            elif child.tag not in _SILENT and child.tag != "img":
-                parts.append(inline(child))
-        return "".join(parts)
-
-    def tidy(text: str) -> str:
-        return "\n".join(" ".join(line.split()) for line in text.strip().split("\n"))
-
-    def block(node: Element, depth: int = 0):
-        run: list = []
-
-        def flush():
-            if run:
-                holder = Element("span", {})
-                holder.children = list(run)
-                text = tidy(inline(holder))
-                if text:
-                    out.append(text)
-                run.clear()
-
-        for child in node.children:
-            tag = child.tag if isinstance(child, Element) else None
-            if tag in _SILENT or tag == "head":
-                continue
-            if tag in ("ul", "ol"):
-                flush()
-                items = [c for c in child.children if isinstance(c, Element) and c.tag == "li"]
-                lines = [
-                    "  " * depth + (f"{n}. " if tag == "ol" else "* ") + tidy(inline(item))
-                    for n, item in enumerate(items, 1)
-                ]
-                out.append("\n".join(lines))
-            elif tag == "table":
-                flush()
-                rows = [
-                    " | ".join(tidy(inline(c)) for c in row.children if isinstance(c, Element))
-                    for row in child.find(["tr"])
-                ]
-                if len(rows) > 1:
-                    rows.insert(1, " | ".join(["---"] * (rows[0].count(" | ") + 1)))
-                out.append("\n".join(rows))
-            elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                flush()
-                out.append("#" * int(tag[1]) + " " + tidy(inline(child)))
-            elif tag in _BLOCK or tag in ("body", "html"):
-                flush()
-                block(child, depth)
+def _trim(parts: deque) -> None:
+    """Takes white space off both ends of a text in parts."""
+    while parts and not parts[0].strip():
+        parts.popleft()
+    while parts and not parts[-1].strip():
+        parts.pop()
+    if parts:
+        parts[0] = parts[0].lstrip()
+        parts[-1] = parts[-1].rstrip()
+
+
+def _inline(nodes: list) -> str:
+    """Text of nodes with links and emphasis marked. Elements of any depth: own stack, and the shorter part is moved."""
+    open_marks: list[tuple[str, str]] = []
+    texts: list[deque] = [deque()]
+    todo: list = list(reversed(nodes))
+    while todo:
+        node = todo.pop()
+        if node is None:  # the end of a marked element
+            before, after = open_marks.pop()
+            inner, outer = texts.pop(), texts[-1]
+            _trim(inner)
+            inner.appendleft(before)
+            inner.append(after)
+            if len(inner) > len(outer):
+                inner.extendleft(reversed(outer))
+                texts[-1] = inner
             else:
-                run.append(child)
-        flush()
+                outer.extend(inner)
+        elif isinstance(node, str):
+            texts[-1].append(node)
+        elif node.tag == "br":
+            texts[-1].append("\n")
+        elif node.tag not in _SILENT and node.tag != "img":
+            mark = _MARKS.get(node.tag)
+            if node.tag == "a" and node.attrs.get("href"):
+                mark = ("[", f"]({node.attrs['href']})")
+            if mark:
+                open_marks.append(mark)
+                texts.append(deque())
+                todo.append(None)
+            todo.extend(reversed(node.children))
+    return "".join(texts[0])
+
+
+_MARKS = {"b": ("**", "**"), "strong": ("**", "**"), "i": ("_", "_"), "em": ("_", "_")}
+
 
-    block(parse(html))
+def _tidy(nodes: list) -> str:
+    return "\n".join(" ".join(line.split()) for line in _inline(nodes).strip().split("\n"))
+
+
+def _list_lines(box: Element) -> str:
+    items = [c for c in box.children if isinstance(c, Element) and c.tag == "li"]
+    return "\n".join((f"{n}. " if box.tag == "ol" else "* ") + _tidy(item.children) for n, item in enumerate(items, 1))
+
+
+def _table_lines(box: Element) -> str:
+    rows = [" | ".join(_tidy(c.children) for c in row.children if isinstance(c, Element)) for row in box.find(["tr"])]
+    if len(rows) > 1:
+        rows.insert(1, " | ".join(["---"] * (rows[0].count(" | ") + 1)))
+    return "\n".join(rows)
+
+
+def html_to_markdown(html: str) -> str:
+    """Headings, lists, links and tables; images dropped; no wrapping. Pages of any depth."""
+    out: list[str] = []
+    frames: list[tuple] = [(iter(parse(html).children), [])]  # open blocks: what is left of each, and its run of inline nodes
+
+    def flush(run: list):
+        if run and (text := _tidy(run)):
+            out.append(text)
+        run.clear()
+
+    while frames:
+        children, run = frames[-1]
+        child = next(children, None)
+        tag = child.tag if isinstance(child, Element) else None
+        if child is None:
+            flush(run)
+            frames.pop()
+        elif tag in _SILENT or tag == "head":
+            continue
+        elif tag in ("ul", "ol"):
+            flush(run)
+            out.append(_list_lines(child))
+        elif tag == "table":
+            flush(run)
+            out.append(_table_lines(child))
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            flush(run)
+            out.append("#" * int(tag[1]) + " " + _tidy(child.children))
+        elif tag in _BLOCK or tag in ("body", "html"):
+            flush(run)
+            frames.append((iter(child.children), []))
+        else:
+            run.append(child)
     return "\n\n".join(t for t in out if t.strip())
 
 

@@ -98,8 +98,8 @@ def extract_by_site(pages: DataFrame, page: str, url: str = "url", html: str = "
     return parts.select(page, "kind", F.concat_ws("\n\n", *lines).alias("content"))
 
 
-def page_fields_text(pages: DataFrame, page: str, role: str = "website", html: str = "html") -> DataFrame:
-    """(page, page_text); the raw page when fewer than 100 characters are found."""
+def page_fields_text(pages: DataFrame, page: str, role: str = "website", html: str = "html", raw_below: int = 0) -> DataFrame:
+    """(page, page_text). With ``raw_below``, a page with fewer characters found is given as it is, markup and all."""
     staged = pages.select(page, F.col(html).alias("_raw"), html)
     s = _add(staged, lambda h: markup.page_sections(role, h or ""), [html], "s", T.MapType(T.StringType(), T.StringType()))
 
@@ -115,7 +115,7 @@ def page_fields_text(pages: DataFrame, page: str, role: str = "website", html: s
         labelled("body", "", "\n"),
         labelled("social", "\n", ""),
     )
-    return s.select(page, F.when(F.length(text) < 100, F.col("_raw")).otherwise(text).alias("page_text"))
+    return s.select(page, F.when(F.length(text) < raw_below, F.col("_raw")).otherwise(text).alias("page_text"))
 
 
 def extract_orgs(text: Column) -> Column:

@@ -61,6 +61,25 @@ def test_sites_and_page_fields(spark):
     }
     html = f'<title>T</title><meta name="description" content="D"><div class="about-us">About {LONG}</div><p>body</p><a href="https://twitter.com/x">t</a>'
     df = spark.createDataFrame([(1, html), (2, "<p>tiny</p>")], "id int, html string")
-    got = {r["id"]: r["page_text"] for r in extract.page_fields_text(df, "id").collect()}
+    got = {r["id"]: r["page_text"] for r in extract.page_fields_text(df, "id", raw_below=100).collect()}
     assert got[1] == f"Title: T\n\nMeta Description: D\n\nAbout {LONG.strip()}\n\nbody\n\nSocial Media Link: https://twitter.com/x"
     assert got[2] == "<p>tiny</p>"
+
+
+def test_a_short_page_stays_text_unless_asked(spark):
+    df = spark.createDataFrame([(1, "<p>Short</p>")], "id int, html string")
+    assert extract.page_fields_text(df, "id").first()["page_text"] == "Short\n"
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "span", "li"])
+def test_pages_of_any_depth(tag):
+    deep = f"<{tag}>" * 20_000
+    marks = "**" * 20_000 if tag == "b" else ""
+    assert markup.html_to_markdown(f"{deep}end") == f"{marks}end{marks}"
+    assert markup.html_to_text(f"{deep}end").strip() == "end"
+    markup.html_to_text(deep)
+
+
+def test_marks_keep_their_text_together():
+    html = "<p>One <b> two <i>three </i></b>four <a href='u'> five</a><br>six <img src=x><script>no</script></p>"
+    assert markup.html_to_markdown(html) == "One **two _three_**four [five](u)\nsix"
