@@ -81,7 +81,7 @@ def features(words: list[str], lexicon: dict[str, tuple[int, ...]], n: int) -> t
 
 
 def words_in(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def sample(docs: DataFrame, per_language: int, windows: int, width: int) -> list[tuple[str, list[str]]]:

@@ -28,6 +28,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("button canvas head iframe math noscript object option script select style svg template textarea title audio video map datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Silent elements that a new one of the same name ends.
+ALONE = frozenset("button option select".split())
 #: What can be in a head; any other element ends one that is left open.
 HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: What a new element closes, if it is open inside of the second set.
@@ -61,8 +63,24 @@ class Block:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order. Elements that are not closed end where browsers end them, roughly; nothing fails."""
+    """Leaf blocks in page order. Elements that are not closed end where browsers end them, roughly; nothing fails.
+
+    What stands in a button, select, object and the like is no text of the page, a button inside of a sentence included. One that
+    is never closed, or not before the next one of its kind, doesn't silence what follows.
+    """
     found: list[Block] = []
+    unclosed: set[str] = set()
+
+    def silences(name: str) -> bool:
+        if name not in SILENT or name in unclosed:
+            return False
+        if name == "head":
+            return True
+        m = re.compile(f"<(/?){name}\\b" if name in ALONE else f"<(/){name}\\b", re.I).search(page, at)
+        if m is None:
+            unclosed.add(name)
+        return m is not None and bool(m.group(1))
+
     # (tag, features, names, silent, in a link, features of the innermost element that has a name or a meaning)
     stack: list[tuple[str, list[int], frozenset[str], bool, bool, list[int]]] = [("", [], frozenset(), False, False, [])]
     text: list[str] = []
@@ -134,7 +152,7 @@ def blocks_of(page: str) -> list[Block]:
             ids = [*ids, feature(f"tag {name}"), *[feature(f"name {w}") for w in sorted(own)]]
         if own or name in MEANING:
             near = [feature(f"near {w}") for w in ([name] if name in MEANING else []) + sorted(own)] * 2
-        stack.append((name, ids, top[2] | {name} | {f".{w}" for w in own}, top[3] or name in SILENT, top[4] or name == "a", near))
+        stack.append((name, ids, top[2] | {name} | {f".{w}" for w in own}, top[3] or silences(name), top[4] or name == "a", near))
     add(page[at:])
     flush()
     return found
@@ -236,28 +254,38 @@ def labelled_page(texts: list[str], foreign: list[str], r: random.Random) -> tup
     return "<html><head><title>x</title></head><body>" + "".join(page) + "</body></html>", labels
 
 
-def fit(pages: DataFrame, *, page_id: str = "page_id", text: str = "html", most: int = 250, copies: int = 6, rounds: int = 60) -> Chain:
+def fit(pages: DataFrame, *, page_id: str = "page_id", text: str = "html", most: int = 250, copies: int = 6, rounds: int = 60, signs: int = 1 << 18, blocks: int = 400, article_blocks: int = 40) -> Chain:
     """A model from about ``most`` pages, picked by a hash, whose own markup says where the article is.
 
     Each of them is learned as it is and, ``copies`` times, with its article's blocks put into markup of other habits
     between menus, headers, footers, sidebars, notices, adverts, forms and comments, whose words come from other
     pages. Pages without such markup teach nothing; without any page a few built-in words are used. The sample is
-    bounded: of a picked page the first 65,536 signs, 400 blocks and 40 blocks of its article are learned from.
+    bounded: of a picked page with over ``signs`` signs both ends are read, as many blocks as ``blocks`` are learned from, half of
+    them from its end, and ``article_blocks`` of its article, spread over all of it.
     """
+    half = signs // 2
+    ends = F.concat(F.substring("t", 1, half), F.right("t", F.lit(half)))
+
+    def spread(items: list, most: int) -> list:
+        return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+    def both_ends(items: list) -> list:
+        return items if len(items) <= blocks else items[: blocks // 2] + items[-(blocks // 2) :]
+
     rows = pages.select(named(page_id).alias("k"), named(text).alias("t")).filter("t is not null")
     n = rows.count()
     picked = rows.filter(F.pmod(F.xxhash64("k", F.octet_length("t"), F.lit(5)), F.lit(1 << 40)) < int(min(1.0, most / max(1, n)) * (1 << 40)))
-    pages_read = sorted(r.t for r in picked.select(F.substring("t", 1, 1 << 16).alias("t")).limit(4 * most).collect())
+    pages_read = sorted(r.t for r in picked.select(F.when(F.length("t") > signs, ends).otherwise(F.col("t")).alias("t")).limit(4 * most).collect())
     r = random.Random(11)
     parsed = [b for b in (blocks_of(t) for t in pages_read) if b]
     articles = [[x.text for x in b if marked(x)] for b in parsed]
-    articles = [a[:40] for a in articles if a] or [["A short title", "Some words of a text that goes on for a while, with a stop at the end."]]
+    articles = [spread(a, article_blocks) for a in articles if a] or [["A short title", "Some words of a text that goes on for a while, with a stop at the end."]]
     foreign = [t for a in articles for t in a if t.strip()]
     sequences, labels = [], []
     for b in parsed:
         if any(marked(x) for x in b):
-            sequences.append(b[:400])
-            labels.append([int(marked(x)) for x in b[:400]])
+            sequences.append(both_ends(b))
+            labels.append([int(marked(x)) for x in sequences[-1]])
     for a in articles:
         for _ in range(copies):
             page, own = labelled_page(r.choice([a, a[:1] + r.sample(a[1:], min(len(a) - 1, r.randint(1, 8)))]), foreign, r)

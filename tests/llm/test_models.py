@@ -198,3 +198,19 @@ def test_a_head_that_is_left_open_does_not_silence_the_page():
     body = "<article><h1>One</h1><p>Two <a href=x>three</a></p></article>"
     for start in ("<html><head><title>t</title><meta charset=utf-8><body>", "<head><style>a{}</style><link rel=x>", "<head><title>t</title></head><body>"):
         assert [b.text for b in pages.blocks_of(start + body)] == ["One", "Two three"]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<button>ok<div><p>article one</p>", ["ok", "article one"]), ("<select><option>1<p>article two", ["1", "article two"]), ("<object><p>five", ["five"]),
+        ("<button>x</button><p>three</p>", ["three"]), ("<p>a <button>b</button> c</p>", ["a c"]), ("<button>ok<p>four</p><button>z</button>", ["ok", "four"]),
+        ("<select><option>a<option>b</select><p>six", ["six"]),
+    ],
+)
+def test_silent_elements_that_stay_open_lose_nothing(page, texts):
+    assert [b.text for b in pages.blocks_of(page)] == texts
+
+
+def test_signs_that_are_no_letters_make_no_word():
+    assert language.words_in("² ½ Ⅷ 12 _") == [] and language.words_in("x² é") == ["x²", "é"]

@@ -89,3 +89,30 @@ def test_remembered_parts_are_dropped_and_learned_again(monkeypatch):
     counter = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
     first = counter.lengths(["some words here and there"])
     assert counter.lengths(["other words", "some words here and there"])[1:] == first and len(counter.known) < 9
+
+
+def test_long_texts_without_blanks_are_cut(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    counter = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False))
+    assert max(map(len, counter.parts("a\n" * 100_000))) <= 2
+    assert max(map(len, counter.parts("中文、12" * 20_000))) <= 2
+    monkeypatch.setattr(tokens, "LONG", 6)
+    r = random.Random(2)
+    signs = [*"ab 's'tre12,.!?\n\t  éñ中文字½²_-<|>'’\x0b\x85\x1c", "<|endoftext|>", " <|endoftext|> ", "　", "'ll"]
+    for _ in range(1500):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 40)))
+        assert counter.lengths([text]) == [whole(text)], text
+
+
+def test_what_is_remembered_is_bounded_by_signs(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 5_000)
+    counter = tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(50):
+        counter.lengths([f"word{i} " * 3 + "z" * 3000])
+        assert sum(map(len, counter.known)) <= 5_000 + 2 * 3_100
