@@ -135,6 +135,36 @@ def p02(t):
     return flows.enrich(hits.select("name").distinct(), hits, t("pages").select("url", "html"))
 
 
+_EVERY = {
+    "website": ("c_custkey % 2 = 0", "concat('<p>Located in City', c_custkey % 97, '.</p>')", "concat('https://firm', c_custkey, '.com/about')"),
+    "linkedin": ("c_custkey % 3 = 0", "concat('<section>Founded in ', 1900 + c_custkey % 100, '.</section>')", "concat('https://www.linkedin.com/company/firm', c_custkey)"),
+    "crunchbase": ("c_custkey % 5 = 0", "concat('<p>Industry: Trade', c_custkey % 13, '.</p>')", "concat('https://www.crunchbase.com/organization/firm', c_custkey)"),
+    "news": ("c_custkey % 11 = 0", "concat('<p>It raised a ', c_custkey % 9, ' million round.</p>')", "concat('https://news.example.org/firm', c_custkey)"),
+    "wiki": ("true", "concat('<p>The year ', 1950 + c_custkey % 50, ' was good</p>')", "concat('https://wiki.example.org/firm', c_custkey)"),
+}
+
+
+@query(
+    "p02_enrich_gaps",
+    """select concat('Firm', c_custkey) as name, concat('https://firm', c_custkey, '.com/about') as website, concat('https://www.linkedin.com/company/firm', c_custkey) as linkedin,
+    case when c_custkey % 2 = 0 then concat('City', c_custkey % 97) when c_custkey % 7 = 0 then concat('Town', c_custkey % 89) end as location,
+    cast(case when c_custkey % 3 = 0 then 1900 + c_custkey % 100 else 1950 + c_custkey % 50 end as varchar) as founded_year,
+    case when c_custkey % 5 = 0 then concat('Trade', c_custkey % 13) end as industry, case when c_custkey % 11 = 0 then concat(c_custkey % 9, ' million') end as funding,
+    case when c_custkey % 7 = 0 then concat('Makes goods. Headquartered in Town', c_custkey % 89, '.') else 'Makes goods.' end as product_description from customer""",
+)
+def p02_gaps(t):
+    """Pages made by rule for every customer, so that each source fills something for some of them."""
+    rows = t("customer").select("c_custkey", F.concat(F.lit("Firm"), "c_custkey").alias("name"))
+    snippet = F.expr("case when c_custkey % 7 = 0 then concat('Makes goods. Headquartered in Town', c_custkey % 89, '.') else 'Makes goods.' end")
+    hits, pages = None, None
+    for rank, (has, body, url) in enumerate(_EVERY.values(), 1):
+        hit = rows.select("name", F.lit(0).alias("query_no"), F.lit(rank).alias("rank"), F.lit("Hit").alias("title"), F.expr(url).alias("url"), (snippet if rank == 1 else F.lit("")).alias("snippet"))
+        html = F.expr(f"concat('<html><head><title>Firm</title></head><body><p>A page.</p>', case when {has} then {body} else '' end, '</body></html>')")
+        page = rows.select(F.expr(url).alias("url"), html.alias("html"))
+        hits, pages = (hit, page) if hits is None else (hits.unionByName(hit), pages.unionByName(page))
+    return flows.enrich_gaps(rows.select("name"), hits, pages, m.rule_model)
+
+
 @query("p03_validate", """select c_custkey, case when c_custkey % 2 = 0 then 'done' else concat('{"name":"', c_name, '"}') end as record from customer""")
 def p03(t):
     rows = t("customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.to_json(F.struct(F.col("c_name").alias("name"))).alias("record"))

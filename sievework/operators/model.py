@@ -127,23 +127,24 @@ def choose_names(groups: DataFrame, members: DataFrame, model: Model | None = No
         left = cut(answered.select("leader", F.col("_slice").alias("id"), F.coalesce(choice, F.get("names", F.lit(0))).alias("name")))
 
 
-def extract_structured(df: DataFrame, company: str, source: str, content: str, wanted: list[str], model: Model, limit: int = PROMPT_LIMIT, fallback: int = FALLBACK_LIMIT) -> DataFrame:
-    """(company, source, field, value, kind).
+def extract_structured(df: DataFrame, company: str, source: str, content: str, wanted: list[str] | str, model: Model, limit: int = PROMPT_LIMIT, fallback: int = FALLBACK_LIMIT) -> DataFrame:
+    """(company, source, field, value, kind). ``wanted`` are the fields, or names a column that lists those of each row.
 
     Content goes out in pieces of ``limit`` characters; a piece without a usable answer is asked about again in
     pieces of ``fallback`` characters. Per field the first piece with a value counts, so all of a text is asked about.
     """
-    base = df.select(company, source, content)
+    fields = F.to_json(F.col(wanted)) if isinstance(wanted, str) else F.lit(json.dumps(wanted))
+    base = df.select(company, source, content, fields.alias("_wanted"))
 
     def in_pieces(frame: DataFrame, size: int, text: str, place: list[str], out: str) -> DataFrame:
         last = F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int"))
         cuts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(text), i * size + 1, F.lit(size)))
-        keep = [company, source, *place]
+        keep = [company, source, "_wanted", *place]
         return unnest(frame.filter(F.col(text).isNotNull()), keep, cuts, "_piece", out)
 
     def question(frame: DataFrame, place: list[str]) -> DataFrame:
-        prompt = _prompt("fields", company=F.col(company), source=F.col(source), fields=F.lit(json.dumps(wanted)), text=F.col("_piece"))
-        return parse_model_json(ask(frame, prompt, model), "answer", [company, source, *place, "_piece"])
+        prompt = _prompt("fields", company=F.col(company), source=F.col(source), fields=F.col("_wanted"), text=F.col("_piece"))
+        return parse_model_json(ask(frame, prompt, model), "answer", [company, source, "_wanted", *place, "_piece"])
 
     first = cut(question(in_pieces(base, limit, content, [], "_i"), ["_i"]))
     good = first.filter("valid").select(company, source, "_i", F.lit(0).alias("_j"), "json")

@@ -103,3 +103,43 @@ def test_two_phase_search(web):
         toy_model, 1,
     )
     assert [(r["name"], r["website"]) for r in out.collect()] == [("ACME", "https://b.org/y")]
+
+
+def test_enrich_gaps_asks_only_for_what_is_blank(spark, tmp_path):
+    page = "<html><head><title>t</title></head><body>{}</body></html>"
+    pages = [
+        ("https://acme.com", "<p>Located in Oslo.</p><p>Founded in 1990.</p><p>Industry: Coats.</p><p>They raised a big round.</p>"),
+        ("https://zed.com", "<p>Located in Rome.</p>"), ("https://www.linkedin.com/company/zed", "<section>Founded in 1980.</section>"),
+        ("https://www.crunchbase.com/organization/zed", "<p>Industry: Oils.</p>"), ("https://a.org/zed", "<p>one</p>"), ("https://b.org/zed", "<p>FUNDS</p>"), ("https://c.org/zed", "<p>three</p>"),
+        ("https://d.org/acme", "<p>never read</p>"), ("https://bare.com", "<p>nothing</p>"),
+    ]
+    hits = [("Acme", 0, 1, "https://acme.com", "Makes coats"), ("Acme", 0, 2, "https://d.org/acme", "")]
+    hits += [("Zed", 0, i, u, "Headquartered in Paris." if i == 1 else "") for i, (u, _) in enumerate(pages[1:7], 1)] + [("Bare", 0, 1, "https://bare.com", None)]
+    hits = spark.createDataFrame([(n, q, r, "t", u, s) for n, q, r, u, s in hits], "name string, query_no int, rank int, title string, url string, snippet string")
+    pages = spark.createDataFrame([(u, page.format(b)) for u, b in pages], "url string, html string")
+    log = str(tmp_path / "asked")
+
+    def model(prompts):
+        import json
+
+        out = []
+        for p in prompts:
+            with open(log, "a") as f:
+                f.write(json.dumps(p) + "\n")
+            out.append(json.dumps({"Funding": "$5m", "Location": "Elsewhere"} if "FUNDS" in p else {"Funding": "Not available"}))
+        return out
+
+    got = {r["name"]: r for r in flows.enrich_gaps(hits.select("name"), hits, pages, model).collect()}
+    assert tuple(got["Acme"]) == ("Acme", "https://acme.com", None, "Oslo", "1990", "Coats", "big", "Makes coats")
+    assert tuple(got["Zed"])[1:] == ("https://zed.com", "https://www.linkedin.com/company/zed", "Rome", "1980", "Oils", "$5m", "Headquartered in Paris.")
+    assert got["Bare"]["location"] is None and got["Bare"]["website"] == "https://bare.com"
+    import json
+
+    with open(log) as f:
+        asked = [json.loads(line) for line in f]
+    assert not any("COMPANY: Acme" in p for p in asked)  # full after its own site
+    zed = [p for p in asked if "COMPANY: Zed" in p]
+    assert all('FIELDS: ["Location"' not in p for p in zed) and any("FUNDS" in p for p in zed) and not any("three" in p for p in zed)
+    assert "never read" not in str(asked)
+    rules_only = {r["name"]: r["funding"] for r in flows.enrich_gaps(hits.select("name"), hits, pages).collect()}
+    assert rules_only == {"Acme": "big", "Zed": None, "Bare": None}
