@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from sievework.llm.common import bytes_of, cut, named, pieces, stored
-from sievework.operators.components import components
+from sievework.llm.common import bytes_of, cut, freed, named, pieces, released, stored
+from sievework.llm.linking import components
 
 WIDTH = 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -163,17 +163,38 @@ class Words:
 
 
 def anchors(docs: DataFrame, least_words: int) -> DataFrame:
-    """(d, anchor): the anchors of each text, once in a batch."""
+    """(d, anchor, at): the anchors of each text and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             found = Words(bytes_of(part.column("text")))
             at, made = found.anchors(least_words)
             d = part.column("d").to_numpy(zero_copy_only=False)[np.searchsorted(found.edges, at, side="right") - 1]
-            both = np.unique(np.stack([d, made], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["d", "anchor"])
+            place = at - found.edges[np.searchsorted(found.edges, at, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(made), pa.array(place.astype(np.int32))], names=["d", "anchor", "at"])
 
-    return docs.mapInArrow(run, "d long, anchor long")
+    return docs.mapInArrow(run, "d long, anchor long, at int")
+
+
+def live(found: DataFrame, lost: DataFrame, least_words: int) -> DataFrame:
+    """The anchors (d, anchor, at) with a word that is not gone (g, gone: first, size) in a window of ``least_words`` around them.
+
+    What is left out stands in removed copies only, so their keeper shares no anchor with them any more. Removed
+    parts that meet count as one.
+    """
+    width = min(8, (least_words + 1) // 2)
+    start, end = F.greatest(F.col("at") - (least_words - width), F.lit(0)), F.col("at") + least_words
+    covers = lambda g: (g["first"] <= start) & (g["first"] + g["size"] >= end)
+    one = F.struct(F.col("gone")[0]["first"].alias("first"), F.col("gone")[0]["size"].alias("size"))
+    joined = F.aggregate(
+        F.slice("gone", 2, F.size("gone")), F.array(one),
+        lambda acc, g: F.when(
+            F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["size"] >= g["first"],
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), (F.greatest(g["first"] + g["size"], F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["size"]) - F.element_at(acc, -1)["first"]).alias("size")))),
+        ).otherwise(F.concat(acc, F.array(g))),
+    )
+    parts = lost.select("g", joined.alias("gone"))
+    return found.join(parts, F.col("d") == F.col("g"), "left").filter(F.col("gone").isNull() | ~F.exists("gone", covers)).select("d", "anchor", "at")
 
 
 def windows(marked: DataFrame, least_words: int) -> DataFrame:
@@ -253,21 +274,32 @@ def equal_runs(docs: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
     place) and goes elsewhere. The words that stay are cut where a copy of them starts or ends, so the parts of
     a cluster are equal.
     """
+    lost = stored(gone.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("gone")).withColumnRenamed("d", "g"))
     every = stored(anchors(docs.select("d", "text"), least_words))
-    shared = stored(every.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("k")))
-    marks = every.join(F.broadcast(shared) if shared.count() <= FEW else shared, F.col("anchor") == F.col("k")).groupBy("d").agg(F.collect_set("anchor").alias("marks"))
-    lost = cut(gone.groupBy("d").agg(F.collect_list(F.struct("first", "size")).alias("gone")).withColumnRenamed("d", "g"))
+    twice = lambda rows: stored(rows.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("k")))
+    few = lambda keys: F.broadcast(keys) if keys.count() <= FEW else keys
+    shared = twice(every)
+    left = stored(live(every.join(few(shared), F.col("anchor") == F.col("k")).drop("k"), lost, least_words))
+    released(every, shared)
+    shared = twice(left)
+    marks = left.join(few(shared), F.col("anchor") == F.col("k")).groupBy("d").agg(F.collect_set("anchor").alias("marks"))
     marks = stored(marks.join(lost, F.col("d") == F.col("g"), "left").select(F.col("d").alias("m"), "marks", "gone"))
+    released(left, shared)
+    freed(docs.sparkSession)
     marked = docs.join(marks, F.col("d") == F.col("m")).select("d", "text", "marks", "gone")
     found = stored(windows(marked, least_words).dropDuplicates(["d", "start"]))
     ids = docs.select("doc_id", "d").distinct()
+    freed(docs.sparkSession)
     twice = found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select(F.col("h").alias("w"))
-    both = stored(found.join(twice, F.col("h") == F.col("w")).select("d", "start", "h", "touched"))
+    both = stored(found.join(twice, F.col("h").eqNullSafe(F.col("w"))).select("d", "start", "h", "touched"))
+    released(found)
     stay = both.join(ids, "d").groupBy("h").agg(F.min(F.struct("touched", "doc_id", "d", "start")).alias("k"))
-    copies = both.join(stay.select(F.col("h").alias("w"), F.col("k.d").alias("kd"), F.col("k.start").alias("kstart"), F.col("k.touched").alias("kt")), F.col("h") == F.col("w"))
+    copies = both.join(stay.select(F.col("h").alias("w"), F.col("k.d").alias("kd"), F.col("k.start").alias("kstart"), F.col("k.touched").alias("kt")), F.col("h").eqNullSafe(F.col("w")))  # each side dealt out by itself, so a window that a third of the texts have can be split
     by_text = copies.groupBy("d").agg(F.collect_list(F.struct("start", "kd", "kstart", "kt")).alias("at"))
     by_text = by_text.join(lost, F.col("d") == F.col("g"), "left").select("d", "at", "gone")
     parts = stored(segments(by_text, least_words))
+    released(both, marks, lost)
+    freed(docs.sparkSession)
     edges = parts.select(F.col("kd").alias("e"), F.explode(F.array(F.col("kfirst"), F.col("kfirst") + F.col("size"))).alias("edge")).distinct()
     edges = edges.groupBy("e").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     end = F.col("kfirst") + F.col("size")
@@ -279,6 +311,7 @@ def equal_runs(docs: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
     removed = (F.col("d") != F.col("kd")) | (F.col("first") != F.col("kfirst"))
     rows = cuts.select("d", place.alias("first"), (F.col("p.y") - F.col("p.x")).alias("size"), F.xxhash64("kd", "p.x").alias("cluster"), removed.alias("removed"))
     rows = stored(rows)
+    released(parts)
     needed = rows.filter("removed").select(F.col("cluster").alias("c")).distinct()
     return rows.join(needed, F.col("cluster") == F.col("c"), "left_semi").join(ids, "d").select("doc_id", "d", "first", "size", "cluster", "removed")
 
@@ -356,20 +389,28 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     """
     content = F.coalesce(named(text), F.lit(""))
     rows = docs.select(named(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(named(doc_id), content).alias("d"))
-    every = stored(places(rows.select("d", "text"), similarity, recall))
-    banded = every.filter("size(bands) > 0").select("key", F.explode("bands").alias("value"))
+    placed = stored(places(rows.select("d", "text"), similarity, recall))
+    every = stored(placed.select("d", "number", "first", "size", "key"))
+    bands = stored(placed.filter("size(bands) > 0").select("key", "bands").dropDuplicates(["key"]))
+    released(placed)
+    freed(docs.sparkSession)
+    banded = bands.select("key", F.explode("bands").alias("value"))
     shared = banded.groupBy("value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select(F.col("value").alias("v"), "lo")
     shared = stored(shared)  # few values are shared, so that all bands need not be shuffled once more
     members = stored(banded.join(F.broadcast(shared) if shared.count() <= FEW else shared, F.col("value") == F.col("v")).select("value", "key", "lo").distinct())
+    released(shared, bands)
+    freed(docs.sparkSession)
     sets = shingle_sets(rows.select("d", "text"), every, members.select("key").distinct())
     links = cut(verified(members.filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), sets, similarity))
-    found = cut(components(links))
+    found = components(links)
     classed = members.join(found, F.col("key") == F.col("node"), "left").select("value", "key", F.coalesce("root", "key").alias("class"))
     apart = classed.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.countDistinct("key").alias("n")).filter("lo < hi and n > 2")
     left = cut(classed.join(apart.select("value"), "value", "left_semi"))
     other = left.select("value", F.col("key").alias("b"), F.col("class").alias("c2"))
     again = left.join(other, "value").filter((F.col("key") < F.col("b")) & (F.col("class") != F.col("c2"))).select(F.col("key").alias("a"), "b").distinct()
-    found = cut(components(links.union(verified(again, sets, similarity))))
+    found = components(links.union(verified(again, sets, similarity)))
+    released(members, sets)
+    freed(docs.sparkSession)
 
     where = every.select("d", "number", "first", "size", "key")
     at = F.struct("d", "number")
@@ -381,10 +422,10 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     run = F.col("number") - F.row_number().over(Window.partitionBy("d").orderBy("number"))
     long = kept.withColumn("run", run).withColumn("words", F.sum("size").over(Window.partitionBy("d", "run"))).filter(F.col("words") >= least_words)
     ids = rows.select("doc_id", "d").distinct()
-    placed = stored(long.select("d", "number", "first", "size", "cluster").join(ids, "d"))
-    first = placed.groupBy("cluster").agg(F.min(F.struct("doc_id", "d", "number")).alias("keeper")).withColumnRenamed("cluster", "c")
+    kept_rows = stored(long.select("d", "number", "first", "size", "cluster").join(ids, "d"))
+    first = kept_rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "d", "number")).alias("keeper")).withColumnRenamed("cluster", "c")
     removed = (F.col("d") != F.col("keeper.d")) | (F.col("number") != F.col("keeper.number"))
-    result = stored(placed.join(first, F.col("cluster") == F.col("c")).select("doc_id", "d", "number", "first", "size", "cluster", removed.alias("removed")))
+    result = stored(kept_rows.join(first, F.col("cluster") == F.col("c")).select("doc_id", "d", "number", "first", "size", "cluster", removed.alias("removed")))
     more = stored(equal_runs(rows.dropDuplicates(["d"]), result.filter("removed").select("d", "first", "size"), least_words))
     starts = where.join(more.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.array_sort(F.collect_set("first")).alias("starts"))
     number = (F.size(F.filter("starts", lambda x: x <= F.col("first"))) - 1).alias("number")
