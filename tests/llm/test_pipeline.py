@@ -99,6 +99,6 @@ def test_query_agrees_with_sql(spark, key):
     assert plain(got) == plain(want)
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in registry.queries() if k.startswith("op") and k[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in registry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in registry.queries()
