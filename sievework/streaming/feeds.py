@@ -63,11 +63,18 @@ def live_counters(stream: DataFrame, stage: str) -> DataFrame:
     return stream.groupBy(stage).agg(F.count(F.lit(1)).alias("n"))
 
 
+def observed_counters(stream: DataFrame, name: str, stage: str, stages: list[str]) -> DataFrame:
+    """ST7: the stream itself, with its rows of each stage counted for every micro-batch, besides ``rows``, for a listener."""
+    counts = [F.count_if(F.col(stage) == s).alias(s) for s in stages]
+    return stream.observe(name, F.count(F.lit(1)).alias("rows"), *counts)
+
+
 class CounterListener(StreamingQueryListener):
-    """ST7: keeps the last observed metrics of each named ``observe``."""
+    """ST7: keeps the last observed metrics of each named ``observe``, and their totals over all micro-batches."""
 
     def __init__(self) -> None:
         self.latest: dict[str, dict] = {}
+        self.totals: dict[str, dict] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -75,6 +82,9 @@ class CounterListener(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         for name, row in event.progress.observedMetrics.items():
             self.latest[name] = row.asDict()
+            total = self.totals.setdefault(name, {})
+            for metric, value in self.latest[name].items():
+                total[metric] = total.get(metric, 0) + value
 
     def onQueryTerminated(self, event) -> None:
         pass

@@ -136,3 +136,24 @@ def test_hits_meet_one_copy_of_a_page(spark):
     hits = spark.createDataFrame([("https://a.org/x?ref=1",), ("https://A.org/x",)], "url string")
     pages = spark.createDataFrame([("https://a.org/x/", "p1"), ("https://a.org/x", "p2"), ("https://b.org", "p3")], "url string, html string")
     assert [r["html"] for r in joins.hits_with_pages(hits, pages).collect()] == ["p2", "p2"]
+
+
+def test_counters_reach_the_listener(spark, tmp_path):
+    import time
+
+    folder = str(tmp_path / "in")
+    for rows in ([("found", 1), ("found", 2), ("kept", 3)], [("kept", 4)]):
+        spark.createDataFrame(rows, "stage string, id int").coalesce(1).write.mode("append").parquet(folder)
+    listener = feeds.CounterListener()
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("stage string, id int").option("maxFilesPerTrigger", 1).parquet(folder)
+        counted = feeds.observed_counters(stream, "funnel", "stage", ["found", "kept"])
+        feeds.run_to_end(counted.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "log")), 60)
+        until = time.time() + 30
+        while listener.totals.get("funnel", {}).get("rows") != 4 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.totals["funnel"] == {"rows": 4, "found": 2, "kept": 2}
+    assert listener.latest["funnel"] in ({"rows": 1, "found": 0, "kept": 1}, {"rows": 3, "found": 2, "kept": 1})
