@@ -85,35 +85,37 @@ URL_PATTERN = r"https?://\S+|www\.\S+"
 EMAIL_PATTERN = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 SPECIAL_PATTERN = r"""[^\w\s.,;:!?()\[\]{}"'-]"""
 
-QUERY_STOPWORDS = (
-    "a an the and or but if because as what which this that these those then just so than "
-    "such both through about for is of while during to from in on by with at into"
-).split()
-TERM_STOPWORDS = (
-    "a an the and or but in on at to for with by about as of from is are was were be been "
-    "being have has had do does did will would shall should can could may might must that "
-    "which who whom whose this these those i you he she it we they me him her us them"
-).split()
-
-DROPPED_TAGS = (
-    "script style noscript iframe head meta link svg path button form input select option "
-    "nav footer header"
-).split()
-DROPPED_CLASS_WORDS = (
-    "cookie banner ad advertisement popup modal menu nav sidebar footer header comment social "
-    "share related widget"
-).split()
+QUERY_STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "because", "as", "what", "which", "this", "that", "these", "those",
+    "then", "just", "so", "than", "such", "both", "through", "about", "for", "is", "of", "while", "during", "to",
+    "from", "in", "on", "by", "with", "at", "into",
+]
+TERM_STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "with", "by", "about", "as", "of", "from",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "shall", "should", "can", "could", "may", "might", "must", "that", "which", "who", "whom", "whose", "this",
+    "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them",
+]
+
+DROPPED_TAGS = [
+    "script", "style", "noscript", "iframe", "head", "meta", "link", "svg", "path", "button", "form", "input",
+    "select", "option", "nav", "footer", "header",
+]
+DROPPED_CLASS_WORDS = [
+    "cookie", "banner", "ad", "advertisement", "popup", "modal", "menu", "nav", "sidebar", "footer", "header",
+    "comment", "social", "share", "related", "widget",
+]
 CONTENT_IDS = ["mw-content-text", "content", "main-content", "article-content", "post-content"]
 CONTENT_TAGS = ["main", "article", "section", "div"]
 CONTENT_CLASS_WORDS = ["content", "main", "article", "post"]
-HIRING_WORDS = (
-    "hiring remote onsite full-time fulltime position engineer developer www. http apply email "
-    "contact"
-).split()
-
-TRACKING_PARAMETERS = (
-    "utm_source utm_medium utm_campaign utm_term utm_content ref fbclid gclid"
-).split()
+HIRING_WORDS = [
+    "hiring", "remote", "onsite", "full-time", "fulltime", "position", "engineer", "developer", "www.", "http",
+    "apply", "email", "contact",
+]
+
+TRACKING_PARAMETERS = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid",
+]
 SITE_TYPES = [
     ("wordpress", ["wp-content", "wp-includes", "wp-admin"]),
     ("shopify", ["cdn.shopify.com", "shopify.com/s/"]),
@@ -140,13 +142,12 @@ EXTRACTOR_HOSTS = [
     ("forum", "news.ycombinator.com"),
 ]
 
-_CAPS = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+"
 ORG_PATTERNS = [
-    _CAPS + r"(?:Inc|LLC|Ltd|Corp|Corporation|Company)",
-    _CAPS + r"Technologies",
-    _CAPS + r"Solutions",
-    _CAPS + r"Systems",
-    _CAPS + r"Software",
+    r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+(?:Inc|LLC|Ltd|Corp|Corporation|Company)",
+    r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+Technologies",
+    r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+Solutions",
+    r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+Systems",
+    r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s+Software",
 ]
 COMMON_ORGS = ["Facebook", "Google", "Microsoft", "Apple", "Amazon", "Twitter", "LinkedIn"]
 
@@ -181,20 +182,21 @@ FACT_RULES = {
     ],
 }
 
-UI_WORDS = (
-    "share click view read more next previous home about contact services products login sign "
-    "register search menu navigation footer header copyright privacy terms policy cookies "
-    "subscribe follow like comment download upload submit cancel continue back forward help "
-    "support faq frequently asked questions blog news events careers jobs apply join team staff "
-    "management board directors investors partners clients customers users members community"
-).split()
+UI_WORDS = [
+    "share", "click", "view", "read", "more", "next", "previous", "home", "about", "contact", "services",
+    "products", "login", "sign", "register", "search", "menu", "navigation", "footer", "header", "copyright",
+    "privacy", "terms", "policy", "cookies", "subscribe", "follow", "like", "comment", "download", "upload",
+    "submit", "cancel", "continue", "back", "forward", "help", "support", "faq", "frequently", "asked", "questions",
+    "blog", "news", "events", "careers", "jobs", "apply", "join", "team", "staff", "management", "board",
+    "directors", "investors", "partners", "clients", "customers", "users", "members", "community",
+]
 UI_PHRASES = ["click here", "read more", "learn more", "sign up", "log in"]
 NO_CONTEXT_NAMES = ["share", "view", "click", "read", "more", "next", "previous"]
 KEYWORD_SKIP = ["and", "the", "for", "with"]
-INDUSTRY_KEYWORDS = (
-    "technology ai software biotech fintech energy healthcare climate sustainable data platform "
-    "marketplace"
-).split()
+INDUSTRY_KEYWORDS = [
+    "technology", "ai", "software", "biotech", "fintech", "energy", "healthcare", "climate", "sustainable", "data",
+    "platform", "marketplace",
+]
 
 TRANSIENT_ERRORS = [
     "rate limit", "timeout", "connection", "network", "503", "500", "502", "504",
