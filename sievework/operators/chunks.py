@@ -227,7 +227,9 @@ def pack_groups(texts: DataFrame, size: int, delimiter: str = PARAGRAPH) -> Data
     stream = cut(_stream(placed, size))
     block = [F.col("g"), F.col("b")]
 
-    narrow = stream.select("g", "b", "kind", "home", "j", "p", "n")
+    # a group of one block has no chunk sequence that enters from another one
+    long = stream.groupBy("g").agg(F.max("b").alias("last")).filter("last > 0").select(F.col("g").alias("h"))
+    narrow = stream.select("g", "b", "kind", "home", "j", "p", "n").join(long, F.col("g") == F.col("h"), "left_semi")
     edges = cut(narrow.groupBy(*block).applyInPandas(_leaves(size), "g " + _type(stream, "g") + ", b long, a long, x long, known boolean"))
     reached = edges.filter("known").select("g", "a")
     jumps = edges.filter("x is not null").select("g", "a", "x")
