@@ -1,9 +1,10 @@
 """Scores of a class-based bigram model; exchange clustering assigns words to classes.
 
-Every word belongs to an atom: the most frequent words are atoms of their own, all others share one with
-the words of the same form (end of the word and mark behind it). Atoms are what the exchange moves between
-classes, so unseen words have a class too. Counts of words, atoms and atom pairs cover the whole
-training part; only the table of atom pairs, whose size is a parameter, comes to the driver.
+First the most frequent words, atoms of their own, and the forms (end of a word and mark behind it) that all others
+share are exchanged between classes, on a table of atom pairs whose size is a parameter. Then every other word
+with enough counts is exchanged on Spark: the classes before and behind it are counted over the whole training
+part, and it moves from its form's class to the one of best gain. Words that are rarer or unseen keep the class of
+their form. Transitions are counted over the classes that words have in the end.
 """
 
 from __future__ import annotations
@@ -19,10 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from sievework.llm.common import bytes_of, named, pieces, renamed, stored
+from sievework.llm.common import bytes_of, freed, named, pieces, released, renamed, stored
 
 #: Words that are atoms of their own, atoms of forms, and classes.
 FREQUENT, FORMS, CLASSES = 512, 512, 64
+#: A word takes part in the exchange from so many training counts on.
+LEAST = 3
+#: Bits of the table that tells tasks which words may have that many; where it is crowded, some rarer words are counted for nothing.
+SLOTS = 1 << 26
+#: Neighbour counts that a task holds before it hands them on.
+HELD = 1 << 20
 #: A part of the corpus is closed at so many bytes of text or different words.
 PART_BYTES, PART_WORDS = 16 << 20, 400_000
 #: Words of the same task that are remembered with their atom; then it starts over.
@@ -165,39 +172,252 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 5) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """``own``: class of each atom; ``moves``: log10 of class after class; ``sizes``, ``kinds``: tokens and words of each class;
-    ``tokens``, ``words``: of the whole training part; ``end``: atom of the end."""
+class Seeds:
+    """``frequent``: atom of each frequent word; ``own``: class of each atom; ``table``: how often one class comes before another."""
 
+    frequent: dict[bytes, int]
     own: np.ndarray
-    moves: np.ndarray
-    sizes: np.ndarray
-    kinds: np.ndarray
-    tokens: int
-    words: int
-    end: int
+    table: np.ndarray
 
+    def of_form(self, word: bytes) -> int:
+        return int(self.own[FREQUENT + form_of(word)])
 
-def fit(vocabulary: DataFrame, training: DataFrame, classes: int = CLASSES, prior: float = 5.0) -> tuple[Model, DataFrame]:
-    """The model and the vocabulary (word, c, atom) of the training documents (text)."""
+    @property
+    def end(self) -> int:
+        """The class of the end; it is never moved after the first exchange."""
+        return int(self.own[self.frequent.get(END, FREQUENT + form_of(END))])
+
+
+def seed_classes(vocabulary: DataFrame, training: DataFrame, classes: int = CLASSES) -> Seeds:
+    """Classes of the frequent words and of the forms, from a vocabulary (word, c) and the training documents (text)."""
+    if classes > 256:
+        raise ValueError("a class is written as one byte")
     top = vocabulary.filter("c > 0").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {r.word.encode(): i for i, r in enumerate(top)}
-    spark = vocabulary.sparkSession
-    listed = spark.createDataFrame([(r.word, i) for i, r in enumerate(top)], "top string, at int")
-    known = vocabulary.join(F.broadcast(listed), F.col("word") == F.col("top"), "left").select("word", "c", F.coalesce("at", F.col("form") + FREQUENT).alias("atom"))
-    atoms = FREQUENT + FORMS
-    each = known.groupBy("atom").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v")).toPandas()
-    pairs = np.zeros((atoms, atoms))
+    pairs = np.zeros((FREQUENT + FORMS, FREQUENT + FORMS))
     met = atom_pairs(training, frequent).toPandas()
     pairs.ravel()[met["pair"].to_numpy(np.int64)] = met["n"].to_numpy(np.int64)
     own = exchange(pairs, classes)
-    at = own[each["atom"].to_numpy(np.int64)] if len(each) else np.zeros(0, np.int64)
-    sizes, kinds = (np.bincount(at, each[k].to_numpy(np.float64), minlength=classes) for k in ("c", "v"))
-    after = np.zeros((classes, classes))
-    np.add.at(after, (own[:, None], own[None, :]), pairs)
-    share = (sizes + 0.5) / (sizes.sum() + 0.5 * classes)
-    moves = np.log10((after + prior * share) / (after.sum(axis=1, keepdims=True) + prior))
-    return Model(own, moves, sizes, kinds, int(sizes.sum()), int(kinds.sum()), frequent.get(END, FREQUENT + form_of(END))), known
+    table = np.zeros((classes, classes))
+    np.add.at(table, (own[:, None], own[None, :]), pairs)
+    return Seeds(frequent, own, table)
+
+
+def slots_of(vocabulary: DataFrame, least: int) -> np.ndarray:
+    """A bit for the crc32 of each word with ``least`` counts: a table of fixed size, whatever the vocabulary."""
+    slot = F.crc32(F.col("word").cast("binary")) % SLOTS
+    many = vocabulary.filter(F.col("c") >= least).select(slot.alias("slot"))
+    bits = np.zeros(SLOTS // 8, np.uint8)
+    for r in many.groupBy(F.floor(F.col("slot") / 32768).alias("bucket")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).toLocalIterator():
+        bits[r.bucket * 4096 : (r.bucket + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def contexts(training: DataFrame, seeds: Seeds, slots: np.ndarray) -> DataFrame:
+    """(word, code, n): how often a word that is no seed has a class behind it (code below the number of classes) or before it (from there on).
+
+    Counted over whole texts and added up in each task; a word may have several rows of one code. The end is no word.
+    """
+    classes = len(seeds.table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def start() -> tuple[dict[bytes, int], list[int], list[bool]]:
+            number = {END: 0}
+            kind, moves = [seeds.end], [False]
+            for w, atom in seeds.frequent.items():
+                if w not in number:
+                    number[w] = len(kind)
+                    kind.append(int(seeds.own[atom]))
+                    moves.append(False)
+            return number, kind, moves
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            key, n = summed(np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held]))
+            words = pa.array(list(number), pa.binary()).cast(pa.string())
+            for i in range(0, len(key), 100_000):
+                part = key[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(pa.array(part // (2 * classes))), pa.array((part % (2 * classes)).astype(np.int32)), pa.array(n[i : i + 100_000])], names=["word", "code", "n"],
+                )
+
+        (number, kind, moves), held, size = start(), [], 0
+        for piece in pieces(batches, "text"):
+            line = [0]
+            for text in bytes_of(piece.column("text")):
+                for w in text.lower().split():
+                    at = number.get(w)
+                    if at is None:
+                        at = number[w] = len(kind)
+                        slot = zlib.crc32(w) % SLOTS
+                        kind.append(seeds.of_form(w))
+                        moves.append(bool(slots[slot >> 3] >> (slot & 7) & 1))
+                    line.append(at)
+                line.append(0)
+            ids = np.array(line, np.int64)
+            of = np.array(kind, np.int64)[ids]
+            at = np.flatnonzero(np.array(moves)[ids])
+            held.append(summed(np.concatenate([ids[at] * (2 * classes) + of[at + 1], ids[at] * (2 * classes) + classes + of[at - 1]])))
+            size += len(held[-1][0])
+            if size >= HELD or len(number) >= REMEMBERED:
+                yield from rows()
+                held, size = [], 0
+                if len(number) >= REMEMBERED:
+                    number, kind, moves = start()
+        if held:
+            yield from rows()
+
+    return training.select("text").mapInArrow(run, "word string, code int, n long")
+
+
+def summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with its counts added up (one a key where ``n`` is not given)."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, minlength=len(found)).astype(np.int64)
+
+
+def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of best gain for words 0, 1, ..., from rows (word, code, n) without repeats, ordered by word; each word has a row.
+
+    A word's counts are taken out of its old class and put into each class in turn; what other classes have stays. A word
+    moves only if the likelihood rises.
+    """
+    classes, many = len(table), len(old)
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    behind = code < classes
+    # A row a neighbour class, a column a class of the word: what stands there before the word comes.
+    stands = np.where(behind[:, None], table.T[code % classes], table[code % classes])
+    own = (np.arange(len(word)), old[word])
+    stands[own] = np.maximum(stands[own] - n, 0)
+    gain = np.add.reduceat(_xlogx(stands + n[:, None]) - _xlogx(stands), starts, axis=0)
+    for side, total in ((behind, table.sum(axis=1)), (~behind, table.sum(axis=0))):
+        c = np.bincount(word, n * side, minlength=many)[:, None]
+        stands = np.repeat(total[None, :], many, axis=0)
+        stands[np.arange(many), old] = np.maximum(stands[np.arange(many), old] - c[:, 0], 0)
+        gain -= _xlogx(stands + c) - _xlogx(stands)
+    best = gain.argmax(axis=1)
+    rises = gain[np.arange(many), best] > gain[np.arange(many), old] + 1e-9
+    return np.where(rises, best, old)
+
+
+def moved(found: DataFrame, seeds: Seeds, least: int) -> DataFrame:
+    """(word, class) of every word with ``least`` counts, from ``contexts``.
+
+    Rows meet by word, in order, and are worked off batch by batch: no word's rows but those of a batch's last one wait for the next.
+    """
+    classes = len(seeds.table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(rows: pa.RecordBatch) -> pa.RecordBatch:
+            runs = pa.compute.run_end_encode(rows.column("word"))
+            ends = runs.run_ends.to_numpy()
+            at = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            key, n = summed(at * (2 * classes) + rows.column("code").to_numpy(), rows.column("n").to_numpy())
+            word, code = key // (2 * classes), key % (2 * classes)
+            often = np.bincount(word, n * (code < classes), minlength=len(ends)) >= least
+            keep = often[word]
+            number = np.cumsum(often) - 1
+            names = runs.values.filter(pa.array(often))
+            old = np.array([seeds.of_form(w) for w in names.cast(pa.binary()).to_pylist()], np.int64)
+            best = best_classes(number[word[keep]], code[keep], n[keep], old, seeds.table) if len(old) else old
+            return pa.RecordBatch.from_arrays([names, pa.array(best.astype(np.int32))], names=["word", "class"])
+
+        rest = None
+        for batch in batches:
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            ends = pa.compute.run_end_encode(batch.column("word")).run_ends.to_numpy()
+            cut = int(ends[-2]) if len(ends) > 1 else 0
+            if cut:
+                yield settled(batch.slice(0, cut))
+            rest = batch.slice(cut)
+        if rest is not None:
+            yield settled(rest)
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, class int")
+
+
+def classified(vocabulary: DataFrame, training: DataFrame, seeds: Seeds, least: int = LEAST) -> DataFrame:
+    """(word, c, class, placed): the class of each word of a vocabulary (word, c, form), and if its own neighbours were asked for it."""
+    spark = vocabulary.sparkSession
+    later = moved(contexts(training, seeds, slots_of(vocabulary, least)), seeds, least)
+    first = spark.createDataFrame([(w.decode(), int(seeds.own[a])) for w, a in seeds.frequent.items()], "word string, class int")
+    placed = later.union(first).select(F.col("word").alias("_word"), F.col("class").alias("_class"))
+    forms = F.array(*[F.lit(int(k)) for k in seeds.own[FREQUENT:]])
+    found = vocabulary.join(placed, F.col("word") == F.col("_word"), "left")
+    return found.select("word", "c", F.coalesce("_class", F.get(forms, F.col("form"))).alias("class"), F.col("_class").isNotNull().alias("placed"))
+
+
+@dataclass
+class Model:
+    """``sizes``, ``kinds``: tokens and words of each class; ``end``: class of the end; ``tokens``, ``words``: of the whole training part."""
+
+    sizes: np.ndarray
+    kinds: np.ndarray
+    end: int
+
+    @property
+    def tokens(self) -> int:
+        return int(self.sizes.sum())
+
+    @property
+    def words(self) -> int:
+        return int(self.kinds.sum())
+
+    def moves(self, after: np.ndarray, prior: float = 5.0) -> np.ndarray:
+        """log10 of class after class from their counts, smoothed towards the class's share."""
+        share = (self.sizes + 0.5) / (self.sizes.sum() + 0.5 * len(self.sizes))
+        return np.log10((after + prior * share) / (after.sum(axis=1, keepdims=True) + prior))
+
+
+def fit(known: DataFrame, seeds: Seeds) -> Model:
+    """Sizes of the classes of a vocabulary (word, c, class)."""
+    each = known.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).toPandas()
+    at = each["class"].to_numpy(np.int64)
+    sizes, kinds = (np.bincount(at, each[k].to_numpy(np.float64), minlength=len(seeds.table)) for k in ("c", "v"))
+    return Model(sizes, kinds, seeds.end)
+
+
+def paths(coded: DataFrame, known: DataFrame, model: Model, carried: list[str]) -> DataFrame:
+    """Documents with their counts, base score, emission score and classes (``path``, a byte a token); beside them rows (pair, n)
+    of class after class in each part's training documents.
+
+    A part's documents and words meet in a task; there are as many tasks as keep a few parts each.
+    """
+    classes = len(model.sizes)
+    listed = coded.filter("word is not null").select("part", "word", "id")
+    known = known.select(F.col("word").alias("_word"), "c", "class")
+    of_part = listed.join(known, F.col("word") == F.col("_word")).select("part", "id", "c", "class")
+    texts = coded.filter("ids is not null").select(F.col("part").alias("of"), *carried, "held_out", "ids")
+    made = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "emission": pa.float64(), "path": pa.binary(), "pair": pa.int64(), "n": pa.int64()}
+
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        size = words.num_rows
+        place = words.column("id").to_numpy()
+        counts, kind = np.zeros(size), np.zeros(size, np.int64)
+        counts[place], kind[place] = words.column("c").to_numpy(), words.column("class").to_numpy()
+        base = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
+        emit = np.log10((counts + 0.5) / (model.sizes[kind] + 0.5 * (model.kinds[kind] + 1)))
+        found, ways, after = np.zeros((own.num_rows, 4)), [], np.zeros(classes * classes, np.int64)
+        for i, (blob, out) in enumerate(zip(own.column("ids").to_pylist(), own.column("held_out").to_pylist())):
+            ids = np.frombuffer(blob, np.int32)
+            k = kind[ids]
+            found[i] = len(ids), (counts[ids] > 0).sum(), base[ids].sum(), emit[ids].sum()
+            ways.append(k.astype(np.uint8).tobytes())
+            if not out:
+                after += np.bincount(np.r_[model.end, k[:-1]] * classes + k, minlength=classes * classes)
+        met = np.flatnonzero(after)
+        values = [found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), found[:, 2], found[:, 3], ways, None, None]
+        names = [*carried, "held_out"]
+        whole = [*[own.column(c).combine_chunks() for c in names], *[pa.nulls(len(found), t) if v is None else pa.array(v, t) for v, t in zip(values, made.values())]]
+        beside = [*[pa.nulls(len(met), own.column(c).type) for c in names], *[pa.nulls(len(met), t) for t in list(made.values())[:5]], pa.array(met), pa.array(after[met])]
+        return pa.concat_tables([pa.table(whole, names=[*names, *made]), pa.table(beside, names=[*names, *made])])
+
+    kept = [f for f in texts.schema.fields if f.name not in ("of", "ids")]
+    schema = StructType([*[StructField(f.name, f.dataType) for f in kept], *[StructField(c, {pa.int64(): LongType(), pa.float64(): DoubleType(), pa.binary(): BinaryType()}[t]) for c, t in made.items()]])
+    tasks = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), coded.select("part").distinct().count() // 2)
+    return texts.repartition(tasks, "of").groupBy("of").cogroup(of_part.repartition(tasks, "part").groupBy("part")).applyInArrow(run, schema)
 
 
 def score(docs: DataFrame, *, held_out: Column, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -208,37 +428,39 @@ def score(docs: DataFrame, *, held_out: Column, text: str = "text", carry: list[
     (the end's before the first word), smoothed towards the class's share, times the word's in its class, (c + 0.5) /
     (tokens + 0.5 (words + 1)): unseen words share what one word with no count has. The base score uses the last
     formula over all words at once. Null texts are empty: one token, the end. Without training documents every
-    count is 0. Repeated rows count and are scored each; an empty table gives no rows.
+    count is 0. Repeated rows count and are scored each; an empty table gives no rows. A very long text is a part of its
+    own, whose words and classes one task holds.
     """
     kept = [c for c in docs.columns if c != text] if carry is None else carry
     rows = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(named(text), F.lit("")).alias("text"))
     coded = stored(encode(rows))
-    listed = coded.filter("word is not null").select("part", "word", "id", "form", "n")
-    vocabulary = stored(listed.groupBy("word").agg(F.sum("n").alias("c"), F.max("form").alias("form")))
-    model, known = fit(vocabulary, rows.filter(~F.col("held_out")))
-    known = known.withColumnsRenamed({"word": "_word"})
-    of_part = listed.join(known, F.col("word") == F.col("_word")).select("part", "id", "c", "atom")
-    names = [f"c{i}" for i in range(len(kept))]
-    texts = coded.filter("ids is not null").select(F.col("part").alias("of"), *names, "held_out", "ids")
-    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def run(own: pa.Table, words: pa.Table) -> pa.Table:
-        n = words.num_rows
-        place = words.column("id").to_numpy()
-        counts, atoms = np.zeros(n), np.zeros(n, np.int64)
-        counts[place], atoms[place] = words.column("c").to_numpy(), words.column("atom").to_numpy()
-        kind = model.own[atoms]
-        base = np.log10((counts + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
-        emit = np.log10((counts + 0.5) / (model.sizes[kind] + 0.5 * (model.kinds[kind] + 1)))
-        found = np.zeros((own.num_rows, 4))
-        for i, blob in enumerate(own.column("ids").to_pylist()):
-            ids = np.frombuffer(blob, np.int32)
-            k = kind[ids]
-            found[i] = len(ids), (counts[ids] > 0).sum(), base[ids].sum(), emit[ids].sum() + model.moves[np.concatenate([[model.own[model.end]], k[:-1]]), k].sum()
-        whole = [pa.array(found[:, 0].astype(np.int64)), pa.array(found[:, 1].astype(np.int64)), pa.array(np.full(len(found), model.tokens))]
-        return pa.table([*[own.column(c) for c in [*names, "held_out"]], *whole, pa.array(found[:, 2]), pa.array(found[:, 3])], names=[*names, "held_out", *made])
+    vocabulary = stored(coded.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"), F.max("form").alias("form")))
+    training = rows.filter(~F.col("held_out"))
+    seeds = seed_classes(vocabulary, training)
+    known = stored(classified(vocabulary, training, seeds))
+    released(vocabulary)
+    freed(docs.sparkSession)
+    model = fit(known, seeds)
+    carried = [f"c{i}" for i in range(len(kept))]
+    found = stored(paths(coded, known, model, carried))
+    released(coded, known)
+    after = np.zeros(model.sizes.size**2)
+    for r in found.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        after[r.pair] = r.n
+    moves = model.moves(after.reshape(model.sizes.size, -1))
+    read = found.filter("path is not null").drop("pair", "n")
+    columns = [*carried, "held_out", "n_tokens", "n_known", "base_score"]
 
-    schema = StructType([*[f for f in texts.schema.fields if f.name not in ("of", "ids")], *[StructField(c, LongType()) for c in made[:3]], StructField("base_score", DoubleType()), StructField("score", DoubleType())])
-    scored = texts.groupBy("of").cogroup(of_part.groupBy("part")).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column("emission").to_numpy().copy()
+            for i, way in enumerate(batch.column("path").to_pylist()):
+                k = np.frombuffer(way, np.uint8)
+                whole[i] += moves[np.r_[model.end, k[:-1]], k].sum()
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(whole)], names=[*columns, "score"])
+
+    scored = read.mapInArrow(run, StructType([*[read.schema[c] for c in columns], StructField("score", DoubleType())]))
+    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
+    scored = scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select(*renamed(kept, ["held_out", *made, "perplexity"]), "held_out", *made, perplexity)

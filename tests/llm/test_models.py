@@ -184,16 +184,107 @@ def test_class_probabilities_add_up(spark, prose):
     docs = spark.createDataFrame([(i, prose(i, 50, 30)) for i in range(60)], "doc_id long, text string")
     rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
     words = brown.encode(rows).filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"), F.max("form").alias("form"))
-    model, known = brown.fit(words, rows, classes=6)
-    assert np.allclose((10**model.moves).sum(axis=1), 1)
+    seeds = brown.seed_classes(words, rows, classes=6)
+    known = brown.classified(words, rows, seeds)
+    model = brown.fit(known, seeds)
+    assert np.allclose((10 ** model.moves(seeds.table)).sum(axis=1), 1)
     table = known.toPandas()
-    kind = model.own[table["atom"]]
     for k in range(6):
-        seen = ((table["c"] + 0.5) / (model.sizes[k] + 0.5 * (model.kinds[k] + 1)))[kind == k].sum()
+        own = table[table["class"] == k]
+        seen = ((own["c"] + 0.5) / (model.sizes[k] + 0.5 * (model.kinds[k] + 1))).sum()
         assert abs(seen + 0.5 / (model.sizes[k] + 0.5 * (model.kinds[k] + 1)) - 1) < 1e-9
     assert zlib.crc32(b"") == 0 and brown.form_of(b"running.") == brown.form_of(b"thing.") != brown.form_of(b"thing")
 
 
+def rare_words(n=400, each=5):
+    """Texts of two kinds of words in turn: four frequent ones of each kind, and ``n`` rare ones that end alike, each five times, which stand where their kind does."""
+    r = random.Random(3)
+    rare = [f"{kind}{i}xx" for i in range(n // 2) for kind in "ab"]
+    places = {kind: [w for w in rare for _ in range(each) if w[0] == kind] for kind in "ab"}
+    for p in places.values():
+        r.shuffle(p)
+    texts = []
+    while any(places.values()):
+        line = []
+        for _ in range(20):
+            for kind in "ab":
+                line.append(places[kind].pop() if places[kind] and r.random() < 0.3 else f"{kind}{r.randrange(4)}")
+        texts.append(" ".join(line))
+    return texts
+
+
+def seeded(spark, monkeypatch, texts, classes=3, frequent=9):
+    monkeypatch.setattr(brown, "FREQUENT", frequent)
+    rows = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").repartition(3)
+    words = brown.encode(rows).filter("word is not null").groupBy("word").agg(F.sum("n").alias("c"), F.max("form").alias("form"))
+    return rows, words, brown.seed_classes(words, rows, classes)
+
+
+def test_neighbours_are_counted_as_a_plain_loop_counts_them(spark, monkeypatch):
+    rows, words, seeds = seeded(spark, monkeypatch, [*rare_words(), "", "a0", "a0xx"])
+    monkeypatch.setattr(brown, "HELD", 50)
+    monkeypatch.setattr(brown, "REMEMBERED", 60)
+    got = Counter()
+    for r in brown.contexts(rows, seeds, brown.slots_of(words, 1)).collect():
+        got[r.word, r.code] += r.n
+    kind = lambda w: int(seeds.own[seeds.frequent[w]]) if w in seeds.frequent else seeds.of_form(w)
+    want = Counter()
+    for row in rows.collect():
+        line = [b"", *row.text.encode().split(), b""]
+        for before, w, behind in zip(line, line[1:], line[2:]):
+            if w not in seeds.frequent:
+                want[w.decode(), kind(behind)] += 1
+                want[w.decode(), 3 + kind(before)] += 1
+    assert got == want
+    few = {r.word for r in brown.contexts(rows, seeds, brown.slots_of(words.filter("word like 'a%'"), 1)).collect()}
+    assert few == {w for w, _ in want if w[0] == "a"}
+
+
+def test_the_gain_is_that_of_counting_again():
+    r = np.random.default_rng(5)
+    classes, many = 5, 40
+    rows = np.array([(w, c, r.integers(1, 9)) for w in range(many) for c in sorted(r.choice(2 * classes, 4, replace=False))])
+    word, code, n = rows.T
+    old = r.integers(0, classes, many)
+    table = r.integers(20, 90, (classes, classes)).astype(float)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    want = []
+    for w in range(many):
+        to, of = np.zeros(classes), np.zeros(classes)
+        for c, m in rows[rows[:, 0] == w][:, 1:]:
+            (to if c < classes else of)[c % classes] += m
+        value = []
+        for b in range(classes):
+            # The word's rows and columns are taken from the old class and given to b, side by side.
+            after, before, left, right = table.copy(), table.copy(), table.sum(axis=1), table.sum(axis=0)
+            for k, sign in ((old[w], -1), (b, 1)):
+                after[k] += sign * to
+                before[:, k] += sign * of
+                left[k] += sign * to.sum()
+                right[k] += sign * of.sum()
+            value.append(f(after) + f(before) - f(left) - f(right))
+        best = int(np.argmax(value))
+        want.append(best if value[best] > value[old[w]] + 1e-9 else old[w])
+    assert brown.best_classes(word, code, n, old, table).tolist() == want
+
+
+def test_rare_words_get_the_class_of_their_own_neighbours(spark, monkeypatch):
+    rows, words, seeds = seeded(spark, monkeypatch, rare_words())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        known = brown.classified(words, rows, seeds, least=5).toPandas()
+        none = brown.classified(words, rows, seeds, least=6).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = known[known["word"].str.endswith("x")]
+    assert len(found) == 400 and found["placed"].all()
+    of = [set(found[found["word"].str.startswith(kind)]["class"]) for kind in "ab"]
+    assert len(of[0]) == len(of[1]) == 1 and of[0] != of[1]
+    left = none[none["word"].str.endswith("x")]
+    assert not left["placed"].any() and left["class"].nunique() == 1
+    assert none[none["word"].isin(["", *[f"{k}{i}" for k in "ab" for i in range(4)]])]["placed"].all()
+
+
 def test_a_head_that_is_left_open_does_not_silence_the_page():
     body = "<article><h1>One</h1><p>Two <a href=x>three</a></p></article>"
     for start in ("<html><head><title>t</title><meta charset=utf-8><body>", "<head><style>a{}</style><link rel=x>", "<head><title>t</title></head><body>"):
