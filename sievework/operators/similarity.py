@@ -141,33 +141,97 @@ def cluster_simple(df: DataFrame, id: str, query: str, k: int = 5, threshold: fl
     return df.select(id, query).join(F.broadcast(picked), id).select("cluster", id, query)
 
 
-def cluster_kmeans(df: DataFrame, id: str, query: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """The query nearest to each TF-IDF centre, as (cluster, id, query)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import HashingTF, IDF, Normalizer, RegexTokenizer, StopWordsRemover
-    from pyspark.ml.functions import vector_to_array
-
-    steps = [
-        RegexTokenizer(inputCol=query, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False),
-        StopWordsRemover(inputCol="_words", outputCol="_terms"),
-        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=1 << 12),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features"),
-        KMeans(k=k, seed=seed, predictionCol="cluster"),
-    ]
-    model = Pipeline(stages=steps).fit(df)
-    centres = [c.tolist() for c in model.stages[-1].clusterCenters()]
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]) if len(centres[0]) <= 64 else None
-    out = model.transform(df).withColumn("_x", vector_to_array("features"))
-    if table is None:
-        rows = df.sparkSession.createDataFrame(list(enumerate(centres)), "cluster int, _c array<double>")
-        out = out.join(F.broadcast(rows), "cluster")
-    else:
-        out = out.withColumn("_c", table[F.col("cluster")])
-    gap = F.aggregate(F.zip_with("_x", "_c", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, v: a + v)
-    best = out.groupBy("cluster").agg(F.min_by(F.struct(id, query), F.struct(gap, F.col(id))).alias("b"))
-    return best.select("cluster", f"b.{id}", f"b.{query}")
+def tfidf(df: DataFrame, id: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, row, weight) of queries with the same terms, and their unit vectors (node, term, x), one row a term.
+
+    Terms are words of two signs or more that are no English stop words; all of them count. Null is an empty text. Terms that
+    every query has weigh nothing, so a node may have no rows. ``row`` is the (id, query) of the lowest id.
+    """
+    from pyspark.ml.feature import StopWordsRemover
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(query), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    stop = StopWordsRemover.loadDefaultStopWords("english")
+    terms = F.array_sort(F.filter(words, lambda w: ~w.isin(*stop)))
+    keyed = df.select(F.struct(F.col(id).alias("id"), F.col(query).alias("query")).alias("row"), terms.alias("terms"))
+    keyed = keyed.withColumn("node", F.md5(F.array_join("terms", " ")))
+    nodes = cut(keyed.groupBy("node").agg(F.min("row").alias("row"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("weight")))
+    counts = unnest(nodes, ["node", "weight"], F.col("terms"), "term").groupBy("node", "weight", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = nodes.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first()["n"]
+    share = counts.groupBy("term").agg(F.log((F.lit(total) + 1) / (F.sum("weight") + 1)).alias("idf"))
+    raw = cut(join_totals(counts, share, ["term"]).select("node", "term", (F.col("tf") * F.col("idf")).alias("x")).filter("x > 0"))
+    norms = raw.groupBy("node").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return nodes.drop("terms"), cut(join_totals(raw, norms, ["node"]).select("node", "term", (F.col("x") / F.col("norm")).alias("x")))
+
+
+def _gaps(nodes: DataFrame, vectors: DataFrame, centres: DataFrame, k: int) -> DataFrame:
+    """Nodes with ``gaps``, the squared distance to each of ``k`` centres (term, c: a value for each centre).
+
+    Only terms that a query and a centre share meet; the rest is in the norms.
+    """
+    norms = centres.agg(*[F.coalesce(F.sum(F.col("c")[j] * F.col("c")[j]), F.lit(0.0)) for j in range(k)]).first()
+    shared = join_totals(vectors, centres, ["term"]).groupBy("node").agg(*[F.sum(F.col("x") * F.col("c")[j]).alias(f"d{j}") for j in range(k)])
+    sizes = vectors.groupBy("node").agg(F.sum(F.col("x") * F.col("x")).alias("own"))
+    rest = F.coalesce("own", F.lit(0.0))
+    gaps = [F.greatest(rest + float(norms[j]) - 2 * F.coalesce(f"d{j}", F.lit(0.0)), F.lit(0.0)) for j in range(k)]
+    return nodes.join(sizes, "node", "left").join(shared, "node", "left").select(*nodes.columns, F.array(*gaps).alias("gaps"))
+
+
+def first_centres(nodes: DataFrame, vectors: DataFrame, k: int, seed: int) -> list[str]:
+    """Up to ``k`` nodes, each drawn with a chance in proportion to its queries and its squared distance to those before.
+
+    The draw is a race: every node has a waiting time from a hash of its terms, the seed and the turn, divided by its
+    share, and the shortest wins. So it is one aggregate a turn, the same in every run.
+    """
+    chosen: list[str] = []
+    near = nodes.withColumn("gap", F.lit(1.0))
+    for turn in range(k):
+        chance = (F.pmod(F.xxhash64(F.lit(f"{seed}:{turn}"), "node"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        won = near.filter("gap > 1e-12").agg(F.min_by("node", F.struct(-F.log(chance) / (F.col("weight") * F.col("gap")), F.col("node"))).alias("node")).first()["node"]
+        if won is None:
+            break
+        chosen.append(won)
+        centre = vectors.filter(F.col("node") == won).select("term", F.array("x").alias("c"))
+        met = _gaps(near, vectors, centre, 1)
+        near = cut(met.withColumn("gap", F.col("gaps")[0] if turn == 0 else F.least("gap", F.col("gaps")[0])).drop("gaps"))
+    return chosen
+
+
+def cluster_kmeans(df: DataFrame, id: str, query: str, k: int = 5, seed: int = 42, rounds: int = 20) -> DataFrame:
+    """The query nearest to each TF-IDF centre, as (cluster, id, query).
+
+    Lloyd's rounds until the sum of distances falls no more, ``rounds`` at most. Vectors and centres are tables of terms, so the
+    vocabulary has no bound; only the clusters' sizes and norms come to the driver. Equal distances go to the lower
+    cluster and the lower id. A cluster that loses all its queries keeps its centre and has no row; fewer different queries than
+    ``k`` give fewer clusters, and an empty table none.
+    """
+    nodes, vectors = tfidf(df, id, query)
+    chosen = first_centres(nodes, vectors, k, seed)
+    k = len(chosen)
+    kind = f"cluster int, {df.select(id, query)._jdf.schema().toDDL()}"
+    if not k:
+        return df.sparkSession.createDataFrame([], kind)
+    value = [F.max(F.when(F.col("node") == node, F.col("x")).otherwise(0.0)) for node in chosen]
+    centres = cut(vectors.filter(F.col("node").isin(chosen)).groupBy("term").agg(F.array(*value).alias("c")))
+    last = math.inf
+    for turn in range(rounds + 1):
+        gaps = _gaps(nodes, vectors, centres, k)
+        least = F.array_min(F.transform("gaps", lambda g, j: F.struct(g.alias("gap"), j.alias("cluster"))))
+        placed = cut(gaps.withColumn("_best", least).select("node", "row", "weight", "_best.gap", "_best.cluster"))
+        each = placed.groupBy("cluster").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("gap")).alias("gap")).collect()
+        inertia = sum(r["gap"] for r in each)
+        if turn == rounds or inertia >= last * (1 - 1e-9):
+            break
+        last, sizes = inertia, {r["cluster"]: r["n"] for r in each}
+        inside = join_totals(vectors, placed.select("node", "weight", "cluster"), ["node"])
+        sums = [F.sum(F.when(F.col("cluster") == j, F.col("x") * F.col("weight")).otherwise(0.0)) / F.lit(sizes.get(j, 1)) for j in range(k)]
+        moved = inside.groupBy("term").agg(F.array(*sums).alias("c"))
+        if len(sizes) < k:
+            both = moved.join(centres.select("term", F.col("c").alias("before")), "term", "full")
+            c = [F.coalesce(F.col("c")[j] if j in sizes else F.col("before")[j], F.lit(0.0)) for j in range(k)]
+            moved = both.select("term", F.array(*c).alias("c"))
+        centres = cut(moved)
+    best = placed.groupBy("cluster").agg(F.min_by("row", F.struct("gap", "row")).alias("row"))
+    return best.select(F.col("cluster").cast("int").alias("cluster"), F.col("row.id").alias(id), F.col("row.query").alias(query))
 
 
 # --------------------------------------------------------------------------- fuzzy names

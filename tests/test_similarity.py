@@ -3,6 +3,7 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,50 @@ def test_cluster_simple(spark):
         want += [(cluster, top)] if words[top] else []
         left -= inside
     assert got == want
+
+
+def dense_vectors(rows):
+    """Unit TF-IDF rows of (id, query) over all words, with plain arrays."""
+    words = [[w for w in (q or "").lower().split() if w != "the"] for _, q in rows]
+    terms = sorted({w for ws in words for w in ws})
+    tf = np.array([[ws.count(t) for t in terms] for ws in words], float).reshape(len(rows), len(terms))
+    x = tf * np.log((len(rows) + 1) / ((tf > 0).sum(axis=0) + 1))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return words, x / np.where(norm > 0, norm, 1)
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_kmeans_equals_dense_arithmetic(spark, k):
+    r = random.Random(k)
+    topics = [[f"{t}word{i}" for i in range(6)] for t in "abcd"]
+    rows = [(i, " ".join(r.choice(topics[i % 4]) for _ in range(4)) + " the common") for i in range(60)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(30)] + [(200, None), (201, ""), (201, "common")]
+    df = spark.createDataFrame(rows, "id long, query string").repartition(3)
+    words, x = dense_vectors(rows)
+    nodes, vectors = sim.tfidf(df, "id", "query")
+    chosen = sim.first_centres(nodes, vectors, k, 42)
+    assert len(set(chosen)) == k and chosen == sim.first_centres(*sim.tfidf(df.repartition(5), "id", "query"), k, 42)
+    firsts = {n["node"]: n["row"]["id"] for n in nodes.collect()}
+    at = {i: n for n, (i, _) in reversed(list(enumerate(rows)))}
+    centres = np.array([x[at[firsts[n]]] for n in chosen])
+    last = math.inf
+    while True:
+        gaps = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        own = np.argmin(np.round(gaps, 9), axis=1)
+        inertia = gaps[np.arange(len(rows)), own].sum()
+        if inertia >= last * (1 - 1e-9):
+            break
+        last = inertia
+        centres = np.array([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+    got = {g["cluster"]: g["id"] for g in sim.cluster_kmeans(df, "id", "query", k).collect()}
+    assert set(got) == set(own.tolist())
+    for j, i in got.items():
+        inside = [round(gaps[n, j], 9) for n in range(len(rows)) if own[n] == j]
+        assert round(gaps[at[i], j], 9) == min(inside) and own[at[i]] == j
+
+
+def test_kmeans_of_few_queries_or_none(spark):
+    df = spark.createDataFrame([(1, "red paint"), (2, "red paint"), (3, "blue glass")], "key long, query string")
+    assert sorted(r["key"] for r in sim.cluster_kmeans(df, "key", "query", 5).collect()) == [1, 3]
+    none = sim.cluster_kmeans(df.limit(0), "key", "query", 5)
+    assert none.count() == 0 and none.columns == ["cluster", "key", "query"]
