@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from sievework.catalog.base import query
@@ -79,21 +81,45 @@ def m06(t):
     return out.select("doc_id", "source", "field", "value")
 
 
-@query("m07_analyze", "select doc_id, 0.9 as confidence from documents")
+@query(
+    "m07_analyze",
+    r"""with d as (select doc_id, regexp_extract(text, '\b(?:19|20)\d{2}\b') as y from documents)
+    select doc_id, case when y <> '' then concat('{"Founded Year":"', y, '"}') else '{"Founded Year":null}' end as data, 0.9 as confidence from d""",
+)
 def m07(t):
-    out = m.analyze(t("documents").select("doc_id", "text"), "doc_id", F.col("text"), ["Product Description"], m.rule_model)
-    return out.select("doc_id", "confidence")
+    return m.analyze(t("documents", True).select("doc_id", "text"), "doc_id", F.col("text"), ["Founded Year"], m.rule_model)
+
+
+def _correcting(prompts: list[str]) -> list[str]:
+    """A stand-in that changes every record and adds one to batches whose first name ends in 1."""
+    answers = []
+    for prompt in prompts:
+        records = json.loads(prompt.split("RECORDS: ", 1)[1])
+        first = records[0]["name"]
+        more = [{"name": f"beside {first}"}] if first.endswith("1") else []
+        answers.append(json.dumps([{"name": r["name"].upper()} for r in records] + more))
+    return answers
 
 
-@query("m08_validate_companies", """select c_custkey, concat('{"name":"', c_name, '"}') as record from customer""")
+@query(
+    "m08_validate_companies",
+    """with c as (select c_custkey, c_name, row_number() over (order by c_custkey) - 1 as n from customer)
+    select c_custkey, concat('{"name":"', upper(c_name), '"}') as record from c
+    union all select null, concat('{"name":"beside ', c_name, '"}') from c where n % 5 = 0 and c_name like '%1'""",
+)
 def m08(t):
     rows = t("customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"))).alias("record"))
-    return m.validate_companies(rows, "c_custkey", "record", "coatings", m.rule_model)
+    return m.validate_companies(rows, "c_custkey", "record", "coatings", _correcting)
+
+
+def _first_words(prompts: list[str]) -> list[str]:
+    """A stand-in that merges names: each becomes its first word."""
+    return [json.dumps([n.split(" ")[0] for n in json.loads(p.split("NAMES: ", 1)[1])]) for p in prompts]
 
 
-@query("m09_llm_dedupe", "select distinct p_name from part")
+@query("m09_llm_dedupe", "select distinct split_part(p_name, ' ', 1) as p_name from part")
 def m09(t):
-    return m.llm_dedupe(t("part").select("p_partkey", "p_name"), "p_partkey", "p_name", m.rule_model)
+    return m.llm_dedupe(t("part").select("p_partkey", "p_name"), "p_partkey", "p_name", _first_words)
 
 
 #: Hits per query: all of them.

@@ -168,8 +168,11 @@ def analyze(df: DataFrame, company: str, text: Column, wanted: list[str], model:
 
 
 def validate_companies(df: DataFrame, index: str, record: str, query: str, model: Model, batch: int = 5) -> DataFrame:
-    """(index, record). Records go out in batches of five; a failed batch stays as it was."""
-    grouped = df.withColumn("chunk", F.floor(F.col(index) / batch).cast("long"))
+    """(index, record). Records go out in batches of five, by index; a failed batch stays as it was.
+
+    Batches are cut by position, so that one index on any number of rows still gives batches of five.
+    """
+    grouped = batch_ids(df.select(index, record), index, batch, "chunk")
     listed = grouped.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct(index, record))).alias("m"))
     listed = listed.select(
         "chunk",

@@ -106,3 +106,18 @@ def test_totals_of_a_hot_key_are_joined_in_several_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_repeated_index_still_gives_batches_of_five(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counting(prompts):
+        for prompt in prompts:
+            records = json.loads(prompt.split("RECORDS: ", 1)[1])
+            assert len(records) <= 5
+            sizes.add(len(records))
+        return ["no answer"] * len(prompts)
+
+    rows = spark.range(203).select(F.lit(7).cast("long").alias("i"), F.format_string('{"n": %d}', "id").alias("record"))
+    got = model.validate_companies(rows, "i", "record", "q", counting)
+    assert got.count() == 203 and sizes.value >= 203
