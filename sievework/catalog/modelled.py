@@ -241,6 +241,18 @@ def p07(t):
     return spark.read.parquet(new).select("pos")
 
 
+@query("p07_dedupe_file_fuzzy")
+def p07_fuzzy(t):
+    """The fuzzy form over part names with their brand."""
+    name = F.concat("p_name", F.lit(" "), "p_brand", F.lit(" LLC"))
+    rows = t("part").groupBy(name.alias("Company Name")).agg(F.min("p_partkey").alias("pos"))
+    spark = rows.sparkSession
+    old, new = scratch(spark, "file"), scratch(spark, "file-deduped")
+    rows.write.parquet(old)
+    flows.dedupe_file(spark, old, new)
+    return spark.read.parquet(new).select("pos")
+
+
 @query("p08_search_and_extract")
 def p08(t):
     _, hits = _page_hits(t)

@@ -188,6 +188,25 @@ def u11(t):
     return linkgraph.match_profile_url(_hits(t).withColumn("url", url))
 
 
+@query(
+    "u11_match_profile_in_page",
+    rf"""with hits as ({_HITS}), h as (select name, page_id, case when page_id % 7 = 0 then concat('https://www.linkedin.com/company/', name)
+      else url end as url from hits),
+    p as (select url, concat('https://www.linkedin.com/company/', name, '-in') as inside from hits where page_id % 5 = 0),
+    r as (select name, page_id, case when contains(url, 'linkedin.com/company/') then url end as direct, inside from h left join p using (url))
+    select name, coalesce(arg_min(direct, page_id) filter (where direct is not null),
+      arg_min(inside, page_id) filter (where inside is not null)) as profile from r group by name
+    having count(direct) + count(inside) > 0""",
+)
+def u11_in_page(t):
+    """Some hits are profiles, and some pages of the others link to one."""
+    hits = _hits(t)
+    url = F.when(F.col("rank") % 7 == 0, F.concat(F.lit("https://www.linkedin.com/company/"), "name")).otherwise(F.col("url"))
+    link = F.concat(F.lit('<a href="https://www.linkedin.com/company/'), "name", F.lit('-in">profile</a>'))
+    pages = hits.select("url", F.when(F.col("rank") % 5 == 0, F.concat("html", link)).otherwise(F.col("html")).alias("html"))
+    return linkgraph.match_profile_url(hits.drop("html").withColumn("url", url), pages)
+
+
 @query(
     "u12_domain_stats",
     """select lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as host, count(*) as results from pages group by 1

@@ -143,3 +143,13 @@ def test_enrich_gaps_asks_only_for_what_is_blank(spark, tmp_path):
     assert "never read" not in str(asked)
     rules_only = {r["name"]: r["funding"] for r in flows.enrich_gaps(hits.select("name"), hits, pages).collect()}
     assert rules_only == {"Acme": "big", "Zed": None, "Bare": None}
+
+
+def test_a_file_of_near_equal_names_keeps_the_first_of_each(spark, tmp_path):
+    names = ["Acme Paints", "Bolt Coatings LLC", "Acme Paint", "Acme Paints, Inc.", "Nordic Resin", "Bolt Coating", "Nordic Resin LLC"]
+    spark.createDataFrame(list(enumerate(names)), "pos long, `Company Name` string").write.parquet(str(tmp_path / "old"))
+    flows.dedupe_file(spark, str(tmp_path / "old"), str(tmp_path / "fuzzy"))
+    flows.dedupe_file(spark, str(tmp_path / "old"), str(tmp_path / "plain"), fuzzy=False)
+    kept = [sorted(r.pos for r in spark.read.parquet(str(tmp_path / form)).collect()) for form in ("fuzzy", "plain")]
+    # 3 has the letters of 0, and names of such a group are compared with no others, so 2 stays; 5 is near 1; 6 is 4 without its suffix
+    assert kept == [[0, 1, 2, 4], [0, 1, 2, 3, 4, 5]]
