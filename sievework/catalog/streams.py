@@ -67,31 +67,38 @@ def st3(spark, stream_of):
     return to_table(feeds.daily_mentions(stream_of("events"), "user_id", "ts"), "mentions")
 
 
+#: rows of complete days, and for each the run it belongs to: two days without rows of its key end a run
+DAY_RUNS = """d as (select *, {key} as key, date_trunc('day', ts) as day from events),
+      b as (select *, case when date_diff('day', lag(day) over w, day) <= 2 then 0 else 1 end as start from d
+        where day + interval 1 day <= (select max(ts) - interval 1 hour from events) window w as (partition by key order by ts, event_id)),
+      g as (select *, sum(start) over (partition by key order by ts, event_id rows unbounded preceding) as run from b)"""
+
+
 @stream_query(
     "st4_rolling_monitor",
-    f"""with s as (select *, {SERIES} as metric, row_number() over w as pos, avg(value) over (w rows between 4 preceding and current row) as m
-      from events window w as (partition by event_type, user_id % 10 order by ts, event_id))
-    select metric, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, value, case when pos > 5 then round(m, 6) else -1 end as rolling from s""",
+    f"""with {DAY_RUNS.format(key=SERIES)}, s as (select *, row_number() over w as pos, avg(value) over (w rows between 4 preceding and current row) as m
+      from g window w as (partition by key, run order by ts, event_id))
+    select key as metric, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, value, case when pos > 5 then round(m, 6) else -1 end as rolling from s""",
 )
 def st4(spark, stream_of):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream_of("events").select(
         F.lit("h").alias("host"), F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("metric"), "ts", F.col("event_id").alias("order"), "value"
     )
-    out = to_table(monitors.rolling_monitor(rows), "rolling")
+    out = to_table(monitors.rolling_monitor(rows, idle="2 days"), "rolling")
     return out.select("metric", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "value", F.coalesce(F.round("rolling", 6), F.lit(-1.0)).alias("rolling"))
 
 
 @stream_query(
     "st5_phase_tracker",
-    """with s as (select user_id, event_type, ts, event_id, lag(event_type) over (partition by user_id order by ts, event_id) as p from events),
-    c as (select *, lead(ts) over (partition by user_id order by ts, event_id) as nxt from s where p is null or p <> event_type)
+    f"""with {DAY_RUNS.format(key="user_id")}, s as (select *, lag(event_type) over (partition by key, run order by ts, event_id) as p from g),
+    c as (select *, lead(ts) over (partition by key, run order by ts, event_id) as nxt from s where p is null or p <> event_type)
     select concat('U', user_id) as run, event_type as phase, round((epoch_us(nxt) - epoch_us(ts)) / 1e6, 3) as seconds from c where nxt is not null""",
 )
 def st5(spark, stream_of):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream_of("events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("run"), "ts", F.col("event_id").alias("order"), F.col("event_type").alias("phase"))
-    return to_table(monitors.phase_monitor(rows), "phases").select("run", "phase", F.round("seconds", 3).alias("seconds"))
+    return to_table(monitors.phase_monitor(rows, idle="2 days"), "phases").select("run", "phase", F.round("seconds", 3).alias("seconds"))
 
 
 @stream_query(

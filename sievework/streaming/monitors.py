@@ -1,4 +1,11 @@
-"""Stateful stream monitors (ST4, ST5)."""
+"""Stateful stream monitors (ST4, ST5).
+
+Rows of a key wait in state by time slice until the watermark has passed the end of their slice; an event-time
+timer for each slice then hands its rows over in time order. So results don't depend on how rows fall into
+micro-batches, no frame is larger than an Arrow batch or one slice of one key, and a key without rows for
+``idle`` leaves the state. Rows without a time, and rows of a slice that is already settled, are left out.
+Both monitors need the RocksDB state store.
+"""
 
 from __future__ import annotations
 
@@ -6,82 +13,154 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROLLING_SCHEMA = "host string, metric string, ts timestamp, value double, rolling double"
-PHASE_SCHEMA = "run string, phase string, since timestamp, seconds double"
 
+class InTimeOrder(StatefulProcessor):
+    """Settles the rows of a key slice by slice; ``step`` and ``forget`` say what a monitor does with them.
+
+    State: the waiting rows of each open slice, and the end of the last settled one. A row later than ``idle``
+    after that end finds a key that has been forgotten, whether its timer has run or not.
+    """
+
+    kind: str  # type of the column that is watched
+    column: str
 
-def _frame(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = list(batches)
-    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
+    def __init__(self, slice_ms: int, idle_ms: int) -> None:
+        self.slice_ms = slice_ms
+        self.idle_ms = -(-idle_ms // slice_ms) * slice_ms  # whole slices
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slices = handle.getMapState("slices", "slice long", f"at array<long>, tie array<long>, x array<{self.kind}>")
+        self.settled = handle.getValueState("settled", "ends long")
 
-class RollingMean(StatefulProcessor):
-    """Mean of the last five samples of (host, metric), once there are more than five.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            frame = frame.dropna(subset=["at"])
+            for number, part in frame.groupby(frame["at"].astype("int64") // (self.slice_ms * 1000)):
+                number, ends = int(number), (int(number) + 1) * self.slice_ms
+                if ends <= passed:
+                    continue
+                if self.slices.containsKey((number,)):
+                    waiting = self.slices.getValue((number,))
+                else:
+                    waiting = ([], [], [])
+                    self.handle.registerTimer(ends)
+                new = ([int(v) for v in part["at"]], _plain(part["order"], int), _plain(part[self.column], self.cast))
+                self.slices.updateValue((number,), tuple([*old, *more] for old, more in zip(waiting, new)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        number = (now // self.slice_ms - 1,)
+        last = self.settled.get()[0] if self.settled.exists() else None
+        if now % self.slice_ms == 0 and self.slices.containsKey(number):
+            if last is not None:
+                self.handle.deleteTimer(last + self.idle_ms + 1)
+                if now - last > self.idle_ms:
+                    self.forget()
+            waiting = sorted(zip(*self.slices.getValue(number)), key=lambda r: (r[0], r[1] is not None, r[1] or 0, str(r[2])))
+            out = self.step(key, [r[0] for r in waiting], [r[2] for r in waiting])
+            self.slices.removeKey(number)
+            self.settled.update((now,))
+            self.handle.registerTimer(now + self.idle_ms + 1)  # never the end of a slice
+            if len(out):
+                yield out
+        elif last is not None and now > last + self.idle_ms:
+            self.forget()
+            self.settled.clear()
 
-    Rows of a micro-batch are put in time order; state is the last four values and a count.
+    def close(self) -> None:
+        pass
+
+
+def _plain(values: pd.Series, cast) -> list:
+    return [None if pd.isna(v) else cast(v) for v in values]
+
+
+class RollingMean(InTimeOrder):
+    """Mean of the last five samples of (host, metric), once there are more than five; nulls count as samples only.
+
+    State besides the waiting rows: the last four values and a count.
     """
 
+    kind, column, cast = "double", "value", float
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getListState("tail", "value double")
-        self.seen = handle.getValueState("seen", "n long")
+        super().init(handle)
+        self.tail = handle.getValueState("tail", "last array<double>, seen long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _frame(rows, ["ts", "order"])
-        tail = [v[0] for v in self.tail.get()] if self.tail.exists() else []
-        seen = self.seen.get()[0] if self.seen.exists() else 0
+    def step(self, key, at: list, values: list) -> pd.DataFrame:
+        tail, seen = self.tail.get() if self.tail.exists() else ([], 0)
         means = []
-        for value in frame["value"]:
+        for value in values:
             seen += 1
-            tail = [*tail, float(value)][-5:]
-            means.append(sum(tail) / len(tail) if seen > 5 else None)
-        self.tail.put([(v,) for v in tail[-4:]])
-        self.seen.update((seen,))
-        yield pd.DataFrame(
-            {"host": key[0], "metric": key[1], "ts": frame["ts"], "value": frame["value"],
-             "rolling": pd.Series(means, index=frame.index, dtype="float64")}
+            tail = [*tail, value][-5:]
+            known = [v for v in tail if v is not None]
+            means.append(sum(known) / len(known) if seen > 5 and known else None)
+        self.tail.update((tail[-4:], seen))
+        return pd.DataFrame(
+            {"host": key[0], "metric": key[1], "at": at, "value": pd.Series(values, dtype="float64"), "rolling": pd.Series(means, dtype="float64")}
         )
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.tail.clear()
+
+
+class PhaseTracker(InTimeOrder):
+    """One row per finished phase of a run; a repeat of the current phase, or a row without one, changes nothing.
 
+    A run without rows for ``idle`` is over: its last phase has no end, and a later row starts anew.
+    """
 
-class PhaseTracker(StatefulProcessor):
-    """One row per finished phase of a run; a repeat of the current phase changes nothing."""
+    kind, column, cast = "string", "phase", str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "phase string, since timestamp")
+        super().init(handle)
+        self.current = handle.getValueState("current", "phase string, since long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _frame(rows, ["ts", "order"])
+    def step(self, key, at: list, phases: list) -> pd.DataFrame:
         phase, since = self.current.get() if self.current.exists() else (None, None)
         out = []
-        for row in frame.itertuples():
-            if row.phase == phase:
+        for now, new in zip(at, phases):
+            if new is None or new == phase:
                 continue
-            at = row.ts.to_pydatetime()
             if phase is not None:
-                start = pd.Timestamp(since).tz_localize(None)
-                out.append((key[0], phase, start, (pd.Timestamp(at).tz_localize(None) - start).total_seconds()))
-            phase, since = row.phase, at
+                out.append((key[0], phase, since, (now - since) / 1e6))
+            phase, since = new, now
         if phase is not None:
             self.current.update((phase, since))
-        yield pd.DataFrame(out, columns=["run", "phase", "since", "seconds"])
+        return pd.DataFrame(out, columns=["run", "phase", "at", "seconds"])
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.current.clear()
 
 
-def rolling_monitor(stream: DataFrame) -> DataFrame:
-    """ST4: ``stream(host, metric, ts, order, value)``; needs the RocksDB state store."""
-    return stream.groupBy("host", "metric").transformWithStateInPandas(
-        statefulProcessor=RollingMean(), outputStructType=ROLLING_SCHEMA, outputMode="Append", timeMode="None"
-    )
+def _milliseconds(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def phase_monitor(stream: DataFrame) -> DataFrame:
-    """ST5: ``stream(run, ts, order, phase)``."""
-    return stream.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=PhaseTracker(), outputStructType=PHASE_SCHEMA, outputMode="Append", timeMode="None"
+def _settled(stream: DataFrame, keys: list[str], processor: type[InTimeOrder], schema: str, late: str, span: str, idle: str) -> DataFrame:
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    rows = timed.select(*keys, "ts", F.unix_micros("ts").alias("at"), F.col("order").cast("long").alias("order"), F.col(processor.column).cast(processor.kind))
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor(_milliseconds(span), _milliseconds(idle)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
+
+
+def rolling_monitor(stream: DataFrame, late: str = "1 hour", span: str = "1 day", idle: str = "30 days") -> DataFrame:
+    """ST4: ``stream(host, metric, ts, order, value)``; rows come out once the slice (``span``) they lie in is complete.
+
+    A (host, metric) without rows for ``idle`` starts anew.
+    """
+    out = _settled(stream, ["host", "metric"], RollingMean, "host string, metric string, at long, value double, rolling double", late, span, idle)
+    return out.select("host", "metric", F.timestamp_micros("at").alias("ts"), "value", "rolling")
+
+
+def phase_monitor(stream: DataFrame, late: str = "1 hour", span: str = "1 day", idle: str = "30 days") -> DataFrame:
+    """ST5: ``stream(run, ts, order, phase)``; a phase comes out with the slice that holds its end."""
+    out = _settled(stream, ["run"], PhaseTracker, "run string, phase string, at long, seconds double", late, span, idle)
+    return out.select("run", "phase", F.timestamp_micros("at").alias("since"), "seconds")
