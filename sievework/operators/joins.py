@@ -131,9 +131,11 @@ def merge_append(source: DataFrame, target: DataFrame, name: str, order: str, so
 
 
 def kv_upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last write per key wins."""
+    """Last write per key wins; null is a key as any other."""
     new = last_per_key(rows, keys, order)
-    return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    written = new.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return table.join(written, same, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def kv_lookup(table: DataFrame, wanted: DataFrame, keys: list[str], data: str = "data", schema: str = "map<string,string>") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -79,31 +79,75 @@ def search_hits(df: DataFrame, start: int = 0, limit: int | None = None) -> Data
     return hits
 
 
+KV_BUCKETS = 64
+
+
+def bucket_of(keys: list[str | Column], buckets: int) -> Column:
+    """The folder that a key's rows lie in."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def touched(rows: DataFrame, bucket: str = "bucket") -> list[int]:
+    """The folders that rows fall into: as many numbers as there are buckets at most."""
+    return sorted(r[0] for r in rows.select(bucket).distinct().collect())
+
+
 def read_kv(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """S16."""
+    """A table that has never been written is empty; buckets of a write on its way come from where it is staged."""
     ddl, _ = schemas.KV_TABLES[table]
-    version = _version(spark, root, table)
-    return spark.read.schema(ddl).parquet(f"{root}/{table}/current_{version}") if version else spark.createDataFrame([], ddl)
+    rows = _stored_rows(spark, f"{root}/{table}", ddl)
+    if _is_staged(spark, root, table):
+        staged = _stored_rows(spark, f"{root}/{table}.next", ddl)
+        rows = rows.filter(~F.col("bucket").isin(touched(staged))).unionByName(staged)
+    return rows.drop("bucket")
 
 
-def _version(spark: SparkSession, root: str, table: str) -> int:
-    """0 where the table has never been written; any other failure to read rises."""
+def _stored_rows(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     try:
-        versions = spark.read.text(f"{root}/{table}/VERSION")
+        return spark.read.schema(f"{ddl}, bucket int").parquet(path)
     except AnalysisException as problem:
         if not is_missing(problem):
             raise
-        return 0
-    return versions.agg(F.max(F.col("value").cast("int"))).first()[0] or 0
+        return spark.createDataFrame([], f"{ddl}, bucket int")
+
+
+def _file(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _is_staged(spark: SparkSession, root: str, table: str) -> bool:
+    files, mark = _file(spark, f"{root}/{table}.next/_SUCCESS")
+    return files.exists(mark)
+
+
+def _put(rows: DataFrame, path: str, mode: str) -> None:
+    """One folder a bucket; large buckets are written by several tasks."""
+    rows.hint("rebalance", "bucket").write.partitionBy("bucket").option("partitionOverwriteMode", mode).mode("overwrite").parquet(path)
+
+
+def _finish(spark: SparkSession, root: str, table: str) -> None:
+    """Replace the buckets of the table by those that are staged, as often as it takes; then drop the staged ones."""
+    if _is_staged(spark, root, table):
+        ddl, _ = schemas.KV_TABLES[table]
+        _put(_stored_rows(spark, f"{root}/{table}.next", ddl), f"{root}/{table}", "dynamic")
+        files, folder = _file(spark, f"{root}/{table}.next")
+        files.delete(folder, True)
+
 
+def write_kv(spark: SparkSession, root: str, table: str, rows: DataFrame, buckets: int = KV_BUCKETS) -> None:
+    """Only the buckets that ``rows`` fall into are read, merged and replaced; files of the others stay as they are.
 
-def write_kv(spark: SparkSession, root: str, table: str, rows: DataFrame) -> None:
-    """The merged table is written as a new version, then the version file moves on."""
-    _, keys = schemas.KV_TABLES[table]
-    current = _version(spark, root, table)
-    merged = kv_upsert(read_kv(spark, root, table), rows, keys, "updated_at")
-    merged.write.mode("overwrite").parquet(f"{root}/{table}/current_{current + 1}")
-    spark.createDataFrame([(str(current + 1),)], "value string").coalesce(1).write.mode("append").text(f"{root}/{table}/VERSION")
+    The new buckets are staged as a whole before they replace the old ones: if the driver is lost in between, reads
+    take them from there and the next write puts them in place first. Writing the same rows again changes nothing, so
+    a micro-batch may be run again. One writer a table; ``buckets`` has to stay as it was at the first write.
+    """
+    ddl, keys = schemas.KV_TABLES[table]
+    _finish(spark, root, table)
+    fresh = rows.withColumn("bucket", bucket_of(keys, buckets))
+    stored = _stored_rows(spark, f"{root}/{table}", ddl).filter(F.col("bucket").isin(touched(fresh)))
+    _put(kv_upsert(stored, fresh, keys, "updated_at"), f"{root}/{table}.next", "static")
+    _finish(spark, root, table)
 
 
 def run_summary(df: DataFrame, cached: str, session_id: str, status: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.utils import AnalysisException
 
 from sievework.functions import urls
-from sievework.operators.joins import append_new
+from sievework.operators.joins import append_new, trimmed_key
 from sievework.operators.keys import last_per_key
-from sievework.sources.tables import is_missing, write_kv
+from sievework.sources.tables import bucket_of, is_missing, touched, write_kv
 
 
 def _timed(stream: DataFrame, ts: str) -> DataFrame:
@@ -18,19 +18,26 @@ def _timed(stream: DataFrame, ts: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def company_feed(stream: DataFrame, target: str, checkpoint: str, name: str = "Company Name", order: str = "pos"):
-    """ST1: append only new names. A batch that is run again replaces its own folder."""
+def company_feed(stream: DataFrame, target: str, checkpoint: str, name: str = "Company Name", order: str = "pos", buckets: int = 64):
+    """ST1: append only new names. A batch looks only into the buckets that its names fall into.
+
+    Rows lie in folders by name bucket and batch. A batch that is run again replaces its own folders. ``buckets``
+    belongs to the target: it has to stay as it was at the first write.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        rows = batch.withColumn("name_bucket", bucket_of([trimmed_key(F.col(name))], buckets))
         try:
-            known = spark.read.parquet(target).filter(F.col("batch_id") != batch_id).select(name)
+            stored = spark.read.parquet(target).filter(F.col("name_bucket").isin(touched(rows, "name_bucket")))
+            known = stored.filter(F.col("batch_id") != batch_id).select(name)
         except AnalysisException as problem:
             if not is_missing(problem):
                 raise
             known = spark.createDataFrame([], f"`{name}` string")
-        fresh = append_new(batch, known, name, order, f"batch {batch_id}")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        fresh = append_new(rows, known, name, order, f"batch {batch_id}").withColumn("batch_id", F.lit(batch_id))
+        writer = fresh.hint("rebalance", "name_bucket").write.partitionBy("name_bucket", "batch_id")
+        writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -50,7 +57,7 @@ def daily_mentions(stream: DataFrame, name: str, ts: str, late: str = "1 hour")
 
 
 def upsert_feed(stream: DataFrame, root: str, table: str, keys: list[str], checkpoint: str, order: str = "updated_at"):
-    """ST6: the latest row per key of each batch goes into the key-value table."""
+    """ST6: the latest row per key of each batch goes into the key-value table, into the buckets of its keys only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_kv(batch.sparkSession, root, table, last_per_key(batch, keys, order))

@@ -3,8 +3,8 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from sievework.operators import extract, keys, model, reports
 from sievework.sources import tables
@@ -88,8 +88,11 @@ def test_a_broken_table_raises(spark, tmp_path):
     row = spark.createDataFrame([("k", "running", "{}")], "session_id string, status string, data string").withColumn("updated_at", F.current_timestamp())
     tables.write_kv(spark, str(tmp_path), "sessions", row)
     assert tables.read_kv(spark, str(tmp_path), "sessions").count() == 1
-    (tmp_path / "sessions" / "current_1").rename(tmp_path / "sessions" / "gone")
-    with pytest.raises(AnalysisException):
+    for file in (tmp_path / "sessions").rglob("*.parquet"):
+        file.write_bytes(b"no table")
+    for crc in (tmp_path / "sessions").rglob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Py4JJavaError):
         tables.read_kv(spark, str(tmp_path), "sessions").count()
 
 
