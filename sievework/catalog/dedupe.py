@@ -124,7 +124,30 @@ def d05(t):
     return sim.dedupe_embedding(t("embeddings"), "vec_id", "embedding", 0.35)
 
 
-@query("d06_cluster_simple")
+def _most_linked_sql(k: int) -> str:
+    """CTEs ``pick1`` .. ``pickk``: one greedy step each, over ``links(a, b, w, n)`` with weight and size of b."""
+    steps = ["left0 as materialized (select * from links)"]
+    for i in range(1, k + 1):
+        steps += [
+            f"best{i} as materialized (select a from left{i - 1} group by a order by sum(w) desc, a limit 1)",
+            f"in{i} as materialized (select b, n from left{i - 1} where a in (select a from best{i}))",
+            f"pick{i} as (select {i - 1} as cluster, b as id from in{i} order by n desc, b limit 1)",
+            f"left{i} as materialized (select * from left{i - 1} where a not in (select b from in{i}) and b not in (select b from in{i}))",
+        ]
+    return ",\n    ".join(steps)
+
+
+@query(
+    "d06_cluster_simple",
+    f"""with names as (select concat(p_name, ' ', p_brand) as name, min(p_partkey) as id from part group by 1),
+    sets as (select id, list_sort(list_distinct([x for x in string_split({NORMAL.replace('text', 'name')}, ' ') if length(x) > 2 and x not in {sql_in(rules.QUERY_STOPWORDS)}])) as k from names),
+    nodes as (select min(id) as id, k, len(k) as n, count(*) as w from sets where len(k) > 0 group by k),
+    words as (select id, n, unnest(k) as t from nodes),
+    near as (select a.id as a, b.id as b from words a join words b on a.t = b.t group by a.id, b.id, a.n, b.n having count(*) / (a.n + b.n - count(*)) > 0.3),
+    links as (select near.a, near.b, nodes.w, nodes.n from near join nodes on nodes.id = near.b), {_most_linked_sql(5)},
+    picks as ({" union all ".join(f"select * from pick{i}" for i in range(1, 6))})
+    select cluster, id, name from picks join names using (id)""",
+)
 def d06(t):
     return sim.cluster_simple(_part_names(t), "id", "name")
 

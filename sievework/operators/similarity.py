@@ -61,12 +61,12 @@ def jaccard_postings(ranked: DataFrame, threshold: float) -> DataFrame:
     return unnest(ranked, ["id", "n"], prefix, "token", "p")
 
 
-def _postings_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (low, high); lengths and token places are checked inside the join."""
+def _postings_join(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = True) -> DataFrame:
+    """Candidate pairs (low, high), or in either order; lengths and token places are checked inside the join."""
     a, b = left.alias("a"), right.alias("b")
     fits = (
         (F.col("a.token") == F.col("b.token"))
-        & (F.col("a.id") < F.col("b.id"))
+        & ((F.col("a.id") < F.col("b.id")) if ordered else (F.col("a.id") != F.col("b.id")))
         & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9)
         & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
         # tokens that can still be shared, counted from this one on
@@ -111,8 +111,75 @@ def dedupe_queries(df: DataFrame, id: str, query: str, threshold: float = 0.85)
     return first.join(dedupe_jaccard(first, id, query, threshold), id, "left_semi")
 
 
-def cluster_simple(df: DataFrame, id: str, query: str, k: int = 5, threshold: float = 0.3) -> DataFrame:
-    """(cluster, id, query) of the representatives of at most ``k`` clusters."""
+def neighbours(some: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """(id, other, weight): the sets of ``ranked`` whose Jaccard with one of ``some`` is above ``threshold``, itself left out."""
+    pairs = _postings_join(jaccard_postings(some, threshold), jaccard_postings(ranked, threshold), threshold, ordered=False)
+    a = some.select(F.col("id").alias("low"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+    b = ranked.select(F.col("id").alias("high"), F.col("tokens").alias("tb"), F.col("n").alias("nb"), "weight")
+    common = F.size(F.array_intersect("ta", "tb"))
+    near = pairs.join(a, "low").join(b, "high").filter(common / (F.col("na") + F.col("nb") - common) > threshold)
+    return near.select(F.col("low").alias("id"), F.col("high").alias("other"), "weight")
+
+
+def degree_bounds(ranked: DataFrame, threshold: float) -> DataFrame:
+    """(id, bound): no set has neighbours of more weight than that, itself included; no pair is made.
+
+    For sets of one length class, three bounds hold at once: all of them; those that share a token of the prefixes,
+    counted for each token; and the shared tokens in all, divided by the number that two near sets have to share.
+    """
+    kind = F.floor(F.log2("n") * 2).cast("int").alias("kind")
+    sizes = ranked.groupBy(kind).agg(F.sum("weight").alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    keep = F.col("n") - F.floor(F.col("n") * threshold - 1e-9).cast("int")
+    rows = unnest(ranked, ["id", "n", "weight"], F.col("ranked"), "token", "p").withColumn("early", F.col("p") < keep)
+    there = rows.groupBy("token", kind).agg(F.sum("weight").alias("with"), F.sum(F.when(F.col("early"), F.col("weight")).otherwise(0)).alias("early_with"))
+    by_token = there.groupBy("token").agg(F.collect_list(F.struct("kind", "with", "early_with")).alias("others"))  # one for each class
+    met = join_totals(rows.select("id", "n", "token", "early"), by_token, ["token"])
+    spread_out = met.select("id", "n", "early", F.explode("others").alias("o"))
+    sums = spread_out.groupBy("id", "n", F.col("o.kind").alias("kind")).agg(
+        F.sum("o.with").alias("shared"), F.sum(F.when(F.col("early"), F.col("o.early_with")).otherwise(0)).alias("early")
+    )
+    # a row for each doubling of the length, twice: some dozens at most
+    fits = (F.col("hi") > F.col("n") * threshold - 1e-9) & (F.col("lo") * threshold < F.col("n") + 1e-9)
+    least = F.floor((F.col("n") + F.col("lo")) * (threshold / (1 + threshold)) - 1e-9) + 1
+    each = F.least(F.col("all"), F.col("early"), F.floor(F.col("shared") / F.greatest(least, F.lit(1))))
+    return sums.join(F.broadcast(sizes), "kind").filter(fits).groupBy("id").agg(F.sum(each).cast("long").alias("bound"))
+
+
+def _best_connected(left: DataFrame, bounds: DataFrame, threshold: float, first_look: int):
+    """The set with most neighbours in ``left`` (ties: lowest id), and ``bounds`` with the degrees that were worked out.
+
+    Degrees are worked out for the ``first_look`` sets of highest bound, then for those in the upper half between the best
+    degree and the highest bound left, then for all that can still win; sets with a lower bound are never compared.
+    """
+    best = None
+    for look in range(3):
+        rest = bounds.filter(~F.col("exact"))
+        if best is not None:
+            rest = rest.filter((F.col("bound") > best["bound"]) | ((F.col("bound") == best["bound"]) & (F.col("id") < best["id"])))
+        if look == 0:
+            rest = rest.orderBy(F.desc("bound"), "id").limit(first_look)
+        elif look == 1:
+            top = rest.agg(F.max("bound")).first()[0]
+            if top is None:
+                break
+            rest = rest.filter(F.col("bound") * 2 >= top + best["bound"])
+        some = cut(left.join(rest.select("id"), "id", "left_semi"))
+        reached = some.select("id", "weight").unionByName(neighbours(some, left, threshold).select("id", "weight"))
+        degrees = reached.groupBy("id").agg(F.sum("weight").alias("degree"))
+        known = F.coalesce("degree", "bound").alias("bound"), (F.col("exact") | F.col("degree").isNotNull()).alias("exact")
+        bounds = cut(bounds.join(degrees, "id", "left").select("id", *known))
+        best = bounds.filter("exact").orderBy(F.desc("bound"), "id").first()
+        if best is None:
+            break
+    return best, bounds
+
+
+def cluster_simple(df: DataFrame, id: str, query: str, k: int = 5, threshold: float = 0.3, first_look: int = 64) -> DataFrame:
+    """(cluster, id, query) of the representatives of at most ``k`` clusters.
+
+    Each cluster is the set with most neighbours among those left, with all of them. Links aren't listed: a set is compared
+    only while its bound (of :func:`degree_bounds`, or its degree in an earlier round) can beat the best degree known.
+    """
     sets = keyword_sets(df, id, extract_keywords(F.col(query)))
     keyed = sets.withColumn("_d", F.md5(F.array_join("tokens", "\u0001")))
     # copies of one keyword set always move together: one node with their number as weight
@@ -121,21 +188,19 @@ def cluster_simple(df: DataFrame, id: str, query: str, k: int = 5, threshold: fl
             F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight")
         ).filter("n > 0")
     )
-    pairs = cut(jaccard_edges(nodes.select("id", "tokens", "n"), threshold).select("low", "high"))
-    there = nodes.select(F.col("id").alias("low"), F.col("id").alias("high"))
-    both = there.unionByName(pairs).unionByName(pairs.select(F.col("high").alias("low"), F.col("low").alias("high")))
-    left = cut(both.join(nodes.select(F.col("id").alias("high"), "n", "weight"), "high"))
+    left = cut(rare_first(nodes.select("id", "tokens", "n")).join(nodes.select("id", "weight"), "id"))
+    bounds = cut(degree_bounds(left, threshold).withColumn("exact", F.lit(False)))
     chosen = []
     for cluster in range(k):
-        links = left.groupBy("low").agg(F.sum("weight").alias("links"))
-        best = links.orderBy(F.desc("links"), F.asc("low")).first()
+        best, bounds = _best_connected(left, bounds, threshold, first_look)
         if best is None:
             break
-        inside = cut(left.filter(F.col("low") == best["low"]).select("high", "n"))
-        chosen.append((cluster, inside.orderBy(F.desc("n"), F.asc("high")).first()["high"]))
-        gone = inside.select("high")
-        left = left.join(gone, "high", "left_anti")
-        left = cut(left.join(gone.withColumnRenamed("high", "low"), "low", "left_anti"))
+        centre = left.filter(F.col("id") == best["id"])
+        inside = cut(centre.select("id").unionByName(neighbours(centre, left, threshold).select(F.col("other").alias("id"))))
+        members = left.join(inside, "id", "left_semi")
+        chosen.append((cluster, members.orderBy(F.desc("n"), F.asc("id")).first()["id"]))
+        left = cut(left.join(inside, "id", "left_anti"))
+        bounds = cut(bounds.join(inside, "id", "left_anti").withColumn("exact", F.lit(False)))
     kind = df.schema[id].dataType.simpleString()
     picked = df.sparkSession.createDataFrame(chosen, f"cluster int, {id} {kind}")
     return df.select(id, query).join(F.broadcast(picked), id).select("cluster", id, query)

@@ -181,20 +181,54 @@ def test_dedupe_embedding(spark, waves):
     assert got == {i for i, o in owner.items() if i == o}
 
 
-def test_cluster_simple(spark):
-    rows = [" ".join("key" + w for w in t.split()) for t in texts(9, 40)]
-    df = spark.createDataFrame(list(enumerate(rows)), "id long, q string")
-    got = [(r["cluster"], r["id"]) for r in sim.cluster_simple(df, "id", "q", 4).orderBy("cluster").collect()]
-    words = [set(w for w in t.split()) for t in rows]
-    left, want = set(range(len(rows))), []
-    for cluster in range(4):
+def greedy_clusters(rows, k):
+    """The sequential rule: (cluster, row with most words) for each, over all pairs."""
+    words = [set(t.split()) for t in rows]
+    left, found = set(range(len(rows))), []
+    for cluster in range(k):
         near = {i: {j for j in left if (i == j and words[i]) or jaccard(words[i], words[j]) > 0.3} for i in left}
+        if not any(near.values()):
+            break
         best = min(left, key=lambda i: (-len(near[i]), i))
-        inside = near[best] | {best}
-        top = min(inside, key=lambda i: (-len(words[i]), i))
-        want += [(cluster, top)] if words[top] else []
-        left -= inside
-    assert got == want
+        found.append((cluster, min(near[best], key=lambda i: (-len(words[i]), i))))
+        left -= near[best]
+    return found
+
+
+@pytest.mark.parametrize("first_look", [1, 5, 1000])
+def test_cluster_simple(spark, first_look):
+    rows = [" ".join("key" + w for w in t.split()) for t in texts(9, 40)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, q string")
+    got = [(r["cluster"], r["id"]) for r in sim.cluster_simple(df, "id", "q", 4, first_look=first_look).orderBy("cluster").collect()]
+    assert got == greedy_clusters(rows, 4)
+
+
+def test_clusters_of_blank_queries(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "the of")], "id long, q string")
+    assert sim.cluster_simple(df, "id", "q").collect() == [] == sim.cluster_simple(df.limit(0), "id", "q").collect()
+    one = df.unionByName(spark.createDataFrame([(4, "alpha beta"), (5, "beta alpha")], df.schema))
+    assert [tuple(r) for r in sim.cluster_simple(one, "id", "q").collect()] == [(0, 4, "alpha beta")]
+
+
+def test_degree_bounds_hold(spark):
+    r = random.Random(6)
+    rows = [set(r.sample([f"w{i}" for i in range(40)], r.randint(1, 12))) | ({"hot"} if i % 3 else set()) for i in range(120)]
+    data = [(i, sorted(ws), len(ws), 1 + i % 3) for i, ws in enumerate(rows)]
+    ranked = sim.rare_first(spark.createDataFrame(data, "id long, tokens array<string>, n int, weight long").drop("weight"))
+    ranked = ranked.withColumn("weight", 1 + F.col("id") % 3)
+    bounds = {b["id"]: b["bound"] for b in sim.degree_bounds(ranked, 0.3).collect()}
+    for i, words in enumerate(rows):
+        assert bounds[i] >= sum(1 + j % 3 for j, other in enumerate(rows) if jaccard(words, other) > 0.3)
+
+
+def test_links_of_a_large_family_are_not_listed(spark, monkeypatch):
+    """One family of 100 and 150 of five: the family wins, and few of the small ones are ever compared."""
+    rows = [f"fam core base xx{i}" for i in range(100)] + [f"aa{g} bb{g} cc{g} y{g}n{i}" for g in range(150) for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, q string")
+    compared, real = [], sim.neighbours
+    monkeypatch.setattr(sim, "neighbours", lambda some, *rest: compared.append(some.count()) or real(some, *rest))
+    got = [(c["cluster"], c["id"]) for c in sim.cluster_simple(df, "id", "q", 1).orderBy("cluster").collect()]
+    assert got == greedy_clusters(rows, 1) and sum(compared) <= 102
 
 
 def dense_vectors(rows):
