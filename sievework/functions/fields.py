@@ -77,10 +77,20 @@ def tech_stack(c: Column) -> Column:
     return _comma_separated(_drop_prefixes(c, rules.TECH_PREFIXES))
 
 
+# characters whose upper case is several ones, and their single capital: sharp s, and Greek vowels with iota below
+_SEVERAL = "ß" + "".join(map(chr, [*range(8064, 8072), *range(8080, 8088), *range(8096, 8104), 8115, 8131, 8179]))
+_SINGLE = "ẞ" + "".join(map(chr, [*range(8072, 8080), *range(8088, 8096), *range(8104, 8112), 8124, 8140, 8188]))
+
+
+def capital(c: Column) -> Column:
+    """Upper case of one character as one character; without a single capital it stays as it is."""
+    return F.when(F.length(F.upper(c)) > 1, F.translate(c, _SEVERAL, _SINGLE)).otherwise(F.upper(c))
+
+
 def description(c: Column) -> Column:
     """only the first character changes case."""
     flat = F.regexp_replace(strip(c), r"(?U)\s+", " ")
-    return F.concat(F.upper(F.left(flat, F.lit(1))), F.substring(flat, 2, 1 << 30))
+    return F.concat(capital(F.left(flat, F.lit(1))), F.substring(flat, 2, 1 << 30))
 
 
 def team_size(c: Column) -> Column:

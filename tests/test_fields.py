@@ -27,6 +27,9 @@ def one(spark, value, rule):
         (fld.founders, "Founders: A and B & C.", "A, B, C"),
         (fld.funding, "Raised $5M.", "$5M"),
         (fld.description, "hello   World", "Hello World"),
+        (fld.description, "ßa b", "ẞa b"),
+        (fld.description, "ᾳ b", "ᾼ b"),
+        (fld.description, "ﬁ b", "ﬁ b"),
         (fld.team_size, "11-50 people", "11-50"),
         (fld.team_size, "a Medium-sized small firm", "1-10"),
         (fld.team_size, "none", None),
