@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +28,20 @@ def keyword_sets(df: DataFrame, id: str, tokens: Column) -> DataFrame:
     )
 
 
+def hashed(sets: DataFrame) -> DataFrame:
+    """(id, tokens, n) with each token as a 64-bit hash, in order of the hashes."""
+    tokens = F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))))
+    return sets.select("id", tokens.alias("tokens")).withColumn("n", F.size("tokens"))
+
+
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """One row per distinct non-empty set, under its lowest id.
+    """One row per distinct non-empty set of token hashes, under its lowest id.
 
     Copies are grouped by digest with map-side combining, so any number of copies of one
     text costs one row afterwards.
     """
-    keyed = sets.withColumn("_d", F.md5(F.array_join("tokens", "\u0001")))
-    reps = keyed.groupBy("_d").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
+    keyed = hashed(sets).withColumn("_d", F.xxhash64("tokens"))
+    reps = keyed.groupBy("_d", "n").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     # after the aggregate, so that the check does not make the tokens be worked out twice
     return reps.select("id", "tokens", "n").filter("n > 0")
 
@@ -62,7 +69,10 @@ def jaccard_postings(ranked: DataFrame, threshold: float) -> DataFrame:
 
 
 def _postings_join(left: DataFrame, right: DataFrame, threshold: float, ordered: bool = True) -> DataFrame:
-    """Candidate pairs (low, high), or in either order; lengths and token places are checked inside the join."""
+    """Candidate pairs (low, high), or in either order; lengths and token places are checked inside the join.
+
+    All tokens that the prefixes share are counted: with those behind the prefixes they have to suffice.
+    """
     a, b = left.alias("a"), right.alias("b")
     fits = (
         (F.col("a.token") == F.col("b.token"))
@@ -75,12 +85,51 @@ def _postings_join(left: DataFrame, right: DataFrame, threshold: float, ordered:
             >= (F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - 1e-9
         )
     )
-    return a.join(b, fits).select(F.col("a.id").alias("low"), F.col("b.id").alias("high")).distinct()
+    met = a.join(b, fits).groupBy(F.col("a.id").alias("low"), F.col("b.id").alias("high"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+    # behind the prefixes, the set whose prefix ends first has so many tokens left
+    behind = F.floor(F.greatest("na", "nb") * threshold - 1e-9)
+    enough = F.col("shared") + behind >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    return met.agg(F.count(F.lit(1)).alias("shared")).filter(enough).select("low", "high")
 
 
-def jaccard_between(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Edges (low, high, sim) with Jaccard above ``threshold``; inputs from :func:`rare_first`."""
-    pairs = _postings_join(jaccard_postings(left, threshold), jaccard_postings(right, threshold), threshold)
+def token_counts(sets: DataFrame, slots: int = 1 << 18) -> np.ndarray:
+    """How often tokens occur, summed by slot of their hash: a table of fixed size, whatever the vocabulary."""
+    rows = unnest(sets, [], F.col("tokens"), "token")
+    found = rows.groupBy(F.col("token").bitwiseAND(slots - 1).alias("slot")).agg(F.count(F.lit(1)).alias("f")).toPandas()
+    counts = np.zeros(slots, dtype="int64")
+    counts[found["slot"].to_numpy(dtype="int64")] = found["f"].to_numpy(dtype="int64")
+    return counts
+
+
+def rare_prefixes(sets: DataFrame, threshold: float, counts: np.ndarray) -> DataFrame:
+    """(id, n, token, p): the prefix of each hashed set, rarest slot first; two sets above the threshold share one of its tokens.
+
+    Any one order of all tokens will do, so no token has to be joined with its exact frequency.
+    """
+    given = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches):
+        often = given.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                tokens, n = batch.column("tokens").flatten().to_numpy(), batch.column("n").to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((tokens, often[tokens & (len(often) - 1)], row))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                early = place < np.repeat(n - np.floor(n * threshold - 1e-9).astype("int64"), n)
+                held = pa.array(row[early])
+                columns = [batch.column("id").take(held), batch.column("n").take(held), pa.array(tokens[order[early]]), pa.array(place[early].astype("int32"))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "token", "p"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "n", "tokens").mapInArrow(first, f"id {kind}, n int, token long, p int")
+
+
+def jaccard_between(left: DataFrame, right: DataFrame, threshold: float, counts: np.ndarray) -> DataFrame:
+    """Edges (low, high, sim) with Jaccard above ``threshold``; inputs from :func:`hashed`, counts of all their tokens."""
+    first = rare_prefixes(left, threshold, counts)
+    pairs = _postings_join(first, first if left is right else rare_prefixes(right, threshold, counts), threshold)
     a = left.select(F.col("id").alias("low"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     b = right.select(F.col("id").alias("high"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     both = pairs.join(a, "low").join(b, "high")
@@ -90,17 +139,15 @@ def jaccard_between(left: DataFrame, right: DataFrame, threshold: float) -> Data
 
 
 def jaccard_edges(sets: DataFrame, threshold: float) -> DataFrame:
-    """J10 over distinct sets."""
-    ranked = rare_first(sets.filter("n > 0"))
-    return jaccard_between(ranked, ranked, threshold)
+    """J10 over stored, non-empty hashed sets."""
+    return jaccard_between(sets, sets, threshold, token_counts(sets))
 
 
 def dedupe_jaccard(df: DataFrame, id: str, text: str, threshold: float = 0.85, waves: int | None = None) -> DataFrame:
     """Ids that are kept; copies of one text fall to its lowest id first."""
-    sets = keyword_sets(df, id, extract_keywords(F.col(text)))
-    reps = distinct_sets(sets)
-    ranked = cut(rare_first(reps))
-    kept = leaders_in_waves(ranked, lambda a, b: jaccard_between(a, b, threshold), waves).select("id")
+    reps = cut(distinct_sets(keyword_sets(df, id, extract_keywords(F.col(text)))))
+    counts = token_counts(reps)
+    kept = leaders_in_waves(reps, lambda a, b: jaccard_between(a, b, threshold, counts), waves).select("id")
     empty = df.select(F.col(id).alias("id")).filter(~has_keyword(F.col(text)))
     return kept.unionByName(empty).withColumnRenamed("id", id)
 
