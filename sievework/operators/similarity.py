@@ -40,8 +40,8 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     Copies are grouped by digest with map-side combining, so any number of copies of one
     text costs one row afterwards.
     """
-    keyed = hashed(sets).withColumn("_d", F.xxhash64("tokens"))
-    reps = keyed.groupBy("_d", "n").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
+    keyed = hashed(sets).withColumns({"_d": F.xxhash64("tokens"), "_e": F.hash("tokens")})
+    reps = keyed.groupBy("_d", "_e", "n").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     # after the aggregate, so that the check does not make the tokens be worked out twice
     return reps.select("id", "tokens", "n").filter("n > 0")
 
@@ -139,7 +139,9 @@ def jaccard_between(left: DataFrame, right: DataFrame, threshold: float, counts:
 
 
 def jaccard_edges(sets: DataFrame, threshold: float) -> DataFrame:
-    """J10 over stored, non-empty hashed sets."""
+    """J10 over sets of tokens, or over stored, non-empty sets of token hashes."""
+    if sets.schema["tokens"].dataType.elementType != T.LongType():
+        sets = cut(hashed(sets).filter("n > 0"))
     return jaccard_between(sets, sets, threshold, token_counts(sets))
 
 

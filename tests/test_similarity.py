@@ -141,6 +141,16 @@ def test_jaccard_edges_equal_all_pairs(spark, threshold):
     assert got == want
 
 
+def test_one_shared_rare_token_makes_no_candidate(spark):
+    one, two = [f"a{i}" for i in range(19)], [f"b{i}" for i in range(19)]
+    rows = [(1, ["rare", *one]), (2, ["rare", *two]), (3, [*one, "more"])] + [(i, one + two + [f"{i}x{j}" for j in range(60)]) for i in (9, 10, 11)]
+    sets = sim.distinct_sets(sim.keyword_sets(spark.createDataFrame(rows, "id long, words array<string>"), "id", F.col("words"))).localCheckpoint()
+    first = sim.rare_prefixes(sets, 0.85, sim.token_counts(sets))
+    assert {r["id"]: r["count"] for r in first.groupBy("id").count().collect()} == {1: 4, 2: 4, 3: 4, 9: 15, 10: 15, 11: 15}
+    assert {tuple(r) for r in sim._postings_join(first, first, 0.85).collect()} == {(1, 3)}
+    assert [(r["low"], r["high"]) for r in sim.jaccard_edges(sets, 0.85).collect()] == [(1, 3)]
+
+
 @pytest.mark.parametrize("waves", [1, 3])
 def test_dedupe_jaccard(spark, waves):
     rows = [" ".join("key" + w for w in t.split()) for t in texts(6)]
