@@ -1,8 +1,8 @@
 """Stateful stream monitors (ST4, ST5).
 
-Rows of a key wait in state by time slice until the watermark has passed the end of their slice; an event-time
-timer for each slice then hands its rows over in time order. So results don't depend on how rows fall into
-micro-batches, no frame is larger than an Arrow batch or one slice of one key, and a key without rows for
+Rows of a key wait in state until the watermark has passed the end of their time slice; the key's event-time
+timer then hands all complete slices over in time order. So results don't depend on how rows fall into
+micro-batches, no frame is larger than an Arrow batch or ``SLICES`` slices of one key, and a key without rows for
 ``idle`` leaves the state. Rows without a time, and rows of a slice that is already settled, are left out.
 Both monitors need the RocksDB state store.
 """
@@ -17,11 +17,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Slices whose rows wait together; all rows of a key in so many slices are in memory at once.
+SLICES = 16
+
+
 class InTimeOrder(StatefulProcessor):
     """Settles the rows of a key slice by slice; ``step`` and ``forget`` say what a monitor does with them.
 
-    State: the waiting rows of each open slice, and the end of the last settled one. A row later than ``idle``
-    after that end finds a key that has been forgotten, whether its timer has run or not.
+    State: the waiting rows by span of ``SLICES`` slices and part, an entry for each Arrow batch; the spans with their
+    parts and the end of their first open slice, and the key's one timer; the end of the last settled slice. So the calls to
+    the state grow with the spans of a key and not with its slices. A row later than ``idle`` after the last settled slice
+    finds a key that has been forgotten, whether its timer has run or not.
     """
 
     kind: str  # type of the column that is watched
@@ -33,45 +39,94 @@ class InTimeOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slices = handle.getMapState("slices", "slice long", f"at array<long>, tie array<long>, x array<{self.kind}>")
+        self.rows = handle.getMapState("rows", "span long, part long", f"at array<long>, tie array<long>, x array<{self.kind}>")
+        self.spans = handle.getValueState("spans", "span array<long>, parts array<long>, opens array<long>, due long")
         self.settled = handle.getValueState("settled", "ends long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
+        held, due = self._held()
+        new = False
         for frame in rows:
             frame = frame.dropna(subset=["at"])
-            for number, part in frame.groupby(frame["at"].astype("int64") // (self.slice_ms * 1000)):
-                number, ends = int(number), (int(number) + 1) * self.slice_ms
-                if ends <= passed:
-                    continue
-                if self.slices.containsKey((number,)):
-                    waiting = self.slices.getValue((number,))
-                else:
-                    waiting = ([], [], [])
-                    self.handle.registerTimer(ends)
-                new = ([int(v) for v in part["at"]], _plain(part["order"], int), _plain(part[self.column], self.cast))
-                self.slices.updateValue((number,), tuple([*old, *more] for old, more in zip(waiting, new)))
+            number = frame["at"].astype("int64") // (self.slice_ms * 1000)
+            there = (number + 1) * self.slice_ms > passed
+            frame, number = frame[there], number[there]
+            for span, part in frame.groupby(number // SLICES):
+                span, opens = int(span), (int(number[part.index].min()) + 1) * self.slice_ms
+                parts, before = held.get(span, (0, opens))
+                self.rows.updateValue((span, parts), ([int(v) for v in part["at"]], _plain(part["order"], int), _plain(part[self.column], self.cast)))
+                held[span] = (parts + 1, min(before, opens))
+                new = True
+        if new:
+            first = min(opens for _, opens in held.values())
+            if due is None or first < due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(first)
+                due = first
+            self._hold(held, due)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        number = (now // self.slice_ms - 1,)
-        last = self.settled.get()[0] if self.settled.exists() else None
-        if now % self.slice_ms == 0 and self.slices.containsKey(number):
-            if last is not None:
-                self.handle.deleteTimer(last + self.idle_ms + 1)
-                if now - last > self.idle_ms:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held, _ = self._held()
+        found = self.settled.get()
+        last = found[0] if found else None
+        for span in sorted(held):
+            parts, opens = held[span]
+            if opens > passed:
+                continue
+            waiting = []
+            for part in range(parts):
+                waiting += zip(*self.rows.getValue((span, part)))
+                self.rows.removeKey((span, part))
+            waiting.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, str(r[2])))
+            run, rest = [], []
+            for row in waiting:
+                ends = self._ends(row[0])
+                if ends > passed:
+                    rest.append(row)
+                    continue
+                if last is not None and ends - last > self.idle_ms:
+                    yield from self._settle(key, run)
                     self.forget()
-            waiting = sorted(zip(*self.slices.getValue(number)), key=lambda r: (r[0], r[1] is not None, r[1] or 0, str(r[2])))
-            out = self.step(key, [r[0] for r in waiting], [r[2] for r in waiting])
-            self.slices.removeKey(number)
-            self.settled.update((now,))
-            self.handle.registerTimer(now + self.idle_ms + 1)  # never the end of a slice
-            if len(out):
-                yield out
-        elif last is not None and now > last + self.idle_ms:
+                    run = []
+                run.append(row)
+                last = ends
+            yield from self._settle(key, run)
+            del held[span]
+            if rest:
+                self.rows.updateValue((span, 0), tuple(list(column) for column in zip(*rest)))
+                held[span] = (1, self._ends(rest[0][0]))
+        if last is not None and passed > last + self.idle_ms:
             self.forget()
             self.settled.clear()
+            last = None
+        elif last is not None:
+            self.settled.update((last,))
+        ahead = [opens for _, opens in held.values()] + ([] if last is None else [last + self.idle_ms + 1])
+        if ahead:
+            self.handle.registerTimer(min(ahead))
+            self._hold(held, min(ahead))
+        else:
+            self.spans.clear()
+
+    def _ends(self, at: int) -> int:
+        return (at // (self.slice_ms * 1000) + 1) * self.slice_ms
+
+    def _held(self) -> tuple[dict, int | None]:
+        found = self.spans.get()
+        return ({s: (p, o) for s, p, o in zip(*found[:3])}, found[3]) if found else ({}, None)
+
+    def _hold(self, held: dict, due: int) -> None:
+        self.spans.update((list(held), [p for p, _ in held.values()], [o for _, o in held.values()], due))
+
+    def _settle(self, key, run: list) -> Iterator[pd.DataFrame]:
+        if run:
+            out = self.step(key, [r[0] for r in run], [r[2] for r in run])
+            if len(out):
+                yield out
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,5 +89,43 @@ def test_dead_keys_leave_the_state(spark, tmp_path, rocksdb):
         assert {r[0] for r in left.select(F.col("key.run")).collect()} == {"alive"}
 
 
+class CountedState:
+    """The part of a state handle that the monitors use, with the number of its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.there = calls, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("getMapState", "getValueState"):
+                return CountedState(self.calls)
+            key = args[0] if name in ("getValue", "updateValue", "removeKey", "containsKey") else None
+            if name in ("exists", "containsKey"):
+                return key in self.there
+            if name in ("get", "getValue"):
+                return self.there.get(key)
+            if name in ("update", "updateValue"):
+                self.there[key] = args[-1]
+            if name in ("clear", "removeKey"):
+                self.there.pop(key, None)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_the_slices_of_a_key():
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    calls = []
+    monitor = monitors.PhaseTracker(DAY * 1000, 2 * DAY * 1000)
+    monitor.init(CountedState(calls))
+    rows = pd.DataFrame({"at": [n * DAY * 10**6 + 5 for n in range(30)], "order": 0, "phase": ["x", "y"] * 15})
+    monitor.handleInputRows(("a",), iter([rows]), Times(0))
+    out = pd.concat(monitor.handleExpiredTimer(("a",), Times(29 * DAY * 1000), Times(DAY * 1000)))
+    assert list(out["seconds"]) == [DAY] * 28 and len(calls) < 30
+
+
 def test_an_empty_stream_gives_no_rows(spark, tmp_path, rocksdb):
     assert run(spark, tmp_path, [[]], SAMPLES, monitors.rolling_monitor, "none")[0] == []
