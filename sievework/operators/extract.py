@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework import rules
 from sievework.functions import markup, urls
@@ -15,7 +16,7 @@ from sievework.functions.text import clean_pdf_text, unescape, unnest
 def _add(df: DataFrame, fn, inputs: list[str], out: str, kind: T.DataType) -> DataFrame:
     rest = [f for f in df.schema.fields if f.name not in inputs]
     schema = T.StructType([*rest, T.StructField(out, kind)])
-    return df.mapInPandas(markup.batches(fn, inputs, out), schema)
+    return df.mapInArrow(markup.batches(fn, inputs, out, to_arrow_type(kind)), schema)
 
 
 def html_to_text(

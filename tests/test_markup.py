@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from sievework.functions import markup
@@ -83,3 +84,12 @@ def test_pages_of_any_depth(tag):
 def test_marks_keep_their_text_together():
     html = "<p>One <b> two <i>three </i></b>four <a href='u'> five</a><br>six <img src=x><script>no</script></p>"
     assert markup.html_to_markdown(html) == "One **two _three_**four [five](u)\nsix"
+
+
+def test_few_rows_of_a_large_batch_are_python_objects_at_once():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "html": [None if n % 9 == 0 else "x" * n for n in range(1000)]})
+    kind = pa.map_(pa.string(), pa.int64())
+    made = list(markup.batches(lambda h: {"n": len(h or "")}, ["html"], "size", kind)([batch]))
+    assert max(b.num_rows for b in made) <= 256 and made[0].schema.field("size").type == kind
+    rows = [r for b in made for r in b.to_pylist()]
+    assert rows == [{"id": n, "size": [("n", 0 if n % 9 == 0 else n)]} for n in range(1000)]
