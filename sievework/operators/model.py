@@ -1,7 +1,7 @@
 """Model-backed table jobs.
 
 The service is not part of this library: every job takes ``model``, a function from a list
-of prompts to a list of answers, called once per Arrow batch. Prompts are built and answers
+of prompts to a list of answers, called for up to 256 prompts of an Arrow batch. Prompts are built and answers
 parsed with column expressions. An answer that cannot be had is NULL, never a failed job.
 """
 
@@ -11,7 +11,7 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +29,8 @@ from sievework.session import cut
 Model = Callable[[list[str]], list[str]]
 PROMPT_LIMIT = 15000
 FALLBACK_LIMIT = 5000
+#: Prompts that go out in one call, and are Python objects at once.
+PROMPTS = 256
 
 
 def ask(df: DataFrame, prompt: Column, model: Model) -> DataFrame:
@@ -43,21 +45,22 @@ def ask(df: DataFrame, prompt: Column, model: Model) -> DataFrame:
         except Exception as problem:  # noqa: BLE001 - reported as data
             return None, str(problem)
 
-    def run(frames):
-        for frame in frames:
-            prompts = frame.pop("_prompt").tolist()
-            try:
-                pairs = [(a, None) for a in model(prompts)]
-                if len(pairs) != len(prompts):
-                    raise ValueError("wrong number of answers")
-            except Exception:  # noqa: BLE001
-                pairs = [one(p) for p in prompts]
-            yield frame.assign(
-                answer=pd.Series([a for a, _ in pairs], index=frame.index, dtype=object),
-                error=pd.Series([e for _, e in pairs], index=frame.index, dtype=object),
-            )
-
-    return asked.mapInPandas(run, schema)
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, PROMPTS):
+                batch = whole.slice(at, PROMPTS)
+                prompts = batch.column("_prompt").to_pylist()
+                try:
+                    pairs = [(a, None) for a in model(prompts)]
+                    if len(pairs) != len(prompts):
+                        raise ValueError("wrong number of answers")
+                except Exception:  # noqa: BLE001
+                    pairs = [one(p) for p in prompts]
+                new = [pa.array([pair[i] for pair in pairs], pa.string()) for i in (0, 1)]
+                names = [f.name for f in rest]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, "answer", "error"])
+
+    return asked.mapInArrow(run, schema)
 
 
 def _prompt(task: str, **parts: Column) -> Column:

@@ -157,3 +157,10 @@ def test_counters_reach_the_listener(spark, tmp_path):
         spark.streams.removeListener(listener)
     assert listener.totals["funnel"] == {"rows": 4, "found": 2, "kept": 2}
     assert listener.latest["funnel"] in ({"rows": 1, "found": 0, "kept": 1}, {"rows": 3, "found": 2, "kept": 1})
+
+
+def test_a_large_batch_goes_to_the_model_in_pieces(spark):
+    df = spark.range(0, 1000, numPartitions=1).select("id", F.array("id").alias("kept"), F.col("id").cast("string").alias("p"))
+    got = model.ask(df, F.col("p"), lambda prompts: [f"{p} of {len(prompts)}" for p in prompts]).collect()
+    assert [(r["id"], r["kept"], r["answer"].split(" of ")[0], r["error"]) for r in got] == [(n, [n], str(n), None) for n in range(1000)]
+    assert max(int(r["answer"].split(" of ")[1]) for r in got) <= 256
