@@ -12,6 +12,7 @@ from sievework.catalog.sources import scratch
 from sievework.operators import model as m
 from sievework.operators import names
 from sievework.plans import flows
+from sievework.session import dealt
 
 
 def _queries(t):
@@ -180,7 +181,7 @@ _EVERY = {
 )
 def p02_gaps(t):
     """Pages made by rule for every customer, so that each source fills something for some of them."""
-    rows = t("customer").select("c_custkey", F.concat(F.lit("Firm"), "c_custkey").alias("name"))
+    rows = dealt(t("customer").select("c_custkey"), "c_custkey").select("c_custkey", F.concat(F.lit("Firm"), "c_custkey").alias("name"))
     snippet = F.expr("case when c_custkey % 7 = 0 then concat('Makes goods. Headquartered in Town', c_custkey % 89, '.') else 'Makes goods.' end")
     hits, pages = None, None
     for rank, (has, body, url) in enumerate(_EVERY.values(), 1):

@@ -24,16 +24,21 @@ def hits_with_pages(hits: DataFrame, pages: DataFrame, url: str = "url", order:
     return left.join(right, "url_norm")
 
 
-def pages_of_hits(hits: DataFrame, pages: DataFrame, url: str = "url", order: str | Column | None = None) -> tuple[DataFrame, DataFrame]:
+def pages_of_hits(hits: DataFrame, pages: DataFrame, url: str = "url", order: str | Column | None = None, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """J01 in two parts: the hits with ``url_norm``, and the pages that some hit names, one for each ``url_norm``.
 
     Pages that no hit names are left out before anything else, so only those are compared. The first row per URL
     by ``order`` stays (by default the smallest raw URL and page), so that many copies of one page
     never multiply with its hits.
+    With ``parts`` pages and URLs are dealt to so many partitions and merged, whatever size the optimizer expects.
     """
     left = hits.withColumn("url_norm", urls.normalize_url(F.col(url)))
     named = left.select("url_norm").distinct()
-    right = pages.withColumn("url_norm", urls.normalize_url(F.col("url"))).join(named, "url_norm", "left_semi")
+    right = pages.withColumn("url_norm", urls.normalize_url(F.col("url")))
+    if parts is not None:
+        named, right = (df.repartition(parts, "url_norm") for df in (left.select("url_norm"), right))
+        named = named.distinct().hint("merge")
+    right = right.join(named, "url_norm", "left_semi")
     if order is None:
         order = F.struct("url", F.xxhash64(*[c for c in pages.columns if c != "url"]))
     return left, first_per_key(right, ["url_norm"], order).drop("url")

@@ -106,15 +106,18 @@ def match_official_site(hits: DataFrame, name: str = "name", url: str = "url", q
     return usable.groupBy(name).agg(F.min_by(url, F.struct(~match, F.col(query_no), F.col(rank))).alias("website"))
 
 
-def match_profile_url(hits: DataFrame, pages: DataFrame | None = None, name: str = "name", url: str = "url", rank: str = "rank") -> DataFrame:
-    """(name, profile): first profile hit, else the first profile link in the hit's page."""
+def match_profile_url(hits: DataFrame, pages: DataFrame | None = None, name: str = "name", url: str = "url", rank: str = "rank", parts: int | None = None) -> DataFrame:
+    """(name, profile): first profile hit, else the first profile link in the hit's page. With ``parts`` both are dealt to so many partitions."""
     direct = F.when(F.col(url).contains("linkedin.com/company/"), F.col(url))
     rows = hits.withColumns({"_direct": direct, "_inside": F.lit(None).cast("string")})
     if pages is not None:
         inside = F.nullif(
             F.regexp_extract("html", r'(https?://[^\s"]+linkedin\.com/company/[^\s"]+)', 1), F.lit("")
         )
-        rows = rows.drop("_inside").join(pages.select(url, inside.alias("_inside")), url, "left")
+        rows, seen = rows.drop("_inside"), pages.select(url, inside.alias("_inside"))
+        if parts is not None:
+            rows, seen = rows.repartition(parts, url), seen.repartition(parts, url).hint("merge")
+        rows = rows.join(seen, url, "left")
     found = rows.filter(F.col("_direct").isNotNull() | F.col("_inside").isNotNull())
     return found.groupBy(name).agg(
         F.min_by(F.coalesce("_direct", "_inside"), F.struct(F.col("_direct").isNull(), F.col(rank))).alias("profile")

@@ -17,7 +17,7 @@ from sievework.operators.model import Model
 from sievework.operators.positions import with_position
 from sievework.operators.similarity import dedupe_queries
 from sievework.sources import companies as files
-from sievework.session import cut
+from sievework.session import cut, parts_for
 
 
 @dataclass
@@ -134,12 +134,13 @@ def _gaps(filled: DataFrame) -> DataFrame:
     return filled.select("name", asked.alias("missing")).filter(F.size("missing") > 0)
 
 
-def _fill(filled: DataFrame, facts: DataFrame) -> DataFrame:
-    """The table with its blank cells taken from facts (name, field, value, priority)."""
+def _fill(filled: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
+    """The table with its blank cells taken from facts (name, field, value, priority), both dealt to so many partitions."""
+    filled, facts = (df.repartition(parts, "name") for df in (filled, facts))
     merged = joins.merge_facts(facts, GAP_TARGETS, "name")
     new = merged.select(F.col("name").alias("_name"), *[F.col(c).alias(f"_{c}") for c in map(rules.snake, GAP_TARGETS)])
     cells = [F.when(is_blank(F.col(c)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in map(rules.snake, GAP_TARGETS)]
-    return filled.join(new, F.col("name") == F.col("_name"), "left").select("name", *cells)
+    return filled.join(new.hint("merge"), F.col("name") == F.col("_name"), "left").select("name", *cells)
 
 
 def _rule_facts(texts: DataFrame, text: str, rule_set: str) -> DataFrame:
@@ -150,16 +151,16 @@ def _rule_facts(texts: DataFrame, text: str, rule_set: str) -> DataFrame:
     return rows.unpivot(["name", "priority"], known, "field", "value")
 
 
-def _ask_in_turn(filled: DataFrame, texts: DataFrame, model: Model) -> DataFrame:
+def _ask_in_turn(filled: DataFrame, texts: DataFrame, model: Model, parts: int) -> DataFrame:
     """M06 text by text: a company's next text goes out only while it has blank cells, and names just those."""
     placed = cut(with_position(texts.select("name", "source", "order", "page_text"), "order", ["name"], out="at"))
     turns = placed.agg(F.max("at")).first()[0] or 0
     for turn in range(1, turns + 1):
-        left = cut(placed.filter(F.col("at") >= turn).join(_gaps(filled), "name"))
+        left = cut(placed.filter(F.col("at") >= turn).repartition(parts, "name").join(_gaps(filled).hint("merge"), "name"))
         if left.isEmpty():
             break
         told = m.extract_structured(left.filter(F.col("at") == turn), "name", "source", "page_text", "missing", model)
-        filled = cut(_fill(filled, told.select("name", "field", "value", F.lit(0).alias("priority"))))
+        filled = cut(_fill(filled, told.select("name", "field", "value", F.lit(0).alias("priority")), parts))
     return filled
 
 
@@ -169,39 +170,41 @@ def enrich_gaps(companies: DataFrame, hits: DataFrame, pages: DataFrame, model:
     ``companies(name)``, ``hits(name, query_no, rank, title, url, snippet)``, ``pages(url, html)``. After website, profile and snippets come
     the official site, LinkedIn, Crunchbase, the combined search results (A17) and all other pages. Of each source rules
     read first; then the ``model`` is asked text by text for what is left (M06). Companies that are full are not joined to the next
-    source, so none of their pages are parsed and none of their texts are sent.
+    source, so none of their pages are parsed and none of their texts are sent. Rows are dealt out by the number of companies, and joins are
+    merges: sizes are estimated from the files behind the input, and names or URLs made from a small file may be gigabytes in every executor.
     """
     todo = companies.select("name").distinct()
-    mine = hits.join(todo, "name", "left_semi")
-    found, one = joins.pages_of_hits(mine, pages)
-    site, profile = cut(linkgraph.match_official_site(mine)), linkgraph.match_profile_url(mine, pages)
+    parts = parts_for(todo.count(), 10_000)
+    mine = hits.repartition(parts, "name").join(todo.repartition(parts, "name").hint("merge"), "name", "left_semi")
+    found, one = joins.pages_of_hits(mine, pages, parts=parts)
+    site, profile = cut(linkgraph.match_official_site(mine)), linkgraph.match_profile_url(mine, pages, parts=parts)
     order = F.struct("query_no", "rank", "url")
     first = F.struct(F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.lit("").alias("url"))
     facts = site.select("name", F.lit("Website").alias("field"), F.col("website").alias("value"), first.alias("priority"))
     facts = facts.unionByName(profile.select("name", F.lit("LinkedIn").alias("field"), F.col("profile").alias("value"), first.alias("priority")))
     described = mine.select("name", F.lit("Product Description").alias("field"), F.col("snippet").alias("value"), F.struct(F.col("query_no").cast("int").alias("query_no"), F.col("rank").cast("int").alias("rank"), "url").alias("priority"))
     empty = todo.select("name", *[F.lit(None).cast("string").alias(rules.snake(f)) for f in GAP_TARGETS])
-    filled = cut(_fill(empty, facts.unionByName(described)))
+    filled = cut(_fill(empty, facts.unionByName(described), parts))
 
     own = urls.host(F.col("url")) == urls.host(F.col("website"))
     kind = linkgraph.extractor_kind(F.col("url"))
     source = F.when(kind.isin("linkedin", "crunchbase"), kind).when(own, "website").otherwise("other")
-    placed = cut(found.join(site, "name", "left").select("name", "query_no", "rank", "url", "url_norm", source.alias("source"), order.alias("order")))
+    placed = cut(found.join(site.hint("merge"), "name", "left").select("name", "query_no", "rank", "url", "url_norm", source.alias("source"), order.alias("order")))
 
     def read(filled: DataFrame, source: str, role: str) -> DataFrame:
-        asked = cut(placed.filter(F.col("source") == source).join(_gaps(filled), "name", "left_semi"))
-        texts = extract.page_fields_text(one.join(asked.select("url_norm").distinct(), "url_norm", "left_semi"), "url_norm", role)
-        texts = cut(asked.join(texts, "url_norm"))
-        filled = cut(_fill(filled, _rule_facts(texts, "page_text", "site")))
-        return filled if model is None else _ask_in_turn(filled, texts, model)
+        asked = cut(placed.filter(F.col("source") == source).repartition(parts, "name").join(_gaps(filled).hint("merge"), "name", "left_semi"))
+        texts = extract.page_fields_text(one.join(asked.select("url_norm").distinct().hint("merge"), "url_norm", "left_semi"), "url_norm", role)
+        texts = cut(asked.repartition(parts, "url_norm").join(texts.hint("merge"), "url_norm"))
+        filled = cut(_fill(filled, _rule_facts(texts, "page_text", "site"), parts))
+        return filled if model is None else _ask_in_turn(filled, texts, model, parts)
 
     for source_name in ("website", "linkedin", "crunchbase"):
         filled = read(filled, source_name, source_name)
-    listed = mine.join(_gaps(filled), "name", "left_semi")
+    listed = mine.join(_gaps(filled).hint("merge"), "name", "left_semi")
     texts = reports.combine_snippets(listed, "name", "rank", F.col("title"), F.col("url"), F.col("snippet"))
     texts = cut(texts.select("name", F.lit("search").alias("source"), F.lit(0).alias("order"), F.col("combined").alias("page_text")))
-    filled = cut(_fill(filled, _rule_facts(texts, "page_text", "search")))
-    filled = filled if model is None else _ask_in_turn(filled, texts, model)
+    filled = cut(_fill(filled, _rule_facts(texts, "page_text", "search"), parts))
+    filled = filled if model is None else _ask_in_turn(filled, texts, model, parts)
     return read(filled, "other", "search")
 
 

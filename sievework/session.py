@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -60,3 +61,14 @@ def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
     if estimated_bytes(df) >= below:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def parts_for(rows: int, most: int = 50_000) -> int:
+    """Partitions that about ``most`` rows fall into each, at least one for each core. The optimizer leaves a number that is named as it
+    is; left alone it goes by compressed bytes, and puts millions of rows in one task where they are much alike."""
+    return max(SparkSession.active().sparkContext.defaultParallelism, math.ceil(rows / most))
+
+
+def dealt(df: DataFrame, *keys: str, most: int = 50_000) -> DataFrame:
+    """Rows dealt out by the hash of ``keys`` (parts_for); for narrow rows that are made much wider, as a scan puts millions of them in one task."""
+    return df.repartition(parts_for(df.count(), most), *keys)

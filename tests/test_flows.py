@@ -153,3 +153,16 @@ def test_a_file_of_near_equal_names_keeps_the_first_of_each(spark, tmp_path):
     kept = [sorted(r.pos for r in spark.read.parquet(str(tmp_path / form)).collect()) for form in ("fuzzy", "plain")]
     # 3 has the letters of 0, and names of such a group are compared with no others, so 2 stays; 5 is near 1; 6 is 4 without its suffix
     assert kept == [[0, 1, 2, 4], [0, 1, 2, 3, 4, 5]]
+
+
+def test_enrich_gaps_query_deals_its_narrow_rows_out(spark, monkeypatch):
+    """One scan task has all customers; the pages made of them, which are sorted by task, lie in partitions of bounded size."""
+    from sievework.catalog import modelled
+
+    taken = {}
+    monkeypatch.setattr(modelled.flows, "enrich_gaps", lambda companies, hits, pages, model: taken.update(hits=hits, pages=pages))
+    customers = spark.range(600_000).coalesce(1).withColumnRenamed("id", "c_custkey")
+    modelled.p02_gaps(lambda name, heavy=False: customers)
+    for frame in taken.values():
+        sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3_000_000 and max(sizes) < 55_000
