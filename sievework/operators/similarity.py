@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sievework.functions.text import extract_keywords, has_keyword, let, normalize_query, unnest
 from sievework.operators.keys import first_per_key, join_totals
@@ -442,7 +443,11 @@ def distinct_vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     return df.groupBy(F.col(vector).cast("array<double>").alias("v")).agg(F.min(id).alias("id")).select("id", "v")
 
 
-def embedding_cells(vectors: DataFrame, pivots: int = 16) -> tuple[DataFrame, int]:
+def _to_points(vectors: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in points], axis=1)
+
+
+def embedding_cells(vectors: DataFrame, pivots: int = 16) -> tuple[DataFrame, np.ndarray]:
     """Add the distance of each vector to a few vectors of the table, and its nearest one.
 
     The pivots are a fixed number of rows, so what reaches the driver does not grow.
@@ -452,101 +457,120 @@ def embedding_cells(vectors: DataFrame, pivots: int = 16) -> tuple[DataFrame, in
 
     def measure(frames):
         for frame in frames:
-            x = np.array(frame["v"].tolist(), dtype="float64").reshape(len(frame), -1)
-            gaps = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
+            gaps = _to_points(np.array(frame["v"].tolist(), dtype="float64").reshape(len(frame), -1), points)
             near = gaps.argmin(axis=1)
             yield frame.assign(cell=near.astype("int32"), own=gaps.min(axis=1), gaps=list(gaps))
 
     kind = vectors.schema["id"].dataType.simpleString()
     marked = vectors.mapInPandas(measure, f"id {kind}, v array<double>, cell int, own double, gaps array<double>")
-    return marked, len(points)
+    return marked, points
+
 
+#: Vectors of one side that a task holds at most, and parts that a table is cut into while they stay below that.
+SIDE, SIDES = 65_536, 16
 
-def embedding_between(left: DataFrame, right: DataFrame, threshold: float = 0.85, block: int = 2048, pivots: int | None = None) -> DataFrame:
+
+def embedding_between(left: DataFrame, right: DataFrame, threshold: float = 0.85, block: int = 2048, pivots: int | None = None, side: int = SIDE) -> DataFrame:
     """Edges (low, high, sim) with inner product above ``threshold``; exact.
 
-    Vectors lie in blocks of near distance to one pivot. By the triangle inequality two
-    blocks hold a pair only if their distance ranges to every pivot come close enough; only
-    such block pairs meet, at most ``2 * block`` rows at a time.
+    Vectors lie in slices of near distance to one pivot. By the triangle inequality two slices hold a pair only if their
+    distance ranges to every pivot come close enough. Slices make up parts of the table; a task meets two parts, so a
+    vector is sent once for each part, of which there are ``SIDES`` until one would exceed ``side`` rows. There blocks of ``block`` rows
+    meet, after the same test, and their pairs are written out before the next ones are worked out.
     """
     same = left is right
     union = left.select("id", "v", F.lit(True).alias("l"), F.lit(same).alias("r"))
     if not same:
         union = union.unionByName(right.select("id", "v", F.lit(False).alias("l"), F.lit(True).alias("r")))
+    count = union.count()
     if pivots is None:
-        pivots = 16 if union.count() < 100_000 else 64
-    marked, k = embedding_cells(union.select("id", "v"), pivots)
+        pivots = 16 if count < 100_000 else 64
+    marked, points = embedding_cells(union.select("id", "v"), pivots)
+    k = len(points)
     marked = cut(marked.join(union.select("id", "l", "r"), "id"))
+    kind = left.schema["id"].dataType.simpleString()
     if k == 0:
-        kind = left.schema["id"].dataType.simpleString()
         return left.sparkSession.createDataFrame([], f"low {kind}, high {kind}, sim double")
     longest = marked.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     reach = math.sqrt(max(0.0, 2 * longest - 2 * threshold)) + 1e-9
 
+    size = min(side, max(block, math.ceil(count / SIDES)))
     placed = with_position(marked, "own", ["cell"], ["id"])
-    placed = cut(placed.withColumn("block", F.floor((F.col("pos") - 1) / block).cast("long")))
+    placed = cut(placed.withColumn("slice", F.floor((F.col("pos") - 1) / size).cast("int")))
     bounds = [f(F.col("gaps")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))]
-    blocks = placed.groupBy("cell", "block").agg(F.max("l").alias("l"), F.max("r").alias("r"), *bounds)
-    blocks = cut(blocks)
-    # cells are at most ``pivots`` rows; their candidate pairs are worked out on the driver
-    ranges = [F.min(f"lo{i}").alias(f"lo{i}") for i in range(k)] + [F.max(f"hi{i}").alias(f"hi{i}") for i in range(k)]
-    cells = blocks.groupBy("cell").agg(*ranges).collect()
-    near = [
-        (p["cell"], q["cell"])
-        for p in cells
-        for q in cells
-        if p["cell"] <= q["cell"]
-        and all(max(p[f"lo{i}"] - q[f"hi{i}"], q[f"lo{i}"] - p[f"hi{i}"]) < reach for i in range(k))
-    ]
-    cell_pairs = F.broadcast(left.sparkSession.createDataFrame(near, "ca int, cb int"))
-    a = blocks.select([F.col(c).alias("a_" + c) for c in blocks.columns])
-    b = blocks.select([F.col(c).alias("b_" + c) for c in blocks.columns])
-    close = (F.col("ca") < F.col("cb")) | (F.col("a_block") <= F.col("b_block"))
-    close = close & ((F.col("a_l") & F.col("b_r")) | (F.col("b_l") & F.col("a_r")))
-    for i in range(k):
-        gap = F.greatest(F.col(f"a_lo{i}") - F.col(f"b_hi{i}"), F.col(f"b_lo{i}") - F.col(f"a_hi{i}"))
-        close = close & (gap < reach)
-    tiles = a.join(cell_pairs, F.col("a_cell") == F.col("ca")).join(b, F.col("b_cell") == F.col("cb")).filter(close)
-    tiles = tiles.select("a_cell", "a_block", "b_cell", "b_block")
-    sides = tiles.select(
-        "*",
-        F.explode(
-            F.array_distinct(
-                F.array(
-                    F.struct(F.col("a_cell").alias("cell"), F.col("a_block").alias("block")),
-                    F.struct(F.col("b_cell").alias("cell"), F.col("b_block").alias("block")),
-                )
-            )
-        ).alias("s"),
-    )
-    sides = sides.select("a_cell", "a_block", "b_cell", "b_block", "s.cell", "s.block")
-    rows = sides.join(placed.select("id", "v", "l", "r", "cell", "block"), ["cell", "block"])
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        in_a = (frame["cell"] == first["a_cell"]) & (frame["block"] == first["a_block"])
-        in_b = (frame["cell"] == first["b_cell"]) & (frame["block"] == first["b_block"])
-        x, y = frame[in_a], frame[in_b]
-        if x.empty or y.empty:
-            return pd.DataFrame({"low": frame["id"][:0], "high": frame["id"][:0], "sim": np.empty(0)})
-        sims = np.array(x["v"].tolist()) @ np.array(y["v"].tolist()).T
+    # at most ``pivots`` slices and one for each ``size`` rows; which of them meet is worked out on the driver
+    slices = placed.groupBy("cell", "slice").agg(F.count(F.lit(1)).alias("n"), *bounds).orderBy("cell", "slice").collect()
+    low, high = (np.array([[s[f"{n}{i}"] for i in range(k)] for s in slices]) for n in ("lo", "hi"))
+    part, held = [], 0
+    for s in slices:
+        full = not part or held + s["n"] > size
+        part.append((part[-1] if part else -1) + full)
+        held = s["n"] if full else held + s["n"]
+    sent = set()
+    for i, s in enumerate(slices):
+        near = np.flatnonzero(~(np.maximum(low[i] - high, low - high[i]) >= reach).any(axis=1))
+        for other in {part[j] for j in near.tolist()}:
+            a, b = min(part[i], other), max(part[i], other)
+            sent.add((s["cell"], s["slice"], a * len(slices) + b, int(part[i] == b and a != b)))
+    to = F.broadcast(left.sparkSession.createDataFrame(sorted(sent), "c int, s int, tile long, side int"))
+    rows = placed.join(to, (F.col("cell") == F.col("c")) & (F.col("slice") == F.col("s"))).select("tile", "side", "cell", "pos", "id", "v", "l", "r")
+    tiles = len({x[2] for x in sent})
+
+    def blocks(table: pa.Table) -> list[tuple]:
+        """(ids, vectors, l, r, least and greatest distance to each pivot) of each block of one side; a block is of one cell."""
+        cell, made = table["cell"].to_numpy(), []
+        starts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), table.num_rows]
+        for at, n in [(at, min(block, end - at)) for start, end in zip(starts, starts[1:]) for at in range(start, end, block)]:
+            some = table.slice(at, n).combine_chunks()
+            x = some["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+            gaps = _to_points(x, points)
+            flags = [some[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("l", "r")]
+            made.append((some["id"].combine_chunks().to_numpy(zero_copy_only=False), x, *flags, gaps.min(axis=0), gaps.max(axis=0)))
+        return made
+
+    def met(a: tuple, b: tuple, own: bool) -> pa.RecordBatch | None:
+        (xi, x, xl, xr, xlo, xhi), (yi, y, yl, yr, ylo, yhi) = a, b
+        if (np.maximum(xlo - yhi, ylo - xhi) >= reach).any() or not (xl.any() and yr.any() or yl.any() and xr.any()):
+            return None
+        sims = x @ y.T
         i, j = np.nonzero(sims > threshold)
-        xi, yj = x["id"].to_numpy()[i], y["id"].to_numpy()[j]
-        if in_a.equals(in_b):
-            keep = xi < yj
-        else:
-            keep = xi != yj
-        xl, xr = x["l"].to_numpy()[i], x["r"].to_numpy()[i]
-        yl, yr = y["l"].to_numpy()[j], y["r"].to_numpy()[j]
-        low_is_x = xi < yj
-        keep &= np.where(low_is_x, xl & yr, yl & xr)
-        out = {"low": np.minimum(xi, yj)[keep], "high": np.maximum(xi, yj)[keep], "sim": sims[i, j][keep]}
-        return pd.DataFrame(out)
-
-    kind = left.schema["id"].dataType.simpleString()
-    return rows.groupBy("a_cell", "a_block", "b_cell", "b_block").applyInPandas(
-        compare, f"low {kind}, high {kind}, sim double"
-    )
+        low, high = xi[i], yi[j]
+        keep = low < high if own else low != high
+        keep &= np.where(low < high, xl[i] & yr[j], yl[j] & xr[i])
+        i, j = i[keep], j[keep]
+        out = [np.minimum(xi[i], yi[j]), np.maximum(xi[i], yi[j]), sims[i, j]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["low", "high", "sim"]) if len(i) else None
+
+    types = [to_arrow_type(left.schema["id"].dataType)] * 2 + [pa.float64()]
+
+    def compare(batches):
+        """Rows come tile by tile, in each one side after the other, and there cell by cell."""
+        tile, sides = None, ([], [])
+
+        def pairs():
+            one, two = (blocks(pa.Table.from_batches(s)) if s else [] for s in sides)
+            for n, a in enumerate(one):
+                for b in two or one[n:]:
+                    if (found := met(a, b, a is b)) is not None:
+                        yield found
+
+        for batch in batches:
+            keys = batch.column("tile").to_numpy() * 2 + batch.column("side").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
+            for start, end in zip([0, *ends], ends):
+                if start == end:
+                    continue
+                now = int(keys[start])
+                if tile is not None and now // 2 != tile:
+                    yield from pairs()
+                    sides = ([], [])
+                tile = now // 2
+                sides[now % 2].append(batch.slice(start, end - start).select(["cell", "id", "v", "l", "r"]))
+        if tile is not None:
+            yield from pairs()
+
+    dealt = rows.repartition(max(1, min(tiles, 2000)), "tile").sortWithinPartitions("tile", "side", "cell", "pos")
+    return dealt.mapInArrow(compare, f"low {kind}, high {kind}, sim double")
 
 
 def dedupe_embedding(df: DataFrame, id: str, vector: str, threshold: float = 0.85, waves: int | None = None) -> DataFrame:

@@ -286,3 +286,28 @@ def test_kmeans_of_few_queries_or_none(spark):
     assert sorted(r["key"] for r in sim.cluster_kmeans(df, "key", "query", 5).collect()) == [1, 3]
     none = sim.cluster_kmeans(df.limit(0), "key", "query", 5)
     assert none.count() == 0 and none.columns == ["cluster", "key", "query"]
+
+
+@pytest.mark.parametrize("side", [24, 40, 65_536])
+def test_embedding_edges_of_several_parts_and_two_tables(spark, side):
+    rows = vectors(3)[:-3]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if dot(rows[i], rows[j]) > 0.6}
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>")
+    got = [(r["low"], r["high"]) for r in sim.embedding_between(df, df, 0.6, 8, 3, side).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    early, late = df.filter("id < 40"), df.filter("id >= 40")
+    got = [(r["low"], r["high"]) for r in sim.embedding_between(early, late, 0.6, 8, 3, side).collect()]
+    assert sorted(got) == sorted((i, j) for i, j in want if i < 40 <= j)
+
+
+def test_embedding_edges_send_a_vector_a_bounded_number_of_times(spark):
+    """Blocks of 2 rows meet within a task; so vectors are dealt out to parts, not to every block."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(640)], "id long, v array<double>")
+    found = sim.embedding_between(df, df, 0.9, 2, 4)
+    node = found._jdf.queryExecution().analyzed()
+    while "RepartitionByExpression" not in node.nodeName():
+        node = node.children().head()
+    held = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node)
+    assert held.count() <= 640 * (sim.SIDES + 4)
