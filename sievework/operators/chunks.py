@@ -180,8 +180,10 @@ def chunk_batch(
     texts = df.filter(~is_blank(F.col(text))).select(
         F.col(group).alias("_g"), F.col(order).cast("long").alias("part"), F.col(text).alias("text"), source.cast(SOURCE).alias("source")
     )
-    totals = texts.groupBy("_g").agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts"))
-    sized = texts.join(totals.withColumnRenamed("_g", "_t"), F.col("_g").eqNullSafe(F.col("_t"))).drop("_t")
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))  # read five times
+    totals = cut(texts.groupBy(F.col("_g").alias("_t")).agg(F.sum(F.length("text")).alias("_chars"), F.count(F.lit(1)).alias("_texts")))
+    totals = F.broadcast(totals) if totals.count() <= FEW else totals
+    sized = texts.join(totals, F.col("_g").eqNullSafe(F.col("_t"))).drop("_t")
     fits = F.col("_chars") + (F.col("_texts") - 1) * 6 <= size
     gathered = sized.filter(fits).groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("part", "text", "source"))).alias("m"))
     whole = F.aggregate(
@@ -207,6 +209,8 @@ def chunk_batch(
 
 #: Blocks of a group's stream that a task packs, in chunk sizes.
 BLOCK_CHUNKS = 16
+#: Groups of which so many totals go to every executor; more are joined by a shuffle.
+FEW = 100_000
 ITEM, ENTRY, MARK = 0, 1, 2
 
 
@@ -221,16 +225,21 @@ def pack_groups(texts: DataFrame, size: int, delimiter: str = PARAGRAPH) -> Data
     """
     line = separator(F.col("source"))
     paragraphs = split_paragraphs(F.col("text"), delimiter)
-    rows = texts.select(F.struct("_g").alias("g"), "part", "source", F.concat(F.array(line), paragraphs).alias("items"))
-    rows = rows.withColumns({"many": F.size("items").cast("long"), "chars": F.aggregate("items", F.lit(0).cast("long"), lambda n, p: n + F.length(p) + 4)})
-    placed = cut(with_position(rows, "part", ["g"], sums={"j0": "many", "p0": "chars"}))
-    stream = cut(_stream(placed, size))
+    # written texts are sent twice: to their numbers, and to their blocks
+    rows = texts if "id" in texts.columns else cut(texts.withColumn("id", F.monotonically_increasing_id()))
+    rows = rows.select("id", F.struct("_g").alias("g"), "part", "source", F.concat(F.array(line), paragraphs).alias("items"))
+    lengths = F.transform("items", F.length)
+    narrow = rows.select("id", "g", "part", F.xxhash64("source", "items").alias("same"), lengths.alias("lengths"), F.size("items").cast("long").alias("many"))
+    narrow = narrow.withColumn("chars", F.aggregate("lengths", F.lit(0).cast("long"), lambda n, x: n + x + 4))
+    placed = cut(with_position(narrow, "part", ["g"], ["same"], sums={"j0": "many", "p0": "chars"}))
+    numbers = placed.select("g", "j0", "p0", "pos", F.col("lengths").alias("items"), F.lit(None).cast(SOURCE).alias("source"))
+    stream = cut(_stream(numbers, size).drop("text", "source"))
     block = [F.col("g"), F.col("b")]
 
     # a group of one block has no chunk sequence that enters from another one
     long = stream.groupBy("g").agg(F.max("b").alias("last")).filter("last > 0").select(F.col("g").alias("h"))
-    narrow = stream.select("g", "b", "kind", "home", "j", "p", "n").join(long, F.col("g") == F.col("h"), "left_semi")
-    edges = cut(narrow.groupBy(*block).applyInPandas(_leaves(size), "g " + _type(stream, "g") + ", b long, a long, x long, known boolean"))
+    several = stream.join(long, F.col("g") == F.col("h"), "left_semi")
+    edges = cut(several.groupBy(*block).applyInPandas(_leaves(size), "g " + _type(stream, "g") + ", b long, a long, x long, known boolean"))
     reached = edges.filter("known").select("g", "a")
     jumps = edges.filter("x is not null").select("g", "a", "x")
     seen = reached.count()
@@ -244,13 +253,14 @@ def pack_groups(texts: DataFrame, size: int, delimiter: str = PARAGRAPH) -> Data
         jumps = cut(on(jumps.select("g", F.col("a").alias("first"), F.col("x").alias("at")), jumps).select("g", F.col("first").alias("a"), "x"))
 
     real = edges.select("g", "b", "a").join(reached, ["g", "a"], "left_semi")
-    entries = real.select("g", "b", F.lit(ENTRY).alias("kind"), F.lit(True).alias("home"), F.col("a").alias("j"))
-    with_entries = stream.unionByName(entries, allowMissingColumns=True)
-    made = cut(with_entries.groupBy(*block).applyInPandas(_write(size), "g " + _type(stream, "g") + f", b long, i int, chunk string, sources array<{SOURCE}>"))
-    # one row for each block is summed up here
-    counts = made.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"))
+    entries = cut(real.select("g", "b", F.lit(ENTRY).alias("kind"), F.lit(True).alias("home"), F.col("a").alias("j")))
+    # how many chunks start in a block follows from the numbers; one row for each block is summed up here
+    counts = cut(stream.unionByName(entries, allowMissingColumns=True).groupBy(*block).applyInPandas(_count(size), "g " + _type(stream, "g") + ", b long, n long"))
     by_group = Window.partitionBy("g")
     starts = counts.select("g", "b", F.coalesce(F.sum("n").over(by_group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(by_group).alias("all"))
+    told = placed.select(F.col("id").alias("_id"), "j0", "p0", "pos")
+    whole = _stream(rows.join(told, F.col("id") == F.col("_id")), size)
+    made = whole.unionByName(entries, allowMissingColumns=True).groupBy(*block).applyInPandas(_write(size), "g " + _type(stream, "g") + f", b long, i int, chunk string, sources array<{SOURCE}>")
     told = made.join(starts.withColumnsRenamed({"g": "h", "b": "c"}), (F.col("g") == F.col("h")) & (F.col("b") == F.col("c")))
     return told.select("g._g", (F.col("before") + F.col("i")).cast("int").alias("chunk_index"), F.col("all").cast("int").alias("total_chunks"), "chunk", "sources")
 
@@ -261,15 +271,16 @@ def _type(df: DataFrame, column: str) -> str:
 
 def _stream(placed: DataFrame, size: int) -> DataFrame:
     """(g, b, kind, home, j, p, n, text, source): each paragraph with its number and the characters before it, in its block, and once
-    more in the block before if it stands within a chunk size of its head. MARK rows say that a chunk starts at a number anyhow."""
-    width = BLOCK_CHUNKS * size
+    more in the block before if it stands within a chunk size of its head. MARK rows say that a chunk starts at a number anyhow.
+    Where ``items`` are lengths instead of paragraphs, there are no texts."""
+    width, whole = BLOCK_CHUNKS * size, _type(placed, "items") == STRINGS
 
     def run(batches):
         for batch in batches:
             at, out = {n: batch.column(n).to_pylist() for n in ("j0", "p0", "pos", "items")}, []
             for row, (j, p, pos, items) in enumerate(zip(at["j0"], at["p0"], at["pos"], at["items"])):
                 for k, text in enumerate(items):
-                    n = len(text)
+                    n, text = (len(text), text) if whole else (text, None)
                     if k or pos > 1:
                         said = row if k else None  # separators have no source
                         out.append((row, p // width, ITEM, True, j, p, n, text, said))
@@ -318,25 +329,43 @@ def _leaves(size: int):
     return run
 
 
+def _started(frame: pd.DataFrame, size: int) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+    """The paragraphs of a block in order, and (first, end) of what becomes a chunk, or several of one long paragraph, and starts there."""
+    items = frame[frame["kind"] == ITEM].sort_values("j").reset_index(drop=True)
+    own, j, n, ahead = items["home"].to_numpy().astype(bool), items["j"].to_numpy(), items["n"].to_numpy().astype(np.int64), _next_starts(items, size)
+    start, out = np.isin(j, frame.loc[frame["kind"] != ITEM, "j"].to_numpy()) | (n > size), []
+    for i in np.flatnonzero(own).tolist():
+        if start[i]:
+            end = i + 1 if n[i] > size else int(ahead[i])
+            if n[i] <= size and end < len(items):
+                start[end] = True
+            out.append((i, end))
+    return items, out
+
+
+def _count(size: int):
+    """Of a block: how many chunks start in it."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        items, found = _started(frame, size)
+        n = items["n"].to_numpy().astype(np.int64)
+        chunks = sum(-(-int(n[i]) // (size - 100)) if n[i] > size else 1 for i, _ in found)
+        return pd.DataFrame({"g": pd.Series([frame["g"].iloc[0]], dtype=object), "b": [frame["b"].iloc[0]], "n": [chunks]})
+
+    return run
+
+
 def _write(size: int):
     """Of a block: (i, chunk, sources) of the chunks that start in it, in order."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        items = frame[frame["kind"] == ITEM].sort_values("j").reset_index(drop=True)
-        own, j, n, ahead = items["home"].to_numpy().astype(bool), items["j"].to_numpy(), items["n"].to_numpy().astype(np.int64), _next_starts(items, size)
-        texts, sources = items["text"].tolist(), items["source"].tolist()
-        start = np.isin(j, frame.loc[frame["kind"] != ITEM, "j"].to_numpy()) | (n > size)
-        out = []
-        for i in np.flatnonzero(own):
-            if not start[i]:
-                continue
-            if n[i] > size:
+        items, found = _started(frame, size)
+        texts, sources, out = items["text"].tolist(), items["source"].tolist(), []
+        for i, end in found:
+            if len(texts[i]) > size:
                 own_source = [sources[i]] if isinstance(sources[i], dict) else []
-                out += [(texts[i][k : k + size - 100], own_source) for k in range(0, n[i], size - 100)]
+                out += [(texts[i][k : k + size - 100], own_source) for k in range(0, len(texts[i]), size - 100)]
                 continue
-            end = ahead[i]
-            if end < len(items):
-                start[end] = True
             by_url: dict = {}
             for text, source in zip(texts[i:end], sources[i:end]):
                 if isinstance(source, dict) and source["url"]:

@@ -177,3 +177,25 @@ def test_overlap_check(spark):
 def test_cut_fixed(spark):
     got = spark.range(1).select(chunks.cut_fixed(F.lit("abcdefg"), 3)).first()[0]
     assert got == ["abc", "def", "g"]
+
+
+def test_batch_of_large_groups_writes_texts_once(spark):
+    """What is written down between jobs are the texts once, and numbers; not every paragraph in its block, nor every chunk."""
+    rng = random.Random(4)
+    rows = [(i % 2, i, "\n\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=150)) for _ in range(30)), "u", "t", "q") for i in range(120)]
+    df = spark.createDataFrame(rows, "g long, o long, text string, url string, title string, search_query string")
+    held, take = [], chunks.cut
+
+    def cut(frame):
+        made = take(frame)
+        words = [F.length(F.col(n)) if k == "string" else F.aggregate(n, F.lit(0), lambda a, x: a + F.length(x)) for n, k in made.dtypes if k in ("string", "array<string>")]
+        held.append(sum(made.agg(*[F.coalesce(F.sum(w), F.lit(0)) for w in words]).first()) if words else 0)
+        return made
+
+    chunks.cut = cut
+    try:
+        got = chunks.chunk_batch(df, "g", "o", "text", 500).groupBy("g").agg(F.sum(F.length("chunk")).alias("n")).collect()
+    finally:
+        chunks.cut = take
+    size = sum(len(r[2]) for r in rows)
+    assert sum(r["n"] for r in got) > 0.95 * size and sum(held) < 1.1 * size
