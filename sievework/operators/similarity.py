@@ -475,7 +475,7 @@ def embedding_between(left: DataFrame, right: DataFrame, threshold: float = 0.85
 
     Vectors lie in slices of near distance to one pivot. By the triangle inequality two slices hold a pair only if their
     distance ranges to every pivot come close enough. Slices make up parts of the table; a task meets two parts, so a
-    vector is sent once for each part, of which there are ``SIDES`` until one would exceed ``side`` rows. There blocks of ``block`` rows
+    vector is sent once for each part, of which there are ``SIDES`` to about twice as many (slices stay whole) until one would exceed ``side`` rows. There blocks of ``block`` rows
     meet, after the same test, and their pairs are written out before the next ones are worked out.
     """
     same = left is right
