@@ -21,6 +21,8 @@ BITS = 64
 FEW = 500_000
 #: Shingles (8 bytes each) of texts to compare of which so many go to every executor; more are joined by a shuffle.
 FEW_SHINGLES = 2_000_000
+#: Members of a cell or band, several times as many as meet there by chance, from which on they are linked by rare shingles.
+FAMILY = 16
 #: Mark of keys under which only the members outside of a crowded cell's largest class are found.
 OTHERS = 1 << 62
 
@@ -252,8 +254,9 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
     (``loosest``: what is at 0.8 goes with probability ``loss``). What is left and differs in at most the part ``loose`` of all bits is verified by
     the exact Jaccard similarity of the whole texts' ``width``-word shingles. Equal fingerprints are one node.
 
-    A family of near copies is not paired out: members first meet the most frequent one of each cell only, and lookups then go
-    between classes that are still apart (``met``, for cells of over ``crowd`` members). Words are looked up one after the other, and
+    A family of near copies is not paired out: members first meet the most frequent one of each cell only. Where a cell of over FAMILY
+    members still has several classes, they and what lies beside its hub are linked by their rare shingles (``family_links``), as fingerprints
+    cannot tell 0.75 from 0.8. All others look up what is in other classes (``met``). Words are looked up one after the other, and
     what one has found joins classes before the next, so that disk holds the lookups of one word.
     """
     words, segments, radius = lookups_for(docs.count())
@@ -263,11 +266,15 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
     texts = docs.select("h", "text")
     near = differing("w", "v") <= loosest(differ, loss)
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are near in all words and whose texts are similar."""
+    def close(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are near in all words."""
         ends = [nodes.select(F.col("id").alias(side), *[F.col(f).alias(f"{side}{f}") for f in names]) for side in "ab"]
         whole = reduce(Column.__add__, [differing(f"a{f}", f"b{f}") for f in names]) <= int(loose * BITS * words)
-        return verified(pairs.distinct().join(ends[0], "a").join(ends[1], "b").filter(whole).select("a", "b"), texts, width, seed, similarity)
+        return pairs.distinct().join(ends[0], "a").join(ends[1], "b").filter(whole).select("a", "b")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are near in all words and whose texts are similar."""
+        return verified(close(pairs), texts, width, seed, similarity)
 
     def rows(of: DataFrame, word: int, keys: list[Column], *more: str) -> DataFrame:
         parts = [of.select(F.explode(k).alias("k"), "id", F.col(f"f{(word + 1) % words}").alias("w"), *more) for k in keys]
@@ -275,10 +282,24 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
 
     hubs = reduce(DataFrame.union, [hub_links(rows(nodes, k, [F.array(*cells_of(k, segments))], "n"), near) for k in range(words)])
     links = checked(stored(hubs.distinct()))
+    classes = stored(classed(nodes, links))
+    cells = stored(reduce(DataFrame.union, [rows(classes, k, [F.array(*cells_of(k, segments))], "c", "n") for k in range(words)]))
+    apart = stored(crowded(cells, FAMILY).filter("rest > 0").select("x"))
+    inside = cells.join(sent(apart), F.col("k") == F.col("x"), "left_semi")
+    hub = inside.groupBy("k").agg(F.max(F.struct("n", "id", "w")).alias("m"))
+    around = F.explode(F.array(*[F.col("k").bitwiseXOR(signed(x)) for x in ball(BITS // segments, radius)])).alias("x")
+    beside = cells.join(sent(stored(hub.select(around, F.col("m.w").alias("v")))), F.col("k") == F.col("x")).filter(near)
+    family = stored(inside.select("id").union(beside.select("id")).select(F.col("id").alias("h")).distinct())
+    sets = sets_of(texts, family, width, seed)
+    more = family_links(sets.join(classes.select(F.col("id").alias("h"), "c"), "h"), similarity, crowd)
+    joined = stored(links.union(close(more)))
+    released(links, classes, cells, apart, sets, more)
+    links = joined
     for k in range(words):
         classes = stored(classed(nodes, links))
         table = stored(rows(classes, k, [F.array(*cells_of(k, segments))], "c"))
-        found = stored(met(table, rows(classes, k, balls_of(k, segments, radius), "c"), stored(crowded(table, crowd)), near).distinct())
+        others = classes.join(sent(family), F.col("id") == F.col("h"), "left_anti")  # two of a family have met; one that isn't in it finds either
+        found = stored(met(table, rows(others, k, balls_of(k, segments, radius), "c"), stored(crowded(table, crowd)), near).distinct())
         more = checked(found)
         joined = stored(links.union(more))
         released(links, more, classes, table, found)
@@ -286,36 +307,86 @@ def similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: floa
         freed(docs.sparkSession)
     classes = stored(classed(nodes, links)).select(*[F.col(n).alias(f"_{n}") for n in names], F.col("c").alias("class"))
     told = stored(prints.join(classes, reduce(Column.__and__, [F.col(n) == F.col(f"_{n}") for n in names])).select("doc_id", "h", "class"))
-    released(prints, nodes, links)
+    released(prints, nodes, links, family)
     freed(docs.sparkSession)
     return told
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text hashes whose sets of shingles have that Jaccard similarity or more.
-
-    Whole texts are read again where they are, once for each text that a pair names. Their sets go to every executor while
-    they have few shingles in all, else they are joined to the pairs by a shuffle.
-    """
+def sets_of(texts: DataFrame, ids: DataFrame, width: int, seed: int) -> DataFrame:
+    """(h, set): the shingles of the texts (h, text) whose h is in ``ids`` (h, each once); whole texts are read again where they are."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
             made = [np.unique(shingle_hashes(x, width, seed)).view(np.int64) for x in bytes_of(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(made, pa.list_(pa.int64()))], names=["h", "set"])
 
-    pairs = stored(pairs)
-    ends = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    held = texts.join(sent(ends), "h", "left_semi")
-    own = stored(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
-    few = (own.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES
-    left, right = (own.select(F.col("h").alias(side), F.col("set").alias(x)) for side, x in (("a", "x"), ("b", "y")))
+    held = texts.join(sent(ids), "h", "left_semi")
+    return stored(held.mapInArrow(sets, "h long, set array<long>").dropDuplicates(["h"]))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (h, set) have that Jaccard similarity or more. Sets go to every executor while they have few
+    members in all, else they are joined to the pairs by a shuffle."""
+    few = (sets.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES
+    left, right = (sets.select(F.col("h").alias(side), F.col("set").alias(x)) for side, x in (("a", "x"), ("b", "y")))
     both = pairs.join(F.broadcast(left) if few else left, "a").join(F.broadcast(right) if few else right, "b")
     shared = F.size(F.array_intersect("x", "y"))
-    found = stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    return stored(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of text hashes whose sets of shingles have that Jaccard similarity or more; a text is read once, whatever number of pairs names it."""
+    pairs = stored(pairs)
+    ends = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    own = sets_of(texts, ends, width, seed)
+    found = alike(pairs, own, similarity)
     released(pairs, ends, own)
     return found
 
 
+def family_links(sets: DataFrame, similarity: float, crowd: int = 64) -> DataFrame:
+    """Links (a, b) that connect all sets (h, c, set: distinct members) of that Jaccard similarity or more whose classes c differ.
+
+    Members of a set are ordered by how many sets have them, those that no other one has first. Two sets of sizes a <= b share at least
+    r (a + b) members, r being similarity / (1 + similarity). So the first that they share is among the first (1 - 2 r) a + 1 of the smaller and
+    the first (1 - similarity) b + 1 of the greater one, and neither has fewer than r (a + b) from there on; nothing is lost by that.
+    Near copies with so many edits of their own that no other copy is similar to them share nothing so early, or only with much
+    smaller sets. The smaller one's size, in steps of 2 %, is part of the key, so those don't meet at all. Those with few edits first meet the
+    one of a key with the fewest, and what is in other classes after that looks the rest up (``met``).
+    """
+    ratio, eps = similarity / (1 + similarity), 1e-6
+    grid = lambda size: F.floor(F.log(size) / F.log(F.lit(1.02)))
+    key = lambda size: F.xxhash64("s", size).bitwiseAND(signed((1 << 64) - 1 - OTHERS)).alias("k")
+    near = (F.col("v.size") >= similarity * F.col("w.size") - eps) & (F.col("w.size") >= similarity * F.col("v.size") - eps)
+    near &= 1 + F.least(F.col("v.size") - F.col("v.place"), F.col("w.size") - F.col("w.place")) >= ratio * (F.col("v.size") + F.col("w.size")) - eps
+    members = sets.select("h", F.size("set").alias("size"), F.explode("set").alias("s"))
+    counts = stored(members.groupBy(F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = members.join(sent(counts), F.col("s") == F.col("t")).groupBy("h", "size").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("m"))
+    own = F.col("size") - F.size("m")  # those that no other set has
+    early = F.slice("m", 1, F.greatest(F.floor((1 - similarity) * F.col("size") + eps).cast("int") + 1 - own, F.lit(0)))
+    placed = stored(shared.select("h", "size", own.alias("own"), F.posexplode(early).alias("at", "x")).select("h", F.col("x.s").alias("s"), F.struct("size", (F.col("own") + F.col("at") + 1).alias("place")).alias("w")))
+    size, place = F.col("w.size"), F.col("w.place")
+
+    def smaller(of: DataFrame, *more: Column | str) -> DataFrame:
+        return of.filter(place <= (1 - 2 * ratio) * size + 1 + eps).select(key(grid(size + eps)), F.col("h").alias("id"), "w", *more)
+
+    def greater(of: DataFrame) -> DataFrame:
+        low, high = similarity * size - eps, F.least(size, (1 + size - place) / ratio - size) + eps
+        sizes = of.filter(high >= low).select("h", "s", "w", "c", F.explode(F.sequence(grid(F.greatest(low, F.lit(eps))), grid(high + eps))).alias("g"))
+        return sizes.select(key(F.col("g")), F.col("h").alias("id"), "w", "c")
+
+    hubs = stored(hub_links(smaller(placed, (-place).cast("long").alias("n")), near).distinct())
+    links = alike(hubs, sets, similarity)
+    before = sets.select(F.col("h").alias("id"), F.col("c").alias("b"))
+    classes = stored(classed(before.select("id"), links.union(before.filter("id <> b").select(F.col("id").alias("a"), "b"))).select(F.col("id").alias("h"), "c"))
+    held = stored(placed.join(classes, "h"))
+    table = stored(smaller(held, "c"))
+    pairs = stored(met(table, greater(held), stored(crowded(table, crowd)), near).distinct())
+    found = stored(links.union(alike(pairs, sets, similarity)))
+    released(counts, placed, hubs, links, classes, held, table, pairs)
+    return found
+
+
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents, with one of each group of exact and near copies: the least id, of equal ids the least text hash.
 

@@ -129,3 +129,53 @@ def test_pairs_at_the_threshold_are_linked(spark):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     classes = {x.doc_id: x["class"] for x in simhash.similar(docs.withColumn("h", F.xxhash64("text"))).collect()}
     assert len(classes) == 400 and sum(classes[2 * i] == classes[2 * i + 1] for i in range(200)) >= 196
+
+
+def distant_family(prose, n, edits=9, words=300):
+    """Copies with edits of their own: near by fingerprint and at 0.7 of the text that all come from, so that none is similar to another."""
+    base, rows = prose(1, words, 5000).split(), [prose(1, words, 5000)]
+    for i in range(n):
+        r = random.Random(i)
+        rows.append(" ".join(f"e{i}x{k}" if k in places else w for places in [set(r.sample(range(5, words, 6), edits + i % 3))] for k, w in enumerate(base)))
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [(100, 300)])
+def test_distant_copies_are_not_paired_out(spark, prose, monkeypatch, sizes):
+    counted, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *more: counted.append(pairs.count()) or verified(pairs, *more))
+    made = []
+    for n in sizes:
+        counted.clear()
+        docs = spark.createDataFrame(list(enumerate(distant_family(prose, n))), SCHEMA).withColumn("h", F.xxhash64("text"))
+        assert simhash.similar(docs).select("class").distinct().count() == n + 1
+        made.append(sum(counted))
+    assert made[1] <= 20 * sizes[1] and made[1] <= 6 * max(made[0], 100)
+
+
+def plain_partition(sets, similarity, before):
+    root = {h: c for h, (c, _) in sets.items()} if before else {h: h for h in sets}
+    for a in sets:
+        for b in sets:
+            x, y = sets[a][1], sets[b][1]
+            if a < b and root[a] != root[b] and len(x & y) >= similarity * len(x | y):
+                root = {h: root[a] if c == root[b] else c for h, c in root.items()}
+    return {frozenset(h for h in root if root[h] == c) for c in root.values()}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_links_by_rare_shingles_agree_with_brute_force(spark, similarity):
+    r = random.Random(9)
+    sets = {}
+    for h in range(-60, 160):
+        base = set(range(r.choice([0, 1000, 1010]), 1030 + r.randrange(40))) if h % 3 else set(r.sample(range(1000, 1060), r.randrange(1, 30)))
+        for _ in range(r.randrange(0, 14)):
+            base.discard(r.choice(sorted(base))) if len(base) > 1 and r.random() < 0.6 else base.add(r.randrange(1000, 1100))
+        sets[h] = (h, {x for x in base if x >= 1000})
+    sets = {h: v for h, v in sets.items() if v[1]}
+    table = spark.createDataFrame([(h, c, sorted(x)) for h, (c, x) in sets.items()], "h long, c long, set array<long>").repartition(3)
+    for crowd in (2,):
+        got = {x.node: x.root for x in components(simhash.family_links(table, similarity, crowd)).collect()}
+        got = {h: got.get(h, h) for h in sets}
+        assert {frozenset(h for h in got if got[h] == c) for c in got.values()} == plain_partition(sets, similarity, False)
+    assert len(plain_partition(sets, similarity, False)) < len(sets)
