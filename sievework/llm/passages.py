@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from sievework.llm.common import bytes_of, cut, freed, named, pieces, released, stored
 from sievework.llm.linking import components
+from sievework.llm.simhash import FAMILY, family_links, sent
 
 WIDTH = 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -46,6 +47,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _over(pick: np.ufunc, x: np.ndarray, many: int) -> np.ndarray:
+    """The least (greatest) of each ``many`` entries in a row: those of half as many are put together, over and over."""
+    width = 1
+    while width < many:
+        step = min(width, many - width)
+        x, width = pick(x[: len(x) - step], x[step:]), width + step
+    return x
+
+
 class Paragraphs:
     """The paragraphs of some texts, in arrays.
 
@@ -156,9 +166,9 @@ class Words:
         run, many = self.runs(width), least_words - width + 1
         if len(run) < many:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        least = np.lib.stride_tricks.sliding_window_view(run, many).min(axis=1)
+        least = _over(np.minimum, run, many)
         around = np.concatenate([np.zeros(many - 1, np.uint64), least, np.zeros(many - 1, np.uint64)])
-        at = np.flatnonzero((np.lib.stride_tricks.sliding_window_view(around, many).max(axis=1) == run) & self.inside(width))
+        at = np.flatnonzero((_over(np.maximum, around, many) == run) & self.inside(width))
         return at, run[at].view(np.int64)
 
 
@@ -272,7 +282,8 @@ def equal_runs(docs: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
     Winnowing finds each such run: texts that share one share an anchor in it. Around shared anchors all windows of
     ``least_words`` words are counted; one that two documents have stays at its first place (least id, then
     place) and goes elsewhere. The words that stay are cut where a copy of them starts or ends, so the parts of
-    a cluster are equal.
+    a cluster are equal. Repeated rows change nothing: all that is counted here are different d, and ``segments`` takes a window once,
+    so neither texts nor windows are dealt out to drop them.
     """
     lost = stored(gone.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("first", "size"))).alias("gone")).withColumnRenamed("d", "g"))
     every = stored(anchors(docs.select("d", "text"), least_words))
@@ -287,7 +298,7 @@ def equal_runs(docs: DataFrame, gone: DataFrame, least_words: int) -> DataFrame:
     released(left, shared)
     freed(docs.sparkSession)
     marked = docs.join(marks, F.col("d") == F.col("m")).select("d", "text", "marks", "gone")
-    found = stored(windows(marked, least_words).dropDuplicates(["d", "start"]))
+    found = stored(windows(marked, least_words))
     ids = docs.select("doc_id", "d").distinct()
     freed(docs.sparkSession)
     twice = found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select(F.col("h").alias("w"))
@@ -377,8 +388,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
 
     Equal paragraphs are one node; different ones that share a band of MinHash values and have a Jaccard similarity
     of ``similarity`` on five-word shingles are linked, and clusters are the components. A family of near copies
-    is not paired out: members meet the least one of each band first, and only what is in different clusters after that
-    meets again. Paragraphs in a row that other documents have too make a passage; it counts from ``least_words``
+    is not paired out: members meet the least one of each band first. What is in different clusters after that meets again,
+    in bands of over FAMILY members by rare shingles only (``family_links``, which loses no link). Paragraphs in a row that other documents have too make a passage; it counts from ``least_words``
     words on, so stock lines don't. In each cluster the first place (least id, then place) stays, all others are ``removed``.
     Of the words that this leaves, runs of ``least_words`` or more that two documents have to the word are listed as well, wherever
     they start and end in a line (equal_runs); their ``number`` is that of the paragraph in which they start. A word that stays
@@ -404,11 +415,15 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     links = cut(verified(members.filter("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct(), sets, similarity))
     found = components(links)
     classed = members.join(found, F.col("key") == F.col("node"), "left").select("value", "key", F.coalesce("root", "key").alias("class"))
-    apart = classed.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.countDistinct("key").alias("n")).filter("lo < hi and n > 2")
-    left = cut(classed.join(apart.select("value"), "value", "left_semi"))
-    other = left.select("value", F.col("key").alias("b"), F.col("class").alias("c2"))
-    again = left.join(other, "value").filter((F.col("key") < F.col("b")) & (F.col("class") != F.col("c2"))).select(F.col("key").alias("a"), "b").distinct()
-    found = components(links.union(verified(again, sets, similarity)))
+    apart = cut(classed.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi and n > 2").select("value", "n"))
+    left = cut(classed.join(apart, "value"))
+    family = stored(left.filter(F.col("n") > FAMILY).select(F.col("key").alias("h"), F.col("class").alias("c")).distinct())
+    inside = family_links(stored(sets.withColumnRenamed("key", "h").join(family, "h")), similarity)
+    few = left.join(sent(family.select("h")), F.col("key") == F.col("h"), "left").select("value", "key", "class", F.col("h").isNotNull().alias("met"))
+    other = few.select("value", F.col("key").alias("b"), F.col("class").alias("c2"), F.col("met").alias("met2"))
+    again = few.filter("not met").join(other, "value").filter((F.col("met2") | (F.col("key") < F.col("b"))) & (F.col("class") != F.col("c2")))
+    again = again.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    found = components(links.union(inside).union(verified(again, sets, similarity)))
     released(members, sets)
     freed(docs.sparkSession)
 
@@ -426,7 +441,7 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", simi
     first = kept_rows.groupBy("cluster").agg(F.min(F.struct("doc_id", "d", "number")).alias("keeper")).withColumnRenamed("cluster", "c")
     removed = (F.col("d") != F.col("keeper.d")) | (F.col("number") != F.col("keeper.number"))
     result = stored(kept_rows.join(first, F.col("cluster") == F.col("c")).select("doc_id", "d", "number", "first", "size", "cluster", removed.alias("removed")))
-    more = stored(equal_runs(rows.dropDuplicates(["d"]), result.filter("removed").select("d", "first", "size"), least_words))
+    more = stored(equal_runs(rows, result.filter("removed").select("d", "first", "size"), least_words))
     starts = where.join(more.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.array_sort(F.collect_set("first")).alias("starts"))
     number = (F.size(F.filter("starts", lambda x: x <= F.col("first"))) - 1).alias("number")
     more = more.join(starts, "d").select("doc_id", "d", number, "first", "size", "cluster", "removed")

@@ -98,3 +98,26 @@ def test_runs_of_different_length_share_their_parts(spark, prose):
     got = passages.repeats(table(spark, rows)).collect()
     assert [sum(r.n_words for r in got if r.doc_id == i and r.removed) for i in range(4)] == [0, 51, 40, 0]
     assert sum(r.n_words for r in got if r.doc_id == 0) == 80 and all(not r.removed for r in got if r.doc_id == 0)
+
+
+def test_distant_paragraphs_are_not_paired_out(spark, prose, monkeypatch):
+    base, counted, verified = prose(4, 66, 5000).split(), [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda pairs, *more: counted.append(pairs.count()) or verified(pairs, *more))
+    rows = [(i, " ".join(f"e{i}x{k}" if k in (i * 7 % 64, (i * 7 + 31) % 64) else w for k, w in enumerate(base))) for i in range(120)]
+    got = passages.repeats(table(spark, rows)).collect()
+    assert sum(counted) <= 10 * len(rows)
+    assert {r.doc_id for r in got} == set(range(120))  # equal runs of 20 words or more
+
+
+def test_least_of_entries_in_a_row():
+    x = np.random.default_rng(1).integers(0, 99, 50).astype(np.uint64)
+    for many in (1, 2, 3, 8, 13, 50):
+        assert list(passages._over(np.minimum, x, many)) == [x[i : i + many].min() for i in range(51 - many)]
+    assert len(passages._over(np.maximum, x[:13], 13)) == 1
+
+
+def test_repeated_rows_change_nothing(spark, prose):
+    words = prose(1, 60, 5000)
+    rows = [(i, prose(50 + i, 25, 5000) + " " + words + " " + prose(80 + i, 25, 5000)) for i in range(2)]
+    got = [sorted(map(tuple, passages.repeats(table(spark, r)).collect())) for r in (rows, rows + rows)]
+    assert got[0] == got[1] and got[0]
