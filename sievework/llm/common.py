@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.session import cut
+from sievework.session import cut, freed
 from sievework.sources.tables import load
 
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and return.
@@ -59,12 +58,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Has shuffle files of finished steps deleted now: Spark drops them once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def named(column: str) -> Column:
     """A column by its very name, whatever signs the name has."""
     return F.col(f"`{column.replace('`', '``')}`")

@@ -16,9 +16,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sievework.functions.text import extract_keywords, has_keyword, let, normalize_query, unnest
 from sievework.operators.keys import first_per_key, join_totals
 from sievework.operators.leaders import leaders_in_waves
+from sievework.operators.nearsets import near_edges
 from sievework.operators.positions import with_position
 from sievework.session import cut
 
+#: Jaccard from which sets are compared by parts (nearsets); below, parts hold too few tokens to tell sets apart.
+PARTS_FROM = 0.7
+
 # --------------------------------------------------------------------------- keyword sets
 
 
@@ -43,8 +47,8 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
     """
     keyed = hashed(sets).withColumns({"_d": F.xxhash64("tokens"), "_e": F.hash("tokens")})
     reps = keyed.groupBy("_d", "_e", "n").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
-    # after the aggregate, so that the check does not make the tokens be worked out twice
-    return reps.select("id", "tokens", "n").filter("n > 0")
+    # on what the aggregate gives: a check of its key goes to the scan, where the tokens would be worked out twice
+    return reps.filter(F.size("tokens") > 0).select("id", "tokens", "n")
 
 
 def copies_of(sets: DataFrame) -> DataFrame:
@@ -143,6 +147,8 @@ def jaccard_edges(sets: DataFrame, threshold: float) -> DataFrame:
     """J10 over sets of tokens, or over stored, non-empty sets of token hashes."""
     if sets.schema["tokens"].dataType.elementType != T.LongType():
         sets = cut(hashed(sets).filter("n > 0"))
+    if threshold >= PARTS_FROM:
+        return near_edges(sets, threshold)
     return jaccard_between(sets, sets, threshold, token_counts(sets))
 
 
