@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sievework.functions.text import extract_keywords, has_keyword, let, normalize_query, unnest
 from sievework.operators.keys import first_per_key, join_totals
 from sievework.operators.leaders import leaders_in_waves
-from sievework.operators.nearsets import near_edges
+from sievework.operators.nearsets import family_pairs, near_edges, near_sets
 from sievework.operators.positions import with_position
 from sievework.session import cut
 
@@ -152,11 +152,29 @@ def jaccard_edges(sets: DataFrame, threshold: float) -> DataFrame:
     return jaccard_between(sets, sets, threshold, token_counts(sets))
 
 
+def _leaders_of_near(sets: DataFrame, threshold: float, waves: int | None) -> DataFrame:
+    """Ids of the sets that lead. Sets without a near one lead by themselves; only the others go through waves, and only families bring their tokens."""
+    loose, members = near_sets(sets, threshold)
+    loose = cut(loose.select("low", "high"))
+    alone = loose.select(F.col("low").alias("id")).union(loose.select("high")).distinct().join(members.select("id"), "id", "left_anti")
+    nodes = cut(members.unionByName(alone, allowMissingColumns=True))
+
+    def between(left: DataFrame, right: DataFrame) -> DataFrame:
+        known = loose.join(left.select(F.col("id").alias("low")), "low", "left_semi").join(right.select(F.col("id").alias("high")), "high", "left_semi")
+        return known.select("low", "high").unionByName(family_pairs(left, right, threshold).select("low", "high"))
+
+    lost = nodes.select("id").join(leaders_in_waves(nodes, between, waves).select("id"), "id", "left_anti")
+    return sets.select("id").join(lost, "id", "left_anti")
+
+
 def dedupe_jaccard(df: DataFrame, id: str, text: str, threshold: float = 0.85, waves: int | None = None) -> DataFrame:
     """Ids that are kept; copies of one text fall to its lowest id first."""
     reps = cut(distinct_sets(keyword_sets(df, id, extract_keywords(F.col(text)))))
-    counts = token_counts(reps)
-    kept = leaders_in_waves(reps, lambda a, b: jaccard_between(a, b, threshold, counts), waves).select("id")
+    if threshold >= PARTS_FROM:
+        kept = _leaders_of_near(reps, threshold, waves)
+    else:
+        counts = token_counts(reps)
+        kept = leaders_in_waves(reps, lambda a, b: jaccard_between(a, b, threshold, counts), waves).select("id")
     empty = df.select(F.col(id).alias("id")).filter(~has_keyword(F.col(text)))
     return kept.unionByName(empty).withColumnRenamed("id", id)
 

@@ -85,6 +85,21 @@ def test_at_a_high_threshold_no_tokens_are_joined(spark, monkeypatch):
     rows = family(30)
     sets = hashed(spark, enumerate(rows))
     assert sim.jaccard_edges(sets, 0.85).count() == 30 * 29 // 2
+    df = spark.createDataFrame([(i, " ".join(f"word{w}" for w in words)) for i, words in enumerate(rows)], "id long, text string")
+    assert [r.id for r in sim.dedupe_jaccard(df, "id", "text", 0.85).collect()] == [0]
+
+
+@pytest.mark.parametrize("waves", [1, 3])
+def test_dedupe_by_parts_keeps_what_the_greedy_loop_keeps(spark, monkeypatch, waves):
+    monkeypatch.setattr(nearsets, "BLOCK", 4)
+    rows = some_sets(5, bases=40)
+    df = spark.createDataFrame([(i, " ".join(f"word{w}" for w in words)) for i, words in enumerate(rows)] + [(9000, "")], "id long, text string")
+    got = sorted(r.id for r in sim.dedupe_jaccard(df, "id", "text", 0.75, waves).collect())
+    kept = []
+    for i in range(len(rows)):
+        if not any(jaccard(rows[i], rows[j]) > 0.75 for j in kept):
+            kept.append(i)
+    assert got == [*kept, 9000]
 
 
 def test_tokens_are_worked_out_once(spark):
