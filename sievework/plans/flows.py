@@ -175,8 +175,10 @@ def enrich_gaps(companies: DataFrame, hits: DataFrame, pages: DataFrame, model:
     """
     todo = companies.select("name").distinct()
     parts = parts_for(todo.count(), 10_000)
-    mine = hits.repartition(parts, "name").join(todo.repartition(parts, "name").hint("merge"), "name", "left_semi")
+    # written once: eight steps read the hits, and each source would pick the pages of all hits anew
+    mine = cut(hits.repartition(parts, "name").join(todo.repartition(parts, "name").hint("merge"), "name", "left_semi"))
     found, one = joins.pages_of_hits(mine, pages, parts=parts)
+    one = cut(one)
     site, profile = cut(linkgraph.match_official_site(mine)), linkgraph.match_profile_url(mine, pages, parts=parts)
     order = F.struct("query_no", "rank", "url")
     first = F.struct(F.lit(0).alias("query_no"), F.lit(0).alias("rank"), F.lit("").alias("url"))

@@ -166,3 +166,21 @@ def test_enrich_gaps_query_deals_its_narrow_rows_out(spark, monkeypatch):
     for frame in taken.values():
         sizes = [r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 3_000_000 and max(sizes) < 55_000
+
+
+def test_gaps_read_the_pages_a_fixed_number_of_times(spark):
+    """One reading finds the profiles, one picks the pages of the hits; no source picks them anew."""
+    rows = [(f"Firm{i}", f"https://firm{i}.com/about", f"<html><body><p>Located in City{i}.</p></body></html>") for i in range(4)]
+    companies = spark.createDataFrame([(r[0],) for r in rows], "name string")
+    hits = spark.createDataFrame([(name, 0, 1, "Hit", url, "") for name, url, _ in rows], "name string, query_no int, rank int, title string, url string, snippet string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pages = spark.createDataFrame([(url, html) for _, url, html in rows], "url string, html string").mapInArrow(counted, "url string, html string")
+    got = flows.enrich_gaps(companies, hits, pages)
+    assert sorted(r.website for r in got.collect()) == sorted(url for _, url, _ in rows)
+    assert read.value == 2 * len(rows)
